@@ -20,7 +20,7 @@ AUTHORITY_SCHEMES = (
 )
 
 
-def redact_query(query: Column) -> Column:
+def redact_query(query: Column, sensitive: str = SENSITIVE_KEY) -> Column:
     """Re-encoded query whose sensitive keys carry the marker."""
     marker = F.lit(MARKER.replace("[", "%5B").replace("]", "%5D"))
     return F.array_join(
@@ -29,20 +29,20 @@ def redact_query(query: Column) -> Column:
             lambda pair: F.concat(
                 U.form_encode(pair["key"]),
                 F.lit("="),
-                F.when(pair["key"].rlike(SENSITIVE_KEY), marker).otherwise(U.form_encode(pair["value"])),
+                F.when(pair["key"].rlike(sensitive), marker).otherwise(U.form_encode(pair["value"])),
             ),
         ),
         "&",
     )
 
 
-def redact_url(url: Column) -> Column:
+def redact_url(url: Column, sensitive: str = SENSITIVE_KEY) -> Column:
     """URL without user info and without the values of sensitive query keys.
 
     A URL whose brackets do not match is returned unchanged.
     """
     scheme, authority, path = U.url_scheme(url), U.url_authority(url), U.url_path(url)
-    query, fragment = redact_query(U.url_query(url)), U.url_fragment(url)
+    query, fragment = redact_query(U.url_query(url), sensitive), U.url_fragment(url)
     safe = F.when(
         authority.contains("@"), F.concat(F.lit(MARKER + "@"), F.substring_index(authority, "@", -1))
     ).otherwise(authority)

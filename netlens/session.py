@@ -20,6 +20,7 @@ def local_session(app: str = "netlens", cpus: str | None = None, partitions: int
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("NETLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(width))
         .config("spark.sql.session.timeZone", "UTC")

@@ -4,7 +4,7 @@ Order is meaning: a repeated ``requestWillBeSent`` of the same id opens the next
 belong to the latest hop, and a response replaces what came before it. The state a sequential
 reader would carry is two running counts (starts, responses) and two pending header maps. They are
 carried block by block (see ``skew``), so an id with any number of events is spread over tasks;
-everything else is one grouped aggregation per hop.
+everything else is a grouped aggregation per hop.
 """
 
 from __future__ import annotations
@@ -41,105 +41,67 @@ TIMING_MARKS = (
 HEADERS = "map<string,string>"
 KEY = ["session_id", "request_id"]
 
+MARKS = ",".join(f"{mark}:double" for _, start, end in TIMING_MARKS for mark in (start, end))
+REPLY = (
+    "struct<status:string,statusText:string,protocol:string,mimeType:string,remoteIPAddress:string,remotePort:string,"
+    f"connectionId:string,connectionReused:boolean,headers:{HEADERS},fromDiskCache:boolean,fromPrefetchCache:boolean,"
+    "fromServiceWorker:boolean,securityState:string,securityDetails:string,"
+    f"timing:struct<{MARKS},receiveHeadersEnd:double>>"
+)
+PARAMS = (
+    "struct<timestamp:double,wallTime:double,type:string,documentURL:string,"
+    f"request:struct<url:string,method:string,headers:{HEADERS},hasPostData:boolean,postData:string,"
+    "initialPriority:string,referrerPolicy:string>,initiator:string,"
+    f"response:{REPLY},redirectResponse:{REPLY},headers:{HEADERS},associatedCookies:string,"
+    "dataLength:string,encodedDataLength:string,errorText:string,canceled:boolean,blockedReason:string>"
+)
+
 
 def timing_delta(start: Column, end: Column) -> Column:
     """End minus start, two decimals; NULL unless both marks are known and not negative."""
     return F.when((start >= 0) & (end >= 0), half_even(F.greatest(F.lit(0.0), end - start), 2))
 
 
-def response_struct(response: Column) -> Column:
-    """The fields a response sets on its request; ``response`` is a VARIANT object."""
-
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(response, "$." + path, kind)
-
-    first_byte = get("timing.receiveHeadersEnd", "double")
-    timing = [
-        timing_delta(get("timing." + start, "double"), get("timing." + end, "double")).alias(name)
-        for name, start, end in TIMING_MARKS
-    ]
+def timing_struct(marks: Column) -> Column:
+    """Phase durations from the marks of a response."""
+    first_byte = marks["receiveHeadersEnd"]
     return F.struct(
-        whole(get("status")).cast("int").alias("status"),
-        F.coalesce(get("statusText"), F.lit("")).alias("status_text"),
-        text_or(get("protocol"), "unknown").alias("protocol"),
-        U.mime_essence(text_or(get("mimeType"), "unknown")).alias("mime_type"),
-        get("remoteIPAddress").alias("remote_ip"),
-        get("remotePort").alias("remote_port"),
-        get("connectionId").alias("connection_id"),
-        truthy(get("connectionReused", "boolean")).alias("connection_reused"),
-        F.coalesce(get("headers", HEADERS), F.create_map().cast(HEADERS)).alias("headers"),
-        truthy(get("fromDiskCache", "boolean"), get("fromPrefetchCache", "boolean")).alias("from_cache"),
-        truthy(get("fromServiceWorker", "boolean")).alias("from_service_worker"),
-        truthy(get("fromPrefetchCache", "boolean")).alias("from_prefetch_cache"),
-        get("securityState").alias("security_state"),
-        get("securityDetails.protocol").alias("tls_protocol"),
-        get("securityDetails").alias("security_details"),
-        F.struct(
-            *timing,
-            F.when(first_byte >= 0, half_even(first_byte, 2)).alias("ttfb_ms"),
-            F.lit(None).cast("double").alias("receive_ms"),
-        ).alias("timing"),
+        *[timing_delta(marks[start], marks[end]).alias(name) for name, start, end in TIMING_MARKS],
+        F.when(first_byte >= 0, half_even(first_byte, 2)).alias("ttfb_ms"),
+        F.lit(None).cast("double").alias("receive_ms"),
     )
 
 
-def start_struct(params: Column) -> Column:
-    """The fields a start sets on its request."""
-
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get(params, "$." + path, kind)
-
-    return F.struct(
-        F.coalesce(get("request.url"), F.lit("")).alias("url"),
-        F.coalesce(get("request.method"), F.lit("?")).alias("method"),
-        F.coalesce(get("type"), F.lit("Other")).alias("resource_type"),
-        F.coalesce(get("documentURL"), F.lit("")).alias("document_url"),
-        get("timestamp", "double").alias("started_monotonic"),
-        get("wallTime", "double").alias("started_wall_time"),
-        F.coalesce(get("request.headers", HEADERS), F.create_map().cast(HEADERS)).alias("headers"),
-        (truthy(get("request.hasPostData", "boolean")) | (F.coalesce(get("request.postData"), F.lit("")) != "")).alias(
-            "has_post_data"
-        ),
-        get("request.postData").alias("post_data"),
-        get("request.initialPriority").alias("initial_priority"),
-        get("request.referrerPolicy").alias("referrer_policy"),
-        get("initiator.type").alias("initiator_type"),
-        F.coalesce(get("initiator"), F.lit("{}")).alias("initiator"),
-    )
+def no_headers() -> Column:
+    return F.create_map().cast(HEADERS)
 
 
 def request_events(events: DataFrame) -> DataFrame:
-    """The eight request events with their fields as typed columns; a column not of its kind is NULL."""
-    params = F.try_variant_get("body", "$.params", "variant")
-    kind = F.col("method")
-    reply = F.when(kind == RESPONSE, F.try_variant_get("body", "$.params.response", "variant")).when(
-        kind == START, F.try_variant_get("body", "$.params.redirectResponse", "variant")
+    """The eight request events with their parameters read once into typed columns."""
+    typed = F.explode(F.array(F.try_variant_get("body", "$.params", PARAMS))).alias("p")
+    kind, p = F.col("method"), F.col("p")
+    wanted = events.where((F.col("type") == "cdp_event") & kind.isin(*REQUEST_EVENTS))
+    start = F.struct(
+        p["request"].alias("request"), *[p[name].alias(name) for name in ("type", "documentURL", "timestamp", "wallTime", "initiator")]
     )
-    is_object = F.try_variant_get(reply, "$", "map<string,variant>").isNotNull()
-    headers = F.coalesce(F.try_variant_get(params, "$.headers", HEADERS), F.create_map().cast(HEADERS))
-
-    def get(path: str, cast: str = "string") -> Column:
-        return F.try_variant_get(params, "$." + path, cast)
-
-    return events.where((F.col("type") == "cdp_event") & kind.isin(*REQUEST_EVENTS)).select(
-        "session_id",
-        "request_id",
+    reply = F.when(kind == RESPONSE, F.coalesce(p["response"], F.from_json(F.lit("{}"), REPLY))).when(
+        kind == START, p["redirectResponse"]
+    )
+    fault = F.struct(
+        p["errorText"].alias("failure"), truthy(p["canceled"]).alias("canceled"), p["blockedReason"].alias("blocked_reason")
+    )
+    return wanted.select(*KEY, "seq", "method", typed).select(
+        *KEY,
         "seq",
         kind.alias("kind"),
-        get("timestamp", "double").alias("ts"),
-        F.when(kind == START, start_struct(params)).alias("start"),
-        F.when((kind == RESPONSE) | ((kind == START) & is_object), response_struct(reply)).alias("reply"),
-        F.when(kind.isin(START_EXTRA, RESPONSE_EXTRA), headers).alias("extra_headers"),
-        F.when(kind == START_EXTRA, get("associatedCookies")).alias("cookies"),
-        F.when(kind == DATA, whole(get("dataLength"))).alias("data_length"),
-        F.when(kind == FINISHED, whole(get("encodedDataLength"))).alias("encoded_length"),
-        F.when(
-            kind == FAILED,
-            F.struct(
-                get("errorText").alias("failure"),
-                truthy(get("canceled", "boolean")).alias("canceled"),
-                get("blockedReason").alias("blocked_reason"),
-            ),
-        ).alias("fault"),
+        p["timestamp"].alias("ts"),
+        F.when(kind == START, start).alias("start"),
+        reply.alias("reply"),
+        F.when(kind.isin(START_EXTRA, RESPONSE_EXTRA), F.coalesce(p["headers"], no_headers())).alias("extra_headers"),
+        F.when(kind == START_EXTRA, p["associatedCookies"]).alias("cookies"),
+        F.when(kind == DATA, whole(p["dataLength"])).alias("data_length"),
+        F.when(kind == FINISHED, whole(p["encodedDataLength"])).alias("encoded_length"),
+        F.when(kind == FAILED, fault).alias("fault"),
     )
 
 
@@ -205,67 +167,70 @@ def with_hops(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     )
 
 
-def _late_headers(rows: DataFrame) -> DataFrame:
-    """Per hop, the last value of every extra header as (side, name, value, seq) entries."""
-    key = KEY + ["hop"]
-    return (
-        rows.where(F.col("kind").isin(START_EXTRA, RESPONSE_EXTRA) & (F.col("hop") >= 0))
-        .select(*key, "kind", "seq", F.explode("extra_headers").alias("name", "value"))
-        .groupBy(*key, "kind", "name")
-        .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("kind", "name", "value", "seq")).alias("late"))
-    )
-
-
 def _merge(base: Column, late: Column) -> Column:
     """``base`` with the entries of ``late`` written over it."""
     return F.map_concat(F.map_filter(base, lambda key, value: ~F.map_contains_key(late, key)), late)
 
 
 def _entries(late: Column, kind: str, after: Column) -> Column:
-    picked = F.filter(
-        F.coalesce(late, F.array().cast("array<struct<kind:string,name:string,value:string,seq:bigint>>")),
-        lambda item: (item["kind"] == kind) & (item["seq"] > after),
-    )
+    picked = F.filter(late, lambda item: (item["kind"] == kind) & (item["seq"] > after))
     return F.map_from_entries(F.transform(picked, lambda item: F.struct(item["name"], item["value"])))
 
 
-def correlate(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
-    """REQUEST rows of browser sessions, one per hop, ordered by ``seq`` of the start event."""
-    rows = with_hops(request_events(events), bits)
-    key = KEY + ["hop"]
-    kind, seq, hop = F.col("kind"), F.col("seq"), F.col("hop")
+def _roles(rows: DataFrame) -> DataFrame:
+    """One row per effect of an event: on its own hop, on the hop it closes, on each extra header.
+
+    A start also closes the hop before it, if it carries that hop's redirect response.
+    """
+    kind, hop = F.col("kind"), F.col("hop")
+    nothing = F.lit(None).cast("string")
 
-    # A start also closes the hop before it, if it carries that hop's redirect response.
+    def effect(role: Column, target: Column, name: Column = nothing, value: Column = nothing) -> Column:
+        return F.struct(role.alias("role"), target.alias("target"), name.alias("name"), value.alias("value"))
+
+    own = F.array(effect(kind, hop))
     closes = (kind == START) & (hop > 0) & F.col("reply").isNotNull()
-    roles = F.explode(
-        F.when(
-            closes,
-            F.array(
-                F.struct(kind.alias("role"), hop.alias("target")),
-                F.struct(F.lit("close").alias("role"), (hop - 1).alias("target")),
-            ),
-        ).otherwise(F.array(F.struct(kind.alias("role"), hop.alias("target"))))
-    ).alias("_r")
-    cast_roles = (
+    headers = F.transform(
+        F.map_entries("extra_headers"), lambda item: effect(kind, hop, item["key"], item["value"])
+    )
+    effects = (
+        F.when(closes, F.concat(own, F.array(effect(F.lit("close"), hop - 1))))
+        .when(F.col("extra_headers").isNotNull(), F.concat(own, headers))
+        .otherwise(own)
+    )
+    return (
         rows.where(hop >= 0)
-        .select("*", roles)
-        .withColumn("hop", F.col("_r.target"))
-        .withColumn("role", F.col("_r.role"))
-        .withColumn("start", F.when(F.col("role") == START, F.col("start")))
-        .withColumn("reply", F.when(F.col("role") != START, F.col("reply")))
+        .select("*", F.inline(effects))
+        .withColumns(
+            {
+                "hop": F.col("target"),
+                "start": F.when(F.col("role") == START, F.col("start")),
+                "reply": F.when(F.col("role") != START, F.col("reply")),
+            }
+        )
     )
-    role = F.col("role")
+
+
+def hop_state(rows: DataFrame) -> DataFrame:
+    """The last word of every kind of event per hop.
+
+    Extra headers are combined per header name first, so what is listed per hop is bounded by the
+    number of distinct names, however many events a hop has.
+    """
+    key = KEY + ["hop"]
+    role, seq, main = F.col("role"), F.col("seq"), F.col("name").isNull()
 
     def at(*names: str) -> Column:
-        return F.when(role.isin(*names), seq)
+        return F.when(main & role.isin(*names), seq)
 
-    hops = cast_roles.groupBy(*key).agg(
-        F.max_by("start", at(START)).alias("start"),
+    header_kind = F.when(F.col("name").isNotNull(), role).alias("header_kind")
+    parts = _roles(rows).groupBy(*key, "name", header_kind).agg(
+        F.max_by("value", "seq").alias("value"),
+        F.max("seq").alias("value_seq"),
         F.max(at(START)).alias("start_seq"),
+        F.max_by("start", at(START)).alias("start"),
         F.max_by("pending_request_headers", at(START)).alias("pending_request"),
-        F.max_by(F.struct("reply", "reply_no", "pending_response_headers", "seq"), at(RESPONSE)).alias("reply"),
+        F.max_by(F.struct("reply", "reply_no", "pending_response_headers", "seq"), at(RESPONSE)).alias("answer"),
         F.max_by(F.struct("reply", "ts"), at("close")).alias("close"),
         F.max(at(SERVED_FROM_CACHE)).alias("cache_seq"),
         F.sum(F.coalesce("data_length", F.lit(0))).alias("body_bytes"),
@@ -274,58 +239,85 @@ def correlate(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
         F.max_by("ts", F.when(F.col("ts").isNotNull(), at(FINISHED, FAILED))).alias("end_ts"),
         F.max_by("cookies", at(START_EXTRA)).alias("associated_cookies"),
     )
-    joined = hops.join(_late_headers(rows), key, "left")
+    main_columns = [name for name in parts.columns if name not in key + ["name", "header_kind", "value", "value_seq"]]
+    header = F.struct(
+        F.col("header_kind").alias("kind"), "name", "value", F.col("value_seq").alias("seq")
+    )
+    return (
+        parts.groupBy(*key)
+        .agg(
+            F.first(F.when(main, F.struct(*main_columns)), ignorenulls=True).alias("m"),
+            F.collect_list(F.when(~main, header)).alias("late"),
+        )
+        .select(*key, "m.*", "late")
+    )
+
 
-    start, close = F.col("start"), F.col("close")
+def correlate(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """REQUEST rows of browser sessions, one per hop, ordered by ``seq`` of the start event."""
+    hops = hop_state(with_hops(request_events(events), bits))
+    hop, start, close = F.col("hop"), F.col("start"), F.col("close")
     closed = close.isNotNull()
-    reply = F.when(closed, close["reply"]).otherwise(F.col("reply.reply"))
-    reply_seq = F.coalesce(F.col("reply.seq"), F.lit(-1))
-    begun = start["started_monotonic"]
-    empty = F.create_map().cast(HEADERS)
-    first_reply = ~closed & (F.col("reply.reply_no") == 1)
-    response_base = F.coalesce(reply["headers"], empty)
+    chosen = hops.withColumns(
+        {
+            "closed": closed,
+            "reply": F.when(closed, close["reply"]).otherwise(F.col("answer.reply")),
+            "reply_seq": F.coalesce(F.col("answer.seq"), F.lit(-1)),
+        }
+    )
+    closed, reply, reply_seq = F.col("closed"), F.col("reply"), F.col("reply_seq")
+    begun, asked = start["timestamp"], start["request"]
+    response_base = F.coalesce(reply["headers"], no_headers())
+    first_reply = ~closed & (F.col("answer.reply_no") == 1)
     with_pending = F.when(
-        first_reply, _merge(response_base, F.coalesce(F.col("reply.pending_response_headers"), empty))
+        first_reply, _merge(response_base, F.coalesce(F.col("answer.pending_response_headers"), no_headers()))
     ).otherwise(response_base)
-    late_request = _entries(F.col("late"), START_EXTRA, F.lit(-1))
-    late_response = _entries(F.col("late"), RESPONSE_EXTRA, reply_seq)
-    pending_request = F.when(hop == 0, F.coalesce("pending_request", empty)).otherwise(empty)
-    request = joined.select(
+    pending_request = F.when(hop == 0, F.coalesce("pending_request", no_headers())).otherwise(no_headers())
+    request = chosen.select(
         "session_id",
         F.col("start_seq").alias("seq"),
         F.col("request_id").alias("id"),
         hop.cast("int").alias("redirect_index"),
-        *[
-            start[name].alias(name)
-            for name in (
-                "url", "method", "resource_type", "document_url", "started_monotonic", "started_wall_time",
-                "has_post_data", "post_data", "initial_priority", "referrer_policy", "initiator_type", "initiator",
-            )
-        ],
-        F.coalesce(
-            F.when(closed, elapsed_ms(begun, close["ts"])), elapsed_ms(begun, F.col("end_ts"))
-        ).alias("duration_ms"),
-        F.coalesce(reply["status"], F.lit(0)).alias("status"),
-        F.coalesce(reply["status_text"], F.lit("")).alias("status_text"),
-        F.coalesce(reply["protocol"], F.lit("unknown")).alias("protocol"),
-        F.coalesce(reply["mime_type"], F.lit("unknown")).alias("mime_type"),
-        *[
-            reply[name].alias(name)
-            for name in (
-                "remote_ip", "remote_port", "connection_id", "security_state", "tls_protocol", "security_details",
-                "timing",
-            )
-        ],
-        truthy(reply["connection_reused"]).alias("connection_reused"),
-        truthy(reply["from_service_worker"]).alias("from_service_worker"),
-        truthy(reply["from_prefetch_cache"]).alias("from_prefetch_cache"),
+        F.coalesce(asked["url"], F.lit("")).alias("url"),
+        F.coalesce(asked["method"], F.lit("?")).alias("method"),
+        F.coalesce(start["type"], F.lit("Other")).alias("resource_type"),
+        F.coalesce(start["documentURL"], F.lit("")).alias("document_url"),
+        begun.alias("started_monotonic"),
+        start["wallTime"].alias("started_wall_time"),
+        (truthy(asked["hasPostData"]) | (F.coalesce(asked["postData"], F.lit("")) != "")).alias("has_post_data"),
+        asked["postData"].alias("post_data"),
+        asked["initialPriority"].alias("initial_priority"),
+        asked["referrerPolicy"].alias("referrer_policy"),
+        F.get_json_object(start["initiator"], "$.type").alias("initiator_type"),
+        F.coalesce(start["initiator"], F.lit("{}")).alias("initiator"),
+        F.coalesce(F.when(closed, elapsed_ms(begun, close["ts"])), elapsed_ms(begun, F.col("end_ts"))).alias("duration_ms"),
+        whole(reply["status"]).cast("int").alias("status"),
+        F.coalesce(reply["statusText"], F.lit("")).alias("status_text"),
+        text_or(reply["protocol"], "unknown").alias("protocol"),
+        U.mime_essence(text_or(reply["mimeType"], "unknown")).alias("mime_type"),
+        reply["remoteIPAddress"].alias("remote_ip"),
+        reply["remotePort"].alias("remote_port"),
+        reply["connectionId"].alias("connection_id"),
+        reply["securityState"].alias("security_state"),
+        F.get_json_object(reply["securityDetails"], "$.protocol").alias("tls_protocol"),
+        reply["securityDetails"].alias("security_details"),
+        timing_struct(reply["timing"]).alias("timing"),
+        truthy(reply["connectionReused"]).alias("connection_reused"),
+        truthy(reply["fromServiceWorker"]).alias("from_service_worker"),
+        truthy(reply["fromPrefetchCache"]).alias("from_prefetch_cache"),
         (
-            truthy(reply["from_cache"]) | (~closed & F.coalesce(F.col("cache_seq") > reply_seq, F.lit(False)))
+            truthy(reply["fromDiskCache"], reply["fromPrefetchCache"])
+            | (~closed & F.coalesce(F.col("cache_seq") > reply_seq, F.lit(False)))
         ).alias("from_cache"),
         F.coalesce("transfer_bytes", F.lit(0)).alias("transfer_bytes"),
         "body_bytes",
-        _merge(_merge(start["headers"], pending_request), late_request).alias("request_headers"),
-        F.when(closed, response_base).otherwise(_merge(with_pending, late_response)).alias("response_headers"),
+        _merge(
+            _merge(F.coalesce(asked["headers"], no_headers()), pending_request),
+            _entries(F.col("late"), START_EXTRA, F.lit(-1)),
+        ).alias("request_headers"),
+        F.when(closed, response_base)
+        .otherwise(_merge(with_pending, _entries(F.col("late"), RESPONSE_EXTRA, reply_seq)))
+        .alias("response_headers"),
         "associated_cookies",
         F.col("fault").isNotNull().alias("failed"),
         F.col("fault.failure").alias("failure"),

@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Scatter a table that sits in fewer files than there are cores; a real data set is left alone."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if len(frame.inputFiles()) < cores else frame
+
+
 def _case(value: Column, mapping: dict, default: object) -> Column:
     result = None
     for key, item in mapping.items():
@@ -37,7 +43,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``k`` (0..99), ``v`` (value in hundredths) and the page they touch."""
     pages = table(spark, sf_dir, "pages")
     count = pages.count()  # answered from the file footers
-    events = table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events"), "event_id").select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 100).cast("bigint").alias("v"),

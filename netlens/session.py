@@ -16,14 +16,18 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 def local_session(app: str = "netlens", cpus: str | None = None, partitions: int | None = None) -> SparkSession:
     cores = cpus or os.environ.get("BENCH_CPUS") or "8"
     width = partitions or (int(cores) if cores.isdigit() else 8)
+    # Generated methods above 8000 bytecodes are never compiled by the JVM; the limit makes Spark split
+    # such wide projections into small methods instead.
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("NETLENS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(width))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

@@ -67,13 +67,14 @@ def text_of(body: Column, path: str) -> Column:
 
 def parse_event_lines(lines: DataFrame) -> DataFrame:
     """Add ``parsed`` (VARIANT or NULL) and ``reason`` (NULL for an event) to non-blank lines."""
-    parsed = lines.where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").withColumn(
-        "parsed", F.try_parse_json("value")
+    # explode() pins the parse: a plain column would be copied into every filter pushed below it.
+    parsed = lines.where(F.col("value").rlike(r"\S")).select(
+        *lines.columns, F.explode(F.array(F.try_parse_json("value"))).alias("parsed")
     )
     return parsed.withColumn(
         "reason",
         F.when(F.col("parsed").isNull(), "malformed JSON").when(
-            F.try_variant_get("parsed", "$", "map<string,variant>").isNull(), "expected an object"
+            ~F.ltrim("value", F.lit(" \t\r\n")).startswith("{"), "expected an object"
         ),
     )
 

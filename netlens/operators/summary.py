@@ -134,7 +134,7 @@ def frequency_counts(cells: DataFrame, seq: str = "seq") -> DataFrame:
 def most_common(rows: DataFrame, key: list[str], value: str, n: int, seq: str = "seq") -> DataFrame:
     """The ``n`` most frequent values per key, ties first seen first."""
     counts = rows.groupBy(*key, value).agg(F.count("*").alias("count"), F.min(seq).alias("first_seq"))
-    return top_per_group(counts, key, [F.desc("count"), F.asc("first_seq")], n)
+    return top_per_group(counts, key, [F.desc("count"), F.asc("first_seq"), F.asc(value)], n)
 
 
 def duplicate_urls(requests: DataFrame, n: int = 5) -> DataFrame:

@@ -156,3 +156,424 @@ def cdp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", F.col("seq").alias("_seq"), F.posexplode(lines).alias("_pos", "value")).select(
         "session_id", (F.col("_seq") * 4 + F.col("_pos")).alias("seq"), "value"
     )
+
+
+def proxy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proxy request lines: one per request; POSTs are TLS tunnels."""
+    r = requests(spark, sf_dir)
+    tunnel = F.col("method") == "POST"
+    event = F.struct(
+        F.lit("proxy_request").alias("type"), F.lit("2024-01-01T00:00:00.000+00:00").alias("timestamp"),
+        F.when(tunnel, "CONNECT").otherwise("GET").alias("method"),
+        F.when(tunnel, F.concat("domain", F.lit(":443"))).otherwise(F.col("url")).alias("target"),
+        F.lit("HTTP/1.1").alias("http_version"), F.when(tunnel, "tls_tunnel").otherwise("http").alias("mode"),
+        F.col("domain").alias("host"), F.when(tunnel, 443).otherwise(80).alias("port"),
+        F.when(
+            ~tunnel,
+            F.struct(
+                F.col("protocol").alias("http_version"), "status",
+                F.create_map(F.lit("content-type"), F.concat("mime_type", F.lit("; charset=utf-8"))).alias("headers"),
+            ),
+        ).alias("response"),
+        (~F.col("failed")).alias("ok"), F.col("transfer_bytes").alias("upload_bytes"),
+        F.col("body_bytes").alias("download_bytes"), "duration_ms",
+    )
+    return r.select("session_id", "seq", F.to_json(event).alias("value"))
+
+
+def har_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HAR archives: the requests of a user within one span of event ids, so an archive stays small."""
+    r = requests(spark, sf_dir).withColumn("_span", F.expr(f"seq div {ID_SPAN}"))
+    entry = F.struct(
+        "seq",
+        F.struct(
+            F.col("duration_ms").alias("time"), F.struct("method", "url").alias("request"),
+            F.struct(
+                F.when(F.col("failed"), 0).otherwise(F.col("status")).alias("status"),
+                F.col("protocol").alias("httpVersion"), F.col("body_bytes").alias("bodySize"),
+                F.when(F.col("from_cache"), -1).otherwise(100).alias("headersSize"),
+                F.struct(F.concat("mime_type", F.lit("; charset=utf-8")).alias("mimeType")).alias("content"),
+            ).alias("response"),
+            F.struct(F.lit(-1).alias("blocked"), F.col("timing.dns_ms").alias("dns"), F.col("timing.ttfb_ms").alias("wait")).alias("timings"),
+            F.when(F.col("from_cache"), F.struct(F.lit("hit").alias("comment"))).alias("cache"),
+        ).alias("entry"),
+    )
+    docs = r.groupBy("session_id", "_span").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    log = F.struct(F.struct(F.transform("_e", lambda item: item["entry"]).alias("entries")).alias("log"))
+    name = F.concat_ws("-", "session_id", F.col("_span").cast("string"))
+    return docs.select(name.alias("session_id"), F.to_json(log).alias("value"))
+
+
+# --- sockets and interfaces ---------------------------------------------------------------------
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
+        "event_id", "user_id", "event_type", millis("ts").alias("ms"),
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.round(F.col("value") * 100).cast("bigint").alias("v"),
+    )
+
+
+def _connection(user: Column, kind: Column) -> dict[str, Column]:
+    """Connection columns of a user and event type."""
+
+    def text(*parts: object) -> Column:
+        return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
+
+    remote = (
+        F.when(user % 4 == 0, text("192.168.1.", user % 200))
+        .when(user % 4 == 1, text("8.8.", user % 200, ".8"))
+        .when(user % 4 == 2, text("2606:4700::", user % 10))
+        .otherwise(F.when(user % 8 == 3, F.lit("127.0.0.1")).otherwise(text("52.1.2.", user % 200)))
+    )
+    listening = kind == "signup"
+    return {
+        "process": text("App", user % 7),
+        "pid": user.cast("int"),
+        "user": text("u", user % 3),
+        "fd": text(user % 9, "u"),
+        "family": F.lit("IPv4"),
+        "protocol": F.when(kind == "error", "UDP").otherwise("TCP"),
+        "local": F.struct(
+            F.when(listening & (user % 2 == 0), F.lit("*")).otherwise(text("10.0.0.", user % 250)).alias("host"),
+            text(F.lit(1000) + user % 500).alias("port"),
+        ),
+        "remote": F.when(~listening, F.struct(remote.alias("host"), F.lit("443").alias("port"))),
+        "state": _case(kind, {"signup": "LISTEN", "purchase": "CLOSED", "error": ""}, "ESTABLISHED"),
+        "path": F.lit("direct"),
+    }
+
+
+def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Socket snapshots: ten hosts, one snapshot per hour, a socket per user and event type seen in it."""
+    seen = _events(spark, sf_dir).groupBy(
+        F.concat(F.lit("host-"), F.col("user_id") % 10).alias("host"),
+        F.expr("ms div 3600000").alias("snapshot_no"), "user_id", "event_type",
+    ).agg(F.min("event_id").alias("seq"))
+    columns = _connection(F.col("user_id"), F.col("event_type"))
+    return seen.select("host", "snapshot_no", "seq", *[value.alias(name) for name, value in columns.items()])
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour in which anything happened is a snapshot of every host, so some are empty."""
+    hours = _events(spark, sf_dir).select(F.expr("ms div 3600000").alias("snapshot_no")).distinct()
+    hosts = F.explode(F.array(*[F.lit(f"host-{number}") for number in range(10)]))
+    return hours.select(hosts.alias("host"), "snapshot_no")
+
+
+def connection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection open and close lines, one per event."""
+    columns = _connection(F.col("user_id"), F.col("event_type"))
+    line = F.to_json(
+        F.struct(
+            F.when(F.col("k") % 3 == 0, "connection_close").otherwise("connection_open").alias("type"),
+            F.struct(*[value.alias(name) for name, value in columns.items()]).alias("connection"),
+        )
+    )
+    return _events(spark, sf_dir).select(
+        F.concat(F.lit("rec-"), F.col("user_id") % 10).alias("session_id"), F.col("event_id").alias("seq"), line.alias("value")
+    )
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the hosts above, one per supplier."""
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("host-"), key % 10).alias("host"),
+        F.when(key % 3 == 0, "default").otherwise("10.0.0.0/8").alias("destination"),
+        F.lit("10.0.0.1").alias("gateway"), F.lit("UGS").alias("flags"),
+        F.when(key % 20 == 6, "utun3").otherwise("en0").alias("interface"),
+    )
+
+
+def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interface counters that grow with every event of their users and wrap around at 100,000."""
+    e = _events(spark, sf_dir).select(
+        F.concat(F.lit("host-"), F.col("user_id") % 10).alias("host"),
+        F.concat(F.lit("en"), F.expr("user_id div 10 % 4")).alias("name"), "event_id", "ms", "v", "k",
+    )
+    summed = running_sum(e, ["host", "name"], "event_id", {"_rx": F.col("v"), "_tx": F.col("k").cast("bigint")})
+    return summed.groupBy("host", "name", F.col("ms").alias("ts_ms")).agg(
+        F.max_by(F.col("_rx") % 100000, "event_id").alias("rx_bytes"), F.max_by("_tx", "event_id").alias("tx_bytes")
+    )
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, end and load marks per user, with five request ids that are opened and closed at random."""
+    k = F.col("k")
+    kind = (
+        F.when((F.col("event_type") == "view") & (k % 25 == 0), "Page.loadEventFired")
+        .when(k % 4 < 2, "Network.requestWillBeSent")
+        .when(k % 4 == 2, "Network.loadingFinished")
+        .otherwise("Network.loadingFailed")
+    )
+    return _events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("session_id"), (k % 5).cast("string").alias("request_id"),
+        F.col("event_id").alias("seq"), (F.col("ms") / 1000.0).alias("ts"), kind.alias("kind"),
+    )
+
+
+# --- host text logs -----------------------------------------------------------------------------
+
+
+def _listing(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    columns = ["host", "snapshot_no", "pos", "value"]
+    return rows.select(*columns).unionByName(headers.select(*columns))
+
+
+def _headers(spark: SparkSession, sf_dir: str, before: str, header: str) -> DataFrame:
+    """Two opening lines for the listing of every nation."""
+    opening = F.posexplode(F.array(F.lit(before), F.lit(header)))
+    return table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), opening.alias("pos", "value")
+    ).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def socket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Socket listings, one line per customer; some without a numeric pid, some without a remote end."""
+    key = F.col("c_custkey")
+    pid = F.when(key % 13 == 0, "pid?").otherwise(key.cast("string"))
+    name = (
+        F.when(key % 3 == 0, F.concat(F.lit("*:"), key % 1000 + 1000, F.lit(" (LISTEN)")))
+        .when(key % 3 == 1, F.concat(F.lit("10.0.0.2:"), key % 1000 + 1000, F.lit("->1.1.1.1:443 (ESTABLISHED)")))
+        .otherwise(F.concat(F.lit("[fe80::1]:"), key % 1000 + 1000, F.lit("->[2606:4700::1]:443")))
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), (key + 2).alias("pos"),
+        F.concat_ws("  ", F.lit("Web\\x20App"), pid, F.lit("me"), F.lit("9u"), F.lit("IPv4"), F.lit("0x1"), F.lit("0t0"),
+                    F.when(key % 2 == 0, "tcp").otherwise("UDP"), name).alias("value"),
+    )
+    return _listing(rows, _headers(spark, sf_dir, "", "COMMAND PID USER FD TYPE DEVICE SIZE/OFF NODE NAME"))
+
+
+def route_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route tables, one line per customer; some too short."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), (key + 2).alias("pos"),
+        F.concat_ws("   ", F.when(key % 10 == 0, "default").otherwise(F.concat(F.lit("10.0."), key % 250)), F.lit("link#1"), F.lit("UGSc"),
+                    F.when(key % 11 != 0, F.concat(F.lit("en"), key % 3)), F.when((key % 11 != 0) & (key % 2 == 0), "900")).alias("value"),
+    )
+    return _listing(rows, _headers(spark, sf_dir, "Routing tables and more", "Destination Gateway Flags Netif Expire"))
+
+
+def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter listings, one address line per customer; an interface has many."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), (key + 2).alias("pos"),
+        F.concat_ws(" ", F.concat(F.lit("en"), key % 4), F.lit("1500"), F.lit("net"), F.lit("addr"), (key * 3), key % 5, (key * 1000),
+                    (key * 2), F.lit("0"), F.when(key % 17 != 0, key * 500), F.lit("0"),
+                    F.when(key % 2 == 0, "-").otherwise((key % 7).cast("string"))).alias("value"),
+    )
+    header = "Name Mtu Network Address Ipkts Ierrs Ibytes Opkts Oerrs Obytes Coll Drop"
+    return _listing(rows, _headers(spark, sf_dir, "en0 1 2 3 4 5 6 7 8 9 10 11", header))
+
+
+def arp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), key.alias("pos"),
+        F.concat(F.lit("? ("), F.when(key % 9 == 0, "224.0.0.").otherwise("192.168.1."), key % 250, F.lit(") at "),
+                 F.when(key % 7 == 0, "(incomplete)").otherwise("aa:bb:cc:dd:ee:ff"), F.lit(" on en0 ifscope [ethernet]")).alias("value"),
+    )
+
+
+def ndp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("host"), F.lit(0).cast("bigint").alias("snapshot_no"), (key + 2).alias("pos"),
+        F.concat_ws(" ", F.concat(F.when(key % 9 == 0, "ff02::").otherwise("fe80::"), key % 9 + 1, F.lit("%en0")),
+                    F.when(key % 7 == 0, "(incomplete)").otherwise("aa:bb:cc:dd:ee:ff"), F.lit("en0"), F.lit("23h S R")).alias("value"),
+    )
+    return _listing(rows, _headers(spark, sf_dir, "", "Neighbor Linklayer Address Netif Expire St"))
+
+
+# --- packets ------------------------------------------------------------------------------------
+
+
+def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packet lines with a time of day, one per line item: TCP, UDP, ICMP and ARP."""
+    source = F.concat(F.lit("10.0.0."), F.col("l_suppkey") % 250)
+    target = F.concat(F.lit("10.1.0."), F.col("l_partkey") % 250)
+    size = F.col("l_quantity").cast("int")
+    flag = F.col("l_returnflag")
+    ports = F.concat(F.lit("IP "), source, F.lit("."), F.col("l_linenumber") + 40000, F.lit(" > "), target, F.lit(".443: "))
+    body = (
+        F.when(flag == "A", F.concat(ports, F.lit("Flags [P.], length "), size))
+        .when(flag == "N", F.concat(ports, F.lit("UDP, length "), size))
+        .when(F.col("l_linestatus") == "O", F.concat(F.lit("IP "), source, F.lit(" > "), target, F.lit(": ICMP echo request, length "), size))
+        .otherwise(F.concat(F.lit("ARP, Request who-has "), target, F.lit(" tell "), source, F.lit(", length "), size))
+    )
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+        F.concat(F.lit("cap-"), F.col("l_orderkey") % 8).alias("capture_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        F.concat(F.lit("2024-01-01 12:00:00.123456 "), body).alias("value"),
+    )
+
+
+def dns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNS packet lines, one per order: questions, answers and other traffic."""
+    key = F.col("o_orderkey")
+    client = F.concat(F.lit("192.168.1."), F.col("o_custkey") % 200, F.lit("."), key % 1000 + 50000)
+    server = F.concat(F.lit("1.1.1."), F.col("o_custkey") % 3, F.lit(".53"))
+    kind = F.when(key % 5 == 0, "AAAA").otherwise("A")
+    name = F.concat(F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("-"), F.col("o_custkey") % 40, F.lit(".example.com."))
+    name = F.replace(name, F.lit(" "), F.lit("-"))
+    asked = F.concat(F.lit("IP "), client, F.lit(" > "), server, F.lit(": "), key % 65536, F.lit("+ "), kind, F.lit("? "), name, F.lit(" (29)"))
+    answered = F.concat(F.lit("IP "), server, F.lit(" > "), client, F.lit(": "), key % 65536, F.lit(" 1/0/0 A 9.9.9.9 (45)"))
+    other = F.concat(F.lit("IP "), client, F.lit(" > 9.9.9.9.443: Flags [S], length 0"))
+    line = F.when(key % 3 == 0, answered).when(key % 7 == 1, other).otherwise(asked)
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+        F.concat(F.lit("dns-"), key % 4).alias("capture_id"), key.alias("seq"), F.concat(F.lit("2024-01-01 12:00:00.5 "), line).alias("value")
+    )
+
+
+# --- probe and snapshot documents ---------------------------------------------------------------
+
+
+def _documents(rows: DataFrame, host: Column, **fields: Column) -> DataFrame:
+    stamp = F.lit("2024-01-01T00:00:00.000Z").alias("timestamp")
+    return rows.select(
+        host.cast("string").alias("host"), F.to_json(F.struct(stamp, *[value.alias(name) for name, value in fields.items()])).alias("value")
+    )
+
+
+def quality_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One quality report per customer."""
+    key = F.col("c_custkey")
+
+    def probe(ok: Column, duration: Column, **details: Column) -> Column:
+        return F.struct(
+            F.lit("t").alias("target"), ok.alias("ok"), duration.alias("duration_ms"),
+            F.struct(F.lit(1).alias("_"), *[value.alias(name) for name, value in details.items()]).alias("details"),
+        )
+
+    return _documents(
+        table(spark, sf_dir, "customer"), key,
+        ping=probe(key % 10 != 0, F.lit(9.0), packet_loss_percent=(key % 6) * 4.0, avg_ms=(key % 300) * 1.0, jitter_ms=(key % 50) * 1.0),
+        dns=probe(key % 7 != 0, (key % 200) * 1.0), tls=probe(key % 8 != 0, F.lit(5.0)), http=probe(key % 9 != 0, F.lit(7.0)),
+    )
+
+
+def dns_comparison_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One DNS comparison of four servers per customer."""
+    key = F.col("c_custkey")
+
+    def answer(value: object) -> Column:
+        return F.struct(F.lit("answer").alias("section"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+
+    results = F.array(
+        *[
+            F.struct(
+                F.lit(f"1.1.1.{index}").alias("server"), ((key + index) % 4 != 0).alias("ok"),
+                ((key * (index + 3)) % 50 * 1.0).alias("duration_ms"),
+                F.array(answer("9.9.9.9"), answer(F.concat(F.lit("8.8.8."), F.when(key % 3 == 0, index).otherwise(0)))).alias("records"),
+            )
+            for index in range(4)
+        ]
+    )
+    return _documents(table(spark, sf_dir, "customer"), key, domain=F.lit("example.com"), query_type=F.lit("A"), results=results)
+
+
+def trace_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One trace of three hops per part; some hops time out."""
+    key = F.col("p_partkey")
+    hops = F.array(
+        *[
+            F.struct(
+                F.lit(index).alias("hop"), F.array(F.lit(f"10.0.0.{index}"), F.lit(f"10.0.0.{index}"), F.lit("10.9.9.9")).alias("addresses"),
+                F.when((key + index) % 5 == 0, F.array().cast("array<double>"))
+                .otherwise(F.array((key % 40) * 1.0, (key % 60) * 1.0)).alias("samples_ms"),
+                F.when((key + index) % 5 == 0, "* * *").otherwise("10.0.0.1 1 ms").alias("raw"),
+            )
+            for index in (1, 2, 3)
+        ]
+    )
+    return _documents(table(spark, sf_dir, "part"), key, target=F.lit("example.com"), ok=F.lit(True), hops=hops)
+
+
+def tls_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TLS report per part; certificates end on a day of June 2024."""
+    key = F.col("p_partkey")
+    until = F.concat(F.lit("Jun "), key % 28 + 1, F.lit(" 12:00:00 2024 GMT"))
+    return _documents(
+        table(spark, sf_dir, "part"), key, domain=F.lit("example.com"), port=F.lit(443), ok=F.lit(True),
+        tls_version=F.lit("TLSv1.3"), certificate=F.struct(until.alias("not_after")),
+    )
+
+
+def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One host snapshot per customer, built so that every diagnosis rule fires for some host."""
+    key = F.col("c_custkey")
+    end = lambda host, port: F.struct(F.lit(host).alias("host"), F.lit(port).alias("port"))
+
+    def socket(process: str, local: Column, remote: Column | None, state: str) -> Column:
+        return F.struct(
+            F.lit(process).alias("process"), F.lit(1).alias("pid"), F.lit("3u").alias("fd"), F.lit("TCP").alias("protocol"),
+            local.alias("local"), (remote if remote is not None else F.lit(None).cast("struct<host:string,port:string>")).alias("remote"),
+            F.lit(state).alias("state"),
+        )
+
+    listener = socket("httpd", end("*", "8080"), None, "LISTEN")
+    closed = F.array_repeat(socket("old", end("10.0.0.2", "1"), end("1.1.1.1", "443"), "CLOSED"), F.when(key % 19 == 0, 51).otherwise(1))
+    sockets = F.when(key % 5 == 0, F.concat(F.array(listener, listener), closed)).otherwise(closed)
+
+    def interface(name: str, up: Column, address: Column, status: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("name"), F.when(up, F.array(F.lit("UP"))).otherwise(F.array().cast("array<string>")).alias("flags"),
+            F.when(address, F.array(F.lit("10.0.0.2"))).otherwise(F.array().cast("array<string>")).alias("ipv4"),
+            F.lit(status).alias("status"),
+        )
+
+    def route(destination: str, through: object) -> Column:
+        return F.struct(
+            F.lit(destination).alias("destination"), F.lit("10.0.0.1").alias("gateway"), F.lit("UGS").alias("flags"),
+            (F.lit(through) if isinstance(through, str) else through).alias("interface"),
+        )
+
+    vpn = key % 4 == 0
+    second = F.when(vpn, F.array(route("default", F.when(key % 8 == 0, "utun3").otherwise("en1")))).otherwise(F.array(route("10.0.0.0/8", "en0")))
+    servers = F.array(F.when(key % 6 == 0, "192.168.1.1").otherwise("9.9.9.9"), F.lit("1.1.1.1"))
+    return _documents(
+        table(spark, sf_dir, "customer"), key,
+        connections=sockets,
+        interfaces=F.array(interface("en0", key % 7 != 0, key % 7 != 0, "unknown"), interface("utun3", vpn, key % 3 == 0, "unknown")),
+        routes=F.concat(F.array(route("default", "en0")), second),
+        dns=F.when(key % 23 == 0, F.array().cast("array<struct<id:int,nameservers:array<string>>>")).otherwise(
+            F.array(F.struct(F.lit(1).alias("id"), servers.alias("nameservers")))),
+        proxy=F.when(key % 29 == 0, F.create_map(F.lit("HTTPProxy"), F.lit("127.0.0.1"))),
+        interface_counters=F.create_map(F.lit("en0"), F.struct((key * 10).alias("rx_bytes"), key.alias("tx_bytes"))),
+        quality=F.struct((key % 101).cast("int").alias("score")),
+    )
+
+
+def server_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interface through which each host reaches its servers; unknown for some."""
+    key = F.col("c_custkey")
+    pairs = F.array(
+        F.struct(F.when(key % 6 == 0, "192.168.1.1").otherwise("9.9.9.9").alias("server"), F.when(key % 5 == 0, "utun3").otherwise("en0").alias("interface")),
+    )
+    return table(spark, sf_dir, "customer").select(key.cast("string").alias("host"), F.inline(pairs))
+
+
+def ipv6_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("host"), F.when(key % 2 == 0, "default").otherwise("fe80::/64").alias("destination"),
+        F.when(key % 16 == 0, "en0").otherwise("utun3").alias("interface"),
+    )
+
+
+def secret_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that carry a whole document as a body, a cookie, a token in a URL and a nested password."""
+    message = F.struct(
+        F.struct(
+            F.col("text").alias("postData"), F.struct(F.col("source").alias("Cookie"), F.col("lang").alias("Accept")).alias("headers"),
+            F.concat(F.lit("https://u:p@h.example/?token="), "doc_id", F.lit("&q="), "lang").alias("documentURL"),
+        ).alias("request"),
+        F.array(F.struct(F.col("n_chars").alias("password"), F.col("doc_id").alias("n"))).alias("list"),
+        F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: "), "source", F.lit("\r\nVia: "), "lang").alias("headersText"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.to_json(message).alias("value"))

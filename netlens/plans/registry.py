@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.plans import reference_sql, request_queries
+from netlens.plans import host_queries, host_sql, reference_sql, request_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(request_queries.QUERIES)
+    return {**request_queries.QUERIES, **host_queries.QUERIES}
 
 
 def statements() -> dict[str, str]:
-    return reference_sql.request_statements()
+    return {**reference_sql.request_statements(), **host_sql.host_statements()}

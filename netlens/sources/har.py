@@ -5,16 +5,26 @@ A document is one record, so ordering its entries is done inside the row (no shu
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions import redact as R
 from netlens.functions import url as U
 from netlens.functions.numbers import half_even, text_or, whole
-from netlens.sources.jsonl import Recording, session_name
+from netlens.sources.jsonl import session_name
+
+
+@dataclass(frozen=True)
+class Archive:
+    """Entries and rejected documents of one scan."""
+
+    entries: DataFrame
+    rejects: DataFrame
 
 
-def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Recording:
+def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Archive:
     """Entries and rejected documents of a folder of ``.har`` files."""
     documents = spark.read.text(path, wholetext=True).select(
         session_name(F.col("_metadata.file_path")).alias("session_id"), F.make_valid_utf8(F.col("value")).alias("value")
@@ -22,7 +32,7 @@ def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Re
     return split_documents(documents, show_sensitive)
 
 
-def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Recording:
+def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Archive:
     """Entries and rejects of (session_id, value) documents."""
     entries = F.try_variant_get("_doc", "$.log.entries", "array<variant>")
     present = F.try_variant_get("_doc", "$.log.entries", "variant").isNotNull()
@@ -33,7 +43,7 @@ def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Recor
         ),
     )
     accepted = read.where(F.col("reason").isNull()).select("session_id", entries.alias("_entries"))
-    return Recording(_entries(accepted, show_sensitive), read.where("reason IS NOT NULL").select("session_id", "reason"))
+    return Archive(_entries(accepted, show_sensitive), read.where("reason IS NOT NULL").select("session_id", "reason"))
 
 
 def _entries(documents: DataFrame, show_sensitive: bool) -> DataFrame:

@@ -7,8 +7,11 @@ survive and wrongly typed fields read as NULL instead of failing the job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +41,14 @@ def _split_unit(spark: SparkSession) -> int:
     return max(1, min(_bytes(item) for item in limits))
 
 
+def _split_number(spark: SparkSession) -> Column:
+    return F.expr(f"CAST(_metadata.file_block_start AS BIGINT) DIV {_split_unit(spark)}")
+
+
 def file_position(spark: SparkSession) -> Column:
     """Order of a line within its file: split number in the high bits, row in the scan task below."""
-    split_number = F.expr(f"CAST(_metadata.file_block_start AS BIGINT) DIV {_split_unit(spark)}")
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
-    return F.shiftleft(split_number, POSITION_BITS).bitwiseOR(row)
+    return F.shiftleft(_split_number(spark), POSITION_BITS).bitwiseOR(row)
 
 
 def session_name(path: Column) -> Column:
@@ -129,17 +135,30 @@ def read_recordings(spark: SparkSession, path: str) -> Recording:
     return split_lines(text_lines(spark, path))
 
 
+def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Line positions of one scan task, whose batches arrive in file order."""
+    count = 0
+    for batch in batches:
+        rows = np.arange(count, count + len(batch), dtype="int64")
+        count += len(batch)
+        yield batch.assign(seq=batch["split"].to_numpy("int64") << POSITION_BITS | rows)[["session_id", "seq", "value"]]
+
+
 def stream_recordings(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """EVENT rows as a file stream."""
+    """EVENT rows as a file stream.
+
+    Streams have no ``monotonically_increasing_id``, so lines are numbered in Arrow batches.
+    """
     reader = spark.readStream.format("text")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     lines = reader.load(path).select(
         session_name(F.col("_metadata.file_path")).alias("session_id"),
-        file_position(spark).alias("seq"),
+        _split_number(spark).alias("split"),
         F.make_valid_utf8(F.col("value")).alias("value"),
     )
-    return events_of(parse_event_lines(lines))
+    numbered = lines.mapInPandas(_numbered, "session_id string, seq bigint, value string")
+    return events_of(parse_event_lines(numbered))
 
 
 # --- typed views -------------------------------------------------------------------------------

@@ -96,14 +96,15 @@ def previous_value(
 
 
 def rolling_sum(
-    rows: DataFrame, key: Sequence[str], order: str, columns: Sequence[str], width: int, prefix: str = "last_"
+    rows: DataFrame, key: Sequence[str], order: str, columns: Sequence[str], width: int, prefix: str = "last_",
+    size: int = 1 << 16,
 ) -> DataFrame:
     """Add sums over the current and the ``width - 1`` rows before it.
 
     Rows are numbered first; each block of numbers also receives the rows just before it, so a
     block is windowed on its own and still sees every row it needs.
     """
-    size = max(width, 1 << 16)
+    size = max(width, size)
     numbered = row_numbers(rows, key, order, "_rn").withColumn("_rn", F.col("_rn") - 1)
     own = F.floor(F.col("_rn") / size).cast("bigint")
     tail = F.col("_rn") % size >= size - width + 1

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from netlens.functions import url as U
 from netlens.functions.numbers import elapsed_ms, half_even, text_or, truthy, whole
-from netlens.operators.skew import BLOCK_BITS
+from netlens.operators.skew import BLOCK_BITS, block_totals, by_block
 from netlens.schemas import conform
 
 # Event names.
@@ -105,16 +105,7 @@ def request_events(events: DataFrame) -> DataFrame:
     )
 
 
-def request_marks(events: DataFrame) -> DataFrame:
-    """The few columns the running counts need, read without the other parameters."""
-    kind = F.col("method")
-    headers = F.coalesce(F.try_variant_get("body", "$.params.headers", HEADERS), no_headers())
-    return events.where((F.col("type") == "cdp_event") & kind.isin(*REQUEST_EVENTS)).select(
-        *KEY, "seq", kind.alias("kind"), F.when(kind.isin(START_EXTRA, RESPONSE_EXTRA), headers).alias("extra_headers")
-    )
-
-
-def with_hops(rows: DataFrame, marks: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+def with_hops(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Add ``hop`` (-1 before the first start), ``reply_no`` and the pending header maps.
 
     Within a block the counts are windows; the counts before a block come from one row per earlier
@@ -125,37 +116,33 @@ def with_hops(rows: DataFrame, marks: DataFrame, bits: int = BLOCK_BITS) -> Data
     earlier = Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("kind")
 
-    def counted_inside(frame: DataFrame) -> DataFrame:
-        early = {"_ask": START_EXTRA, "_answer": RESPONSE_EXTRA}
-        return (
-            frame.withColumn("_block", F.shiftright("seq", bits))
-            .withColumn("_starts", F.sum(F.when(kind == START, 1).otherwise(0)).over(inside))
-            .withColumns(
-                {
-                    "_replies": F.sum(F.when(kind == RESPONSE, 1).otherwise(0)).over(inside),
-                    "_replies_after": F.sum(
-                        F.when((kind == RESPONSE) & (F.col("_starts") > 0), 1).otherwise(0)
-                    ).over(inside),
-                    **{
-                        name: F.last(
-                            F.when((kind == mark) & (F.col("_starts") == 0), F.col("extra_headers")), ignorenulls=True
-                        ).over(inside)
-                        for name, mark in early.items()
-                    },
-                }
-            )
+    early = {"_ask": START_EXTRA, "_answer": RESPONSE_EXTRA}
+    replied = kind == RESPONSE
+    local = (
+        by_block(rows, KEY, "seq", bits)
+        .withColumn("_starts", F.sum(F.when(kind == START, 1).otherwise(0)).over(inside))
+        .withColumns(
+            {
+                "_replies": F.sum(F.when(replied, 1).otherwise(0)).over(inside),
+                "_replies_after": F.sum(F.when(replied & (F.col("_starts") > 0), 1).otherwise(0)).over(inside),
+                **{
+                    name: F.last(
+                        F.when((kind == mark) & (F.col("_starts") == 0), F.col("extra_headers")), ignorenulls=True
+                    ).over(inside)
+                    for name, mark in early.items()
+                },
+            }
         )
-
-    local = counted_inside(rows)
+    )
+    totals = (
+        F.max("_starts").alias("starts"),
+        F.max("_replies").alias("replies"),
+        F.max("_replies_after").alias("replies_after"),
+        F.max_by("_ask", "seq").alias("ask"),
+        F.max_by("_answer", "seq").alias("answer"),
+    )
     blocks = (
-        counted_inside(marks).groupBy(*cut)
-        .agg(
-            F.max("_starts").alias("starts"),
-            F.max("_replies").alias("replies"),
-            F.max("_replies_after").alias("replies_after"),
-            F.max_by("_ask", "seq").alias("ask"),
-            F.max_by("_answer", "seq").alias("answer"),
-        )
+        block_totals(local, cut, *totals)
         .withColumn("starts_before", F.coalesce(F.sum("starts").over(earlier), F.lit(0)))
         .withColumn("counted", F.when(F.col("starts_before") > 0, F.col("replies")).otherwise(F.col("replies_after")))
         .withColumns(
@@ -271,7 +258,7 @@ def hop_state(rows: DataFrame) -> DataFrame:
 
 def correlate(events: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """REQUEST rows of browser sessions, one per hop, ordered by ``seq`` of the start event."""
-    hops = hop_state(with_hops(request_events(events), request_marks(events), bits))
+    hops = hop_state(with_hops(request_events(events), bits))
     hop, start, close = F.col("hop"), F.col("start"), F.col("close")
     closed = close.isNotNull()
     chosen = hops.withColumns(

@@ -98,30 +98,20 @@ def network_idle(rows: DataFrame, idle_seconds: float) -> DataFrame:
     Activity means a request, response, end or failure; the load event itself is not. The session's
     last row is quiet for good, so it qualifies as well.
     """
-    loaded = F.when(F.col("kind") == PAGE_LOADED, F.col("seq"))
-    counted = in_flight(rows)
-    load = counted.groupBy("session_id").agg(
-        F.min(loaded).alias("load_seq"),
-        F.min(F.when(F.col("kind") == PAGE_LOADED, F.col("ts"))).alias("load_ts"),
-        F.count("*").alias("_rows"),
-    )
-    moves = counted.where(F.col("kind") != PAGE_LOADED)
-    # Looking back from each row: the quiet stretch that ended here began at the row before.
-    back = previous_value(moves, ["session_id"], "seq", ["ts", "in_flight"])
-    gaps = back.where(F.col("prev_in_flight") == 0).select(
-        "session_id", F.col("prev_ts").alias("quiet_from"), F.col("ts").alias("quiet_to")
-    )
-    tail = moves.groupBy("session_id").agg(
-        F.max_by("ts", "seq").alias("quiet_from"), F.max_by("in_flight", "seq").alias("open")
-    )
-    ends = tail.where(F.col("open") == 0).select(
-        "session_id", "quiet_from", F.lit(None).cast("double").alias("quiet_to")
+    loaded = F.col("kind") == PAGE_LOADED
+    load = rows.groupBy("session_id").agg(
+        F.min(F.when(loaded, F.col("ts"))).alias("load_ts"), F.count("*").alias("_rows")
     )
+    moves = in_flight(rows).where(~loaded).withColumn("_back", -F.col("seq"))
+    # Read backwards, the row before is the next one; the last row of a session has none.
+    ahead = previous_value(moves, ["session_id"], "_back", ["ts"], "next_")
+    quiet = ahead.where(
+        (F.col("in_flight") == 0) & (F.col("next_ts").isNull() | (F.col("next_ts") - F.col("ts") >= idle_seconds))
+    ).select("session_id", F.col("ts").alias("quiet_from"), F.col("next_ts").alias("quiet_to"))
     ready = F.greatest(F.col("quiet_from") + F.lit(idle_seconds), F.col("load_ts"))
-    long_enough = gaps.where(F.col("quiet_to") - F.col("quiet_from") >= idle_seconds).unionByName(ends)
     return (
-        attach_by_key(long_enough, load, ["session_id"], "_rows", ["quiet_from", "quiet_to"])
-        .where(F.col("load_seq").isNotNull())
+        attach_by_key(quiet, load, ["session_id"], "_rows", ["quiet_from"])
+        .where(F.col("load_ts").isNotNull())
         .withColumn("_ready", ready)
         .where(F.col("quiet_to").isNull() | (F.col("_ready") <= F.col("quiet_to")))
         .groupBy("session_id")

@@ -39,14 +39,31 @@ def attach_by_key(
     lane = F.when(
         F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))
     ).otherwise(F.lit(0).cast("bigint"))
-    rest = packed.select(*key, F.lit(0).cast("bigint").alias("_lane"), F.col("_facts").alias("_cold"))
+    # The weight is compared so that both uses of the facts read the same shuffle.
+    rest = packed.where(F.coalesce(weight, F.lit(0)) >= 0).select(*key, F.lit(0).cast("bigint").alias("_lane"), F.col("_facts").alias("_cold"))
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("_lane", lane).join(rest, key + ["_lane"], "left")
     value = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[value[name].alias(name) for name in names])
 
 
-def _blocked(rows: DataFrame, order: str, bits: int) -> DataFrame:
-    return rows.withColumn("_block", F.shiftright(F.col(order), bits))
+def by_block(rows: DataFrame, key: Sequence[str], order: str, bits: int) -> DataFrame:
+    """Rows shuffled by key and block. Both the rows and the block totals read this one shuffle."""
+    return rows.withColumn("_block", F.shiftright(F.col(order), bits)).repartition(*key, "_block")
+
+
+def block_totals(blocked: DataFrame, cut: Sequence[str], *totals: Column) -> DataFrame:
+    """One row per block of an already shuffled frame.
+
+    The totals need few columns, and a pruned copy of the shuffle could not be reused. So every
+    column is touched by a hash that is never NULL: Spark then sees the same shuffle twice and runs
+    it once.
+    """
+    plain, nested = [], []
+    for field in blocked.schema.fields:
+        kind = field.dataType.simpleString()
+        (nested if "map<" in kind or "variant" in kind else plain).append(field.name)
+    touched = F.hash(*plain, *[F.col(name).isNull() for name in nested])
+    return blocked.groupBy(*cut).agg(*totals, F.min(touched).alias("_touched")).where(F.col("_touched").isNotNull())
 
 
 def running_sum(
@@ -54,13 +71,11 @@ def running_sum(
 ) -> DataFrame:
     """Add inclusive running sums of the given columns per key in ``order`` (a BIGINT, unique per key)."""
     cut = list(key) + ["_block"]
-    blocked = _blocked(rows, order, bits).withColumns({"_in_" + name: value for name, value in sums.items()})
+    blocked = by_block(rows.withColumns({"_in_" + name: value for name, value in sums.items()}), key, order, bits)
     inside = Window.partitionBy(*cut).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*cut)
-        .agg(*[F.sum("_in_" + name).alias("_sum_" + name) for name in sums])
-        .select(*cut, *[F.sum("_sum_" + name).over(earlier).alias("_before_" + name) for name in sums])
+    carried = block_totals(blocked, cut, *[F.sum("_in_" + name).alias("_sum_" + name) for name in sums]).select(
+        *cut, *[F.sum("_sum_" + name).over(earlier).alias("_before_" + name) for name in sums]
     )
     local = blocked.withColumns({"_in_" + name: F.sum("_in_" + name).over(inside) for name in sums})
     return local.join(carried, cut, "left").select(
@@ -80,13 +95,11 @@ def previous_value(
     """Add the given columns of the row before, per key in ``order``; NULL on the first row."""
     cut = list(key) + ["_block"]
     packed = F.struct(*columns)
-    blocked = _blocked(rows, order, bits)
+    blocked = by_block(rows, key, order, bits)
     inside = Window.partitionBy(*cut).orderBy(order)
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        blocked.groupBy(*cut)
-        .agg(F.max_by(packed, F.col(order)).alias("_last"))
-        .select(*cut, F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    carried = block_totals(blocked, cut, F.max_by(packed, F.col(order)).alias("_last")).select(
+        *cut, F.last("_last", ignorenulls=True).over(earlier).alias("_before")
     )
     local = blocked.withColumn("_lag", F.lag(packed).over(inside))
     value = F.coalesce("_lag", "_before")

@@ -31,32 +31,36 @@ def _line(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
-def _endpoints(line: Column, compat: bool) -> tuple[Column, Column]:
-    """First two host.port pairs as (host, port) structs; NULL unless there are two.
+def _with_endpoints(lines: DataFrame, compat: bool) -> DataFrame:
+    """Add ``source`` and ``destination``, the first two host.port pairs of ``raw``; NULL unless there are two.
 
     A line may begin with a time of day, whose fraction looks like a port, and an address without a
     port falls apart into shorter pairs. So only what follows the protocol word is searched, for
     whole addresses, unless ``compat`` asks for the plain pattern over the whole line.
     """
-    text = line if compat else F.regexp_replace(line, r"^.*?\b(?:IP6?|ARP,)(?=\s)", "")
-    shape = F.lit(ENDPOINT if compat else ENDPOINT_EXACT)
-    hosts = F.regexp_extract_all(text, shape, F.lit(1))
-    ports = F.regexp_extract_all(text, shape, F.lit(2))
-    found = F.size(hosts) >= 2
+    line = F.col("raw")
+    text = line
+    if not compat:
+        for word in ("ARP,", "IP6 ", "IP "):
+            place = F.instr(line, word)
+            text = F.when(place > 0, F.substring(line, place + len(word), F.length(line))).otherwise(text)
+    pairs = F.regexp_extract_all(text, F.lit(ENDPOINT if compat else ENDPOINT_EXACT), F.lit(0))
 
-    def at(index: int) -> Column:
-        return F.when(
-            found, F.struct(F.get(hosts, F.lit(index)).alias("host"), F.get(ports, F.lit(index)).alias("port"))
-        )
+    def end(index: int) -> Column:
+        pair = F.get("_pairs", F.lit(index))
+        port = F.substring_index(pair, ".", -1)
+        host = F.left(pair, F.length(pair) - F.length(port) - 1)
+        return F.when(F.size("_pairs") >= 2, F.struct(host.alias("host"), port.alias("port")))
 
-    return at(0), at(1)
+    # explode() pins the search: filters on either end would otherwise repeat it.
+    found = lines.select("*", F.explode(F.array(pairs)).alias("_pairs"))
+    return found.withColumns({"source": end(0), "destination": end(1)}).drop("_pairs")
 
 
 def parse_packets(lines: DataFrame, compat: bool = False) -> DataFrame:
     """Protocol, endpoints and payload length of every non-blank line."""
     line = F.col("raw")
     padded = F.concat(F.lit(" "), line, F.lit(" "))
-    source, destination = _endpoints(line, compat)
     protocol = (
         F.when(line.contains(" Flags ["), "tcp")
         .when(line.rlike(r"\bUDP, length\s+\d+"), "udp")
@@ -66,14 +70,11 @@ def parse_packets(lines: DataFrame, compat: bool = False) -> DataFrame:
         .when(padded.contains(" IP "), "ipv4")
         .otherwise("other")
     )
-    return (
-        lines.where(F.col("value").rlike(r"\S"))
-        .select("capture_id", "seq", _line(F.col("value")).alias("raw"))
-        .select(
-            "capture_id", "seq", protocol.alias("protocol"), source.alias("source"), destination.alias("destination"),
-            F.coalesce(F.regexp_extract(line, r"\blength\s+(\d+)", 1).try_cast("bigint"), F.lit(0)).alias("length"),
-            "raw",
-        )
+    stripped = lines.where(F.col("value").rlike(r"\S")).select("capture_id", "seq", _line(F.col("value")).alias("raw"))
+    return _with_endpoints(stripped, compat).select(
+        "capture_id", "seq", protocol.alias("protocol"), "source", "destination",
+        F.coalesce(F.regexp_extract(line, r"\blength\s+(\d+)", 1).try_cast("bigint"), F.lit(0)).alias("length"),
+        "raw",
     )
 
 
@@ -86,19 +87,15 @@ def parse_dns_packets(lines: DataFrame, compat: bool = False) -> DataFrame:
     line = F.col("raw")
     gate = line.contains(".53:") if compat else line.contains(".53:") | line.contains(".53 > ")
     question, answer = (QUESTION, ANSWER) if compat else (QUESTION_EXACT, ANSWER_EXACT)
-    source, destination = _endpoints(line, compat)
     asked = line.rlike(question)
     answered = ~asked & line.rlike(answer)
     number = F.when(asked, F.regexp_extract(line, question, 1)).when(answered, F.regexp_extract(line, answer, 1))
-    return (
-        lines.select("capture_id", "seq", _line(F.col("value")).alias("raw"))
-        .where(line.contains(" > ") & gate)
-        .select(
-            "capture_id", "seq", source.alias("source"), destination.alias("destination"),
-            F.when(asked, "query").when(answered, "response").otherwise("unknown").alias("direction"),
-            number.try_cast("bigint").alias("transaction_id"),
-            F.when(asked, F.regexp_extract(line, question, 2)).alias("query_type"),
-            F.when(asked, F.regexp_replace(F.regexp_extract(line, question, 3), r"\.+$", "")).alias("domain"),
-            "raw",
-        )
+    kept = lines.select("capture_id", "seq", _line(F.col("value")).alias("raw")).where(line.contains(" > ") & gate)
+    return _with_endpoints(kept, compat).select(
+        "capture_id", "seq", "source", "destination",
+        F.when(asked, "query").when(answered, "response").otherwise("unknown").alias("direction"),
+        number.try_cast("bigint").alias("transaction_id"),
+        F.when(asked, F.regexp_extract(line, question, 2)).alias("query_type"),
+        F.when(asked, F.regexp_replace(F.regexp_extract(line, question, 3), r"\.+$", "")).alias("domain"),
+        "raw",
     )

@@ -172,6 +172,59 @@ def host_facts(
     return wide.fillna(0, list(counts)).withColumn("vpn_active", F.coalesce("vpn_active", F.lit(False)))
 
 
+def document_facts(snapshots: DataFrame) -> DataFrame:
+    """The same row per host, straight from parsed snapshot documents.
+
+    A document holds all tables of its host, so nothing has to be shuffled; its arrays are as long
+    as one host's tables. ``servers`` lists the distinct DNS servers.
+    """
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind))
+    kinds = dict(snapshots.dtypes)
+    tables = snapshots.select(
+        "host", "snapshot_no",
+        *[empty(name, kinds[name]).alias(name) for name in ("connections", "interfaces", "routes", "dns")],
+        F.to_json("proxy").alias("proxy"), F.col("quality.score").alias("quality_score"),
+    )
+    public = lambda c: (c["state"] == "LISTEN") & c["local"]["host"].isin(*ANY_ADDRESS)
+    up = lambda i: F.coalesce(F.array_contains(i["flags"], "UP"), F.lit(False))
+    addressed = lambda i: F.coalesce(F.size(i["ipv4"]) > 0, F.lit(False))
+    tunnel = lambda i: A.is_vpn_interface(i["name"]) & up(i)
+    picked = tables.select(
+        "*",
+        F.filter("connections", public).alias("_public"),
+        F.filter("routes", lambda r: r["destination"] == "default").alias("_defaults"),
+        F.filter("interfaces", tunnel).alias("_tunnels"),
+        F.array_distinct(F.flatten(F.transform("dns", lambda d: d["nameservers"]))).alias("servers"),
+    )
+
+    def count(name: str, test=None) -> Column:
+        return F.size(F.filter(name, test) if test else F.col(name)).cast("bigint")
+
+    sample = F.transform(
+        F.slice("_public", 1, LISTENER_SAMPLE), lambda c: F.concat_ws(":", c["process"], c["local"]["port"])
+    )
+    return picked.select(
+        "host",
+        count("connections").alias("connections"),
+        count("connections", lambda c: c["remote"].isNotNull()).alias("remote_connections"),
+        count("_public").alias("public_listeners"),
+        count("connections", lambda c: c["state"] == "CLOSED").alias("closed_sockets"),
+        F.array_join(sample, ", ").alias("listener_sample"),
+        count("interfaces").alias("interfaces"),
+        count("interfaces", lambda i: F.coalesce(i["status"] == "active", F.lit(False)) | (up(i) & addressed(i))).alias(
+            "active_interfaces"
+        ),
+        count("_defaults").alias("default_routes"),
+        F.array_join(F.transform("_defaults", lambda r: F.concat_ws("→", r["interface"], r["gateway"])), ", ").alias(
+            "default_text"
+        ),
+        F.size("servers").cast("bigint").alias("dns_servers"),
+        (F.size("_tunnels") > 0).alias("vpn_active"),
+        F.exists("_defaults", lambda r: A.starts_with_any(r["interface"], A.VPN_ROUTE_PREFIXES)).alias("full_tunnel_likely"),
+        "servers", "proxy", "quality_score",
+    )
+
+
 def local_rules() -> tuple[list[Column], list[Column], list[Column]]:
     """Rules before the leak findings, the proxy rule, and the rules after the all-clear."""
     c = F.col

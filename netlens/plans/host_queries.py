@@ -291,15 +291,24 @@ def leak_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diagnosis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    facts = diagnosis.document_facts(_snapshots(spark, sf_dir))
+    vpn = facts.select("host", F.col("vpn_active").alias("active"), "full_tunnel_likely")
+    servers = facts.select("host", F.explode("servers").alias("server"))
+    dns = diagnosis.dns_routes(servers, derive.server_routes(spark, sf_dir))
+    leaks = diagnosis.leak_findings(vpn, dns, derive.ipv6_routes(spark, sf_dir))
+    return facts.select("host"), diagnosis.diagnosis_findings(facts, leaks)
+
+
+def host_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnosis row of every host, from its flat tables."""
     documents = _snapshots(spark, sf_dir)
-    vpn, servers, leaks = _leaks(spark, sf_dir, documents)
-    hosts = documents.select("host")
-    proxies = documents.select("host", F.to_json("proxy").alias("proxy"))
-    quality = documents.select("host", F.col("quality.score").alias("quality_score"))
-    facts = diagnosis.host_facts(
-        hosts, snapshots.connections(documents), snapshots.interfaces(documents), snapshots.routes(documents), servers, vpn, proxies, quality
+    interfaces, routes = snapshots.interfaces(documents), snapshots.routes(documents)
+    return diagnosis.host_facts(
+        documents.select("host"), snapshots.connections(documents), interfaces, routes,
+        snapshots.nameservers(snapshots.resolvers(documents)), diagnosis.vpn_status(interfaces, routes),
+        documents.select("host", F.to_json("proxy").alias("proxy")),
+        documents.select("host", F.col("quality.score").alias("quality_score")),
     )
-    return hosts, diagnosis.diagnosis_findings(facts, leaks)
 
 
 def diagnosis_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +340,7 @@ QUERIES = {
             connection_filter, connection_listing, connection_paths, recording_summary, recording_processes, interface_rates,
             rate_history, socket_log, route_log, default_routes, counter_log, neighbour_union, quality_scores, probe_stats,
             fastest_server, trace_stats, certificate_days, snapshot_tables, interface_counters, nameservers, vpn_status, leak_findings,
-            diagnosis_findings, diagnosis_scores, sanitize_events,
+            host_facts, diagnosis_findings, diagnosis_scores, sanitize_events,
         )
     },
     **PACKET_QUERIES,

@@ -380,6 +380,17 @@ def host_statements() -> dict[str, str]:
                   CASE WHEN vpn AND NOT full_tunnel THEN 1 ELSE 0 END + CASE WHEN full_tunnel AND NOT addressed THEN 1 ELSE 0 END AS warnings FROM hosts""",
     )
     q["leak_findings"] = _with(SNAPSHOT, "SELECT host, severity, code, detail FROM all_leaks")
+    q["host_facts"] = _with(
+        SNAPSHOT,
+        """SELECT host, CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS connections,
+                  CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END AS remote_connections, CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS public_listeners,
+                  CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END AS closed_sockets, CASE WHEN k % 5 = 0 THEN 'httpd:8080, httpd:8080' END AS listener_sample,
+                  2 AS interfaces, CASE WHEN k % 7 <> 0 THEN 1 ELSE 0 END + CASE WHEN addressed THEN 1 ELSE 0 END AS active_interfaces,
+                  CASE WHEN vpn THEN 2 ELSE 1 END AS default_routes,
+                  'en0→10.0.0.1' || CASE WHEN NOT vpn THEN '' WHEN k % 8 = 0 THEN ', utun3→10.0.0.1' ELSE ', en1→10.0.0.1' END AS default_text,
+                  CASE WHEN k % 23 = 0 THEN 0 ELSE 2 END AS dns_servers, vpn AS vpn_active,
+                  CASE WHEN k % 29 = 0 THEN '{"HTTPProxy":"127.0.0.1"}' END AS proxy, k % 101 AS quality_score FROM hosts""",
+    )
     q["diagnosis_findings"] = _with(SNAPSHOT, "SELECT host, severity, code, title, detail FROM findings")
     q["diagnosis_scores"] = _with(
         SNAPSHOT,

@@ -28,7 +28,7 @@ def read_packet_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _line(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\r\n\x0b\x0c"))
 
 
 def _with_endpoints(lines: DataFrame, compat: bool) -> DataFrame:

@@ -5,6 +5,7 @@
   no key can weigh more than the lightest broadcast one.
 * ``running_sum`` and ``previous_value`` are ordered windows cut into blocks of the order column:
   a block is windowed on its own and the state before it comes from one row per earlier block.
+  Their key and order columns must not be NULL.
 * ``top_per_group`` ranks with ``row_number() <= n``, which Spark limits before the shuffle.
 """
 
@@ -34,12 +35,13 @@ def attach_by_key(
     """
     key = list(key)
     names = [name for name in facts.columns if name not in key and name != weight]
-    packed = facts.select(*key, weight, F.struct(*names).alias("_facts"))
+    # A NULL key matches nothing; saying so here keeps both uses of the facts on one shuffle.
+    known = facts.where(F.expr(" AND ".join(f"`{name}` IS NOT NULL" for name in key)))
+    packed = known.select(*key, weight, F.struct(*names).alias("_facts"))
     hot = packed.orderBy(F.desc(weight), *key).limit(hot_keys).select(*key, F.col("_facts").alias("_hot"))
     lane = F.when(
         F.col("_hot").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))
     ).otherwise(F.lit(0).cast("bigint"))
-    # The weight is compared so that both uses of the facts read the same shuffle.
     rest = packed.where(F.coalesce(weight, F.lit(0)) >= 0).select(*key, F.lit(0).cast("bigint").alias("_lane"), F.col("_facts").alias("_cold"))
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("_lane", lane).join(rest, key + ["_lane"], "left")
     value = F.coalesce("_hot", "_cold")
@@ -47,8 +49,13 @@ def attach_by_key(
 
 
 def by_block(rows: DataFrame, key: Sequence[str], order: str, bits: int) -> DataFrame:
-    """Rows shuffled by key and block. Both the rows and the block totals read this one shuffle."""
-    return rows.withColumn("_block", F.shiftright(F.col(order), bits)).repartition(*key, "_block")
+    """Rows shuffled by key and block. Both the rows and the block totals read this one shuffle.
+
+    The filter states what holds anyway (no NULL keys), so that the later join adds nothing to one side only.
+    """
+    cut = [*key, "_block"]
+    known = F.expr(" AND ".join(f"`{name}` IS NOT NULL" for name in cut))
+    return rows.withColumn("_block", F.shiftright(F.col(order), bits)).where(known).repartition(*cut)
 
 
 def block_totals(blocked: DataFrame, cut: Sequence[str], *totals: Column) -> DataFrame:
@@ -78,7 +85,7 @@ def running_sum(
         *cut, *[F.sum("_sum_" + name).over(earlier).alias("_before_" + name) for name in sums]
     )
     local = blocked.withColumns({"_in_" + name: F.sum("_in_" + name).over(inside) for name in sums})
-    return local.join(carried, cut, "left").select(
+    return local.join(carried, cut).select(
         *rows.columns,
         *[(F.col("_in_" + name) + F.coalesce("_before_" + name, F.lit(0))).alias(name) for name in sums],
     )
@@ -103,7 +110,7 @@ def previous_value(
     )
     local = blocked.withColumn("_lag", F.lag(packed).over(inside))
     value = F.coalesce("_lag", "_before")
-    return local.join(carried, cut, "left").select(
+    return local.join(carried, cut).select(
         *rows.columns, *[value[name].alias(prefix + name) for name in columns]
     )
 

@@ -13,6 +13,10 @@ MARKER = "[REDACTED]"
 SENSITIVE_TEXT = r"(?i)(authorization|token|password)=([^\s&]+)"
 MESSAGE_LIMIT = 500
 
+# Headers a proxy keeps, and those that hold a URL.
+CAPTURED_HEADERS = ("host", "user-agent", "content-type", "content-length", "referer", "authorization", "cookie")
+URL_HEADERS = ("referer", "referrer")
+
 # URL schemes that always carry an authority part.
 AUTHORITY_SCHEMES = (
     "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp", "snews",
@@ -71,3 +75,12 @@ def redact_headers(headers: Column) -> Column:
 
 def redact_message(message: Column) -> Column:
     return F.left(F.regexp_replace(message, SENSITIVE_TEXT, "$1=" + MARKER), F.lit(MESSAGE_LIMIT))
+
+
+def captured_headers(headers: Column) -> Column:
+    """The headers a proxy keeps, secrets replaced and referring URLs redacted."""
+    kept = F.map_filter(headers, lambda key, value: F.lower(key).isin(*CAPTURED_HEADERS))
+    return F.transform_values(
+        redact_headers(kept),
+        lambda key, value: F.when(F.lower(key).isin(*URL_HEADERS), redact_url(value)).otherwise(value),
+    )

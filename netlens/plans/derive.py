@@ -577,3 +577,61 @@ def secret_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: "), "source", F.lit("\r\nVia: "), "lang").alias("headersText"),
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(message).alias("value"))
+
+
+# --- mixed event lines --------------------------------------------------------------------------
+
+
+def browser_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page, web-socket, metric and session records of the users, one per event."""
+    e = _events(spark, sf_dir)
+    kind, k, v = F.col("event_type"), F.col("k"), F.col("v")
+
+    def cdp(method: object, params: Column) -> Column:
+        name = F.lit(method) if isinstance(method, str) else method
+        return F.to_json(F.struct(F.lit("cdp_event").alias("type"), name.alias("method"), params.alias("params")))
+
+    frame = F.when(k % 2 == 0, "Network.webSocketFrameSent").otherwise("Network.webSocketFrameReceived")
+    opening = F.when(k % 2 == 0, "Network.webSocketCreated").otherwise("Network.webSocketClosed")
+    payload = F.struct(F.struct(F.repeat(F.lit("é"), k).alias("payloadData")).alias("response"))
+    metrics = F.array(
+        F.struct(F.concat(F.lit("m"), k % 3).alias("name"), v.cast("string").alias("value")),
+        F.struct(F.lit("heap").alias("name"), F.lit(None).cast("string").alias("value")),
+    )
+    line = (
+        F.when(kind == "view", cdp("Page.lifecycleEvent", F.struct(k.alias("name"))))
+        .when(kind == "click", F.when(k % 10 == 0, cdp(opening, F.struct(k.alias("n")))).otherwise(cdp(frame, payload)))
+        .when(
+            kind == "purchase",
+            F.regexp_replace(
+                F.to_json(
+                    F.struct(
+                        F.lit("cdp_command_result").alias("type"), F.lit("Performance.getMetrics").alias("command"),
+                        F.struct(metrics.alias("metrics")).alias("result"),
+                    )
+                ),
+                '"value":"([0-9]+)"', '"value":$1',
+            ),
+        )
+        .when(kind == "signup", F.to_json(F.struct(F.lit("session_start").alias("type"), F.col("event_id").alias("n"))))
+        .otherwise(F.to_json(F.struct(F.lit("session_end").alias("type"), F.struct(v.alias("requests")).alias("summary"))))
+    )
+    return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), line.alias("value"))
+
+
+def damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which some are blank, broken or no objects."""
+    k = F.col("k")
+    line = F.when(k % 17 == 0, "{broken").when(k % 19 == 0, "[1]").when(k % 23 == 0, "  ").otherwise('{"type":"note"}')
+    return _events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), line.alias("value")
+    )
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One IPv4 or IPv6 address per customer, spread over all kinds of networks."""
+    key = F.col("c_custkey")
+    first = F.element_at(F.array(*[F.lit(n) for n in (10, 127, 169, 172, 192, 198, 224, 240, 8, 100)]), (key % 10 + 1).cast("int"))
+    four = F.concat_ws(".", first, key % 256, F.expr("c_custkey div 7 % 256"), F.lit("1"))
+    six = F.concat(F.element_at(F.array(*[F.lit(t) for t in ("fe80", "fd00", "ff02", "2606")]), (key % 4 + 1).cast("int")), F.lit("::"), key % 10)
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 3 == 0, six).otherwise(four).alias("address"))

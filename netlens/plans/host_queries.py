@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions import address as A
+from netlens.functions import redact as R
 from netlens.operators import connections as C
 from netlens.operators import diagnosis, normalize, packets, probes, recorder, scores, summary
 from netlens.operators.sanitize import sanitize_json
@@ -331,6 +332,59 @@ def sanitize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- event views and small functions ------------------------------------------------------------
+
+
+def websocket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.websocket_totals(_parsed(derive.browser_lines(spark, sf_dir)))
+
+
+def performance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.performance_metrics(_parsed(derive.browser_lines(spark, sf_dir)))
+
+
+def lifecycle_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.lifecycle_events(_parsed(derive.browser_lines(spark, sf_dir)))
+
+
+def session_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary.session_metadata(_parsed(derive.browser_lines(spark, sf_dir)))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected lines of each session by reason."""
+    parsed = jsonl.parse_event_lines(derive.damaged_lines(spark, sf_dir))
+    return parsed.groupBy("session_id", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("lines"))
+
+
+def dns_event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DNS packets written as event lines and read back."""
+    packet = F.struct(
+        F.lit("dns_packet").alias("type"), "source", "destination", "direction", "transaction_id", "query_type", "domain"
+    )
+    lines = _dns(spark, sf_dir).select(F.col("capture_id").alias("session_id"), "seq", F.to_json(packet).alias("value"))
+    events = jsonl.dns_events(_parsed(lines))
+    return events.select("session_id", "seq", "dst_host", "dst_port", "direction", "transaction_id", "query_type", "domain")
+
+
+def address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = F.col("address")
+    return derive.addresses(spark, sf_dir).select(
+        "c_custkey", "address", A.is_private(address).alias("private"), A.is_loopback(address).alias("loopback"),
+        A.is_link_local(address).alias("link_local"), A.is_multicast(address).alias("multicast"),
+    )
+
+
+def captured_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("Host", "Cookie", "Referer", "X-Debug", "content-type")
+    pairs = [part for name in names for part in (F.lit(name), F.col("url"))]
+    kept = derive.table(spark, sf_dir, "pages").select("page_id", R.captured_headers(F.create_map(*pairs)).alias("h"))
+    return kept.select(
+        "page_id", F.array_join(F.array_sort(F.map_keys("h")), ",").alias("names"), F.col("h").getItem("Cookie").alias("cookie"),
+        F.col("h").getItem("Host").alias("host"),
+    )
+
+
 QUERIES = {
     **{
         function.__name__: function
@@ -340,7 +394,8 @@ QUERIES = {
             connection_filter, connection_listing, connection_paths, recording_summary, recording_processes, interface_rates,
             rate_history, socket_log, route_log, default_routes, counter_log, neighbour_union, quality_scores, probe_stats,
             fastest_server, trace_stats, certificate_days, snapshot_tables, interface_counters, nameservers, vpn_status, leak_findings,
-            host_facts, diagnosis_findings, diagnosis_scores, sanitize_events,
+            host_facts, diagnosis_findings, diagnosis_scores, sanitize_events, websocket_totals,
+            performance_metrics, lifecycle_list, session_metadata, quarantine, dns_event_view, address_classes, captured_headers,
         )
     },
     **PACKET_QUERIES,

@@ -380,6 +380,56 @@ def host_statements() -> dict[str, str]:
                   CASE WHEN vpn AND NOT full_tunnel THEN 1 ELSE 0 END + CASE WHEN full_tunnel AND NOT addressed THEN 1 ELSE 0 END AS warnings FROM hosts""",
     )
     q["leak_findings"] = _with(SNAPSHOT, "SELECT host, severity, code, detail FROM all_leaks")
+    q["websocket_totals"] = _with(
+        BASE,
+        """SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) FILTER (k % 10 = 0 AND k % 2 = 0) AS opened,
+                  count(*) FILTER (k % 10 = 0 AND k % 2 = 1) AS closed, count(*) FILTER (k % 10 <> 0 AND k % 2 = 0) AS sent_frames,
+                  count(*) FILTER (k % 10 <> 0 AND k % 2 = 1) AS received_frames,
+                  CAST(coalesce(sum(2 * k) FILTER (k % 10 <> 0 AND k % 2 = 0), 0) AS BIGINT) AS sent_bytes,
+                  CAST(coalesce(sum(2 * k) FILTER (k % 10 <> 0 AND k % 2 = 1), 0) AS BIGINT) AS received_bytes
+           FROM e WHERE event_type = 'click' GROUP BY 1""",
+    )
+    q["performance_metrics"] = _with(
+        BASE,
+        """SELECT CAST(user_id AS VARCHAR) AS session_id, 'm' || k % 3 AS name, CAST(arg_max(v, event_id) AS DOUBLE) AS value
+           FROM e WHERE event_type = 'purchase' GROUP BY 1, 2""",
+    )
+    q["lifecycle_list"] = _with(
+        BASE,
+        """SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, 'Page.lifecycleEvent' AS method, '{"name":' || k || '}' AS params
+           FROM e WHERE event_type = 'view'""",
+    )
+    q["session_metadata"] = _with(
+        BASE,
+        """SELECT CAST(user_id AS VARCHAR) AS session_id,
+                  '{"n":' || max(event_id) FILTER (event_type = 'signup') || ',"type":"session_start"}' AS source_metadata,
+                  '{"requests":' || arg_max(v, event_id) FILTER (event_type = 'error') || '}' AS recorder_summary
+           FROM e WHERE event_type IN ('signup', 'error') GROUP BY 1""",
+    )
+    q["quarantine"] = _with(
+        BASE,
+        """SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN k % 17 = 0 THEN 'malformed JSON' WHEN k % 19 = 0 THEN 'expected an object'
+                  ELSE 'accepted' END AS outcome, count(*) AS lines FROM e WHERE k % 17 = 0 OR k % 19 = 0 OR k % 23 <> 0 GROUP BY 1, 2""",
+    )
+    q["dns_event_view"] = _with(
+        DNS,
+        """SELECT capture_id AS session_id, seq, CASE direction WHEN 'query' THEN server ELSE regexp_extract(client, '^(.*)\\.[0-9]+$', 1) END AS dst_host,
+                  CASE direction WHEN 'query' THEN 53 ELSE CAST(regexp_extract(client, '([0-9]+)$', 1) AS INTEGER) END AS dst_port, direction,
+                  txid AS transaction_id, CASE direction WHEN 'query' THEN query_type END AS query_type,
+                  CASE direction WHEN 'query' THEN domain END AS domain FROM dns WHERE direction <> 'other'""",
+    )
+    q["address_classes"] = """
+        WITH a AS (
+          SELECT c_custkey AS k, c_custkey % 256 AS b, c_custkey // 7 % 256 AS c, c_custkey % 3 = 0 AS six,
+                 ([10, 127, 169, 172, 192, 198, 224, 240, 8, 100])[c_custkey % 10 + 1] AS a,
+                 (['fe80', 'fd00', 'ff02', '2606'])[c_custkey % 4 + 1] AS head FROM customer)
+        SELECT k AS c_custkey, CASE WHEN six THEN head || '::' || k % 10 ELSE a || '.' || b || '.' || c || '.1' END AS address,
+               CASE WHEN six THEN head IN ('fe80', 'fd00')
+                    ELSE a IN (10, 127, 240) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
+                         OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) END AS private,
+               NOT six AND a = 127 AS loopback, CASE WHEN six THEN head = 'fe80' ELSE a = 169 AND b = 254 END AS link_local,
+               CASE WHEN six THEN head = 'ff02' ELSE a = 224 END AS multicast FROM a"""
+    q["captured_headers"] = "SELECT page_id, 'Cookie,Host,Referer,content-type' AS names, '[REDACTED]' AS cookie, url AS host FROM pages"
     q["host_facts"] = _with(
         SNAPSHOT,
         """SELECT host, CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS connections,

@@ -396,12 +396,12 @@ def _compare(metrics: list[str]) -> str:
 
 
 def _period_profile(prefix: str, half: int) -> str:
-    """PROFILE over one half of the period (odd or even days), with every relation renamed."""
+    """PROFILE over one half of the period (odd or even days since the epoch), with every relation renamed."""
     names = "page_count|base_events|requests|facts|normalized|profile|raw_scores|scores"
     text = re.sub(rf"\b({names}) AS \(", rf"{prefix}_\1 AS (", SCORES.strip())
     text = re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\1 {prefix}_\2", text)
     text = text.replace(", page_count c,", f", {prefix}_page_count c,")
-    return text.replace("% c.np", f"% c.np AND day(e.ts) % 2 = {half}")
+    return text.replace("% c.np", f"% c.np AND epoch_us(e.ts) // 86400000000 % 2 = {half}")
 
 
 def _compare_scores() -> str:

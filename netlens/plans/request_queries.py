@@ -124,9 +124,9 @@ def resource_type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Session profiles of even days (before) and odd days (after)."""
+    """Session profiles of even days (before) and odd days (after) since the epoch."""
     rows = derive.requests(spark, sf_dir)
-    odd = F.day(F.timestamp_millis(F.round(F.col("started_monotonic") * 1000).cast("bigint"))) % 2 == 1
+    odd = F.floor(F.col("started_monotonic") / 86400) % 2 == 1
     before, after = (
         summary.session_profile(normalize.normalize(rows.where(side), derive.PATTERNS)) for side in (~odd, odd)
     )

@@ -52,12 +52,21 @@ def compare(con, frame, sql):
     return None if left else "EMPTY"
 
 
+def plain_session():
+    """A session with hardly any settings, as a stranger might bring it."""
+    from pyspark.sql import SparkSession
+
+    builder = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+    return builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
+
+
 def main():
     import __spark_entry__ as entry
     from netlens.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session("sqlcheck")
+    spark = plain_session() if os.environ.get("PLAIN_SESSION") else local_session("sqlcheck")
     con = connect(sf_dir)
     queries, statements = entry.queries(), entry.oracle_sql()
     wanted = sys.argv[2:] or list(queries)

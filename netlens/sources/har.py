@@ -32,68 +32,77 @@ def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Ar
     return split_documents(documents, show_sensitive)
 
 
+# The parts of an entry that are read; numbers that may be missing or odd are read as text first.
+ENTRY = (
+    "struct<startedDateTime:string,time:double,request:struct<method:string,url:string,httpVersion:string>,"
+    "response:struct<status:string,httpVersion:string,bodySize:string,headersSize:string,content:struct<mimeType:string>>,"
+    "timings:map<string,string>,serverIPAddress:string,connection:string,cache:string>"
+)
+
+
 def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Archive:
     """Entries and rejects of (session_id, value) documents."""
-    entries = F.try_variant_get("_doc", "$.log.entries", "array<variant>")
-    present = F.try_variant_get("_doc", "$.log.entries", "variant").isNotNull()
-    read = documents.withColumn("_doc", F.try_parse_json("value")).withColumn(
+    # explode() pins each reading: filters pushed below a plain column would repeat it.
+    parsed = documents.select("session_id", F.explode(F.array(F.try_parse_json("value"))).alias("_doc"))
+    listed = F.struct(
+        F.try_variant_get("_doc", "$.log.entries", f"array<{ENTRY}>").alias("entries"),
+        F.try_variant_get("_doc", "$.log.entries", "variant").isNotNull().alias("present"),
+    )
+    read = parsed.select("session_id", F.col("_doc").isNull().alias("_broken"), F.explode(F.array(listed)).alias("_l"))
+    read = read.withColumn(
         "reason",
-        F.when(F.col("_doc").isNull(), "malformed JSON").when(
-            present & entries.isNull(), "log.entries must be an array"
+        F.when(F.col("_broken"), "malformed JSON").when(
+            F.col("_l.present") & F.col("_l.entries").isNull(), "log.entries must be an array"
         ),
     )
-    accepted = read.where(F.col("reason").isNull()).select("session_id", entries.alias("_entries"))
+    accepted = read.where(F.col("reason").isNull()).select("session_id", F.col("_l.entries").alias("_entries"))
     return Archive(_entries(accepted, show_sensitive), read.where("reason IS NOT NULL").select("session_id", "reason"))
 
 
 def _entries(documents: DataFrame, show_sensitive: bool) -> DataFrame:
     """One row per entry; ``seq`` is its rank by duration, ``position`` its place in the document."""
-    ranked = F.array_sort(
+    order = F.array_sort(
         F.transform(
-            F.col("_entries"),
-            lambda entry, index: F.struct(
-                (-_duration(entry)).alias("slowest"), index.alias("position"), F.to_json(entry).alias("entry")
-            ),
+            F.col("_entries"), lambda entry, index: F.struct((-_duration(entry)).alias("slowest"), index.alias("position"))
         )
     )
-    rows = documents.select("session_id", F.posexplode(ranked).alias("seq", "_ranked")).select(
+    # The entries are put in order before they are exploded, so that no row carries the whole document.
+    ordered = F.transform(
+        order, lambda place: F.struct(place["position"].alias("position"), F.get("_entries", place["position"]).alias("entry"))
+    )
+    rows = documents.select("session_id", F.posexplode(ordered).alias("seq", "_r")).select(
         "session_id",
         F.col("seq").cast("bigint").alias("seq"),
-        F.col("_ranked.position").cast("bigint").alias("position"),
-        F.parse_json("_ranked.entry").alias("_e"),
-    )
-
-    def get(path: str, kind: str = "string") -> Column:
-        return F.try_variant_get("_e", "$." + path, kind)
-
-    url = F.coalesce(get("request.url"), F.lit(""))
-    body = F.greatest(F.lit(0).cast("bigint"), whole(get("response.bodySize")))
-    head = F.greatest(F.lit(0).cast("bigint"), whole(get("response.headersSize")))
-    timings = F.transform_values(
-        get("timings", "map<string,variant>"), lambda key, value: F.try_variant_get(value, "$", "double")
+        F.col("_r.position").cast("bigint").alias("position"),
+        F.col("_r.entry").alias("_e"),
     )
+    e = F.col("_e")
+    url = F.coalesce(e["request"]["url"], F.lit(""))
+    zero = F.lit(0).cast("bigint")
+    body = F.greatest(zero, whole(e["response"]["bodySize"]))
+    head = F.greatest(zero, whole(e["response"]["headersSize"]))
+    timings = F.transform_values(e["timings"], lambda key, value: value.try_cast("double"))
+    spoken = F.coalesce(F.nullif(e["response"]["httpVersion"], F.lit("")), e["request"]["httpVersion"])
     return rows.select(
         "session_id",
         "seq",
         "position",
-        get("startedDateTime").alias("started"),
-        F.coalesce(get("request.method"), F.lit("?")).alias("method"),
+        e["startedDateTime"].alias("started"),
+        F.coalesce(e["request"]["method"], F.lit("?")).alias("method"),
         (url if show_sensitive else R.redact_url(url)).alias("url"),
         F.coalesce(U.url_host(url), F.lit("unknown")).alias("domain"),
-        whole(get("response.status")).cast("int").alias("status"),
-        text_or(F.coalesce(F.nullif(get("response.httpVersion"), F.lit("")), get("request.httpVersion")), "unknown").alias(
-            "protocol"
-        ),
-        U.mime_essence(text_or(get("response.content.mimeType"), "unknown")).alias("mime_type"),
-        _duration(F.col("_e")).alias("duration_ms"),
+        whole(e["response"]["status"]).cast("int").alias("status"),
+        text_or(spoken, "unknown").alias("protocol"),
+        U.mime_essence(text_or(e["response"]["content"]["mimeType"], "unknown")).alias("mime_type"),
+        _duration(e).alias("duration_ms"),
         body.alias("body_bytes"),
         (body + head).alias("transfer_bytes"),
-        get("serverIPAddress").alias("server_ip"),
-        get("connection").alias("connection"),
+        e["serverIPAddress"].alias("server_ip"),
+        e["connection"].alias("connection"),
         F.map_filter(timings, lambda key, value: value >= 0).alias("timings"),
-        (F.coalesce(F.size(get("cache", "map<string,variant>")), F.lit(0)) > 0).alias("cached"),
+        (~F.coalesce(e["cache"], F.lit("")).isin("", "{}")).alias("cached"),
     )
 
 
 def _duration(entry: Column) -> Column:
-    return half_even(F.coalesce(F.try_variant_get(entry, "$.time", "double"), F.lit(0.0)), 2)
+    return half_even(F.coalesce(entry["time"], F.lit(0.0)), 2)

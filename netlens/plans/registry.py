@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netlens.plans import host_queries, host_sql, reference_sql, request_queries
+from netlens.plans import host_queries, host_sql, reference_sql, request_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**request_queries.QUERIES, **host_queries.QUERIES}
+    return {**request_queries.QUERIES, **host_queries.QUERIES, **stream_queries.QUERIES}
 
 
 def statements() -> dict[str, str]:
-    return {**reference_sql.request_statements(), **host_sql.host_statements()}
+    return {**reference_sql.request_statements(), **host_sql.host_statements(), **stream_queries.STATEMENTS}

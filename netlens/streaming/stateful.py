@@ -1,7 +1,8 @@
 """Keyed state across micro-batches: socket lifecycle, interface rates, request correlation.
 
 Each processor keeps one small value per key. A hot host is split: its snapshots are cut into
-buckets of connection keys, and every bucket, also an empty one, hears of every snapshot.
+buckets of connection keys, and every bucket, also an empty one, hears of every snapshot. A key's
+rows of one micro-batch are ordered in memory, so bound a backlog with ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations

@@ -537,7 +537,7 @@ def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.when(vpn, F.array(route("default", F.when(key % 8 == 0, "utun3").otherwise("en1")))).otherwise(F.array(route("10.0.0.0/8", "en0")))
     servers = F.array(F.when(key % 6 == 0, "192.168.1.1").otherwise("9.9.9.9"), F.lit("1.1.1.1"))
     return _documents(
-        table(spark, sf_dir, "customer"), key,
+        spread(table(spark, sf_dir, "customer"), "c_custkey"), key,
         connections=sockets,
         interfaces=F.array(interface("en0", key % 7 != 0, key % 7 != 0, "unknown"), interface("utun3", vpn, key % 3 == 0, "unknown")),
         routes=F.concat(F.array(route("default", "en0")), second),

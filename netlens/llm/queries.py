@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import langid, line_dedup, ngram_join, packing, quality, substring_dedup
-from netlens.llm.common import fold_remainder, table
+from netlens.llm import bpe, forest, langid, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, topk
+from netlens.llm.common import fold_remainder, new_folder, table
+
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE), end_id=1)
+    return token_files.token_digests(token_files.read_tokens(spark, path))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
+    return bpe.digests(bpe.decode(ids, vocabulary(BYTE_BPE)))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repeated span."""
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("row")
@@ -53,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_ngram_jaccard_join, op3_language_id, op7_substring_dedup, op8_line_dedup, op9_quality_classifier, op10_packing, pipeline,
+        op1_nearest_neighbours, op2_ngram_jaccard_join, op3_language_id, op4_exact_topk, op5_token_files, op6_bpe, op7_substring_dedup, op8_line_dedup, op9_quality_classifier, op10_packing, pipeline,
     )
 }
 

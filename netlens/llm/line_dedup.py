@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
-from netlens.llm.common import Stage, bounded, stage
+from netlens.llm.common import bounded, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import linked
+from netlens.llm.verify import asked_of, elements_for, linked
 
 GRAM = 8
 PERCENT = 80
@@ -126,34 +126,29 @@ def candidate_pairs(scanned: DataFrame) -> DataFrame:
     return met.select(F.explode(F.array("least", "before")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
 
 
-def line_sets(docs: DataFrame, scanned: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The whole shingle sets (key, elements) of the lines in ``wanted``, each from one row that holds it."""
+def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Verified links (a, b) between different lines, by the shingle sets of whole lines, each from one row that holds it."""
+    pairs = stage(candidate_pairs(scanned), "lines-pairs")
     held = scanned.where("keys is not null").select("row", F.explode("keys").alias("key"))
-    chosen = held.groupBy("key").agg(F.min("row").alias("row")).join(wanted, "key", "left_semi")
-    chosen = stage(chosen.groupBy("row").agg(F.collect_list("key").alias("wanted")), "lines-wanted")
-    rows = _rows(docs).join(bounded(chosen), "row").select("row", "doc_id", "text", "wanted")
+    places = held.groupBy("key").agg(F.min("row").alias("row"))
+    asked = bounded(stage(asked_of(pairs, places), "lines-asked"))
+    rows = _rows(docs).join(asked, "row").select("text", "pairs")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lines, at = cut_lines(batch.column(2))
+            lines, at = cut_lines(batch.column(0))
             keys = line_keys(lines)
-            asked = batch.column(3).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            asked_keys = batch.column(1).flatten().field("key").to_numpy(zero_copy_only=False).view(np.uint64)
             distinct, first = np.unique(keys, return_index=True)
-            take = np.sort(first[np.isin(distinct, asked)])
-            sets = []
+            take = np.sort(first[np.isin(distinct, asked_keys)])
+            sets, place = {}, 0
             for hashes, begin in line_shingles(lines.take(pa.array(take))):
-                sets += [np.unique(hashes[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(texts.signed(keys[take])), pa.array(sets, pa.binary())], names=["key", "elements"])
-
-    return rows.mapInArrow(scan, "key long, elements binary").dropDuplicates(["key"])
+                for a, b in zip(begin[:-1], begin[1:]):
+                    sets[int(keys[take[place]].view(np.int64))] = np.unique(hashes[a:b]).tobytes()
+                    place += 1
+            yield elements_for(batch.column(1), sets)
 
-
-def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different lines."""
-    pairs = stage(candidate_pairs(scanned), "lines-pairs")
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    sets = stage(line_sets(docs, scanned, wanted), "lines-sets")
-    return stage(linked(pairs, sets, PERCENT), "lines-links")
+    return stage(linked(rows.mapInArrow(scan, "a long, b long, elements binary"), PERCENT), "lines-links")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
-from netlens.llm.common import Stage, bounded, stage
+from netlens.llm.common import bounded, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import linked
+from netlens.llm.verify import asked_of, elements_for, linked
 
 WIDTH = 5
 PERCENT = 80
@@ -36,6 +36,8 @@ KNOWN = 1 << 17
 NOTED = 4
 #: Entries of one prefix list that a task takes; lists of shingles known to be longer are dealt over several.
 LIST_SPAN = 20_000
+#: A class is compared with its centre ahead of the join if they share one in so many of its prefix shingles.
+CENTRAL = 4
 
 
 def shingle_facts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -151,14 +153,18 @@ def _centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """For each class the one centre it meets in most lists (key, centre).
 
     The centre of a list is its class with the most list neighbours over all its lists: the origin of a group of near
-    copies, which its copies resemble more than they resemble each other.
+    copies, which its copies resemble more than they resemble each other. Pairs that meet in too few lists to be copies
+    are left to the exact join.
     """
     weight = lists.groupBy("key").agg(F.sum("size").alias("weight"))
     rated = lists.join(weight, "key")
     centre = rated.groupBy("shingle", "span").agg(F.max(F.struct("weight", "key", "n")).alias("c"))
     met = rated.join(centre, ["shingle", "span"]).where((F.col("key") != F.col("c.key")) & _alike("n", "c.n", percent))
-    times = met.groupBy("key", F.col("c.key").alias("centre")).agg(F.count("*").alias("times"))
-    return times.groupBy("key").agg(F.max(F.struct("times", "centre")).alias("m")).select("key", F.col("m.centre").alias("centre"))
+    times = met.groupBy("key", F.col("c.key").alias("centre")).agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("asked").alias("asked"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("asked")
+    likely = times.where((F.col("times") >= F.col("asked")) & (F.col("times") * CENTRAL >= prefix))
+    chosen = likely.groupBy("key").agg(F.max(F.struct("times", "centre")).alias("m"))
+    return chosen.select(F.least("key", "m.centre").alias("a"), F.greatest("key", "m.centre").alias("b")).distinct()
 
 
 def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -178,21 +184,19 @@ def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     return counted.where("shared >= asked").select("a", "b")
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-    """The whole shingle sets (key, elements) of the classes in ``wanted``, from one row of each class."""
-    chosen = facts.where("kind = 0").groupBy("key").agg(F.min("row").alias("row")).join(wanted, "key", "left_semi").select("row")
-    rows = _rows(docs).join(bounded(stage(chosen, "join-rows")), "row", "left_semi")
+def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by the shingle sets of their whole texts, one row of each class."""
+    places = facts.where("kind = 0").groupBy("key").agg(F.min("row").alias("row"))
+    asked = bounded(stage(asked_of(pairs, places), "join-asked"))
+    rows = _rows(docs).join(asked, "row").select("text", "pairs")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in texts.blocks(batch.column(2)):
-                sets = [s for s in texts.shingles(block, width) if len(s)]
-                keys = [int(texts.sequence_hash(s).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "elements"]
-                )
+            for block in texts.blocks(batch.column(0)):
+                for i, found in enumerate(texts.shingles(block, width), block.first):
+                    yield elements_for(batch.column(1)[i], {int(texts.sequence_hash(found).view(np.int64)): found.tobytes()})
 
-    return rows.mapInArrow(scan, "key long, elements binary").dropDuplicates(["key"])
+    return linked(rows.mapInArrow(scan, "a long, b long, elements binary"), percent)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -207,13 +211,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     facts = stage(shingle_facts(docs, width), "join-facts")
     found = prefixes(docs, _common_shingles(facts), width, percent)
     lists = stage(_lists(found), "join-lists")
-    wanted = lists.select("key").distinct()
-    sets = stage(shingle_sets(docs, wanted, facts, width), "join-sets")
-
-    centres = Stage(_centre_pairs(lists, percent), "join-centres")
-    first = stage(linked(centres.frame.select(F.col("key").alias("a"), F.col("centre").alias("b")), sets, percent), "join-first")
+    centres = stage(_centre_pairs(lists, percent), "join-centres")
+    first = stage(verified(docs, centres, facts, width, percent), "join-first")
     groups = components(first, "join-groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
-    second = stage(linked(Stage(_group_pairs(lists, groups, percent), "join-pairs").frame, sets, percent), "join-second")
+    pairs = stage(_group_pairs(lists, groups, percent), "join-pairs")
+    second = stage(verified(docs, pairs, facts, width, percent), "join-second")
     links = first.union(second)
     degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links_found"))
     roots = components(links, "join-components").select(F.col("node").alias("key"), "root").join(degree, "key")

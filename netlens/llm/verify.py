@@ -1,4 +1,4 @@
-"""Exact Jaccard test of candidate pairs whose sets lie in a table of hashed elements."""
+"""Exact Jaccard test of candidate pairs."""
 
 from __future__ import annotations
 
@@ -9,29 +9,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Partners of one item that go in one list; an item with more has several lists.
+PARTNERS = 4096
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose sets satisfy 100 * intersection >= percent * union.
 
-    ``sets`` holds ``key`` and ``elements`` (sorted distinct uint64 values as bytes), one row per key. Both joins are
-    plain equi-joins, so Spark can split a key with very many partners; nothing is gathered per key.
+def asked_of(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """row, pairs: which pairs (a, b) need the set of an item that ``places`` (key, row) finds in that row.
+
+    One row per row, and more for a row whose item has very many pairs.
+    """
+    each = pairs.select(F.col("a").alias("key"), "a", "b").union(pairs.select(F.col("b").alias("key"), "a", "b"))
+    lists = each.groupBy("key").agg((F.floor(F.count("*") / PARTNERS) + 1).alias("lists"))
+    found = each.join(places.join(lists, "key"), "key").groupBy("row", F.pmod(F.xxhash64("a", "b"), F.col("lists")).alias("part"))
+    return found.agg(F.collect_list(F.struct("key", "a", "b")).alias("pairs")).drop("part")
+
+
+def elements_for(pairs: pa.Array, sets: dict[int, bytes]) -> pa.RecordBatch:
+    """Rows (a, b, elements) of one row's pairs, for the keys that were found in it."""
+    struct = pairs.values if isinstance(pairs, pa.ListScalar) else pairs.flatten()
+    keys, a, b = (struct.field(name).to_pylist() for name in ("key", "a", "b"))
+    kept = [i for i, key in enumerate(keys) if key in sets]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array([sets[keys[i]] for i in kept], pa.binary())],
+        names=["a", "b", "elements"],
+    )
+
+
+def linked(sides: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union.
+
+    ``sides`` holds two rows (a, b, elements: sorted distinct uint64 values as bytes) per pair, or more if the data has
+    repeated rows. They meet by one shuffle on the pair, which no single item dominates.
     """
-    left = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, elements = None, None
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = np.zeros(batch.num_rows, bool)
+            a, b, kept = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for i in range(batch.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                least, most = sorted((len(p), len(q)))
-                if 100 * least >= percent * most:
-                    joined = np.concatenate([p, q])
-                    joined.sort()
-                    common = int(np.count_nonzero(joined[1:] == joined[:-1]))
-                    keep[i] = 100 * common >= percent * (len(joined) - common) and common > 0
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    return both.mapInArrow(test, "a long, b long")
+                pair, mine = (a[i], b[i]), np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                if pair == before:
+                    if elements is not None and not np.array_equal(mine, elements):
+                        if _alike(elements, mine, percent):
+                            kept.append(i)
+                        elements = None  # settled: further rows of the pair are repeats
+                else:
+                    before, elements = pair, mine.copy()
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    return sides.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(test, "a long, b long")
+
+
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    least, most = sorted((len(p), len(q)))
+    if 100 * least < percent * most:
+        return False
+    joined = np.concatenate([p, q])
+    joined.sort()
+    common = int(np.count_nonzero(joined[1:] == joined[:-1]))
+    return common > 0 and 100 * common >= percent * (len(joined) - common)

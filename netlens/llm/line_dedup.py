@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from netlens.llm import texts
 from netlens.llm.common import bounded, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import asked_of, elements_for, linked
+from netlens.llm.verify import SIDES, asked_of, jaccard_test, meet, sides_for
 
 GRAM = 8
 PERCENT = 80
@@ -127,7 +127,7 @@ def candidate_pairs(scanned: DataFrame) -> DataFrame:
 
 
 def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Verified links (a, b) between different lines, by the shingle sets of whole lines, each from one row that holds it."""
+    """Verified links (a, b) between different lines, by the shingle sets of the whole lines, each from one row that holds it."""
     pairs = stage(candidate_pairs(scanned), "lines-pairs")
     held = scanned.where("keys is not null").select("row", F.explode("keys").alias("key"))
     places = held.groupBy("key").agg(F.min("row").alias("row"))
@@ -141,14 +141,15 @@ def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             asked_keys = batch.column(1).flatten().field("key").to_numpy(zero_copy_only=False).view(np.uint64)
             distinct, first = np.unique(keys, return_index=True)
             take = np.sort(first[np.isin(distinct, asked_keys)])
-            sets, place = {}, 0
-            for hashes, begin in line_shingles(lines.take(pa.array(take))):
-                for a, b in zip(begin[:-1], begin[1:]):
-                    sets[int(keys[take[place]].view(np.int64))] = np.unique(hashes[a:b]).tobytes()
-                    place += 1
-            yield elements_for(batch.column(1), sets)
-
-    return stage(linked(rows.mapInArrow(scan, "a long, b long, elements binary"), PERCENT), "lines-links")
+            chosen = zip(texts.signed(keys[take]).tolist(), lines.take(pa.array(take)))
+            yield sides_for(batch.column(1), {key: line.as_py().encode() for key, line in chosen})
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        for hashes, begin in line_shingles(column.cast(pa.large_binary())):
+            for a, b in zip(begin[:-1], begin[1:]):
+                yield np.unique(hashes[a:b])
+
+    return stage(meet(rows.mapInArrow(scan, SIDES), sets, jaccard_test(PERCENT)), "lines-links")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

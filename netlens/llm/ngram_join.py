@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from netlens.llm import texts
 from netlens.llm.common import bounded, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import asked_of, elements_for, linked
+from netlens.llm.verify import SIDES, asked_of, jaccard_test, meet, parities, parity, parity_test, sides_for
 
 WIDTH = 5
 PERCENT = 80
@@ -185,18 +185,32 @@ def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame
 
 
 def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by the shingle sets of their whole texts, one row of each class."""
-    places = facts.where("kind = 0").groupBy("key").agg(F.min("row").alias("row"))
-    asked = bounded(stage(asked_of(pairs, places), "join-asked"))
-    rows = _rows(docs).join(asked, "row").select("text", "pairs")
+    """The pairs (a, b) of classes that link, by one row of each class.
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in texts.blocks(batch.column(0)):
-                for i, found in enumerate(texts.shingles(block, width), block.first):
-                    yield elements_for(batch.column(1)[i], {int(texts.sequence_hash(found).view(np.int64)): found.tobytes()})
+    Bitmaps of the sets, a fiftieth of their size, first rule out what cannot link; the whole texts of the rest meet.
+    """
+    places = stage(facts.where("kind = 0 and key is not null").groupBy("key").agg(F.min("row").alias("row")), "join-places")
+
+    def sides(pairs: DataFrame, bitmaps: bool) -> DataFrame:
+        asked = bounded(stage(asked_of(pairs, places), "join-asked"))
+        rows = _rows(docs).join(asked, "row").select("text", "pairs")
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in texts.blocks(batch.column(0)):
+                    for i, found in enumerate(texts.shingles(block, width)):
+                        key = int(texts.sequence_hash(found).view(np.int64))
+                        payload = parity(found) if bitmaps else block.data[block.bounds[i] : block.bounds[i + 1]].tobytes()
+                        yield sides_for(batch.column(1)[block.first + i], {key: payload})
+
+        return rows.mapInArrow(scan, SIDES)
+
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        for block in texts.blocks(column.cast(pa.large_binary())):
+            yield from texts.shingles(block, width)
 
-    return linked(rows.mapInArrow(scan, "a long, b long, elements binary"), percent)
+    possible = stage(meet(sides(pairs, True), parities, parity_test(percent)), "join-possible")
+    return meet(sides(possible, False), sets, jaccard_test(percent))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

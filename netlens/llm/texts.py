@@ -33,10 +33,12 @@ class Block:
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string column (null: empty) into blocks of whole texts."""
+    """Cut a string or large binary column (null: empty) into blocks of whole texts."""
     if not len(column):
         return
-    column = column.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
+    column = column.fill_null("")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

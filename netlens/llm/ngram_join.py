@@ -28,7 +28,9 @@ from netlens.llm.verify import SIDES, asked_of, jaccard_test, meet, parities, pa
 WIDTH = 5
 PERCENT = 80
 #: Largest number of shared prefix shingles that a document may ask for.
-MOST_MATCHES = 6
+MOST_MATCHES = 16
+#: Partners that a shingle of unknown count is expected to have, for the price of a prefix only.
+UNKNOWN_PARTNERS = 0.05
 #: The most common shingles whose counts are known to all tasks (16 bytes each); all others count as rare. The table
 #: only orders shingles and prices prefixes: results do not depend on it.
 KNOWN = 1 << 17
@@ -98,9 +100,10 @@ def choose_prefix(found: np.ndarray, hashes: np.ndarray, counts: np.ndarray, per
     need = (percent * len(found) + 99) // 100
     least = len(found) - need + 1
     most = min(MOST_MATCHES, need)
-    scanned = np.cumsum(known)[least - 1 : least - 1 + most] + np.arange(least, least + most)
     asked = np.arange(1, most + 1)
-    cost = scanned + np.cumsum(known)[least - 1 : least - 1 + most] / asked * (1 + len(found) / 16)
+    partners = np.cumsum(np.maximum(known, UNKNOWN_PARTNERS))[least - 1 : least - 1 + most]
+    # List entries to write and scan, and candidates (at most partners / asked) whose bitmaps have to meet.
+    cost = least - 1 + asked + partners + partners / asked * (1 + len(found) / 32)
     best = int(np.argmin(cost)) + 1
     return best, found[: least - 1 + best], known[: least - 1 + best]
 
@@ -150,7 +153,7 @@ def _alike(a: str, b: str, percent: int) -> object:
 
 
 def _centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """For each class the one centre it meets in most lists (key, centre).
+    """Each class with one centre, the weightiest of those it meets often (a, b).
 
     The centre of a list is its class with the most list neighbours over all its lists: the origin of a group of near
     copies, which its copies resemble more than they resemble each other. Pairs that meet in too few lists to be copies
@@ -160,10 +163,12 @@ def _centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
     rated = lists.join(weight, "key")
     centre = rated.groupBy("shingle", "span").agg(F.max(F.struct("weight", "key", "n")).alias("c"))
     met = rated.join(centre, ["shingle", "span"]).where((F.col("key") != F.col("c.key")) & _alike("n", "c.n", percent))
-    times = met.groupBy("key", F.col("c.key").alias("centre")).agg(F.count("*").alias("times"), F.first("n").alias("n"), F.first("asked").alias("asked"))
+    times = met.groupBy("key", F.col("c.key").alias("centre"), F.col("c.weight").alias("weight")).agg(
+        F.count("*").alias("times"), F.first("n").alias("n"), F.first("asked").alias("asked")
+    )
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("asked")
     likely = times.where((F.col("times") >= F.col("asked")) & (F.col("times") * CENTRAL >= prefix))
-    chosen = likely.groupBy("key").agg(F.max(F.struct("times", "centre")).alias("m"))
+    chosen = likely.groupBy("key").agg(F.max(F.struct("weight", "centre")).alias("m"))
     return chosen.select(F.least("key", "m.centre").alias("a"), F.greatest("key", "m.centre").alias("b")).distinct()
 
 

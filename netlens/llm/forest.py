@@ -236,7 +236,7 @@ def nearest(vectors: DataFrame, k: int, every: int, name: str = "embedding", rec
         sizes[row["tree"]][row["leaf"]] = row["n"]
 
     some = asked.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(CALIBRATION).collect()
-    queries = np.array([r["v"] for r in some], np.float64).reshape(len(some), -1)
+    queries = np.array([r["v"] for r in some], np.float64)
     near = _true_neighbours(points, queries, np.array([r["u"] for r in some], np.int64), k) if some else []
     budget = calibrate(forest, sizes, _unit(queries) if some else queries, near, recall)
     counts = spark.sparkContext.broadcast(sizes)

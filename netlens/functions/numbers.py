@@ -12,8 +12,9 @@ def half_even(value: Column, digits: int = 0) -> Column:
 
 
 def whole(value: Column) -> Column:
-    """Missing or unreadable integers count as 0."""
-    return F.coalesce(value.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """The whole part of a number, cut towards zero; missing and unreadable ones count as 0."""
+    fraction = value.try_cast("decimal(38,9)").try_cast("bigint")
+    return F.coalesce(value.try_cast("bigint"), fraction, F.lit(0).cast("bigint"))
 
 
 def truthy(*values: Column) -> Column:

@@ -259,6 +259,10 @@ def local_rules() -> tuple[list[Column], list[Column], list[Column]]:
     return first, proxy, after
 
 
+# Report order of the rule blocks.
+LOCAL_RANK, LEAK_RANK, PROXY_RANK, CLEAN_RANK, QUALITY_RANK = 0, 100, 200, 300, 400
+
+
 def diagnosis_findings(facts: DataFrame, leaks: DataFrame) -> DataFrame:
     """All findings of a host in report order (host, position, finding columns).
 
@@ -269,22 +273,26 @@ def diagnosis_findings(facts: DataFrame, leaks: DataFrame) -> DataFrame:
         facts.where("vpn_active").select("host"), "host", "left_semi"
     )
     leaking = serious.groupBy("host").agg(F.count("*").alias("_leaks"))
-    early = F.array_compact(F.array(*first, *proxy))
-    clean = F.array(
+    early = F.concat(_ranked(first, LOCAL_RANK), _ranked(proxy, PROXY_RANK))
+    clean = _ranked([
         _finding(
             "ok", "baseline-clean", "No obvious local configuration problems",
             "Interfaces, routes and DNS configuration look internally consistent.",
         )
-    )
-    listed = F.concat(
-        F.when((F.size(early) == 0) & F.col("_leaks").isNull(), clean).otherwise(early), F.array_compact(F.array(*after))
-    )
+    ], CLEAN_RANK)
+    listed = F.concat(F.when((F.size(early) == 0) & F.col("_leaks").isNull(), clean).otherwise(early), _ranked(after, QUALITY_RANK))
     local = (
         facts.join(leaking, "host", "left")
-        .select("host", F.posexplode(listed).alias("position", "_f"))
-        .select("host", "position", F.lit("").alias("subject"), "_f.*")
+        .select("host", F.explode(listed).alias("_r"))
+        .select("host", F.col("_r.position").alias("position"), F.lit("").alias("subject"), "_r.finding.*")
     )
-    return local.unionByName(serious)
+    return local.unionByName(serious.withColumn("position", F.col("position") + LEAK_RANK))
+
+
+def _ranked(findings: list[Column], rank: int) -> Column:
+    """The findings of a rule block that are not NULL, each with its place in the report."""
+    placed = [F.when(f.isNotNull(), F.struct(F.lit(rank + i).alias("position"), f.alias("finding"))) for i, f in enumerate(findings)]
+    return F.array_compact(F.array(*placed))
 
 
 def diagnosis_scores(hosts: DataFrame, findings: DataFrame) -> DataFrame:

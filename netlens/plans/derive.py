@@ -27,9 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Scatter a table that sits in fewer files than there are cores; a real data set is left alone."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if len(frame.inputFiles()) < cores else frame
+    """Deal the table by a key: the same plan at every size, whatever its files are."""
+    return frame.repartition(F.col(key))
 
 
 def _case(value: Column, mapping: dict, default: object) -> Column:

@@ -37,5 +37,8 @@ def local_session(app: str = "netlens", cpus: str | None = None, partitions: int
 
 
 def checkpoint_root(spark: SparkSession, fallback: str) -> str:
-    """The shared folder the cluster names; ``fallback`` only where the setting is absent (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+    """The shared folder the cluster names; ``fallback`` only in a local session that names none (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or fallback

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netlens.functions import redact as R
 from netlens.functions import url as U
 from netlens.functions.numbers import half_even, text_or, whole
-from netlens.sources.jsonl import session_name
+from netlens.sources.jsonl import session_of
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,8 @@ class Archive:
 
 def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Archive:
     """Entries and rejected documents of a folder of ``.har`` files."""
-    documents = spark.read.text(path, wholetext=True).select(
-        session_name(F.col("_metadata.file_path")).alias("session_id"), F.make_valid_utf8(F.col("value")).alias("value")
+    documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        session_of(spark, path).alias("session_id"), F.make_valid_utf8(F.col("value")).alias("value")
     )
     return split_documents(documents, show_sensitive)
 

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from netlens.functions import address as A
 from netlens.operators.skew import attach_by_key
-from netlens.sources.jsonl import file_position, session_name
+from netlens.sources.jsonl import file_position, session_of
 
 LISTING = ["host", "snapshot_no"]
 
 
 def read_listing(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a folder of ``<host>.<snapshot_no>.txt`` files (snapshot 0 without a number)."""
-    name = session_name(F.col("_metadata.file_path"))
+    name = session_of(spark, path)
     number = F.regexp_extract(name, r"\.([0-9]+)$", 1)
     return spark.read.text(path).select(
         F.regexp_replace(name, r"\.[0-9]+$", "").alias("host"),

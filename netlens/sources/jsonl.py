@@ -7,6 +7,7 @@ survive and wrongly typed fields read as NULL instead of failing the job.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,17 +52,25 @@ def file_position(spark: SparkSession) -> Column:
     return F.shiftleft(_split_number(spark), POSITION_BITS).bitwiseOR(row)
 
 
-def session_name(path: Column) -> Column:
-    """File name without folders and without its last extension, percent escapes undone."""
-    return F.try_url_decode(
-        F.replace(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", ""), F.lit("+"), F.lit("%2B"))
-    )
+def session_of(spark: SparkSession, path: str) -> Column:
+    """Identity of a recording: its path below the folder ``path``, without the last extension, escapes undone.
+
+    Files of one name in different folders stay apart; below a glob, the folder is what stands before its first pattern.
+    A single file gives the bare file name.
+    """
+    plain = re.split(r"/[^/]*[*?\[{]", path)[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(plain or "/")
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = re.sub("^([a-z]+):/+", r"\1:/", system.makeQualified(hadoop).toUri().toString()).rstrip("/") + "/"
+    file = F.regexp_replace(F.col("_metadata.file_path"), "^([a-z]+):/+", "$1:/")
+    below = F.when(file.startswith(root), F.substring(file, len(root) + 1, 1 << 20)).otherwise(F.element_at(F.split(file, "/"), -1))
+    return F.try_url_decode(F.replace(F.regexp_replace(below, r"\.[^./]*$", ""), F.lit("+"), F.lit("%2B")))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, seq, value) of every line."""
-    return spark.read.text(path).select(
-        session_name(F.col("_metadata.file_path")).alias("session_id"),
+    return spark.read.text(path, recursiveFileLookup=True).select(
+        session_of(spark, path).alias("session_id"),
         file_position(spark).alias("seq"),
         F.make_valid_utf8(F.col("value")).alias("value"),
     )
@@ -153,7 +162,7 @@ def stream_recordings(spark: SparkSession, path: str, files_per_trigger: int | N
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     lines = reader.load(path).select(
-        session_name(F.col("_metadata.file_path")).alias("session_id"),
+        session_of(spark, path).alias("session_id"),
         _split_number(spark).alias("split"),
         F.make_valid_utf8(F.col("value")).alias("value"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.sources.jsonl import file_position, session_name
+from netlens.sources.jsonl import file_position, session_of
 
 # What a host.port pair looks like and how DNS questions and answers are written.
 ENDPOINT = r"((?:\d{1,3}\.){3}\d{1,3}|[0-9a-fA-F:]+)\.(\d+)"
@@ -21,7 +21,7 @@ ANSWER_EXACT = r"(?i)\b(\d+)[*|$-]*\s+(?:\[[^\]]*\]\s*)*(?:NXDomain|ServFail|\d+
 def read_packet_log(spark: SparkSession, path: str) -> DataFrame:
     """(capture_id, seq, value) lines of a folder of packet logs."""
     return spark.read.text(path).select(
-        session_name(F.col("_metadata.file_path")).alias("capture_id"),
+        session_of(spark, path).alias("capture_id"),
         file_position(spark).alias("seq"),
         F.make_valid_utf8(F.col("value")).alias("value"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.schemas import CONNECTION_FIELDS
-from netlens.sources.jsonl import session_name
+from netlens.sources.jsonl import session_of
 
 COUNTER = (
     "struct<rx_bytes:bigint,tx_bytes:bigint,rx_packets:bigint,tx_packets:bigint,rx_errors:bigint,tx_errors:bigint,"
@@ -65,12 +65,19 @@ LEAK_REPORT = (
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(host, value) rows, one JSON document per file."""
     return spark.read.text(path, wholetext=True).select(
-        session_name(F.col("_metadata.file_path")).alias("host"), F.make_valid_utf8(F.col("value")).alias("value")
+        session_of(spark, path).alias("host"), F.make_valid_utf8(F.col("value")).alias("value")
     )
 
 
+def rejected_documents(documents: DataFrame) -> DataFrame:
+    """The documents that ``parse_documents`` leaves out, each with its reason and whole text."""
+    bad = documents.where(F.get_json_object("value", "$").isNull())
+    kept = [name for name in documents.columns if name != "value"]
+    return bad.select(*kept, F.lit("malformed JSON").alias("reason"), "value")
+
+
 def parse_documents(documents: DataFrame, schema: str) -> DataFrame:
-    """Typed columns of the documents; ``snapshot_no`` from their time, unreadable documents dropped."""
+    """Typed columns of the documents; ``snapshot_no`` from their time, unreadable documents are in ``rejected_documents``."""
     read = documents.withColumn("_d", F.from_json("value", schema)).where(F.get_json_object("value", "$").isNotNull())
     kept = [name for name in documents.columns if name != "value"]
     moment = F.unix_millis(F.col("_d.timestamp").try_cast("timestamp"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from netlens.functions.numbers import whole
 from netlens.operators import recorder
 from netlens.operators.normalize import normalize
 from netlens.sinks.documents import event_lines, write_bundle
@@ -21,11 +22,11 @@ def live_counters(events: DataFrame) -> DataFrame:
 def live_totals(events: DataFrame) -> DataFrame:
     """Failures, HTTP errors and encoded bytes so far per session (update mode)."""
     method = F.col("method")
-    get = lambda path: F.try_variant_get("body", "$.params." + path, "bigint")
+    get = lambda path: whole(F.try_variant_get("body", "$.params." + path, "string"))
     return events.where(F.col("type") == "cdp_event").groupBy("session_id").agg(
         F.count_if(method == recorder.FAILED).alias("network_failures"),
         F.count_if((method == recorder.RESPONSE) & (get("response.status") >= 400)).alias("http_errors"),
-        F.sum(F.when(method == recorder.FINISHED, F.coalesce(get("encodedDataLength"), F.lit(0))).otherwise(0)).alias("encoded_bytes"),
+        F.sum(F.when(method == recorder.FINISHED, get("encodedDataLength")).otherwise(0)).alias("encoded_bytes"),
     )
 
 

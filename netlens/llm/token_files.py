@@ -8,6 +8,7 @@ skip stripes and row groups that lack the ids it wants.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from netlens.llm import texts
 
 #: Pieces whose ids a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: A point or comma that ends a word; the tokenizer splits before it in any case.
+_MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20), "compression": "zstd",
@@ -43,16 +46,22 @@ def tokenizer(path: str):
 class PieceEncoder:
     """Ids of whole texts, put together from the ids of their pieces between blanks and line feeds.
 
-    For tokenizers that drop white space and never join across it: there a piece has the same ids in every text, so a
-    task encodes each distinct piece once.
+    For tokenizers that fold case, drop white space and never join across it: there a piece has the same ids in every
+    text, so a task encodes each distinct piece once, whatever its case or the mark behind it.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.codes = tokenizer(path), {}
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    @staticmethod
+    def _pieces(value: str) -> list[str]:
+        if "<|" not in value:  # special tokens are matched before case is folded
+            value = _MARK.sub(r" \1", value.encode().lower().decode())
+        return value.replace("\n", " ").split(" ")
+
     def encode(self, values: list[str]) -> Iterator[np.ndarray]:
-        parts = [value.replace("\n", " ").split(" ") for value in values]
+        parts = [self._pieces(value) for value in values]
         fresh = list(set().union(*parts) - self.codes.keys())
         if len(self.codes) + len(fresh) > REMEMBERED:
             fresh = list(set().union(*parts))

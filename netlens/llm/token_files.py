@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm import texts
 
-#: Pieces whose ids a task remembers; beyond that it forgets all and starts again.
+#: Pieces whose ids a Python worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 600_000
 #: A point or comma that ends a word; the tokenizer splits before it in any case.
 _MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
@@ -28,6 +28,7 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(32 << 20), "compression": "zstd",
 }
 _LOADED: dict = {}
+_ENCODERS: dict = {}
 
 
 def tokenizer(path: str):
@@ -87,7 +88,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = PieceEncoder(vocabulary), 0
+        # Kept with the process: the next task of a reused worker knows the pieces already.
+        encoder, place = _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary)), 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
             column = batch.column(2)

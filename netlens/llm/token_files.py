@@ -80,6 +80,13 @@ class PieceEncoder:
             yield self.flat[np.arange(total) + np.repeat(self.begin[codes] - (ends - sizes), sizes)]
 
 
+def piece_encoder(path: str) -> PieceEncoder:
+    """The encoder of a Python worker: the next task of a reused worker knows its pieces already."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Encode ``docs`` (doc_id, text; null text: empty) and write ORC files of part, place, doc_id and ids.
 
@@ -88,8 +95,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Kept with the process: the next task of a reused worker knows the pieces already.
-        encoder, place = _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary)), 0
+        encoder, place = piece_encoder(vocabulary), 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
             column = batch.column(2)

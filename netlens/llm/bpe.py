@@ -25,7 +25,7 @@ from netlens.llm import texts
 from netlens.llm.token_files import tokenizer
 
 #: One byte in so many is a cut, on average.
-CHUNK = 512
+CHUNK = 2048
 #: Bytes of chunks and windows that a task remembers with their ids; beyond that it forgets all and starts again.
 REMEMBERED = 24 << 20
 _GEAR = texts.mix(np.arange(301, 557, dtype=np.uint64)).astype(np.uint32)
@@ -162,11 +162,12 @@ class Decoder:
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         letters = _letters()
-        self.bytes = {number: bytes(letters[c] for c in token) for token, number in described["model"]["vocab"].items()}
-        self.bytes |= {added["id"]: added["content"].encode() for added in described["added_tokens"]}
+        known = {number: bytes(letters[c] for c in token) for token, number in described["model"]["vocab"].items()}
+        known |= {added["id"]: added["content"].encode() for added in described["added_tokens"]}
+        self.bytes = np.array([known.get(number) for number in range(max(known) + 1)], object)
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return b"".join(self.bytes[ids].tolist()).decode("utf-8", "replace")
 
 
 def _letters() -> dict[str, int]:

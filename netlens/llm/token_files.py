@@ -11,6 +11,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20), "compression": "zstd",
 }
+#: Stands between the pieces that are given to the tokenizer as one line; a piece that holds it is given alone.
+_BETWEEN = "|"
+#: Pieces of a line.
+_LINE = 256
 _LOADED: dict = {}
 _ENCODERS: dict = {}
 
@@ -48,11 +53,15 @@ class PieceEncoder:
     """Ids of whole texts, put together from the ids of their pieces between blanks and line feeds.
 
     For tokenizers that fold case, drop white space and never join across it: there a piece has the same ids in every
-    text, so a task encodes each distinct piece once, whatever its case or the mark behind it.
+    text, so a task encodes each distinct piece once, whatever its case or the mark behind it. New pieces go to the
+    tokenizer by lines, and the token of the mark between them tells their ids apart.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.codes = tokenizer(path), {}
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        if len(self.between) != 1:
+            raise ValueError(f"the vocabulary must have {_BETWEEN} as one token")
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -68,10 +77,8 @@ class PieceEncoder:
             fresh = list(set().union(*parts))
             self.codes, self.flat, self.begin = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32)])
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(ids) for ids in found])])
+            self._learn([piece for piece in fresh if _BETWEEN not in piece], _LINE)
+            self._learn([piece for piece in fresh if _BETWEEN in piece], 1)
         for pieces in parts:
             codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
             sizes = self.begin[codes + 1] - self.begin[codes]
@@ -79,6 +86,21 @@ class PieceEncoder:
             total = int(ends[-1])
             yield self.flat[np.arange(total) + np.repeat(self.begin[codes] - (ends - sizes), sizes)]
 
+    def _learn(self, fresh: list[str], together: int) -> None:
+        """Remember the ids of new pieces, given to the tokenizer so many at a time."""
+        between = self.between if together > 1 else []
+        lines = [f" {_BETWEEN} ".join(fresh[i : i + together]) for i in range(0, len(fresh), together)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        if together > 1:
+            flat = np.fromiter(chain.from_iterable(chain(e.ids, between) for e in found), np.uint32)
+            ends = np.flatnonzero(flat == between[0])
+            sizes, flat = np.diff(ends, prepend=-1) - 1, flat[flat != between[0]]
+        else:
+            sizes, flat = np.array([len(e.ids) for e in found], np.int64), np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+
 
 def piece_encoder(path: str) -> PieceEncoder:
     """The encoder of a Python worker: the next task of a reused worker knows its pieces already."""

@@ -8,13 +8,13 @@ skip stripes and row groups that lack the ids it wants.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ from netlens.llm import texts
 #: Pieces whose ids a Python worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 600_000
 #: A point or comma that ends a word; the tokenizer splits before it in any case.
-_MARK = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n])")
+_MARK = r"([a-z])([.,])([ \n])"
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20), "compression": "zstd",
@@ -49,6 +49,14 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def _folded(column: pa.Array) -> pa.Array:
+    """A large string column without nulls, A-Z lower-cased byte by byte."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(texts.LOWER[data])])
+
+
 class PieceEncoder:
     """Ids of whole texts, put together from the ids of their pieces between blanks and line feeds.
 
@@ -65,26 +73,33 @@ class PieceEncoder:
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
-    def _pieces(value: str) -> list[str]:
-        if "<|" not in value:  # special tokens are matched before case is folded
-            value = _MARK.sub(r" \1", value.encode().lower().decode())
-        return value.replace("\n", " ").split(" ")
-
-    def encode(self, values: list[str]) -> Iterator[np.ndarray]:
-        parts = [self._pieces(value) for value in values]
-        fresh = list(set().union(*parts) - self.codes.keys())
+    def _pieces(column: pa.Array) -> pa.Array:
+        """The pieces of every text, as lists."""
+        marked = pc.replace_substring_regex(_folded(column), pattern=_MARK, replacement=r"\1 \2\3")
+        # Special tokens are matched before case is folded.
+        column = pc.if_else(pc.match_substring(column, "<|"), column, marked)
+        return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+
+    def encode(self, values: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """Ids of every text of some (null: none)."""
+        column = values.cast(pa.large_string()) if isinstance(values, pa.Array) else pa.array(values, pa.large_string())
+        lists = self._pieces(column.fill_null(""))
+        pieces = lists.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        fresh = [piece for piece in distinct if piece not in self.codes]
         if len(self.codes) + len(fresh) > REMEMBERED:
-            fresh = list(set().union(*parts))
+            fresh = distinct
             self.codes, self.flat, self.begin = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if fresh:
             self._learn([piece for piece in fresh if _BETWEEN not in piece], _LINE)
             self._learn([piece for piece in fresh if _BETWEEN in piece], 1)
-        for pieces in parts:
-            codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-            sizes = self.begin[codes + 1] - self.begin[codes]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1])
-            yield self.flat[np.arange(total) + np.repeat(self.begin[codes] - (ends - sizes), sizes)]
+        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        sizes = self.begin[codes + 1] - self.begin[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[codes] - ends[:-1], sizes)]
+        bounds = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[first:last]
 
     def _learn(self, fresh: list[str], together: int) -> None:
         """Remember the ids of new pieces, given to the tokenizer so many at a time."""
@@ -122,8 +137,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
         for batch in batches:
             column = batch.column(2)
             for block in texts.blocks(column):
-                values = pa.array(column[block.first : block.last]).fill_null("").to_pylist()
-                found = [np.concatenate([ids, end]) for ids in encoder.encode(values)]
+                found = [np.concatenate([ids, end]) for ids in encoder.encode(column[block.first : block.last])]
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int32)))
                 part, doc_id = (batch.column(i).slice(block.first, len(found)) for i in (0, 1))

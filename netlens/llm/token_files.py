@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
+from netlens.llm.common import stage
 
 #: Pieces whose ids a Python worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 600_000
@@ -168,7 +169,8 @@ def token_digests(tokens: DataFrame) -> DataFrame:
                 sums.append(zlib.crc32(ids.tobytes()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = tokens.select("part", "place", "doc_id", "ids").mapInArrow(digest, "part int, place long, doc_id long, n_tokens long, ids_crc32 long")
+    # One small row per document, read twice below; the files themselves are read once.
+    rows = stage(tokens.select("part", "place", "doc_id", "ids").mapInArrow(digest, "part int, place long, doc_id long, n_tokens long, ids_crc32 long"), "tokens-digests")
     # Running totals inside each file, and over the files' totals: no window over all documents.
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,8 @@ the cut at which the tokenizer splits under all circumstances to the first such
 until its ends are token boundaries of the chunks on both sides.
 
 Such a place is a blank between two visible characters: byte-level BPE of this kind splits before the blank that starts
-a word, and no special token holds a blank.
+a word, and no special token holds a blank. A chunk that is new to the task is itself cut there, and the tokenizer sees
+each distinct piece once, many pieces in one call; the byte lengths of the tokens tell their ids apart.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,12 @@ from netlens.llm.token_files import tokenizer
 CHUNK = 2048
 #: Bytes of chunks and windows that a task remembers with their ids; beyond that it forgets all and starts again.
 REMEMBERED = 24 << 20
+#: Pieces of new chunks that a Python worker remembers with their ids, and their bytes; beyond either it starts again.
+PIECES, PIECE_BYTES = 400_000, 24 << 20
+#: Pieces that go to the tokenizer as one text.
+_LINE = 256
+_ENCODERS: dict = {}
+_DECODERS: dict = {}
 _GEAR = texts.mix(np.arange(301, 557, dtype=np.uint64)).astype(np.uint32)
 _SEEN = np.zeros(256, bool)
 _SEEN[0x21:0x7F] = True
@@ -71,15 +79,56 @@ class ChunkEncoder:
             self.size[number] = len(token)  # one character per byte
         for added in described["added_tokens"]:
             self.size[added["id"]] = len(added["content"].encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew with the pieces: number of each, all their ids, and where the ids of each begin."""
+        self.codes, self.flat, self.begin, self.piece_bytes = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64), 0
 
     def learn(self, pieces: set[bytes]) -> None:
         fresh = [p for p in pieces if p not in self.known]
         if self.held + sum(map(len, fresh)) > REMEMBERED:
             self.known, self.held, fresh = {}, 0, list(pieces)
         self.held += sum(map(len, fresh))
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
-        for piece, found in zip(fresh, encoded):
-            self.known[piece] = np.array(found.ids, np.uint32)
+        self.known.update(zip(fresh, self._by_pieces(fresh)))
+
+    def _by_pieces(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Ids of every chunk, put together from those of its pieces."""
+        if not chunks:
+            return []
+        data, bounds = np.frombuffer(b"".join(chunks), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
+        edges = np.union1d(bounds, split_places(texts.Block(0, len(chunks), data, bounds))).astype(np.int64)
+        column = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        pieces = column.dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        fresh = [piece for piece in distinct if piece not in self.codes]
+        if len(self.codes) + len(fresh) > PIECES or self.piece_bytes + sum(map(len, fresh)) > PIECE_BYTES:
+            self._forget()
+            fresh = distinct
+        self._learn_pieces([piece for piece in fresh if _joins(piece)], _LINE)
+        self._learn_pieces([piece for piece in fresh if not _joins(piece)], 1)
+        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        sizes = self.begin[codes + 1] - self.begin[codes]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[codes] - ends[:-1], sizes)]
+        return [part.copy() for part in np.split(ids, ends[np.searchsorted(edges, bounds[1:-1])])]
+
+    def _learn_pieces(self, fresh: list[bytes], together: int) -> None:
+        """Remember the ids of new pieces, given to the tokenizer so many at a time."""
+        if not fresh:
+            return
+        lines = [b"".join(fresh[i : i + together]).decode() for i in range(0, len(fresh), together)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        sizes = np.array([len(piece) for piece in fresh], np.int64)
+        reached, wanted = np.cumsum(self.size[flat]), np.cumsum(sizes)
+        at = np.searchsorted(reached, wanted)
+        if not np.array_equal(reached[at], wanted):
+            raise ValueError("the tokenizer joins text across a blank between visible characters")
+        self.codes.update(zip(fresh, range(len(self.codes), len(self.codes) + len(fresh))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + at + 1])
+        self.flat = np.concatenate([self.flat, flat])
+        self.piece_bytes += int(sizes.sum())
 
     def encode(self, block: texts.Block) -> Iterator[np.ndarray]:
         raw, cuts, splits = block.data.tobytes(), cut_places(block), split_places(block)
@@ -145,6 +194,18 @@ class ChunkEncoder:
         return self.known[piece]
 
 
+def _joins(piece: bytes) -> bool:
+    """Whether pieces like this one can follow each other in one text: a blank, then visible from end to end."""
+    return len(piece) > 2 and piece[0] == 0x20 and bool(_SEEN[piece[1]] or piece[1] == 0xC3) and bool(_SEEN[piece[-1]] or piece[-2] == 0xC3)
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder of a Python worker: the next task of a reused worker knows its chunks and pieces already."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def _merged(windows: list) -> list:
     found: list = []
     for a, b in sorted(windows):
@@ -170,6 +231,13 @@ class Decoder:
         return b"".join(self.bytes[ids].tolist()).decode("utf-8", "replace")
 
 
+def decoder(path: str) -> Decoder:
+    """The decoder of a Python worker."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(path)
+    return _DECODERS[path]
+
+
 def _letters() -> dict[str, int]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -181,7 +249,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids of every row of ``docs`` (doc_id, text; null text: empty); rows keep their number and repeat as given."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = chunk_encoder(vocabulary)
         for batch in batches:
             for block in texts.blocks(batch.column(1)):
                 found = list(encoder.encode(block))
@@ -197,9 +265,9 @@ def decode(tokens: DataFrame, vocabulary: str, name: str = "text") -> DataFrame:
     """``tokens`` (doc_id, ids) with the decoded text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(vocabulary)
+        decode_ids = decoder(vocabulary).decode
         for batch in batches:
-            found = [decoder.decode(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column(1)]
+            found = [decode_ids(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", name])
 
     return tokens.select("doc_id", "ids").mapInArrow(scan, f"doc_id long, ids array<int>, {name} string")

@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +97,9 @@ class ChunkEncoder:
         if not chunks:
             return []
         data, bounds = np.frombuffer(b"".join(chunks), np.uint8), np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
-        edges = np.union1d(bounds, split_places(texts.Block(0, len(chunks), data, bounds))).astype(np.int64)
+        edges = np.concatenate([bounds, split_places(texts.Block(0, len(chunks), data, bounds))]).astype(np.int64)
+        edges.sort()
+        edges = edges[np.diff(edges, prepend=-1) > 0]
         column = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
         pieces = column.dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
@@ -105,8 +107,9 @@ class ChunkEncoder:
         if len(self.codes) + len(fresh) > PIECES or self.piece_bytes + sum(map(len, fresh)) > PIECE_BYTES:
             self._forget()
             fresh = distinct
-        self._learn_pieces([piece for piece in fresh if _joins(piece)], _LINE)
-        self._learn_pieces([piece for piece in fresh if not _joins(piece)], 1)
+        joining = [_joins(piece) for piece in fresh]
+        self._learn_pieces(list(compress(fresh, joining)), _LINE)
+        self._learn_pieces([piece for piece, joins in zip(fresh, joining) if not joins], 1)
         codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
         sizes = self.begin[codes + 1] - self.begin[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])

@@ -30,12 +30,10 @@ from netlens.llm.token_files import tokenizer
 CHUNK = 2048
 #: Bytes of chunks and windows that a task remembers with their ids; beyond that it forgets all and starts again.
 REMEMBERED = 24 << 20
-#: Pieces of new chunks that a Python worker remembers with their ids, and their bytes; beyond either it starts again.
-PIECES, PIECE_BYTES = 400_000, 24 << 20
+#: Pieces of new chunks that a task remembers with their ids, and their bytes; beyond either it starts again.
+PIECES, PIECE_BYTES = 200_000, 8 << 20
 #: Pieces that go to the tokenizer as one text.
 _LINE = 256
-_ENCODERS: dict = {}
-_DECODERS: dict = {}
 _GEAR = texts.mix(np.arange(301, 557, dtype=np.uint64)).astype(np.uint32)
 _SEEN = np.zeros(256, bool)
 _SEEN[0x21:0x7F] = True
@@ -202,13 +200,6 @@ def _joins(piece: bytes) -> bool:
     return len(piece) > 2 and piece[0] == 0x20 and bool(_SEEN[piece[1]] or piece[1] == 0xC3) and bool(_SEEN[piece[-1]] or piece[-2] == 0xC3)
 
 
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """The encoder of a Python worker: the next task of a reused worker knows its chunks and pieces already."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def _merged(windows: list) -> list:
     found: list = []
     for a, b in sorted(windows):
@@ -234,13 +225,6 @@ class Decoder:
         return b"".join(self.bytes[ids].tolist()).decode("utf-8", "replace")
 
 
-def decoder(path: str) -> Decoder:
-    """The decoder of a Python worker."""
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(path)
-    return _DECODERS[path]
-
-
 def _letters() -> dict[str, int]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -252,7 +236,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids of every row of ``docs`` (doc_id, text; null text: empty); rows keep their number and repeat as given."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(vocabulary)
+        encoder = ChunkEncoder(vocabulary)
         for batch in batches:
             for block in texts.blocks(batch.column(1)):
                 found = list(encoder.encode(block))
@@ -268,7 +252,7 @@ def decode(tokens: DataFrame, vocabulary: str, name: str = "text") -> DataFrame:
     """``tokens`` (doc_id, ids) with the decoded text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = decoder(vocabulary).decode
+        decode_ids = Decoder(vocabulary).decode
         for batch in batches:
             found = [decode_ids(ids.values.to_numpy(zero_copy_only=False)) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["doc_id", "ids", name])

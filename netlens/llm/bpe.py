@@ -29,9 +29,9 @@ from netlens.llm.token_files import tokenizer
 #: One byte in so many is a cut, on average.
 CHUNK = 2048
 #: Bytes of chunks and windows that a task remembers with their ids; beyond that it forgets all and starts again.
-REMEMBERED = 24 << 20
+REMEMBERED = 12 << 20
 #: Pieces of new chunks that a task remembers with their ids, and their bytes; beyond either it starts again.
-PIECES, PIECE_BYTES = 200_000, 8 << 20
+PIECES, PIECE_BYTES = 120_000, 8 << 20
 #: Pieces that go to the tokenizer as one text.
 _LINE = 256
 _GEAR = texts.mix(np.arange(301, 557, dtype=np.uint64)).astype(np.uint32)
@@ -260,14 +260,32 @@ def decode(tokens: DataFrame, vocabulary: str, name: str = "text") -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(scan, f"doc_id long, ids array<int>, {name} string")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digest_rows(doc_id: pa.Array, ids: pa.Array, decoded: list[str]) -> pa.RecordBatch:
+    sums = [hashlib.sha256(each.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes()).hexdigest() for each in ids]
+    sizes = ids.value_lengths().cast(pa.int64())
+    return pa.RecordBatch.from_arrays([doc_id, sizes, pa.array(sums, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256 of (doc_id, ids, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [hashlib.sha256(ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes()).hexdigest() for ids in batch.column(1)]
-            decoded_ = [hashlib.sha256(text.as_buffer()).hexdigest() for text in batch.column(2)]
-            sizes = batch.column(1).value_lengths().cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(sums, pa.string()), pa.array(decoded_, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield _digest_rows(batch.column(0), batch.column(1), [hashlib.sha256(text.as_buffer()).hexdigest() for text in batch.column(2)])
+
+    return decoded.select("doc_id", "ids", "text").mapInArrow(scan, DIGESTS)
+
+
+def decoded_digests(tokens: DataFrame, vocabulary: str) -> DataFrame:
+    """What ``digests`` gives for the decoded ``tokens`` (doc_id, ids), one text at a time: no decoded text is sent on."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode_ids = Decoder(vocabulary).decode
+        for batch in batches:
+            found = [hashlib.sha256(decode_ids(ids.values.to_numpy(zero_copy_only=False)).encode()).hexdigest() for ids in batch.column(1)]
+            yield _digest_rows(batch.column(0), batch.column(1), found)
 
-    return decoded.select("doc_id", "ids", "text").mapInArrow(scan, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return tokens.select("doc_id", "ids").mapInArrow(scan, DIGESTS)

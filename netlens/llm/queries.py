@@ -45,7 +45,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE))
-    return bpe.digests(bpe.decode(ids, vocabulary(BYTE_BPE)))
+    return bpe.decoded_digests(ids, vocabulary(BYTE_BPE))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,20 @@ def test_token_files_and_bpe_equal_the_tokenizer(spark, docs, rows, tmp_path):
         ids = whole.encode(t or "", add_special_tokens=False).ids
         expect.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(whole.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, found), key=str) == sorted(expect, key=str)
+    straight = bpe.decoded_digests(bpe.encode(docs, path), path).collect()
+    assert sorted(map(tuple, straight), key=str) == sorted(expect, key=str)
+
+
+def test_forgetting_pieces_keeps_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3000)
+    rng = random.Random(8)
+    values = [prose(rng, rng.choice([0, 3, 900])) for _ in range(20)]
+    encoder = bpe.ChunkEncoder(queries.vocabulary(queries.BYTE_BPE))
+    found = [ids.tolist() for block in texts.blocks(pa.array(values), 4000) for ids in encoder.encode(block)]
+    assert found == [e.ids for e in encoder.tokenizer.encode_batch(values, add_special_tokens=False)]
 
 
 def test_chunked_bpe_on_odd_texts():

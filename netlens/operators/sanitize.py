@@ -1,14 +1,14 @@
-"""Recursive redaction of event bodies of any depth.
+"""Redaction of event bodies of any depth.
 
-Catalyst has no recursion over JSON of unknown depth, so one Arrow-batched function rewrites the
-text of each event; scanning, filtering and writing stay Spark's.
+Catalyst has no recursion over JSON of unknown depth, so one Arrow-batched function rewrites the text of each event
+from the inside out, as the decoder closes its objects; scanning, filtering and writing stay Spark's.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from urllib.parse import parse_qsl, urlencode, urlsplit
+from urllib.parse import quote_plus, unquote_plus, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,51 +24,65 @@ HEADER_TEXT = "headersText"
 _SENSITIVE = re.compile(SENSITIVE_KEY)
 
 
-def _hide_body(value: object) -> str:
+def _body(value: object) -> str:
     return f"[REDACTED {len(value.encode('utf-8'))} bytes]" if isinstance(value, str) else MARKER
 
 
-def _hide_header_lines(text: str) -> str:
-    hidden = ((line, line.partition(":")[0]) for line in text.splitlines())
-    return "\n".join(f"{name}: {MARKER}" if _SENSITIVE.search(name) else line for line, name in hidden)
+def _header_lines(value: object) -> object:
+    """Text, or lists of texts, whose lines of sensitive names keep the name only."""
+    if isinstance(value, list):
+        return [_header_lines(each) for each in value]
+    if not isinstance(value, str):
+        return value
+    names = [line.partition(":")[0] for line in value.splitlines()]
+    return "\n".join(f"{name}: {MARKER}" if _SENSITIVE.search(name) else line for name, line in zip(names, value.splitlines()))
+
+
+def _field(field: str) -> str:
+    """One field of a query, encoded anew; a sensitive name gets the marker as its value."""
+    name, _, value = (unquote_plus(part) for part in field.partition("="))
+    return f"{quote_plus(name)}={quote_plus(MARKER if _SENSITIVE.search(name) else value)}"
 
 
-def _hide_url(url: str) -> str:
+def _url(value: object) -> object:
+    if not isinstance(value, str):
+        return value
     try:
-        parts = urlsplit(url)
+        parts = urlsplit(value)
     except ValueError:
-        return url
-    pairs = [(k, MARKER if _SENSITIVE.search(k) else v) for k, v in parse_qsl(parts.query, keep_blank_values=True)]
-    user, at, host = parts.netloc.rpartition("@")
-    return parts._replace(netloc=f"{MARKER}@{host}" if at else host, query=urlencode(pairs)).geturl()
-
-
-def sanitized(value: object, key: str = "") -> object:
-    """``value``, found under ``key``, without secrets."""
-    if key in BODY_KEYS:
-        return _hide_body(value)
-    if isinstance(value, str):
-        return _hide_header_lines(value) if key == HEADER_TEXT else value
-    if isinstance(value, list):
-        return [sanitized(item, key) for item in value]
-    if isinstance(value, dict):
-        return {name: _member(name, item) for name, item in value.items()}
-    return value
+        return value
+    return urlunsplit((
+        parts.scheme, re.sub("^.*@", MARKER + "@", parts.netloc), parts.path, "&".join(map(_field, filter(None, parts.query.split("&")))), parts.fragment,
+    ))
+
 
+def _members(pairs: list[tuple[str, object]]) -> dict:
+    """One JSON object as the decoder closes it: what it holds has been through here already."""
+    kept = dict(pairs)
+    for name, value in kept.items():
+        if _SENSITIVE.search(name):
+            kept[name] = MARKER
+        elif isinstance(value, str) and name.lower().endswith("url"):
+            kept[name] = _url(value)
+        elif name in BODY_KEYS:
+            kept[name] = _body(value)
+        elif name == HEADER_TEXT:
+            kept[name] = _header_lines(value)
+    return kept
 
-def _member(name: str, item: object) -> object:
-    if _SENSITIVE.search(name):
-        return MARKER
-    if isinstance(item, str) and name.lower().endswith("url"):
-        return _hide_url(item)
-    return sanitized(item, name)
+
+def _clean(text: str) -> str:
+    return json.dumps(json.loads(text, object_pairs_hook=_members), ensure_ascii=False, separators=(",", ":"))
+
+
+def sanitized(value: object) -> object:
+    """``value`` without secrets."""
+    return json.loads(_clean(json.dumps(value)))
 
 
 @F.pandas_udf(StringType())
 def _sanitize_json(texts: pd.Series) -> pd.Series:
-    return texts.map(
-        lambda text: None if text is None else json.dumps(sanitized(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
-    )
+    return texts.map(_clean, na_action="ignore")
 
 
 def sanitize_json(text: Column) -> Column:

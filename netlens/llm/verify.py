@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netlens.llm.common import BROADCAST_ROWS, bounded, stage
+
 #: Partners of one item that go in one list; an item with more has several lists.
 PARTNERS = 4096
 SIDES = "a long, b long, key long, payload binary"
@@ -25,6 +27,12 @@ def asked_of(pairs: DataFrame, places: DataFrame) -> DataFrame:
     return found.agg(F.collect_list(F.struct("key", "a", "b")).alias("pairs")).drop("part")
 
 
+def asked_rows(pairs: DataFrame, places: DataFrame, label: str) -> DataFrame:
+    """``asked_of`` as a table; broadcast only if the pairs, which its lists hold, are few."""
+    asked, most = stage(asked_of(pairs, places), label), 2 * BROADCAST_ROWS
+    return bounded(asked) if pairs.limit(most + 1).count() <= most else asked
+
+
 def sides_for(pairs: pa.Array, payloads: dict[int, bytes]) -> pa.RecordBatch:
     """Rows (a, b, key, payload) of some rows' pairs, for the keys that were found there."""
     struct = pairs.values if isinstance(pairs, pa.ListScalar) else pairs.flatten()

@@ -137,6 +137,23 @@ def test_line_dedup_keeps_one_line_of_each_component(docs, rows):
         assert r.text == (None if r.doc_id == 302 else "\n".join(left.get(-1 if r.doc_id is None else r.doc_id, [])))
 
 
+def test_line_dedup_finds_every_link_inside_mixed_buckets(spark):
+    rng = random.Random(4)
+    form = prose(rng, 12)
+    lines = []
+    for _ in range(300):  # near copies of one form, two by two
+        line = form + " " + prose(rng, 6)
+        lines += [line, line[:-1] + "!"]
+    lines = sorted(set(lines))
+    bands = line_dedup.band_keys(__import__("pyarrow").array(lines))
+    sets = [frozenset(x[i : i + 8] for i in range(len(x) - 7)) for x in lines]
+    met = np.array([(bands == b).any(axis=1) for b in bands])
+    pairs = [(a, b) for a, b in zip(*np.nonzero(met)) if b < a and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = len(set(union(range(len(lines)), pairs).values()))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert want < 310 and line_dedup.drop_repeated_lines(docs).where("text <> ''").count() == want
+
+
 def test_substring_dedup_finds_long_repeats_and_nothing_else(docs, rows):
     spans = substring_dedup.repeated_spans(docs).collect()
     text = {r[0]: r[1] for r in rows}

@@ -6,9 +6,11 @@ its own m: it lengthens its prefix (and with it the number of shared prefix elem
 as that lowers its estimated cost, which is list entries scanned plus candidates left to verify. A pair needs the
 smaller of its two m. What is left is verified exactly.
 
-Groups of copies are never expanded into all pairs. Exact copies (equal shingle sequences) become one class first. In
-each prefix list, every class is then compared with one central class; classes that link to the same centre are known
-to be in one component, so afterwards only pairs of different groups are joined. The components are exact.
+Exact copies (equal shingle sequences) become one class first. ``jaccard_links`` then verifies every pair of classes that
+shares enough prefix shingles, so no link is lost. Where only components are asked for, groups of near copies are not
+expanded into all pairs: in each prefix list, every class is compared with one central class; classes that link to the
+same centre are known to be in one component, so afterwards only pairs of different groups are joined. The components
+are exact either way.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from netlens.llm import texts
 from netlens.llm.common import bounded, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import SIDES, asked_of, jaccard_test, meet, parities, parity, parity_test, sides_for
+from netlens.llm.verify import SIDES, asked_rows, jaccard_test, meet, parities, parity, parity_test, sides_for
 
 WIDTH = 5
 PERCENT = 80
@@ -183,6 +185,16 @@ def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     pairs = few.join(many, "shingle").where(
         "group_a <> group_b and (group_b = main or key_a < key_b)"
     ).where(_alike("n_a", "n_b", percent))
+    return _asked_for(pairs)
+
+
+def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes that share as many prefix shingles as the less demanding asks for."""
+    one, other = (lists.select("shingle", *[F.col(c).alias(c + side) for c in ("key", "n", "asked")]) for side in ("_a", "_b"))
+    return _asked_for(one.join(other, "shingle").where("key_a < key_b").where(_alike("n_a", "n_b", percent)))
+
+
+def _asked_for(pairs: DataFrame) -> DataFrame:
     counted = pairs.groupBy(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least("asked_a", "asked_b")).alias("asked")
     )
@@ -197,7 +209,7 @@ def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, pe
     places = stage(facts.where("kind = 0 and key is not null").groupBy("key").agg(F.min("row").alias("row")), "join-places")
 
     def sides(pairs: DataFrame, bitmaps: bool) -> DataFrame:
-        asked = bounded(stage(asked_of(pairs, places), "join-asked"))
+        asked = asked_rows(pairs, places, "join-asked")
         rows = _rows(docs).join(asked, "row").select("text", "pairs")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,36 +230,67 @@ def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, pe
     return meet(sides(possible, False), sets, jaccard_test(percent))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """All links of ``docs``: the pairs (a, b) of different classes (class_key of ``jaccard_components``, a < b), each verified.
+
+    Every row of class a links with every row of class b, and rows of one class link with each other.
+    """
+    return _every_link(docs, _facts(docs, width), width, percent)
+
+
+def _facts(docs: DataFrame, width: int) -> DataFrame:
+    return stage(shingle_facts(docs, width), "join-facts")
+
+
+def _prefix_lists(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    return stage(_lists(prefixes(docs, _common_shingles(facts), width, percent)), "join-lists")
+
+
+def _every_link(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    pairs = stage(_all_pairs(_prefix_lists(docs, facts, width, percent), percent), "join-all-pairs")
+    return stage(verified(docs, pairs, facts, width, percent), "join-links")
+
+
+def _spanning_links(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links enough for the components; those inside a group that is known already are not looked for."""
+    lists = _prefix_lists(docs, facts, width, percent)
+    centres = stage(_centre_pairs(lists, percent), "join-centres")
+    first = stage(verified(docs, centres, facts, width, percent), "join-first")
+    groups = components(first, "join-groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
+    pairs = stage(_group_pairs(lists, groups, percent), "join-pairs")
+    return first.union(stage(verified(docs, pairs, facts, width, percent), "join-second"))
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_key
-    (equal for equal shingle sets) and links_found (links verified on the way; links inside a known group are implied and not counted). Words are runs
+    (equal for equal shingle sets), links_found (other classes that its class links with) and row_links (other rows that
+    it links with, copies in its own class among them). Without ``count_links`` the last two are left out, and links
+    inside a known group are implied instead of verified. Words are runs
     of bytes other than ASCII white space, A-Z folded. Null, empty and blank texts have no shingles and stay alone.
     Repeated rows and repeated doc_ids give a row each; a row without doc_id takes part, and its component_id is null
     if no member has one. Shingles are compared by 64-bit hashes.
     """
-    facts = stage(shingle_facts(docs, width), "join-facts")
-    found = prefixes(docs, _common_shingles(facts), width, percent)
-    lists = stage(_lists(found), "join-lists")
-    centres = stage(_centre_pairs(lists, percent), "join-centres")
-    first = stage(verified(docs, centres, facts, width, percent), "join-first")
-    groups = components(first, "join-groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
-    pairs = stage(_group_pairs(lists, groups, percent), "join-pairs")
-    second = stage(verified(docs, pairs, facts, width, percent), "join-second")
-    links = first.union(second)
-    degree = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("links_found"))
-    roots = components(links, "join-components").select(F.col("node").alias("key"), "root").join(degree, "key")
+    facts = _facts(docs, width)
+    rows = facts.where("kind = 0").drop("kind", "row")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    links = (_every_link if count_links else _spanning_links)(docs, facts, width, percent)
+    roots = components(links, "join-components").select(F.col("node").alias("key"), "root")
+    if count_links:
+        ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
+        other = classes.select(F.col("key").alias("other"), "held")
+        degree = ends.join(other, "other").groupBy("key").agg(F.count("*").alias("links_found"), F.sum("held").alias("linked_rows"))
+        roots = roots.join(degree, "key")
+    counts = {"links_found": F.coalesce("links_found", F.lit(0)), "row_links": F.coalesce("linked_rows", F.lit(0)) + F.col("held") - 1} if count_links else {}
 
     # Only linked classes and classes of several rows need a look-up; per class before the join, so copies do not weigh.
-    rows = facts.where("kind = 0").drop("kind", "row")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("key", "component_id", F.coalesce("links_found", F.lit(0)).alias("links_found"))
+    named = named.join(least, "root").select("key", "component_id", *[value.alias(name) for name, value in counts.items()])
     return rows.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("key").alias("class_key"), F.coalesce("links_found", F.lit(0)).cast("long").alias("links_found"),
+        F.col("key").alias("class_key"), *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
     )
 
 
@@ -256,6 +299,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with equal doc_id in one component the first by content stays. Columns are those of ``docs``.
     """
-    found = jaccard_components(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    found = jaccard_components(docs, count_links=False).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
     gone = bounded(stage(found, "join-gone"))
     return docs.join(gone, "doc_id", "left_anti")

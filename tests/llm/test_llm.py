@@ -86,6 +86,23 @@ def test_ngram_join_equals_all_pairs(docs, rows):
     assert any(c not in (None, i) for i, _, c in got)
 
 
+def test_ngram_join_counts_every_link(spark, rows):
+    words = prose(random.Random(8), 300).split()  # a family of near copies, each linked to every other
+    rows = rows + [(400 + i, " ".join([*words[: 30 * i], f"edit{i}", *words[30 * i + 1 :]]), "en", "s", 0, 0.5, "r") for i in range(9)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sets = [shingle_set(r[1]) for r in rows]
+    linked = [[b for b in range(len(rows)) if a != b and s and 100 * len(s & sets[b]) >= 80 * len(s | sets[b])] for a, s in enumerate(sets)]
+    want = sorted(((r[0], len({sets[b] for b in linked[i]} - {sets[i]}), len(linked[i])) for i, r in enumerate(rows)), key=str)
+    found = ngram_join.jaccard_components(docs).collect()
+    assert sorted(((r.doc_id, r.links_found, r.row_links) for r in found), key=str) == want
+    assert max(n for _, n, _ in want) > 5
+    pairs = {frozenset((sets[a], sets[b])) for a in range(len(rows)) for b in linked[a] if sets[a] != sets[b]}
+    links = ngram_join.jaccard_links(docs).collect()
+    assert len(links) == len({(r.a, r.b) for r in links}) == len(pairs)
+    assert {r.a for r in links} | {r.b for r in links} == {r.class_key for r in found if r.links_found}
+    assert "links_found" not in ngram_join.jaccard_components(docs, count_links=False).columns
+
+
 def test_empty_tables(spark, no_docs):
     assert ngram_join.jaccard_components(no_docs).count() == 0
     assert line_dedup.drop_repeated_lines(no_docs).count() == 0

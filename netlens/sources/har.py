@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netlens.functions import redact as R
 from netlens.functions import url as U
 from netlens.functions.numbers import half_even, text_or, whole
-from netlens.sources.jsonl import session_of
+from netlens.sources.jsonl import LONG_STRINGS, VARIANT_BYTES, read_json, session_of
 
 
 @dataclass(frozen=True)
@@ -40,18 +40,30 @@ ENTRY = (
 )
 
 
+# What a document too large for VARIANT is read by; without its bodies it is small. ``_bad`` is set if any of it does not fit.
+TYPED = f"struct<log:struct<entries:array<{ENTRY.replace('time:double', 'time:string')}>>,_bad:string>"
+
+
 def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Archive:
     """Entries and rejects of (session_id, value) documents."""
     # explode() pins each reading: filters pushed below a plain column would repeat it.
-    parsed = documents.select("session_id", F.explode(F.array(F.try_parse_json("value"))).alias("_doc"))
+    parsed = documents.select("session_id", "value", F.explode(F.array(read_json(F.col("value")))).alias("_doc"))
+    large = F.col("_doc").isNull() & (F.octet_length("value") > VARIANT_BYTES)
+    typed = F.when(large, F.from_json("value", TYPED, {**LONG_STRINGS, "columnNameOfCorruptRecord": "_bad"}))
+    parsed = parsed.select("session_id", "_doc", large.alias("_large"), F.explode(F.array(typed)).alias("_typed"))
+    apart = F.transform("_typed.log.entries", lambda entry: entry.withField("time", entry["time"].try_cast("double")))
     listed = F.struct(
-        F.try_variant_get("_doc", "$.log.entries", f"array<{ENTRY}>").alias("entries"),
+        F.coalesce(F.try_variant_get("_doc", "$.log.entries", f"array<{ENTRY}>"), apart).alias("entries"),
         F.try_variant_get("_doc", "$.log.entries", "variant").isNotNull().alias("present"),
     )
-    read = parsed.select("session_id", F.col("_doc").isNull().alias("_broken"), F.explode(F.array(listed)).alias("_l"))
+    fits = F.col("_typed").isNotNull() & F.col("_typed._bad").isNull()
+    read = parsed.select(
+        "session_id", F.col("_large").alias("_large"), (F.col("_doc").isNull() & ~fits).alias("_broken"), F.explode(F.array(listed)).alias("_l")
+    )
     read = read.withColumn(
         "reason",
-        F.when(F.col("_broken"), "malformed JSON").when(
+        F.when(F.col("_broken") & F.col("_large"), "larger than 128 MiB and not readable as an archive")
+        .when(F.col("_broken"), "malformed JSON").when(
             F.col("_l.present") & F.col("_l.entries").isNull(), "log.entries must be an array"
         ),
     )

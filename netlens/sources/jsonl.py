@@ -17,6 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POSITION_BITS = 33
+#: Without this, a string over 20 million characters makes its whole document unreadable.
+LONG_STRINGS = {"maxStringLen": str((1 << 31) - 1)}
+#: Largest VARIANT. What is longer is not called malformed.
+VARIANT_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -80,15 +84,22 @@ def text_of(body: Column, path: str) -> Column:
     return F.try_variant_get(body, path, "string")
 
 
+def read_json(value: Column) -> Column:
+    """VARIANT of a text, or NULL; strings of any length and NaN are read, if the whole stays within VARIANT_BYTES."""
+    # The second reading is only for the few texts that the first one leaves.
+    return F.coalesce(F.try_parse_json(value), F.from_json(value, "variant", LONG_STRINGS))
+
+
 def parse_event_lines(lines: DataFrame) -> DataFrame:
     """Add ``parsed`` (VARIANT or NULL) and ``reason`` (NULL for an event) to non-blank lines."""
     # explode() pins the parse: a plain column would be copied into every filter pushed below it.
     parsed = lines.where(F.col("value").rlike(r"\S")).select(
-        *lines.columns, F.explode(F.array(F.try_parse_json("value"))).alias("parsed")
+        *lines.columns, F.explode(F.array(read_json(F.col("value")))).alias("parsed")
     )
     return parsed.withColumn(
         "reason",
-        F.when(F.col("parsed").isNull(), "malformed JSON").when(
+        F.when(F.col("parsed").isNull() & (F.octet_length("value") > VARIANT_BYTES), "larger than 128 MiB")
+        .when(F.col("parsed").isNull(), "malformed JSON").when(
             ~F.ltrim("value", F.lit(" \t\r\n")).startswith("{"), "expected an object"
         ),
     )

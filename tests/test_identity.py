@@ -39,6 +39,24 @@ def test_unreadable_snapshots_are_kept_apart(spark):
     assert [r.host for r in snapshots.parse_documents(documents, "timestamp string").collect()] == ["i"]
 
 
+def test_large_and_odd_input_is_read(spark, tmp_path):
+    text = "x" * 21_000_000
+    lines = [_line("Network.a", body=text), _line("Network.b", size=float("nan")), "{broken\n"]
+    (tmp_path / "rec.jsonl").write_text("".join(lines))
+    found = jsonl.read_recordings(spark, str(tmp_path / "rec.jsonl"))
+    assert {r.method for r in found.events.select("method").collect()} == {"Network.a", "Network.b"}
+    assert [(r.line, r.reason) for r in found.rejects.select("line", "reason").collect()] == [(3, "malformed JSON")]
+    entries = [{"time": i, "request": {"url": f"https://e{i}.example/", "method": "GET"}, "response": {"content": {"text": text}}} for i in range(7)]
+    (tmp_path / "har").mkdir()
+    whole = json.dumps({"log": {"entries": entries}})
+    (tmp_path / "har" / "large.har").write_text(whole)
+    (tmp_path / "har" / "cut.har").write_text(whole[:-3])
+    archive = har.read_har(spark, str(tmp_path / "har"))
+    got = archive.entries.select("session_id", "seq", "domain", "duration_ms").orderBy("seq").collect()
+    assert [tuple(r) for r in got] == [("large", i, f"e{6 - i}.example", 6.0 - i) for i in range(7)]
+    assert [tuple(r) for r in archive.rejects.collect()] == [("cut", "larger than 128 MiB and not readable as an archive")]
+
+
 def test_rule_blocks_have_their_own_ranks():
     ranks = (diagnosis.LOCAL_RANK, diagnosis.LEAK_RANK, diagnosis.PROXY_RANK, diagnosis.CLEAN_RANK, diagnosis.QUALITY_RANK)
     assert list(ranks) == sorted(set(ranks))

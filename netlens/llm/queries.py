@@ -1,11 +1,11 @@
-"""The ten operators applied to their whole tables, as the registry offers them."""
+"""The operators applied to their whole tables, as the registry offers them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import bpe, forest, langid, line_dedup, ngram_join, packing, quality, substring_dedup, token_files, topk
+from netlens.llm import bpe, forest, langid, line_dedup, lm, ngram_join, packing, quality, spelling, substring_dedup, token_files, topk, whitening
 from netlens.llm.common import fold_remainder, new_folder, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -70,6 +70,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(fold_remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    found = lm.train_and_score(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline.py`` over the documents."""
     import corpus_pipeline
@@ -80,7 +95,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_nearest_neighbours, op2_ngram_jaccard_join, op3_language_id, op4_exact_topk, op5_token_files, op6_bpe, op7_substring_dedup, op8_line_dedup, op9_quality_classifier, op10_packing, pipeline,
+        op1_nearest_neighbours, op2_ngram_jaccard_join, op3_language_id, op4_exact_topk, op5_token_files, op6_bpe, op7_substring_dedup, op8_line_dedup, op9_quality_classifier, op10_packing,
+        op11_embedding_whitening, op12_lm_scoring, op13_spelling_variants, pipeline,
     )
 }
 

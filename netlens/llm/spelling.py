@@ -1,8 +1,7 @@
 """Spelling variant grouping: words one edit apart, found through a variable-length gram index.
 
-* Gram dictionary: grams of LEAST code points always count; longer ones, up to MOST, belong to the dictionary if the
-  gram one code point shorter is more frequent than the words can bear (the dictionary is pruned by frequency to GRAMS
-  entries, so its size is bounded whatever the input is).
+* Gram dictionary: grams of LEAST code points always count; of the longer ones, up to MOST, the GRAMS most frequent over
+  the distinct words belong to the dictionary, so its size is bounded whatever the input is.
 * A word is cut into one variable gram per position: the longest dictionary gram that starts there.
 * An edit changes few of them. ``decompose`` counts, for every place and kind of edit, the grams that contain the place or
   that could become longer across it, so two words one edit apart share at least (grams - affected) of either word's
@@ -151,10 +150,9 @@ def words(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(found: DataFrame, size: int = GRAMS) -> list[str]:
-    """The longer grams of the dictionary: those that split the ``size`` most frequent shorter ones further.
+    """The ``size`` most frequent grams of more than LEAST and up to MOST code points (ties: shorter, then smaller first).
 
-    A gram of k code points, LEAST < k <= MOST, gets in by the frequency of its first k - 1; so every prefix of an entry
-    is an entry too, or has LEAST code points, down the ranks.
+    A prefix is at least as frequent as the gram and comes before it, so the dictionary holds every longer prefix of its entries.
     """
     starts = F.sequence(F.lit(1), F.length("word") - F.lit(LEAST))
     sizes = F.sequence(F.lit(LEAST + 1), F.lit(MOST))

@@ -14,33 +14,54 @@ from netlens.operators.skew import attach_by_key, row_numbers
 from netlens.schemas import conform
 
 
-def session_facts(requests: DataFrame) -> DataFrame:
-    """Per session: first start, base domain of the page, number of requests.
-
-    The page is the first document host in order, else the first request's domain.
-    """
+def partial_facts(requests: DataFrame) -> DataFrame:
+    """Per session what some of its rows say about its first start and its page; rows of this shape can be merged."""
     host = U.url_host(F.col("document_url"))
     return (
         requests.select("session_id", "seq", "started_monotonic", "domain", host.alias("host"))
         .groupBy("session_id")
         .agg(
             F.min("started_monotonic").alias("first_start"),
-            F.min_by("host", F.when(F.col("host").isNotNull(), F.col("seq"))).alias("document_host"),
-            F.min_by("domain", "seq").alias("first_domain"),
+            F.min(F.when(F.col("host").isNotNull(), F.struct("seq", "host"))).alias("document"),
+            F.min(F.struct("seq", "domain")).alias("first"),
             F.count("*").alias("session_rows"),
         )
-        .select(
-            "session_id",
-            F.coalesce("first_start", F.lit(0.0)).alias("first_start"),
-            U.base_domain(F.coalesce("document_host", "first_domain")).alias("page_domain"),
-            "session_rows",
-        )
     )
 
 
-def normalize(requests: DataFrame, patterns: Sequence[str] = U.TRACKER_PATTERNS) -> DataFrame:
-    """Add start time text, offset, third-party and tracker flags and compression ratio."""
-    attached = attach_by_key(requests, session_facts(requests), ["session_id"], "session_rows", ["seq"])
+def merged_facts(partial: DataFrame) -> DataFrame:
+    """Per session: first start, base domain of the page, number of requests.
+
+    The page is the first document host in order, else the first request's domain.
+    """
+    merged = partial.groupBy("session_id").agg(
+        F.min("first_start").alias("first_start"), F.min("document").alias("document"), F.min("first").alias("first"),
+        F.sum("session_rows").alias("session_rows"),
+    )
+    return _page(merged)
+
+
+def session_facts(requests: DataFrame) -> DataFrame:
+    """The same straight from all rows of the sessions."""
+    return _page(partial_facts(requests))
+
+
+def _page(facts: DataFrame) -> DataFrame:
+    return facts.select(
+        "session_id",
+        F.coalesce("first_start", F.lit(0.0)).alias("first_start"),
+        U.base_domain(F.coalesce("document.host", "first.domain")).alias("page_domain"),
+        "session_rows",
+    )
+
+
+def normalize(requests: DataFrame, patterns: Sequence[str] = U.TRACKER_PATTERNS, facts: DataFrame | None = None) -> DataFrame:
+    """Add start time text, offset, third-party and tracker flags and compression ratio.
+
+    ``facts`` are the session facts, where they are known already.
+    """
+    known = session_facts(requests) if facts is None else facts
+    attached = attach_by_key(requests, known, ["session_id"], "session_rows", ["seq"])
     start = F.col("started_monotonic")
     return attached.withColumns(
         {

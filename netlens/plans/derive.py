@@ -203,6 +203,28 @@ def har_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(name.alias("session_id"), F.to_json(log).alias("value"))
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a mixed folder: browser recordings (some with proxy lines in them), proxy logs (some with socket lines in
+    them), socket recordings and recordings of nothing that is known. Archives are in ``mixed_archives``."""
+    user = F.col("session_id").cast("bigint")
+    proxied = proxy_lines(spark, sf_dir)
+    web = cdp_lines(spark, sf_dir).where(user % 4 == 0).withColumn("seq", F.col("seq") * 2)
+    inner = proxied.where(user % 8 == 0).withColumn("seq", F.col("seq") * 8 + 1)
+    proxy = proxied.where(user % 4 == 1).withColumn("seq", F.col("seq") * 8)
+    sockets = connection_lines(spark, sf_dir)
+    within = _events(spark, sf_dir).where("user_id % 8 = 1").select(
+        F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") * 8 + 1).alias("seq"),
+        F.lit('{"type":"connection_open","connection":{"process":"p"}}').alias("value"),
+    )
+    notes = proxied.where(user % 4 == 3).withColumn("value", F.lit('{"type":"note"}'))
+    return web.unionByName(inner).unionByName(proxy).unionByName(sockets).unionByName(within).unionByName(notes)
+
+
+def mixed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of the mixed folder."""
+    return har_documents(spark, sf_dir).where("CAST(split(session_id, '-')[0] AS BIGINT) % 4 = 2")
+
+
 # --- sockets and interfaces ---------------------------------------------------------------------
 
 

@@ -140,6 +140,58 @@ correlated AS (
 )
 """
 
+# A mixed folder: browser recordings, proxy logs and archives as one request table.
+MIXED = HOPS + f""",
+mixed AS (
+  SELECT session_id, seq * 2 AS seq, url, domain, scheme, status, protocol, duration_ms, transfer_bytes, body_bytes, failed, from_cache,
+         redirect, started, document_url, CASE WHEN NOT redirect THEN tls_protocol END AS tls_protocol, 'chrome-cdp' AS source_type
+  FROM (SELECT c.*, r.scheme, r.started, r.document_url, r.tls_protocol
+        FROM correlated c JOIN requests r ON c.session_id = r.session_id AND c.seq = r.seq * 4 WHERE r.user_id % 4 = 0)
+  UNION ALL
+  SELECT session_id, seq * 8, CASE WHEN method = 'POST' THEN domain || ':443' ELSE url END, domain,
+         CASE WHEN method = 'POST' THEN 'https' ELSE scheme END, CASE WHEN method = 'POST' THEN 0 ELSE status END,
+         CASE WHEN method = 'POST' THEN 'HTTP/1.1' ELSE protocol END, duration_ms, transfer_bytes + body_bytes, body_bytes, failed, false, false,
+         NULL, '', NULL, 'proxy-jsonl' FROM requests WHERE user_id % 4 = 1
+  UNION ALL
+  SELECT session_id || '-' || CAST(seq // {ID_SPAN} AS VARCHAR),
+         row_number() OVER (PARTITION BY session_id, seq // {ID_SPAN} ORDER BY duration_ms DESC, seq) - 1,
+         CASE WHEN contains(url, '?') THEN
+           regexp_extract(url, '^([^?#]*)', 1) || '?' || array_to_string(list_transform(
+             list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> ''),
+             lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&') || regexp_extract(url, '^[^#]*(#.*)$', 1)
+           ELSE url END, domain, scheme, CASE WHEN failed THEN 0 ELSE status END, protocol, duration_ms,
+         body_bytes + CASE WHEN from_cache THEN 0 ELSE 100 END, body_bytes, failed OR status = 0, from_cache, false, NULL, '', NULL, 'har'
+  FROM requests WHERE user_id % 4 = 2
+),
+facts AS (
+  SELECT session_id, min(started) AS first_start,
+         {BASE.format("coalesce(arg_min(domain, seq) FILTER (document_url <> ''), arg_min(domain, seq))")} AS page_domain
+  FROM mixed GROUP BY session_id
+),
+normalized AS (
+  SELECT r.*, coalesce(round_even((r.started - f.first_start) * 1000, 2), 0.0) AS offset_ms,
+         {BASE.format("r.domain")} <> f.page_domain AS third_party,
+         contains(lower(r.url), 'utm_source=') OR contains(lower(r.url), 'free-bets') AS tracker, (failed OR status >= 400) AS is_error
+  FROM mixed r JOIN facts f USING (session_id)
+)
+"""
+
+MIXED_PROFILE = MIXED + PROFILE.removeprefix(NORMALIZED)
+
+RECOMMENDATIONS = {
+    "unencrypted-http": "Use HTTPS for every non-local resource.",
+    "legacy-tls": "Disable TLS 1.0/1.1 on the server.",
+    "request-errors": "Inspect the failed-request table and fix broken dependencies or blocked resources.",
+    "slow-requests": "Reduce server latency, connection setup, or resource size; prioritize critical resources.",
+    "large-resources": "Compress, resize, lazy-load, or split large assets.",
+    "duplicate-requests": "Deduplicate application fetches and verify caching headers.",
+    "tracking-requests": "Review consent, necessity, retention, and third-party privacy terms.",
+    "third-party-heavy": "Audit third-party dependencies and self-host critical assets where practical.",
+    "http1-heavy": "Enable HTTP/2 or HTTP/3 where supported.",
+    "low-cache-hit": "Review Cache-Control, ETag and immutable asset naming.",
+    "clean-session": "",
+}
+
 DOCUMENT_URLS = "SELECT page_id, url FROM pages"
 
 
@@ -164,40 +216,8 @@ def _top(order: str, n: int, where: str = "true") -> str:
     )
 
 
-def request_statements() -> dict[str, str]:
-    q: dict[str, str] = {}
-    q["session_summary"] = _with(PROFILE, f"SELECT {SUMMARY_COLUMNS} FROM profile")
-    q["normalized_requests"] = _with(
-        NORMALIZED,
-        """SELECT session_id, seq, domain, offset_ms, third_party, tracker, compression_ratio,
-                  strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS started_at FROM normalized""",
-    )
-    q["domain_rollup"] = _with(
-        NORMALIZED,
-        """SELECT session_id, domain, count(*) AS requests, CAST(sum(transfer_bytes) AS BIGINT) AS bytes,
-                  count(*) FILTER (is_error) AS errors, bool_or(third_party) AS third_party, bool_or(tracker) AS tracker
-           FROM normalized GROUP BY session_id, domain""",
-    )
-    q["frequency_tables"] = _with(
-        DIMENSIONS,
-        """SELECT session_id, dimension, value, count, first_seq FROM (
-             SELECT *, row_number() OVER (PARTITION BY session_id, dimension ORDER BY count DESC, first_seq) AS n FROM counts)
-           WHERE dimension <> 'mime_types' OR n <= 30""",
-    )
-    q["duplicate_urls"] = _with(
-        REQUESTS,
-        """SELECT session_id, url, count, rank FROM (
-             SELECT session_id, url, count(*) AS count,
-                    row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, min(seq)) AS rank
-             FROM requests GROUP BY session_id, url) WHERE rank <= 5 AND count > 1""",
-    )
-    q["session_scores"] = _with(SCORES, "SELECT * FROM scores")
-    q["score_classes"] = _with(
-        SCORES,
-        """SELECT session_id, score_name, score,
-                  CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS score_class
-           FROM scores UNPIVOT (score FOR score_name IN (overall, performance, reliability, privacy, security))""",
-    )
+def _findings(profile: str, result: str) -> str:
+    """``result`` over ``fired`` rules and evidence ``lists`` of the given profile."""
     rules = [
         ("insecure > 0", "'critical'", "security", "unencrypted-http", "insecure || ' unencrypted HTTP requests'"),
         ("old_tls > 0", "'critical'", "security", "legacy-tls", "old_tls || ' requests use legacy TLS'"),
@@ -216,8 +236,8 @@ def request_statements() -> dict[str, str]:
         for fires, severity, category, code, title in rules
         + [(f"NOT ({general})", "'ok'", "overview", "clean-session", "'No major issues detected in this recording'")]
     )
-    q["session_findings"] = _with(
-        PROFILE
+    return _with(
+        profile
         + f""", fired AS ({fired}),
         evidence AS (
           SELECT session_id, 'request-errors' AS code, url AS line, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n
@@ -237,7 +257,46 @@ def request_statements() -> dict[str, str]:
           SELECT session_id, code, string_agg(line, ' | ' ORDER BY n) AS evidence FROM evidence
           WHERE n <= CASE WHEN code = 'tracking-requests' THEN 10 ELSE 5 END GROUP BY session_id, code
         )""",
-        "SELECT f.*, coalesce(l.evidence, '') AS evidence FROM fired f LEFT JOIN lists l USING (session_id, code)",
+        result,
+    )
+
+
+def request_statements() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["session_summary"] = _with(PROFILE, f"SELECT {SUMMARY_COLUMNS} FROM profile")
+    q["normalized_requests"] = _with(
+        NORMALIZED,
+        """SELECT session_id, seq, domain, offset_ms, third_party, tracker, compression_ratio,
+                  strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS started_at FROM normalized""",
+    )
+    q["domain_rollup"] = _with(
+        NORMALIZED,
+        """SELECT session_id, domain, count(*) AS requests, CAST(sum(transfer_bytes) AS BIGINT) AS bytes,
+                  count(*) FILTER (is_error) AS errors, bool_or(third_party) AS third_party, bool_or(tracker) AS tracker
+           FROM normalized GROUP BY session_id, domain""",
+    )
+    q["frequency_tables"] = _with(
+        DIMENSIONS,
+        """SELECT session_id, dimension, value, count, first_seq FROM (
+             SELECT *, row_number() OVER (PARTITION BY session_id, dimension ORDER BY count DESC, first_seq) AS n FROM counts)
+           WHERE dimension <> 'mime_types' OR n <= 30""",
+    )
+    q["duplicate_urls"] = _with(
+        REQUESTS,
+        """SELECT session_id, url, count, rank FROM (
+             SELECT session_id, url, count(*) AS count,
+                    row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, min(seq)) AS rank
+             FROM requests GROUP BY session_id, url) WHERE rank <= 5 AND count > 1""",
+    )
+    q["session_scores"] = _with(SCORES, "SELECT * FROM scores")
+    q["score_classes"] = _with(
+        SCORES,
+        """SELECT session_id, score_name, score,
+                  CASE WHEN score >= 85 THEN 'good' WHEN score >= 60 THEN 'warn' ELSE 'bad' END AS score_class
+           FROM scores UNPIVOT (score FOR score_name IN (overall, performance, reliability, privacy, security))""",
+    )
+    q["session_findings"] = _findings(
+        PROFILE, "SELECT f.*, coalesce(l.evidence, '') AS evidence FROM fired f LEFT JOIN lists l USING (session_id, code)"
     )
     q["slowest_requests"] = _top("duration_ms DESC", 10)
     q["largest_requests"] = _top("transfer_bytes DESC", 10)
@@ -346,6 +405,54 @@ def request_statements() -> dict[str, str]:
              UNION ALL SELECT session_id, 'statuses', CAST(status AS VARCHAR) FROM requests)
            GROUP BY ALL""",
     )
+    spelled = lambda name: f"CASE WHEN {name} THEN 'True' ELSE 'False' END AS {name}"
+    q["written_csv"] = _with(
+        NORMALIZED,
+        f"""SELECT session_id, seq, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' AS started_at,
+                  CAST(offset_ms AS VARCHAR) AS offset_ms, method, CAST(status AS VARCHAR) AS status, protocol, resource_type, mime_type,
+                  CAST(duration_ms AS VARCHAR) AS duration_ms, CAST(transfer_bytes AS VARCHAR) AS transfer_bytes,
+                  CAST(body_bytes AS VARCHAR) AS body_bytes, domain, remote_ip, {spelled("from_cache")}, {spelled("third_party")},
+                  {spelled("tracker")}, {spelled("failed")}, url FROM normalized""",
+    )
+    q["written_report"] = _findings(
+        PROFILE + SCORES.removeprefix(PROFILE),
+        """SELECT session_id, overall, p.transfer_bytes, codes, p.domains, p.requests AS counted, p.requests AS rows, last_seq
+           FROM scores JOIN profile p USING (session_id) JOIN (
+             SELECT session_id, string_agg(code, ',' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END,
+                                           category, code) AS codes FROM fired GROUP BY session_id) USING (session_id)
+           JOIN (SELECT session_id, max(seq) AS last_seq FROM normalized GROUP BY session_id) USING (session_id)""",
+    )
+    q["written_har"] = _with(
+        NORMALIZED,
+        """SELECT session_id, seq, duration_ms AS time, method, url, status, transfer_bytes AS body_size, body_bytes AS content_size,
+                  len(list_distinct(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> ''),
+                    lambda x: string_split(x, '=')[1]))) AS queries,
+                  -1.0 AS blocked, k / 10.0 AS dns, k / 5.0 AS connect, 1.0 AS send, k / 4.0 AS wait,
+                  round_even(greatest(0.0, duration_ms - (((0.0 + k / 10.0) + k / 5.0) + 1.0 + k / 4.0)), 2) AS receive FROM normalized""",
+    )
+    q["analyzed_summary"] = _with(
+        MIXED_PROFILE, f"SELECT {SUMMARY_COLUMNS}, source_type FROM profile JOIN (SELECT DISTINCT session_id, source_type FROM mixed) USING (session_id)"
+    )
+    q["analyzed_scores"] = _with(MIXED_PROFILE + SCORES.removeprefix(PROFILE), "SELECT * FROM scores")
+    advice = " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in RECOMMENDATIONS.items())
+    q["analyzed_findings"] = _findings(
+        MIXED_PROFILE,
+        f"""SELECT f.*, coalesce(l.evidence, '') AS evidence, CASE code {advice} END AS recommendation,
+                   row_number() OVER (PARTITION BY session_id ORDER BY
+                     CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, category, code) AS position
+            FROM fired f LEFT JOIN lists l USING (session_id, code)""",
+    )
+    q["analyzed_sources"] = _with(
+        MIXED,
+        """SELECT session_id, source_type, count(*) * CASE WHEN source_type = 'chrome-cdp' THEN 4 + CASE WHEN CAST(session_id AS BIGINT) % 8 = 0 THEN 1 ELSE 0 END
+                  WHEN source_type = 'proxy-jsonl' AND CAST(session_id AS BIGINT) % 8 = 1 THEN 2 ELSE 1 END AS events, CAST(NULL AS VARCHAR) AS reason,
+                  CAST(NULL AS BIGINT) AS opened, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS BIGINT) AS processes
+           FROM mixed GROUP BY session_id, source_type
+           UNION ALL SELECT 'rec-' || user_id % 10, 'connection-jsonl', count(*), NULL, count(*) FILTER (k % 3 <> 0), count(*) FILTER (k % 3 = 0),
+                  count(DISTINCT user_id % 7) FROM requests GROUP BY user_id % 10
+           UNION ALL SELECT session_id, 'unsupported', count(*), 'recording contains no supported CDP, proxy, or connection events', NULL, NULL, NULL
+           FROM requests WHERE user_id % 4 = 3 GROUP BY session_id""",
+    )
     q["url_parts"] = """
         SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) AS scheme,
                regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS authority,

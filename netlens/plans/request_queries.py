@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions import redact as R
 from netlens.functions import url as U
-from netlens.operators import compare, findings, normalize, recorder, scores, summary, views
+from netlens.operators import analysis, compare, findings, normalize, recorder, scores, summary, views
 from netlens.operators.correlate import correlate
 from netlens.plans import derive
 from netlens.schemas import CSV_COLUMNS
-from netlens.sources import jsonl
+from netlens.session import checkpoint_root
+from netlens.sinks import documents
+from netlens.sources import har, jsonl
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +185,82 @@ def recorder_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recorder.recorder_counters(browser_events(spark, sf_dir)).drop("first_seq")
 
 
+# --- a mixed folder, end to end -----------------------------------------------------------------
+
+
+def _analysis(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
+    events = jsonl.events_of(jsonl.parse_event_lines(derive.mixed_lines(spark, sf_dir)))
+    return analysis.analyze(events, har.split_documents(derive.mixed_archives(spark, sf_dir)), derive.PATTERNS)
+
+
+def analyzed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).summary()
+
+
+def analyzed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).scores()
+
+
+def analyzed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _analysis(spark, sf_dir).findings().withColumn("evidence", F.array_join("evidence", " | "))
+
+
+def analyzed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session with its kind, the reason it was rejected for, and the totals of socket recordings."""
+    found = _analysis(spark, sf_dir)
+    sockets = found.sockets.select("session_id", "opened", "closed", "processes")
+    return found.sources.join(found.rejects, "session_id", "full_outer").join(sockets, "session_id", "left")
+
+
+# --- written and read back ----------------------------------------------------------------------
+
+
+def _written(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark, tempfile.gettempdir())}/netlens-written-{uuid.uuid4().hex}"
+
+
+def written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV files of all sessions, read back as text."""
+    path = _written(spark)
+    documents.write_csv(normalized(spark, sf_dir), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path).withColumn("seq", F.col("seq").cast("bigint"))
+
+
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per session what its report holds: parts of the head, and request lines by the manifest."""
+    path = _written(spark)
+    documents.write_report(normalized(spark, sf_dir), path)
+    heads = spark.read.text(f"{path}/heads").select(
+        F.get_json_object("value", "$.session_id").alias("session_id"), F.get_json_object("value", "$.scores.overall").cast("bigint").alias("overall"),
+        F.get_json_object("value", "$.summary.transfer_bytes").cast("bigint").alias("transfer_bytes"),
+        F.from_json(F.get_json_object("value", "$.findings"), "array<struct<code:string>>").alias("found"),
+    )
+    tables = spark.read.schema(documents.TABLES).json(f"{path}/tables").groupBy("session_id").agg(
+        F.count_if(F.col("dimension") == "domains").alias("domains"), F.sum(F.when(F.col("dimension") == "statuses", F.col("requests"))).alias("counted")
+    )
+    listed = documents.read_manifest(spark, f"{path}/requests").groupBy("session_id").agg(F.sum("rows").alias("rows"), F.max("last_seq").alias("last_seq"))
+    joined = heads.join(tables, "session_id").join(listed, "session_id")
+    return joined.select(
+        "session_id", "overall", "transfer_bytes", F.array_join(F.transform("found", lambda f: f["code"]), ",").alias("codes"), "domains", "counted", "rows", "last_seq"
+    )
+
+
+def written_har(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HAR entries of all sessions, read back."""
+    path = _written(spark)
+    documents.write_har(normalized(spark, sf_dir), path)
+    kind = (
+        "session_id string, seq bigint, entry struct<time:double,request:struct<method:string,url:string,queryString:array<struct<name:string,value:string>>>,"
+        "response:struct<status:int,bodySize:bigint,content:struct<size:bigint>>,timings:struct<blocked:double,dns:double,connect:double,send:double,wait:double,receive:double>>"
+    )
+    e = F.col("entry")
+    return spark.read.schema(kind).json(path).select(
+        "session_id", "seq", e["time"].alias("time"), e["request"]["method"].alias("method"), e["request"]["url"].alias("url"),
+        F.size(e["request"]["queryString"]).alias("queries"), e["response"]["status"].alias("status"), e["response"]["bodySize"].alias("body_size"),
+        e["response"]["content"]["size"].alias("content_size"), *[e["timings"][name].alias(name) for name in ("blocked", "dns", "connect", "send", "wait", "receive")],
+    )
+
+
 # --- scalar functions ---------------------------------------------------------------------------
 
 
@@ -244,6 +325,13 @@ QUERIES = {
     "recorded_summary": recorded_summary,
     "recorder_summary": recorder_summary,
     "recorder_counters": recorder_counters,
+    "analyzed_summary": analyzed_summary,
+    "analyzed_scores": analyzed_scores,
+    "analyzed_findings": analyzed_findings,
+    "analyzed_sources": analyzed_sources,
+    "written_csv": written_csv,
+    "written_report": written_report,
+    "written_har": written_har,
     "url_parts": url_parts,
     "base_domain": base_domain,
     "query_keys": query_keys,

@@ -1,64 +1,95 @@
-"""Reports, archives and tables on disk.
+"""Reports, archives and tables on disk, for any number of sessions of any size.
 
-A session becomes one document as long as it has at most ``part_rows`` requests; a larger one is
-cut into numbered parts of that size, each a complete document of its kind, so that no task ever
-holds more than one part and no row is lost.
+Every export has one shape. The rows of all sessions lie in files that are clustered by session and block of lines and
+sorted by session and ``seq``, one JSON line (or CSV row) per request, so no task lists a session and no session makes a
+file of its own. ``heads`` holds a small document per session, ``manifest`` which files hold which rows of it. From these,
+``report_lines`` and ``archive_lines`` put together the one nested document that other tools expect of a session.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.functions.numbers import half_even
+from netlens.functions.numbers import decimal_text, half_even
 from netlens.operators import findings as findings_of
+from netlens.operators import normalize as normalize_of
 from netlens.operators import scores as scores_of
 from netlens.operators import summary as summary_of
-from netlens.operators.skew import row_numbers
+from netlens.operators.skew import BLOCK_BITS
 from netlens.schemas import CSV_COLUMNS
 
-PART_ROWS = 50_000
 CREATOR = "netlens"
+#: Rows of a file at most; a cluster with more goes on in another file.
+FILE_ROWS = 5_000_000
+
+
+# --- clustered files ----------------------------------------------------------------------------
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows shuffled by session and block of ``seq`` and sorted: a large session takes many tasks, small ones share theirs."""
+    block = F.shiftright("seq", BLOCK_BITS)
+    return rows.withColumn("_block", block).repartition("session_id", "_block").drop("_block").sortWithinPartitions("session_id", "seq")
+
+
+def write_lines(rows: DataFrame, path: str, max_rows_per_file: int = FILE_ROWS) -> None:
+    """Rows with (session_id, seq, ...) as clustered JSON lines, and their manifest beside them (``<path>-manifest``)."""
+    clustered(rows).write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).json(path)
+    written = rows.sparkSession.read.schema("session_id string, seq bigint").json(path)
+    write_manifest(written, f"{path}-manifest")
+
+
+def write_manifest(written: DataFrame, path: str) -> None:
+    """(session_id, file, rows, first_seq, last_seq): where the rows of a session are, by reading back two columns."""
+    file = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    written.select("session_id", "seq", file.alias("file")).groupBy("session_id", "file").agg(
+        F.count("*").alias("rows"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
+    ).write.mode("overwrite").json(path)
+
+
+MANIFEST = "session_id string, file string, rows bigint, first_seq bigint, last_seq bigint"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(f"{path}-manifest")
+
+
+def session_files(spark: SparkSession, path: str, session_id: str) -> list[str]:
+    """The files that hold rows of a session; a session has few, as it is clustered."""
+    found = read_manifest(spark, path).where(F.col("session_id") == session_id).select("file").distinct().collect()
+    return sorted(f"{path}/{row.file}" for row in found)
+
 
 # --- CSV ----------------------------------------------------------------------------------------
 
 
 def csv_rows(requests: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
-    """The 17 CSV columns in their fixed order; booleans are spelled ``True`` and ``False``."""
+    """The 17 CSV columns in their fixed order; booleans are spelled ``True`` and ``False``, large numbers without exponents."""
     kinds = dict(requests.dtypes)
-    return requests.select(
-        *key,
-        *[
-            F.initcap(F.col(name).cast("string")).alias(name) if kinds[name] == "boolean" else F.col(name)
-            for name in CSV_COLUMNS
-        ],
-    )
+    spell = {"boolean": lambda name: F.initcap(F.col(name).cast("string")).alias(name), "double": lambda name: decimal_text(F.col(name)).alias(name)}
+    return requests.select(*key, *[spell.get(kinds[name], F.col)(name) for name in CSV_COLUMNS])
 
 
-def write_csv(requests: DataFrame, path: str, by_session: bool = True, max_rows_per_file: int = 5_000_000) -> None:
-    """CSV files with a header, in one folder per session if asked; a large session has several files."""
-    ordered = requests.sortWithinPartitions("session_id", "seq")
-    rows = csv_rows(ordered, ("session_id",) if by_session else ())
-    writer = rows.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows_per_file)
-    (writer.partitionBy("session_id") if by_session else writer).csv(path)
+def write_csv(requests: DataFrame, path: str, max_rows_per_file: int = FILE_ROWS) -> None:
+    """Clustered CSV files with a header: ``session_id``, ``seq`` and the 17 columns, and a manifest."""
+    ordered = csv_rows(clustered(requests), ("session_id", "seq"))
+    ordered.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", max_rows_per_file).csv(path)
+    written = requests.sparkSession.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    write_manifest(written.select("session_id", F.col("seq").cast("bigint").alias("seq"), "_metadata"), f"{path}-manifest")
 
 
-# --- parts --------------------------------------------------------------------------------------
-
-
-def _parts(rows: DataFrame, rank: Column, payload: Column, name: str, part_rows: int) -> DataFrame:
-    """Lists of payloads per (session, part), in rank order; no list is longer than ``part_rows``."""
-    part = F.floor((rank - 1) / part_rows).cast("bigint")
-    return (
-        rows.select("session_id", part.alias("part"), F.struct(rank.alias("rank"), payload.alias("item")).alias("_row"))
-        .groupBy("session_id", "part")
-        .agg(F.array_sort(F.collect_list("_row"), _by_rank).alias("_rows"))
-        .select("session_id", "part", F.transform("_rows", lambda row: row["item"]).alias(name))
-    )
+def session_csv(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The table of one session: exactly the 17 columns, in order. Empty for an unknown session."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    files = session_files(spark, path, session_id)
+    if not files:
+        return spark.createDataFrame([], ", ".join(f"{name} string" for name in CSV_COLUMNS))
+    rows = reader.csv(files).where(F.col("session_id") == session_id)
+    return rows.orderBy(F.col("seq").cast("bigint")).select(*CSV_COLUMNS)
 
 
-def _by_rank(left: Column, right: Column) -> Column:
-    return F.when(left["rank"] < right["rank"], -1).when(left["rank"] > right["rank"], 1).otherwise(0)
+# --- reports ------------------------------------------------------------------------------------
 
 
 def _detail(name: str) -> Column:
@@ -68,72 +99,121 @@ def _detail(name: str) -> Column:
 def request_payload(requests: DataFrame) -> Column:
     """A request as it stands in a report: JSON detail is nested again, bookkeeping columns are left out."""
     nested = ("associated_cookies", "initiator", "security_details")
-    hidden = ("session_id", "seq", "tls_protocol", "rn")
+    hidden = ("session_id", "seq", "tls_protocol")
     return F.struct(
         *[_detail(name) if name in nested else F.col(name) for name in requests.columns if name not in hidden]
     )
 
 
-def report_documents(
-    requests: DataFrame, source_types: DataFrame | None = None, browser: DataFrame | None = None, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """(session_id, part, value): the JSON report of every session over normalised requests.
+def report_heads(requests: DataFrame, source_types: DataFrame | None = None, browser: DataFrame | None = None) -> DataFrame:
+    """(session_id, value): per session the report without its tables, over normalised requests.
 
-    ``source_types`` has (session_id, source_type); ``browser`` has (session_id, browser), the
-    browser facts as JSON text.
+    ``source_types`` has (session_id, source_type); ``browser`` has (session_id, browser), the browser facts as JSON text.
     """
-    numbered = row_numbers(requests, ["session_id"], "seq")
-    rows = _parts(numbered, F.col("rn"), request_payload(numbered), "requests", part_rows)
-
-    rollup = summary_of.domain_rollup(requests)
-    by_bytes = F.row_number().over(Window.partitionBy("session_id").orderBy(*summary_of.domain_order()))
-    facts = F.struct("requests", "bytes", "errors", "third_party", "tracker")
-    domains = _parts(
-        rollup.withColumn("_rank", by_bytes), F.col("_rank"), F.struct(F.col("domain").alias("key"), facts.alias("value")),
-        "domains", part_rows,
-    )
-    counts = summary_of.frequency_tables(requests)
-    by_count = F.row_number().over(
-        Window.partitionBy("session_id").orderBy("dimension", F.desc("count"), F.asc("first_seq"))
-    )
-    tables = _parts(
-        counts.withColumn("_rank", by_count), F.col("_rank"), F.struct("dimension", "value", "count"), "tables", part_rows
-    )
-
     profile = summary_of.session_profile(requests)
-    head = profile.select("session_id", F.lit(0).cast("bigint").alias("part"), F.struct(*summary_of.SUMMARY_METRICS).alias("summary"))
+    head = profile.select("session_id", F.struct(*summary_of.SUMMARY_METRICS).alias("summary"))
     scored = scores_of.session_scores(profile).select("session_id", F.struct(*scores_of.SCORE_NAMES).alias("scores"))
     fields = ("severity", "category", "code", "title", "recommendation", "evidence")
     order = F.struct(
-        F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1)
-        .when(F.col("severity") == "info", 2).otherwise(3).alias("rank"), "category", "code", F.struct(*fields).alias("item"),
+        findings_of.L.severity_rank(F.col("severity")).alias("rank"), "category", "code", F.struct(*fields).alias("item")
     )
     found = (
         findings_of.session_findings(requests, profile)
         .groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(order)).alias("_f"))
+        .agg(F.array_sort(F.collect_list(order)).alias("_f"))  # a session has as many findings as there are rules, at most
         .select("session_id", F.transform("_f", lambda row: row["item"]).alias("findings"))
     )
     head = head.join(scored, "session_id").join(found, "session_id")
     for extra in (source_types, browser):
         if extra is not None:
             head = head.join(extra, "session_id", "left")
-
-    def table(name: str) -> Column:
-        picked = F.filter("tables", lambda row: row["dimension"] == name)
-        return F.map_from_entries(F.transform(picked, lambda row: F.struct(row["value"], row["count"]))).alias(name)
-
-    names = ("resource_types", "protocols", "statuses", "methods", "mime_types")
-    aggregates = F.struct(F.map_from_entries("domains").alias("domains"), *[table(name) for name in names])
-    whole = rows.join(domains, ["session_id", "part"], "full_outer").join(tables, ["session_id", "part"], "full_outer")
     document = F.struct(
         F.lit(2).alias("schema_version"),
         *[F.col(name) for name in ("source_type",) if source_types is not None],
-        F.col("session_id"), F.col("part"), F.col("summary"), aggregates.alias("aggregates"), F.col("scores"), F.col("findings"),
-        F.col("requests"),
+        F.col("session_id"), F.col("summary"), F.col("scores"), F.col("findings"),
         *([F.try_parse_json(F.col("browser")).alias("browser")] if browser is not None else []),
     )
-    return whole.join(head, ["session_id", "part"], "left").select("session_id", "part", F.to_json(document).alias("value"))
+    return head.select("session_id", F.to_json(document).alias("value"))
+
+
+def report_tables(requests: DataFrame) -> DataFrame:
+    """(session_id, dimension, value, requests, bytes, errors, third_party, tracker, first_seq): the aggregates of a report.
+
+    Domains carry all figures, the other dimensions only how many requests a value has.
+    """
+    domains = summary_of.domain_rollup(requests).select(
+        "session_id", F.lit("domains").alias("dimension"), F.col("domain").alias("value"), "requests", "bytes", "errors", "third_party", "tracker"
+    )
+    counts = summary_of.frequency_tables(requests).select("session_id", "dimension", "value", F.col("count").alias("requests"), "first_seq")
+    return domains.unionByName(counts, allowMissingColumns=True)
+
+
+def write_report(
+    requests: DataFrame, path: str, source_types: DataFrame | None = None, browser: DataFrame | None = None
+) -> None:
+    """``heads`` (a JSON line per session), ``tables`` (a line per session, dimension and value), ``requests`` (a line each)."""
+    report_heads(requests, source_types, browser).select("value").write.mode("overwrite").text(f"{path}/heads")
+    report_tables(requests).write.mode("overwrite").json(f"{path}/tables")
+    write_lines(requests.select("session_id", "seq", request_payload(requests).alias("request")), f"{path}/requests")
+
+
+ITEM = "part int, a bigint, b bigint, c string, value string"
+
+
+def _assembled(spark: SparkSession, texts: dict[int, str], items: DataFrame) -> DataFrame:
+    """(value) lines in order of part, then a, b, c: ``texts`` stand alone, ``items`` of one part have commas between them.
+
+    The order is a sort and the first item of each part comes from an aggregate, so nothing is listed or numbered.
+    """
+    order = F.struct("a", "b", "c")
+    first = {row["part"]: row["o"] for row in items.groupBy("part").agg(F.min(order).alias("o")).collect()}  # a row per part
+    leads = F.lit(False)
+    for part, o in first.items():
+        leads = leads | ((F.col("part") == part) & (order == F.struct(F.lit(o["a"]).cast("bigint").alias("a"), F.lit(o["b"]).cast("bigint").alias("b"), F.lit(o["c"]).alias("c"))))
+    listed = items.withColumn("value", F.concat(F.when(leads, "").otherwise(","), "value"))
+    alone = spark.createDataFrame([(part, 0, 0, "", text) for part, text in texts.items()], ITEM)
+    return listed.select("part", "a", "b", "c", "value").unionByName(alone).orderBy("part", "a", "b", "c").select("value")
+
+
+def _items(spark: SparkSession, path: str, session_id: str, name: str, part: int) -> DataFrame:
+    """The field ``name`` of a session's lines, as items of a part."""
+    files = session_files(spark, path, session_id)
+    if not files:
+        return spark.createDataFrame([], ITEM)
+    rows = spark.read.text(files)
+    seq, owner = F.get_json_object("value", "$.seq").cast("bigint"), F.get_json_object("value", "$.session_id")
+    return rows.where(owner == session_id).select(
+        F.lit(part).alias("part"), seq.alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit("").alias("c"), F.get_json_object("value", f"$.{name}").alias("value")
+    )
+
+
+DIMENSIONS = ("domains", "resource_types", "protocols", "statuses", "methods", "mime_types")
+TABLES = (
+    "session_id string, dimension string, value string, requests bigint, bytes bigint, errors bigint, third_party boolean, tracker boolean, first_seq bigint"
+)
+
+
+def report_lines(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The lines of one session's nested JSON report, put together from what ``write_report`` wrote; none for an unknown session."""
+    head = spark.read.text(f"{path}/heads").where(F.get_json_object("value", "$.session_id") == session_id).first()
+    if head is None:
+        return spark.createDataFrame([], "value string")
+    texts = {0: head.value[:-1] + ',"aggregates":{"domains":{'}
+    for place, name in enumerate(DIMENSIONS[1:], 1):
+        texts[2 * place] = '},"%s":{' % name
+    requests = 2 * len(DIMENSIONS)
+    texts |= {requests: '}},"requests":[', requests + 2: "]}"}
+    tables = spark.read.schema(TABLES).json(f"{path}/tables").where(F.col("session_id") == session_id)
+    domain = F.col("dimension") == "domains"
+    facts = F.to_json(F.create_map("value", F.struct("requests", "bytes", "errors", "third_party", "tracker")))
+    entry = F.when(domain, facts).otherwise(F.to_json(F.create_map("value", "requests")))
+    part = F.array_position(F.array(*[F.lit(name) for name in DIMENSIONS]), F.col("dimension")) * 2 - 1
+    rows = tables.select(
+        part.cast("int").alias("part"), F.when(domain, -F.col("bytes")).otherwise(-F.col("requests")).alias("a"),
+        F.when(domain, -F.col("requests")).otherwise(F.col("first_seq")).alias("b"), F.col("value").alias("c"),
+        F.substring(entry, F.lit(2), F.length(entry) - 2).alias("value"),
+    )
+    return _assembled(spark, texts, rows.unionByName(_items(spark, f"{path}/requests", session_id, "request", requests + 1)))
 
 
 # --- HAR ----------------------------------------------------------------------------------------
@@ -185,20 +265,25 @@ def har_entry() -> Column:
     )
 
 
-def har_documents(requests: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(session_id, part, value): HAR 1.2 archives of normalised requests."""
-    numbered = row_numbers(requests, ["session_id"], "seq")
-    parts = _parts(numbered, F.col("rn"), har_entry(), "entries", part_rows)
-    log = F.struct(
-        F.lit("1.2").alias("version"), F.struct(F.lit(CREATOR).alias("name"), F.lit("0.1").alias("version")).alias("creator"),
-        F.lit("Generated from a normalized recording. Redacted fields cannot be reconstructed.").alias("comment"), F.col("entries"),
-    )
-    return parts.select("session_id", "part", F.to_json(F.struct(log.alias("log"))).alias("value"))
+LOG = (
+    '{"log":{"version":"1.2","creator":{"name":"%s","version":"0.1"},'
+    '"comment":"Generated from a normalized recording. Redacted fields cannot be reconstructed.","entries":['
+) % CREATOR
+
 
+def write_har(requests: DataFrame, path: str) -> None:
+    """HAR 1.2 entries of normalised requests, one per line; ``archive_lines`` gives a session's whole archive."""
+    write_lines(requests.select("session_id", "seq", har_entry().alias("entry")), path)
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One text line per document, in one folder per session and part."""
-    documents.write.mode("overwrite").partitionBy("session_id", "part").text(path)
+
+def archive_lines(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """The lines of one session's HAR 1.2 archive, put together from what ``write_har`` wrote."""
+    return _assembled(spark, {0: LOG, 2: "]}}"}, _items(spark, path, session_id, "entry", 1))
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Ordered lines as one text file; a single task copies them one by one."""
+    lines.coalesce(1).write.mode("overwrite").text(path)
 
 
 # --- other tables -------------------------------------------------------------------------------
@@ -226,17 +311,26 @@ def write_diagnosis(scores: DataFrame, findings: DataFrame, path: str) -> None:
     diagnosis_documents(scores, findings).select("value").write.mode("overwrite").text(path)
 
 
-def write_bundle(requests: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
-    """JSON report, CSV and HAR of one analysis; the requests are computed once."""
-    from pyspark import StorageLevel
+def write_bundle(requests: DataFrame, path: str) -> None:
+    """JSON report, CSV and HAR of one analysis. The requests are written first, as Parquet, and read for each of them."""
+    clustered(requests).write.mode("overwrite").parquet(f"{path}/table")
+    kept = requests.sparkSession.read.schema(requests.schema).parquet(f"{path}/table")
+    write_report(kept, f"{path}/report")
+    write_csv(kept, f"{path}/csv")
+    write_har(kept, f"{path}/har")
+
+
+def spool_batch(requests: DataFrame, path: str, number: int) -> None:
+    """REQUEST rows of one micro-batch, and what each session's facts are by this batch. A repeated batch overwrites its own folders."""
+    requests.write.mode("overwrite").parquet(f"{path}/spool/requests/batch={number}")
+    kept = requests.sparkSession.read.schema(requests.schema).parquet(f"{path}/spool/requests/batch={number}")
+    normalize_of.partial_facts(kept).write.mode("overwrite").parquet(f"{path}/spool/facts/batch={number}")
+
 
-    kept = requests.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_documents(report_documents(kept, part_rows=part_rows), path + "/report")
-        write_csv(kept, path + "/csv")
-        write_documents(har_documents(kept, part_rows), path + "/har")
-    finally:
-        kept.unpersist()
+def finish_bundle(spark: SparkSession, path: str) -> None:
+    """The bundle of all batches spooled so far: the facts of a session are merged over its batches, then its rows normalised."""
+    requests, partial = spark.read.parquet(f"{path}/spool/requests").drop("batch"), spark.read.parquet(f"{path}/spool/facts").drop("batch")
+    write_bundle(normalize_of.normalize(requests, facts=normalize_of.merged_facts(partial)), path)
 
 
 def event_lines(events: DataFrame) -> DataFrame:

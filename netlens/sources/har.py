@@ -1,19 +1,32 @@
-"""HAR archives: one JSON document per file, or one document per row.
+"""HAR archives: one JSON document per file, or one document per row, read as many small rows.
 
-A document is one record, so ordering its entries is done inside the row (no shuffle).
+An archive's text is cut behind every closing brace, so no row holds an archive. The pieces of an archive go to one task
+in order, where a pull parser takes them one by one: it hands out each entry as soon as it is complete, reduced to the
+fields that are used, and keeps nothing but the current entry and the document's frame. The same holds at every size.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions import redact as R
 from netlens.functions import url as U
 from netlens.functions.numbers import half_even, text_or, whole
-from netlens.sources.jsonl import LONG_STRINGS, VARIANT_BYTES, read_json, session_of
+from netlens.operators.skew import row_numbers
+from netlens.sources.jsonl import LONG_STRINGS, file_position, session_of
+
+#: Where an archive's text is cut.
+CUT = "}"
+MALFORMED, NO_ARRAY, NO_OBJECTS = "malformed JSON", "log.entries must be an array", "log.entries must hold objects"
+#: Characters of entries that a task hands on at once.
+OUTPUT = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -24,69 +37,232 @@ class Archive:
     rejects: DataFrame
 
 
-def read_har(spark: SparkSession, path: str, show_sensitive: bool = False) -> Archive:
-    """Entries and rejected documents of a folder of ``.har`` files."""
-    documents = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        session_of(spark, path).alias("session_id"), F.make_valid_utf8(F.col("value")).alias("value")
+def read_har(spark: SparkSession, path: str, show_sensitive: bool = False, pattern: str | None = None) -> Archive:
+    """Entries and rejected documents of a folder of archives; ``pattern`` (a glob) picks files by name.
+
+    Spark does not list files of no bytes, so they are neither accepted nor rejected.
+    """
+    reader = spark.read.option("lineSep", CUT).option("recursiveFileLookup", True)
+    pieces = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path).select(
+        session_of(spark, path).alias("session_id"), file_position(spark).alias("seq"),
+        F.octet_length("value").cast("bigint").alias("bytes"), F.col("_metadata.file_size").alias("size"),
+        F.make_valid_utf8(F.col("value")).alias("value"),
+    )
+    return split_pieces(pieces, show_sensitive)
+
+
+def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Archive:
+    """Entries and rejects of (session_id, value) documents."""
+    pieces = documents.select(
+        "session_id", F.octet_length(F.coalesce("value", F.lit(""))).cast("bigint").alias("size"), F.posexplode(F.split(F.coalesce("value", F.lit("")), CUT)).alias("seq", "value")
+    )
+    return split_pieces(
+        pieces.select("session_id", F.col("seq").cast("bigint").alias("seq"), F.octet_length("value").cast("bigint").alias("bytes"), "size", "value"),
+        show_sensitive,
     )
-    return split_documents(documents, show_sensitive)
 
 
 # The parts of an entry that are read; numbers that may be missing or odd are read as text first.
 ENTRY = (
-    "struct<startedDateTime:string,time:double,request:struct<method:string,url:string,httpVersion:string>,"
+    "struct<startedDateTime:string,time:string,request:struct<method:string,url:string,httpVersion:string>,"
     "response:struct<status:string,httpVersion:string,bodySize:string,headersSize:string,content:struct<mimeType:string>>,"
     "timings:map<string,string>,serverIPAddress:string,connection:string,cache:string>"
 )
+_SHAPE = {
+    "startedDateTime": None, "time": None, "request": {"method": None, "url": None, "httpVersion": None},
+    "response": {"status": None, "httpVersion": None, "bodySize": None, "headersSize": None, "content": {"mimeType": None}},
+    "timings": None, "serverIPAddress": None, "connection": None, "cache": None,
+}
 
 
-# What a document too large for VARIANT is read by; without its bodies it is small. ``_bad`` is set if any of it does not fit.
-TYPED = f"struct<log:struct<entries:array<{ENTRY.replace('time:double', 'time:string')}>>,_bad:string>"
+def _reduced(value: object, shape: dict | None) -> object:
+    """The part of a JSON value that ``shape`` names."""
+    if shape is None or not isinstance(value, dict):
+        return value
+    return {name: _reduced(value[name], inner) for name, inner in shape.items() if name in value}
 
 
-def split_documents(documents: DataFrame, show_sensitive: bool = False) -> Archive:
-    """Entries and rejects of (session_id, value) documents."""
-    # explode() pins each reading: filters pushed below a plain column would repeat it.
-    parsed = documents.select("session_id", "value", F.explode(F.array(read_json(F.col("value")))).alias("_doc"))
-    large = F.col("_doc").isNull() & (F.octet_length("value") > VARIANT_BYTES)
-    typed = F.when(large, F.from_json("value", TYPED, {**LONG_STRINGS, "columnNameOfCorruptRecord": "_bad"}))
-    parsed = parsed.select("session_id", "_doc", large.alias("_large"), F.explode(F.array(typed)).alias("_typed"))
-    apart = F.transform("_typed.log.entries", lambda entry: entry.withField("time", entry["time"].try_cast("double")))
-    listed = F.struct(
-        F.coalesce(F.try_variant_get("_doc", "$.log.entries", f"array<{ENTRY}>"), apart).alias("entries"),
-        F.try_variant_get("_doc", "$.log.entries", "variant").isNotNull().alias("present"),
-    )
-    fits = F.col("_typed").isNotNull() & F.col("_typed._bad").isNull()
-    read = parsed.select(
-        "session_id", F.col("_large").alias("_large"), (F.col("_doc").isNull() & ~fits).alias("_broken"), F.explode(F.array(listed)).alias("_l")
-    )
-    read = read.withColumn(
-        "reason",
-        F.when(F.col("_broken") & F.col("_large"), "larger than 128 MiB and not readable as an archive")
-        .when(F.col("_broken"), "malformed JSON").when(
-            F.col("_l.present") & F.col("_l.entries").isNull(), "log.entries must be an array"
-        ),
-    )
-    accepted = read.where(F.col("reason").isNull()).select("session_id", F.col("_l.entries").alias("_entries"))
-    return Archive(_entries(accepted, show_sensitive), read.where("reason IS NOT NULL").select("session_id", "reason"))
+class ArchiveReader:
+    """Pull parser of one document: ``feed`` takes its text in pieces of any size and gives the entries that became complete.
+
+    An object that lies in an array on the third level is cut out, checked and forgotten; the frame around it, with a
+    mark for the first object of each array, is checked as a whole by ``finish``.
+    """
+
+    _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\]]', re.DOTALL)
+    _CLOSE = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.frame: list[str] = []
+        self.held: list[str] | None = None
+        self.text: list[str] = []  # an unfinished string
+        self.quoted = self.broken = False
+        self.array, self.place, self.arrays = -1, 0, 0
+
+    def feed(self, piece: str) -> Iterator[tuple[int, int, dict]]:
+        """(array, position, entry) of every object completed by this piece; arrays are numbered in the order they open."""
+        if self.broken:
+            return
+        at = 0
+        if self.quoted:
+            found = self._CLOSE.match(piece)
+            if not found:
+                self.text.append(piece)
+                return
+            self.text.append(found.group())
+            at, self.quoted = found.end(), False
+            self._add("".join(self.text))
+            self.text = []
+        begin = at
+        while not self.broken:
+            found = self._TOKEN.search(piece, at)
+            if not found:
+                self._add(piece[begin:])
+                return
+            token, at = found.group(), found.end()
+            if token == '"':  # the string goes on in the next piece
+                self._add(piece[begin : found.start()])
+                self.quoted, self.text = True, [piece[found.start() :]]
+                return
+            if token in "{[":
+                if token == "{" and self.held is None and len(self.stack) == 3 and self.stack[2] == "[":
+                    self._gap(piece[begin : found.start()])
+                    self.held, begin = [], found.start()
+                self.stack.append(token)
+                if token == "[" and len(self.stack) == 3:
+                    self._add(piece[begin:at])
+                    begin = at
+                    self.array, self.place, self.arrays = self.arrays, 0, self.arrays + 1
+                    self.gap_from = len(self.frame)
+            elif token in "}]":
+                if not self.stack or self.stack.pop() != ("{" if token == "}" else "["):
+                    self.broken = True
+                elif self.held is not None and len(self.stack) == 3:
+                    self._add(piece[begin:at])
+                    begin = at
+                    try:
+                        entry = json.loads("".join(self.held))
+                    except (ValueError, RecursionError):
+                        self.broken = True
+                        return
+                    self.held, self.gap_from = None, len(self.frame)
+                    yield self.array, self.place, entry
+                    self.place += 1
 
+    def _add(self, text: str) -> None:
+        (self.frame if self.held is None else self.held).append(text)
 
-def _entries(documents: DataFrame, show_sensitive: bool) -> DataFrame:
-    """One row per entry; ``seq`` is its rank by duration, ``position`` its place in the document."""
-    order = F.array_sort(
-        F.transform(
-            F.col("_entries"), lambda entry, index: F.struct((-_duration(entry)).alias("slowest"), index.alias("position"))
+    def _gap(self, text: str) -> None:
+        """Text between two objects of an array: nothing is kept of a plain comma, so the frame stays small."""
+        between = "".join(self.frame[self.gap_from :]) + text
+        del self.frame[self.gap_from :]
+        if not (self.place and between.strip(" \t\r\n") == ","):
+            self.frame += [between, '{"":%d}' % self.array]
+        self.gap_from = len(self.frame)
+
+    def finish(self) -> tuple[str | None, int]:
+        """Why the document is rejected, or None; and which array holds its entries (-1: none does)."""
+        try:
+            document = None if self.broken or self.stack or self.quoted else json.loads("".join(self.frame))
+        except (ValueError, RecursionError):
+            document = None
+            self.broken = True
+        if self.broken or self.stack or self.quoted:
+            return MALFORMED, -1
+        log = document.get("log") if isinstance(document, dict) else None
+        entries = log.get("entries") if isinstance(log, dict) else None
+        if entries is None:
+            return (NO_ARRAY if isinstance(log, dict) and "entries" in log else None), -1
+        if not isinstance(entries, list):
+            return NO_ARRAY, -1
+        if not all(isinstance(entry, dict) for entry in entries):
+            return NO_OBJECTS, -1
+        return None, entries[0][""] if entries else -1
+
+
+def _pull(batches: Iterator[pa.RecordBatch], entries: bool) -> Iterator[pa.RecordBatch]:
+    """Entries, or the outcome, of the documents whose pieces arrive in order: a document ends where the next one begins."""
+    session, reader, taken, pieces, last, size = None, None, 0, 0, None, None
+    rows: list[tuple] = []
+    held = 0
+
+    def closing() -> Iterator[tuple[int, int, dict]]:
+        # A piece ends with the brace it was cut at, but for the last one, if the file does not end with a brace. Sizes
+        # tell; those of a compressed file say nothing, there the open braces do.
+        whole_ = taken + pieces
+        ended = whole_ == size if size in (whole_, whole_ - 1) else len(reader.stack) == 1
+        yield from reader.feed(last + CUT if ended else last)
+
+    def ended() -> Iterator[tuple]:
+        for found in closing():
+            if entries:
+                yield session, *found
+        if not entries:
+            reason, array = reader.finish()
+            yield session, array, 0, reason
+
+    def batch_of(kept: list[tuple]) -> pa.RecordBatch:
+        texts = [json.dumps(_reduced(row[3], _SHAPE)) for row in kept] if entries else [row[3] for row in kept]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row[0] for row in kept], pa.string()), pa.array([row[1] for row in kept], pa.int32()), pa.array([row[2] for row in kept], pa.int64()), pa.array(texts, pa.string())],
+            names=["session_id", "array", "position", "value"],
         )
+
+    for batch in batches:
+        columns = [batch.column(batch.schema.names.index(name)).to_pylist() for name in ("session_id", "bytes", "size", "value")]
+        for name, length, total, value in zip(*columns):
+            if reader is None or name != session:
+                if reader is not None:
+                    rows += ended()
+                session, reader, taken, pieces, last = name, ArchiveReader(), 0, 0, None
+            if last is not None:
+                found = [(session, *entry) for entry in reader.feed(last + CUT)]
+                if entries:
+                    rows += found
+                    held += len(found) * 512
+            taken, pieces, last, size = taken + length, pieces + 1, value, total
+            if len(rows) >= 4096 or held >= OUTPUT:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if reader is not None:
+        rows += ended()
+    if rows:
+        yield batch_of(rows)
+
+
+def split_pieces(pieces: DataFrame, show_sensitive: bool = False) -> Archive:
+    """Entries and rejects of (session_id, seq, bytes, size, value) pieces: ``bytes`` of a piece and ``size`` of its whole document.
+
+    Entries are handed out before the end of their document is known; those of a rejected document, or of an
+    ``entries`` that a later one of the same name replaces, fall away in the join with the outcomes.
+    """
+    ordered = pieces.where(F.col("value").isNotNull()).repartition("session_id").sortWithinPartitions("session_id", "seq")
+    schema = "session_id string, array int, position bigint, value string"
+    outcomes = ordered.mapInArrow(lambda batches: _pull(batches, False), schema)
+    rejects = outcomes.where(F.col("value").isNotNull()).select("session_id", F.col("value").alias("reason"))
+    accepted = outcomes.where(F.col("value").isNull() & (F.col("array") >= 0)).select("session_id", "array")
+    found = ordered.mapInArrow(lambda batches: _pull(batches, True), schema)
+    entries = found.join(accepted, ["session_id", "array"]).select(
+        "session_id", "position", F.explode(F.array(F.from_json("value", ENTRY, LONG_STRINGS))).alias("_e")
     )
-    # The entries are put in order before they are exploded, so that no row carries the whole document.
-    ordered = F.transform(
-        order, lambda place: F.struct(place["position"].alias("position"), F.get("_entries", place["position"]).alias("entry"))
-    )
-    rows = documents.select("session_id", F.posexplode(ordered).alias("seq", "_r")).select(
-        "session_id",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.col("_r.position").cast("bigint").alias("position"),
-        F.col("_r.entry").alias("_e"),
+    return Archive(_entries(entries, show_sensitive), rejects)
+
+
+# Places of an entry in 28 bits, and hundredths of a millisecond, shifted to be positive, above them.
+_PLACE_BITS, _CENTRE = 28, 1 << 33
+
+
+def _entries(rows: DataFrame, show_sensitive: bool) -> DataFrame:
+    """Entries with ``seq``, their rank by falling duration (ties: place in the document), and ``position``, that place.
+
+    The rank is counted in blocks of nearly equal duration, so an archive of any size is spread over tasks. Durations beyond
+    23 hours count alike in it.
+    """
+    hundredths = F.least(F.lit(_CENTRE - 1), F.greatest(F.lit(-_CENTRE + 1), F.round(_duration(F.col("_e")) * 100).cast("bigint")))
+    order = F.shiftleft(F.lit(_CENTRE) - hundredths, _PLACE_BITS) + F.col("position")
+    rows = row_numbers(rows.withColumn("_order", order), ["session_id"], "_order", "_rank", bits=_PLACE_BITS + 7).select(
+        "session_id", (F.col("_rank") - 1).alias("seq"), "position", "_e"
     )
     e = F.col("_e")
     url = F.coalesce(e["request"]["url"], F.lit(""))
@@ -117,4 +293,4 @@ def _entries(documents: DataFrame, show_sensitive: bool) -> DataFrame:
 
 
 def _duration(entry: Column) -> Column:
-    return half_even(F.coalesce(entry["time"], F.lit(0.0)), 2)
+    return half_even(F.coalesce(entry["time"].try_cast("double"), F.lit(0.0)), 2)

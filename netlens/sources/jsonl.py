@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,9 +72,9 @@ def session_of(spark: SparkSession, path: str) -> Column:
     return F.try_url_decode(F.replace(F.regexp_replace(below, r"\.[^./]*$", ""), F.lit("+"), F.lit("%2B")))
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, seq, value) of every line."""
-    return spark.read.text(path, recursiveFileLookup=True).select(
+def text_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(session_id, seq, value) of every line; ``pattern`` (a glob) picks files by name."""
+    return spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=pattern).select(
         session_of(spark, path).alias("session_id"),
         file_position(spark).alias("seq"),
         F.make_valid_utf8(F.col("value")).alias("value"),
@@ -90,12 +91,25 @@ def read_json(value: Column) -> Column:
     return F.coalesce(F.try_parse_json(value), F.from_json(value, "variant", LONG_STRINGS))
 
 
+@contextmanager
+def repeated_keys(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans are made whose ``try_parse_json`` takes the last of repeated keys; the setting is bound with the plan, no job runs."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def parse_event_lines(lines: DataFrame) -> DataFrame:
-    """Add ``parsed`` (VARIANT or NULL) and ``reason`` (NULL for an event) to non-blank lines."""
+    """Add ``parsed`` (VARIANT or NULL) and ``reason`` (NULL for an event) to non-blank lines. Of repeated keys the last counts."""
     # explode() pins the parse: a plain column would be copied into every filter pushed below it.
-    parsed = lines.where(F.col("value").rlike(r"\S")).select(
-        *lines.columns, F.explode(F.array(read_json(F.col("value")))).alias("parsed")
-    )
+    with repeated_keys(lines.sparkSession):
+        parsed = lines.where(F.col("value").rlike(r"\S")).select(
+            *lines.columns, F.explode(F.array(read_json(F.col("value")))).alias("parsed")
+        )
     return parsed.withColumn(
         "reason",
         F.when(F.col("parsed").isNull() & (F.octet_length("value") > VARIANT_BYTES), "larger than 128 MiB")
@@ -151,8 +165,8 @@ def split_lines(lines: DataFrame) -> Recording:
     )
 
 
-def read_recordings(spark: SparkSession, path: str) -> Recording:
-    return split_lines(text_lines(spark, path))
+def read_recordings(spark: SparkSession, path: str, pattern: str | None = None) -> Recording:
+    return split_lines(text_lines(spark, path, pattern))
 
 
 def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

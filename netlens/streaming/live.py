@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netlens.functions.numbers import whole
 from netlens.operators import recorder
-from netlens.operators.normalize import normalize
-from netlens.sinks.documents import event_lines, write_bundle
+from netlens.sinks.documents import event_lines, spool_batch
 
 WATERMARK = "10 minutes"
 
@@ -79,16 +78,15 @@ def append_proxy_events(events: DataFrame, path: str, checkpoint: str) -> Stream
 
 
 def bundle_batches(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write a bundle per micro-batch of finished requests under ``path/batch=<n>``.
+    """Spool each micro-batch of finished requests below ``path``; ``finish_bundle`` makes the bundle of all of them.
 
-    Batches overwrite their own folder, so a repeated batch leaves one copy.
+    A session may be cut over any number of batches: its page, first start and size are merged over their partial facts.
+    A repeated batch overwrites what it has written, so every request counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_bundle(normalize(batch), f"{path}/batch={number}")
+        spool_batch(batch, path, number)
 
     return (
         requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-

@@ -9,7 +9,7 @@ from netlens.operators import connections as C
 from netlens.operators import diagnosis, normalize, packets, probes, scores
 from netlens.sources import hostlogs, jsonl, snapshots
 from netlens.sources import packets as packet_source
-from tests.sessions import golden_events, lines
+from tests.sessions import shop_events, lines
 
 
 def listing(spark, text, host="h"):
@@ -20,40 +20,44 @@ def listing(spark, text, host="h"):
 def test_sockets(spark, tmp_path):
     text = (
         "COMMAND PID USER FD TYPE DEVICE SIZE/OFF NODE NAME\n"
-        "Chrome\\x20 42 me 9u IPv4 0x1 0t0 TCP 10.0.0.2:50000->1.1.1.1:443 (ESTABLISHED)\n"
-        "server 43 me 5u IPv6 0x2 0t0 tcp [::1]:8080 (LISTEN)\n\nbad x me 5u IPv6 0x2 0t0 TCP a\nshort 1 2\n"
+        "Mail\\x20Agent 911 ann 23u IPv6 0xab 0t0 TCP [2001:db8::5]:61234->[2a00:1450::99]:993 (CLOSE_WAIT)\n"
+        "queued 77 root 8u IPv4 0xac 0t0 udp *:5353\n"
+        "web 5120 www 4u IPv4 0xad 0t0 TCP 127.0.0.1:3000 (LISTEN)\n\nbad x me 5u IPv6 0x2 0t0 TCP a\nshort 1 2\n"
     )
     rows = hostlogs.parse_sockets(listing(spark, text))
-    first, second = rows.orderBy("pos").collect()
-    assert (first.process, first.pid, first.state, first.remote.host, first.remote.port) == ("Chrome ", 42, "ESTABLISHED", "1.1.1.1", "443")
-    assert (second.remote, second.local.host, second.local.port, second.protocol) == (None, "::1", "8080", "TCP")
-    routes = spark.createDataFrame([("h", "default", "utun4"), ("h", "default", "en0")], "host string, destination string, interface string")
+    mail, queued, web = rows.orderBy("pos").collect()
+    assert (mail.process, mail.pid, mail.state, mail.remote.host, mail.remote.port) == ("Mail Agent", 911, "CLOSE_WAIT", "2a00:1450::99", "993")
+    assert (queued.protocol, queued.local.host, queued.local.port, queued.remote, queued.state) == ("UDP", "*", "5353", None, "")
+    assert (web.remote, web.local.host, web.local.port, web.protocol) == (None, "127.0.0.1", "3000", "TCP")
+    routes = spark.createDataFrame([("h", "default", "wg0"), ("h", "default", "en7")], "host string, destination string, interface string")
     placed = {r.process: r.path for r in C.with_paths(rows, routes).collect()}
-    assert placed == {"Chrome ": "vpn-default", "server": "loopback"}
+    assert placed["web"] == "loopback" and placed["Mail Agent"] == "vpn-default"
     (tmp_path / "mac-1.7.txt").write_text(text)
     read = hostlogs.read_listing(spark, str(tmp_path))
     assert {(r.host, r.snapshot_no) for r in read.collect()} == {("mac-1", 7)}
-    assert hostlogs.parse_sockets(read).count() == 2
-    assert C.process_rollup(rows).orderBy("pid").first().asDict() == dict(
-        host="h", process="Chrome ", pid=42, total=1, remote=1, tcp=1, udp=0, listen=0, targets=1)
+    assert hostlogs.parse_sockets(read).count() == 3
+    assert C.process_rollup(rows).where("pid = 911").first().asDict() == dict(
+        host="h", process="Mail Agent", pid=911, total=1, remote=1, tcp=1, udp=0, listen=0, targets=1)
 
 
 def test_routes_counters_neighbours(spark):
     routes = hostlogs.parse_routes(listing(spark, (
         "Routing tables\n\nInternet:\nDestination        Gateway            Flags               Netif Expire\n"
-        "default            192.168.1.1        UGScg                 en0\n1.1.1.1            link#20            UHWIig              utun6  9\nx y z\n"
+        "default            172.20.10.254      UGSc                  en7\n10.99/16           10.99.0.2          UGSc   utun3  !\n"
+        "203.0.113.8        8:0:27:1:2:3       UHLWIir               en7   1187\nx y z\n"
     ))).orderBy("pos").collect()
-    assert [(r.destination, r.interface, r.expire) for r in routes] == [("default", "en0", ""), ("1.1.1.1", "utun6", "9")]
+    assert [(r.destination, r.interface, r.expire) for r in routes] == [("default", "en7", ""), ("10.99/16", "utun3", "!"), ("203.0.113.8", "en7", "1187")]
     counters = C.deduplicate_counters(hostlogs.parse_counters(listing(spark, (
-        "en9 1 2 3 4 5 6 7 8 9 10 11\nName Mtu Network Address Ipkts Ierrs Ibytes Opkts Oerrs Obytes Coll Drop\n"
-        "en0 1500 <Link#4> aa:bb 10 0 1000 20 0 2000 0 1\nen0 1500 192.168.1 192.168.1.2 10 0 1000 20 0 2000 - -\nen1 1 2\n"
-    )))).collect()
-    assert [(r.name, r.rx_bytes, r.tx_packets, r.drops) for r in counters] == [("en0", 1000, 20, 1)]
-    arp = "? (192.168.1.1) at aa:bb:cc:dd:ee:ff on en0 ifscope [ethernet]\n? (224.0.0.251) at 1:0 on en0\n? (10.0.0.9) at (incomplete) on en0\n"
-    ndp = "fe80::2 x en0\nNeighbor Linklayer Address Netif Expire St\nfe80::1%en0 aa:bb:cc:dd:ee:ff en0 23h S\nff02::1%en0 a en0\n"
+        "en7 1 2 3 4 5 6 7 8 9 10 11\nName Mtu Network Address Ipkts Ierrs Ibytes Opkts Oerrs Obytes Coll Drop\n"
+        "utun3 1380 <Link#9> - 7 0 512 9 0 640 0 0\nen7 1500 <Link#6> 08:00:27:aa:00:01 300 2 45000 280 1 39000 0 4\n"
+        "en7 1500 172.20.10/28 172.20.10.3 299 2 44990 280 1 39000 - -\nlo0 1 2\n"
+    )))).orderBy("name").collect()
+    assert [(r.name, r.rx_bytes, r.tx_packets, r.drops) for r in counters] == [("en7", 45000, 280, 4), ("utun3", 512, 9, 0)]
+    arp = "gw.test (172.20.10.254) at 8:0:27:1:2:3 on en7 permanent [ethernet]\n? (239.255.255.250) at 1:0 on en7\n? (172.20.10.9) at (incomplete) on en7\n"
+    ndp = "2001:db8::7 x en7\nNeighbor Linklayer Address Netif Expire St\n2001:db8::7 08:00:27:0a:0b:0c en7 12m R\nff02::2%en7 a en7\n"
     kept = hostlogs.neighbours(listing(spark, arp), listing(spark, ndp)).collect()
     assert [(r.family, r.address, r.state) for r in sorted(kept, key=lambda r: r.family)] == [
-        ("IPv4", "192.168.1.1", "ifscope [ethernet]"), ("IPv6", "fe80::1%en0", "23h S")]
+        ("IPv4", "172.20.10.254", "permanent [ethernet]"), ("IPv6", "2001:db8::7", "12m R")]
     assert hostlogs.neighbours(listing(spark, arp), listing(spark, ndp), show_all=True).count() == 5
 
 
@@ -118,7 +122,7 @@ def test_event_views(spark):
         "dns": [{"type": "dns_packet", "source": {"host": "a", "port": 5}, "direction": "query", "transaction_id": 9, "domain": "x"}],
         "conn": [{"type": "connection_open", "connection": {"process": "p", "pid": 1, "local": {"host": "h", "port": "1"}, "remote": None}},
                  {"type": "connection_close", "connection": {"process": "q"}}, {"type": "connection_open"}],
-        "web": golden_events(),
+        "web": shop_events(),
         "proxy": [{"type": "proxy_request", "method": "CONNECT", "target": "example.com:443", "mode": "tls_tunnel", "host": "example.com", "port": 443,
                    "ok": True, "upload_bytes": 5, "download_bytes": 7, "duration_ms": 12.5, "ttfb_ms": 3},
                   {"type": "proxy_request", "method": "GET", "target": "http://a.b/c?d", "ok": False, "error": "boom", "headers": {"X": "1"},
@@ -130,7 +134,7 @@ def test_event_views(spark):
     assert (dns.src_host, dns.src_port, dns.direction, dns.transaction_id, dns.domain) == ("a", 5, "query", 9, "x")
     sockets = jsonl.connection_events(events)
     assert C.recording_summary(sockets).first().asDict() == dict(session_id="conn", events=3, opened=2, closed=1, processes=3)
-    assert jsonl.cdp_events(events).where("request_id = '1'").count() == 4
+    assert jsonl.cdp_events(events).where("request_id = 'page'").count() == 6
     tunnel, plain = normalize.normalize(normalize.proxy_requests(jsonl.proxy_events(events))).orderBy("seq").collect()
     assert (tunnel.id, tunnel.scheme, tunnel.path, tunnel.resource_type, tunnel.transfer_bytes, tunnel.body_bytes, tunnel.failed) == (
         "proxy-0", "https", "443", "tunnel", 12, 7, False)

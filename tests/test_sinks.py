@@ -9,55 +9,116 @@ from netlens.operators import compare, diagnosis, views
 from netlens.sinks import documents as D
 from netlens.sources import har, jsonl
 from netlens.operators.sanitize import sanitize_events, sanitized
-from tests.sessions import cdp, golden_events, lines
+from tests.sessions import cdp, shop_events, lines
 
 
 @pytest.fixture(scope="module")
 def requests(spark):
-    events = jsonl.split_lines(lines(spark, {"s": golden_events()})).events
+    events = jsonl.split_lines(lines(spark, {"s": shop_events()})).events
     return normalize.normalize(correlate(events)).cache()
 
 
+def read_text(path):
+    return "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("*.txt")))
+
+
 def test_csv(spark, requests, tmp_path):
     D.write_csv(requests, str(tmp_path / "csv"))
-    rows = [row for path in (tmp_path / "csv" / "session_id=s").glob("*.csv") for row in csv.DictReader(path.open(encoding="utf-8"))]
-    assert list(rows[0]) == list(D.CSV_COLUMNS) and len(rows) == 2
-    tracker = next(row for row in rows if "google-analytics" in row["url"])
-    assert (tracker["third_party"], tracker["failed"], tracker["duration_ms"], tracker["status"]) == ("True", "False", "1480.0", "404")
-
-
-@pytest.mark.parametrize("part_rows", [50_000, 1])
-def test_report_documents(requests, part_rows):
-    found = {row.part: json.loads(row.value) for row in D.report_documents(requests, part_rows=part_rows).collect()}
-    head = found[0]
-    assert head["schema_version"] == 2 and head["summary"]["requests"] == 2 and head["scores"]["overall"] == 83
-    assert [item["code"] for item in head["findings"]][0] == "large-resources"
-    listed = [item for part in sorted(found) for item in found[part].get("requests", [])]
-    assert [item["id"] for item in listed] == ["1", "2"] and listed[0]["initiator"] == {"type": "other"}
-    domains = [name for part in sorted(found) for name in found[part]["aggregates"].get("domains", {})]
-    assert domains == ["www.google-analytics.com", "example.com"]
-    assert sum((part["aggregates"].get("statuses") or {}).get("404", 0) for part in found.values()) == 1
-
-
-def test_har_round_trip(spark, requests):
-    document = D.har_documents(requests).first()
-    log = json.loads(document.value)["log"]
-    assert log["version"] == "1.2" and len(log["entries"]) == 2
-    first = log["entries"][0]
-    assert first["timings"] == {"blocked": -1.0, "dns": 5.0, "connect": 10.0, "ssl": 7.0, "send": 1.0, "wait": 45.0, "receive": 12.0}
-    assert first["response"]["bodySize"] == 500 and first["response"]["content"]["size"] == 1000 and first["cache"] == {}
-    again = har.split_documents(spark.createDataFrame([("s", document.value)], "session_id string, value string")).entries
-    rows = normalize.normalize(normalize.har_requests(again)).orderBy("seq").collect()
-    assert [(r.id, r.duration_ms, r.body_bytes) for r in rows] == [("har-0", 1480.0, 1_500_000), ("har-1", 80.0, 500)]
-    assert [r.third_party for r in rows] == [False, True]  # the slowest request's domain stands for the page
+    rows = [row for path in (tmp_path / "csv").glob("*.csv") for row in csv.DictReader(path.open(encoding="utf-8"))]
+    assert list(rows[0]) == ["session_id", "seq", *D.CSV_COLUMNS] and len(rows) == 5
+    beacon = next(row for row in rows if "doubleclick" in row["url"])
+    assert (beacon["third_party"], beacon["failed"], beacon["duration_ms"], beacon["status"]) == ("True", "True", "400.0", "0")
+    one = D.session_csv(spark, str(tmp_path / "csv"), "s")
+    assert one.columns == list(D.CSV_COLUMNS) and [r.status for r in one.collect()] == ["301", "200", "200", "200", "0"]
+    assert D.session_csv(spark, str(tmp_path / "csv"), "nobody").count() == 0
+
+
+@pytest.fixture(scope="module")
+def many(spark, requests):
+    """Four more sessions: copies of the shop session, one of them long."""
+    from pyspark.sql import functions as F
+
+    copies = requests.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(400))))
+    long_ = copies.withColumns({"session_id": F.lit("long"), "seq": F.col("seq") + F.col("copy") * (1 << 16)})
+    small = copies.where("copy < 3").withColumn("session_id", F.concat(F.lit("s/ü "), "copy"))
+    return requests.unionByName(long_.drop("copy")).unionByName(small.drop("copy")).cache()
+
+
+def test_clusters_and_manifest(spark, many, tmp_path):
+    """A long session lies in several files, small ones share theirs; the manifest finds every row."""
+    path = str(tmp_path / "lines")
+    D.write_lines(many.select("session_id", "seq", "url"), path, max_rows_per_file=300)
+    manifest = D.read_manifest(spark, path)
+    totals = {r.session_id: r.n for r in manifest.groupBy("session_id").agg({"rows": "sum"}).withColumnRenamed("sum(rows)", "n").collect()}
+    assert totals == {r.session_id: r["count"] for r in many.groupBy("session_id").count().collect()}
+    assert len(D.session_files(spark, path, "long")) > 3 and len(D.session_files(spark, path, "s/ü 1")) == 1
+    for file in (tmp_path / "lines").glob("*.json"):
+        keys = [(row["session_id"], row["seq"]) for row in map(json.loads, file.read_text(encoding="utf-8").splitlines())]
+        assert keys == sorted(keys) and len(keys) <= 300
+
+
+@pytest.mark.parametrize("session", ["s", "long", "s/ü 2"])
+def test_report_documents(spark, many, tmp_path, session):
+    D.write_report(many, str(tmp_path / "report"))
+    D.write_document(D.report_lines(spark, str(tmp_path / "report"), session), str(tmp_path / "one"))
+    head = json.loads(read_text(tmp_path / "one"))
+    times = 401 if session == "long" else 1
+    assert head["schema_version"] == 2 and head["session_id"] == session and head["summary"]["requests"] == 5 * times
+    if times == 1:
+        assert head["scores"]["overall"] == 85
+        assert [item["code"] for item in head["findings"]][:2] == ["unencrypted-http", "large-resources"]
+    assert [item["id"] for item in head["requests"]] == ["page", "page", "style", "hero", "beacon"] * times
+    assert head["requests"][0]["initiator"] == {"type": "parser"}
+    assert list(head["aggregates"]["domains"]) == ["shop.test", "stats.doubleclick.net", "cdn.other.test"][:1] + sorted(["stats.doubleclick.net", "cdn.other.test"])
+    assert head["aggregates"]["domains"]["shop.test"]["requests"] == 3 * times and head["aggregates"]["statuses"] == {"200": 3 * times, "301": times, "0": times}
+    assert set(head["aggregates"]) == set(D.DIMENSIONS)
+
+
+def test_unknown_session(spark, many, tmp_path):
+    D.write_report(many, str(tmp_path / "report"))
+    assert D.report_lines(spark, str(tmp_path / "report"), "nobody").count() == 0
+
+
+def test_har_round_trip(spark, many, tmp_path):
+    D.write_har(many, str(tmp_path / "har"))
+    (tmp_path / "archives").mkdir()
+    for session in ("s", "long"):
+        D.write_document(D.archive_lines(spark, str(tmp_path / "har"), session), str(tmp_path / session))
+        (tmp_path / "archives" / f"{session}.har").write_text(read_text(tmp_path / session), encoding="utf-8")
+    log = json.loads((tmp_path / "archives" / "s.har").read_text(encoding="utf-8"))["log"]
+    assert log["version"] == "1.2" and len(log["entries"]) == 5
+    page = log["entries"][1]
+    assert page["timings"] == {"blocked": -1.0, "dns": 12.5, "connect": 25.5, "ssl": 19.0, "send": 0.5, "wait": 90.0, "receive": 152.5}
+    assert page["response"]["bodySize"] == 1600 and page["response"]["content"]["size"] == 4000 and page["cache"] == {}
+    assert log["entries"][2]["request"]["queryString"] == [{"name": "v", "value": "[not retained]"}]
+    archive = har.read_har(spark, str(tmp_path / "archives"))
+    assert archive.rejects.count() == 0 and archive.entries.groupBy("session_id").count().collect().__len__() == 2
+    rows = normalize.normalize(normalize.har_requests(archive.entries.where("session_id = 's'"))).orderBy("seq").collect()
+    assert [(r.id, r.duration_ms, r.body_bytes) for r in rows][:3] == [("har-0", 2000.0, 2_400_000), ("har-1", 400.0, 0), ("har-2", 300.0, 1600)]
+    assert [r.third_party for r in rows][:2] == [False, True]  # the slowest request's domain stands for the page
+
+
+def test_batches_make_one_bundle(spark, many, tmp_path):
+    """A session cut over three batches, one of them written twice, gives what the whole gives."""
+    from pyspark.sql import functions as F
+
+    raw = many.drop("offset_ms", "third_party", "tracker", "compression_ratio")
+    third = F.pmod(F.xxhash64("session_id", "seq"), F.lit(3))
+    for number in (0, 1, 1, 2):
+        D.spool_batch(raw.where(third == number), str(tmp_path / "out"), number)
+    D.finish_bundle(spark, str(tmp_path / "out"))
+    D.write_bundle(normalize.normalize(raw), str(tmp_path / "whole"))
+    for name in ("report/heads", "report/tables", "report/requests", "har", "csv"):
+        got, want = (sorted(r.value for r in spark.read.text(f"{tmp_path}/{side}/{name}").collect()) for side in ("out", "whole"))
+        assert got == want and got, name
 
 
 def test_har_cases(spark):
-    good = {"log": {"entries": [
-        {"startedDateTime": "2026-01-01T00:00:00Z", "time": 123.4, "request": {"method": "GET", "url": "https://example.com/a?token=secret", "httpVersion": "HTTP/2"},
-         "response": {"status": 200, "httpVersion": "HTTP/2", "bodySize": 100, "headersSize": 20, "content": {"mimeType": "text/html; charset=utf-8"}},
-         "timings": {"dns": 4, "connect": -1, "wait": 50, "comment": "x"}, "cache": {"a": 1}},
-        {"time": 500, "request": {"url": "http://b/"}, "response": {"status": 0, "bodySize": -1}},
+    good = {"log": {"pages": [{"id": "p"}], "entries": [
+        {"startedDateTime": "2025-06-03T08:15:00.5Z", "time": 61.257, "request": {"method": "PUT", "url": "https://api.test/v2/cart?session_token=abc&n=2", "httpVersion": "h3"},
+         "response": {"status": 204, "bodySize": 31, "headersSize": 9, "content": {"mimeType": "application/json;charset=x"}},
+         "timings": {"dns": -1, "ssl": 2.5, "wait": 40, "comment": "x"}, "cache": {"afterRequest": None}},
+        {"time": 700, "request": {"url": "http://b/"}, "response": {"status": 0, "bodySize": -1}},
     ]}}
     frame = spark.createDataFrame(
         [("a", json.dumps(good)), ("b", json.dumps({"log": {"entries": {}}})), ("c", "{nope"), ("d", "{}")], "session_id string, value string"
@@ -65,38 +126,38 @@ def test_har_cases(spark):
     archive = har.split_documents(frame)
     assert {(r.session_id, r.reason) for r in archive.rejects.collect()} == {("b", "log.entries must be an array"), ("c", "malformed JSON")}
     slow, fast = archive.entries.orderBy("seq").collect()
-    assert (slow.duration_ms, slow.status, slow.transfer_bytes, slow.protocol) == (500.0, 0, 0, "unknown")
-    assert (fast.transfer_bytes, fast.mime_type, fast.timings, fast.cached) == (120, "text/html", {"dns": 4.0, "wait": 50.0}, True)
-    assert "secret" not in fast.url
+    assert (slow.duration_ms, slow.status, slow.transfer_bytes, slow.protocol) == (700.0, 0, 0, "unknown")
+    assert (fast.transfer_bytes, fast.mime_type, fast.timings, fast.cached) == (40, "application/json", {"ssl": 2.5, "wait": 40.0}, True)
+    assert (fast.duration_ms, fast.method, fast.protocol, fast.status) == (61.26, "PUT", "h3", 204) and "abc" not in fast.url
     total = summary.har_summary(archive.entries).first()
-    assert (total.requests, total.failed, total.longest_request_ms) == (2, 1, 500.0)
+    assert (total.requests, total.failed, total.longest_request_ms) == (2, 1, 700.0)
 
 
 def test_bundle_and_comparison(spark, requests, tmp_path):
     D.write_bundle(requests, str(tmp_path))
-    assert spark.read.text(str(tmp_path / "report")).count() == 1
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
-    assert spark.read.text(str(tmp_path / "har")).count() == 1
+    assert spark.read.text(str(tmp_path / "report" / "heads")).count() == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 5
+    assert spark.read.text(str(tmp_path / "har")).count() == 5
     profile = summary.session_profile(requests)
     halves = profile.withColumn("requests", profile.requests * 2)
     metrics = compare.compare_summaries(profile, halves, ["session_id"])
     marks = compare.compare_scores(scores.session_scores(profile), scores.session_scores(profile), ["session_id"])
     D.write_comparison(metrics, marks, str(tmp_path / "cmp"))
     row = metrics.where("metric = 'requests'").first()
-    assert (row.before, row.after, row.delta, row.percent, row.worse) == (2.0, 4.0, 2.0, 100.0, True)
-    assert metrics.where("metric = 'failed'").first().percent is None
+    assert (row.before, row.after, row.delta, row.percent, row.worse) == (5.0, 10.0, 5.0, 100.0, True)
+    assert metrics.where("metric = 'http_errors'").first().percent is None
     assert spark.read.json(str(tmp_path / "cmp" / "scores")).count() == 5
 
 
 def test_views(requests):
-    assert [r.id for r in views.top_requests(requests, "slowest", 1).collect()] == ["2"]
-    assert [r.id for r in views.top_requests(requests, "start", 1).collect()] == ["1"]
-    assert views.filter_requests(requests, "GOOGLE", "error").count() == 1
-    assert views.filter_requests(requests, status="success", resource_type="Document").count() == 1
-    first, second = views.waterfall(requests).orderBy("rank").collect()
-    assert (first.left_percent, round(first.width_percent, 3), round(second.left_percent, 3)) == (0.0, 5.333, 1.333)
+    assert [r.id for r in views.top_requests(requests, "slowest", 1).collect()] == ["hero"]
+    assert [r.id for r in views.top_requests(requests, "start", 1).collect()] == ["page"]
+    assert views.filter_requests(requests, "DOUBLECLICK", "error").count() == 1
+    assert views.filter_requests(requests, status="success", resource_type="Document").count() == 2
+    bars = views.waterfall(requests).orderBy("rank").collect()
+    assert (bars[0].left_percent, round(bars[0].width_percent, 3), round(bars[3].left_percent, 3)) == (0.0, 1.724, 13.793)
     detail = views.request_details(requests).orderBy("seq").collect()
-    assert detail[0].remote == "93.184.216.34:443" and detail[1].remote == "—:—" and detail[1].flags == ["3rd", "tracker"]
+    assert detail[1].remote == "198.51.100.7:8443" and detail[4].remote == "—:—" and detail[4].flags == ["3rd", "tracker", "failed"]
 
 
 def test_sanitize(spark):
@@ -122,9 +183,9 @@ def test_recorder_flight_and_idle(spark):
     assert [r.in_flight for r in recorder.in_flight(rows).orderBy("seq").collect()] == [1, 2, 2, 1, 0, 0, 1, 0]
     assert recorder.network_idle(rows, 3.0).first().idle_at == 7.0
     assert recorder.network_idle(rows, 100.0).first().idle_at == 121.0
-    events = jsonl.split_lines(lines(spark, {"s": golden_events()})).events
-    assert recorder.in_flight_peak(recorder.activity(events)).first().asDict() == {"session_id": "s", "peak": 1, "open_at_end": 0}
-    assert recorder.recorder_summary(events).first().requests == 2
+    events = jsonl.split_lines(lines(spark, {"s": shop_events()})).events
+    assert recorder.in_flight_peak(recorder.activity(events)).first().asDict() == {"session_id": "s", "peak": 2, "open_at_end": 0}
+    assert recorder.recorder_summary(events).first().requests == 4
 
 
 def test_diagnosis_documents(spark):

@@ -11,7 +11,7 @@ from netlens.plans import derive
 from netlens.sources import jsonl
 from netlens.sources.packets import parse_dns_packets
 from netlens.streaming import live, stateful
-from tests.sessions import cdp, golden_events, random_events, write_jsonl
+from tests.sessions import cdp, shop_events, random_events, write_jsonl
 
 
 def drain(query_frame, name, mode="append"):
@@ -77,17 +77,17 @@ def test_correlation_stream_equals_batch(spark, tmp_path):
 def test_live_counters_and_append(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
-    write_jsonl(source, {"a": golden_events(), "p": [{"type": "proxy_request", "target": "http://x/"}]})
+    write_jsonl(source, {"a": shop_events(), "p": [{"type": "proxy_request", "target": "http://x/"}]})
     events = jsonl.stream_recordings(spark, str(source))
     counted = drain(live.live_counters(events), "counters", "complete").collect()
     batch = recorder.recorder_counters(jsonl.read_recordings(spark, str(source)).events).collect()
     key = lambda r: (r.session_id, r.dimension, r.value, r["count"])
     assert sorted(map(key, counted)) == sorted(map(key, batch))
     totals = drain(live.live_totals(events), "totals", "complete").collect()
-    assert [(r.network_failures, r.http_errors, r.encoded_bytes) for r in totals] == [(0, 1, 1_500_500)]
+    assert [(r.network_failures, r.http_errors, r.encoded_bytes) for r in totals] == [(1, 0, 2_401_600)]
     for target, start in (("all", live.append_events), ("proxy", live.append_proxy_events)):
         start(events, str(out / target), str(tmp_path / ("cp" + target))).awaitTermination(120)
-    assert spark.read.text(str(out / "all")).count() == 14
+    assert spark.read.text(str(out / "all")).count() == 25
     assert json.loads(spark.read.text(str(out / "proxy")).first().value)["target"] == "http://x/"
 
 

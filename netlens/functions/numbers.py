@@ -6,9 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Beyond this a product with 10 ** digits has no exact halves any more.
+_LARGE = float(1 << 45)
+
+
 def half_even(value: Column, digits: int = 0) -> Column:
-    """Banker's rounding: 12.5 -> 12, 13.5 -> 14."""
-    return F.bround(value, digits)
+    """Rounding by the exact binary value, halves to even: 12.5 -> 12, 13.5 -> 14; 2.675 -> 2.67, as it lies below the half.
+
+    Only where the product with 10 ** digits is rounded onto a half does its error decide. The error is exact: the
+    number is split into two parts of 26 bits, whose products need no rounding.
+    """
+    if digits == 0:
+        return F.bround(value, 0)
+    x, scale = value.cast("double"), float(10**digits)
+    wide = x * F.lit(134217729.0)  # 2 ** 27 + 1
+    high = wide - (wide - x)
+    product = x * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (x - high) * F.lit(scale)
+    plain = F.bround(product, 0)
+    half = F.abs(product - plain) == 0.5
+    settled = F.when(half & (error != 0), product + F.signum(error) * 0.5).otherwise(plain) / F.lit(scale)
+    return F.when(F.abs(x) < _LARGE, settled).otherwise(F.bround(x, digits))
 
 
 def whole(value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import address as A
-from netlens.operators.skew import attach_by_key, previous_value, rolling_sum
+from netlens.operators.skew import attach_by_key, previous_value, rolling, rolling_sum
 from netlens.operators.summary import frequency_counts, most_common
 
 # History length of the live view, least time between two samples.
@@ -265,6 +265,15 @@ def rate_history(rates: DataFrame, width: int = HISTORY) -> DataFrame:
     return rolling_sum(totals, ["host"], "ts_ms", ["rx", "tx"], width)
 
 
+def live_history(rates: DataFrame, width: int = HISTORY) -> DataFrame:
+    """Total rates of a host per sample time, with the last ``width`` totals up to it as lists, oldest first.
+
+    A host's first sample has nothing to be compared with, so it is no total.
+    """
+    totals = rates.groupBy("host", "ts_ms").agg(F.sum("rx_rate").alias("rx"), F.sum("tx_rate").alias("tx"))
+    return rolling(totals, ["host"], "ts_ms", {"history_rx": F.collect_list("rx"), "history_tx": F.collect_list("tx")}, width, skip=1)
+
+
 def recent_changes(changes: DataFrame, n: int = 100) -> DataFrame:
     """The latest open and close records of each host."""
     latest = Window.partitionBy("host").orderBy(F.desc("snapshot_no"), F.asc("change"), F.asc("conn_key"))

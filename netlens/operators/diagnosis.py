@@ -304,3 +304,99 @@ def diagnosis_scores(hosts: DataFrame, findings: DataFrame) -> DataFrame:
         "host", F.greatest(zero, F.lit(100) - F.coalesce("_lost", zero)).alias("score"),
         F.coalesce("findings", zero).alias("findings"),
     )
+
+
+# --- one document, one row: diagnosis of every snapshot of every host -----------------------------
+
+
+def diagnose(documents: DataFrame) -> DataFrame:
+    """(host, snapshot_no, score, summary, findings, leaks) of parsed snapshot documents.
+
+    A snapshot document holds all tables of its host at one time, so every rule reads the arrays of its own row: nothing
+    is joined or shuffled, and two snapshots of a host give two scores. ``findings`` and ``leaks`` are in report order;
+    ``leaks`` is the route audit, of which only warnings and worse count in the diagnosis, and only while a VPN is active.
+    Missing tables read as empty. A resolver without servers is a resolver.
+    """
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    kinds = dict(documents.dtypes)
+    arrays = ("connections", "interfaces", "routes", "dns", "dns_routes", "ipv6_routes")
+    tables = documents.select(
+        "host", "snapshot_no", *[empty(name, kinds[name]) for name in arrays], F.to_json("proxy").alias("proxy"), F.col("quality.score").alias("quality_score")
+    )
+    up = lambda i: F.coalesce(F.array_contains(i["flags"], "UP"), F.lit(False))
+    addressed = lambda i: F.coalesce(F.size(i["ipv4"]) > 0, F.lit(False))
+    active = lambda i: F.coalesce(i["status"] == "active", F.lit(False)) | (up(i) & addressed(i))
+    picked = tables.select(
+        "*",
+        F.filter("connections", lambda c: (c["state"] == "LISTEN") & c["local"]["host"].isin(*ANY_ADDRESS)).alias("_public"),
+        F.filter("routes", lambda r: r["destination"] == "default").alias("_defaults"),
+        F.exists("interfaces", lambda i: A.is_vpn_interface(i["name"]) & up(i)).alias("vpn_active"),
+        F.transform(F.filter("interfaces", active), lambda i: i["name"]).alias("_active"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("dns", lambda d: F.coalesce(d["nameservers"], F.array().cast("array<string>")))))).alias("_servers"),
+    )
+    facts = picked.select(
+        "*",
+        F.size("_active").alias("active_interfaces"),
+        F.size("dns").alias("dns_servers"),  # the rule asks for resolvers, whatever servers they name
+        F.size("_defaults").alias("default_routes"),
+        F.array_join(F.transform("_defaults", lambda r: F.concat_ws("→", r["interface"], r["gateway"])), ", ").alias("default_text"),
+        F.size("_public").alias("public_listeners"),
+        F.array_join(
+            F.transform(F.slice("_public", 1, LISTENER_SAMPLE), lambda c: F.concat_ws(":", c["process"], c["local"]["port"])), ", "
+        ).alias("listener_sample"),
+        F.size(F.filter("connections", lambda c: c["state"] == "CLOSED")).cast("bigint").alias("closed_sockets"),
+        F.exists("_defaults", lambda r: A.starts_with_any(r["interface"], A.VPN_ROUTE_PREFIXES)).alias("full_tunnel_likely"),
+    )
+    audited = facts.select("*", F.explode(F.array(_leak_array())).alias("leaks"))  # pinned: read twice below
+    first, proxy, after = local_rules()
+    serious = F.filter("leaks", lambda item: ~item["severity"].isin("ok", "info"))
+    early = F.concat(F.array_compact(F.array(*first)), F.when(F.col("vpn_active"), serious).otherwise(F.slice("leaks", 1, 0)), F.array_compact(F.array(*proxy)))
+    clean = _finding(
+        "ok", "baseline-clean", "No obvious local configuration problems", "Interfaces, routes and DNS configuration look internally consistent."
+    )
+    found = audited.select("*", F.explode(F.array(early)).alias("_early"))
+    listed = F.concat(F.when(F.size("_early") > 0, F.col("_early")).otherwise(F.array(clean)), F.array_compact(F.array(*after)))
+    complete = found.select("*", F.explode(F.array(listed)).alias("findings"))
+    weight = lambda item: F.coalesce(*[F.when(item["severity"] == name, value) for name, value in WEIGHTS.items()], F.lit(0))
+    lost = F.aggregate("findings", F.lit(0), lambda total, item: total + weight(item))
+    summary = F.struct(
+        F.size("connections").alias("connections"), F.size(F.filter("connections", lambda c: c["remote"].isNotNull())).alias("remote_connections"),
+        F.size("interfaces").alias("interfaces"), F.col("_active").alias("active_interfaces"), F.col("_servers").alias("dns_servers"), "vpn_active",
+        F.col("_defaults").alias("default_routes"),
+    )
+    return complete.select(
+        "host", "snapshot_no", F.greatest(F.lit(0), F.lit(100) - lost).alias("score"), summary.alias("summary"), "findings", "leaks"
+    )
+
+
+def _leak_array() -> Column:
+    """The route audit of a row: DNS servers and IPv6 default routes outside a full tunnel, else why there are none."""
+    outside = lambda r: ~A.starts_with_any(r["interface"], A.VPN_INTERFACE_PREFIXES)
+    asked = F.filter(
+        "dns_routes", lambda r: F.col("full_tunnel_likely") & F.array_contains("_servers", r["server"]) & (F.coalesce(r["interface"], F.lit("unknown")) != "unknown") & outside(r)
+    )
+    by_dns = F.transform(asked, lambda r: _finding(
+        F.when(A.is_private(r["server"]), "warning").otherwise("critical"), "dns-outside-vpn", "DNS route may bypass the VPN",
+        F.concat(F.lit("Resolver "), r["server"], F.lit(" is reached through "), r["interface"], F.lit(", not a detected tunnel interface.")),
+        "Enable the VPN DNS option or block DNS on physical interfaces.",
+    ))
+    ways = F.filter(
+        "ipv6_routes", lambda r: F.col("full_tunnel_likely") & r["destination"].isin("default", "::/0") & (F.coalesce(r["interface"], F.lit("")) != "") & outside(r)
+    )
+    by_route = F.transform(ways, lambda r: _finding(
+        "warning", "ipv6-outside-vpn", "IPv6 default route may bypass the VPN", F.concat(F.lit("IPv6 default route uses "), r["interface"], F.lit(".")),
+        "Route IPv6 through the tunnel or disable IPv6 while using the VPN.",
+    ))
+    verdict = F.when(
+        ~F.col("vpn_active"), F.array(_finding("info", "vpn-not-active", "No active VPN detected", "Traffic appears to use physical interfaces."))
+    ).when(
+        (F.size(by_dns) == 0) & (F.size(by_route) == 0),
+        F.array(_finding("ok", "no-obvious-leaks", "No obvious route-level leaks detected", "DNS and default-route checks did not find a bypass.")),
+    ).otherwise(F.array_compact(F.array(F.when(F.lit(False), _finding("", "", "", "")))))
+    return F.concat(by_dns, by_route, verdict)
+
+
+def listed(diagnoses: DataFrame, name: str = "findings") -> DataFrame:
+    """The findings (or ``leaks``) of diagnoses as rows with their place in the report, from 1."""
+    rows = diagnoses.select("host", "snapshot_no", F.posexplode(name).alias("position", "_f"))
+    return rows.select("host", "snapshot_no", (F.col("position") + 1).alias("position"), "_f.*")

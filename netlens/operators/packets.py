@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netlens.operators.skew import row_numbers, top_per_group
+from netlens.operators.skew import top_per_group
 from netlens.operators.summary import most_common
 
 # Rows kept.
@@ -17,8 +17,8 @@ KEY = ["capture_id"]
 
 
 def limit_packets(packets: DataFrame, limit: int) -> DataFrame:
-    """The first packets of each capture; 0 keeps all."""
-    return row_numbers(packets, KEY, "seq", "_n").where(F.col("_n") <= limit).drop("_n") if limit else packets
+    """The first packets of each capture in file order; 0 keeps all. Every task ends a capture after ``limit`` packets of its own."""
+    return top_per_group(packets, KEY, [F.asc("seq")], limit, "_n").drop("_n") if limit else packets
 
 
 def packet_totals(packets: DataFrame, limit: int = 0) -> DataFrame:

@@ -19,6 +19,12 @@ def sample_stats(samples: DataFrame, key: list[str], value: str = "sample_ms", a
     )
 
 
+def sample_addresses(samples: DataFrame, key: list[str], address: str = "address") -> DataFrame:
+    """The sorted distinct addresses of each key; a probe of one name has few."""
+    distinct = samples.where(F.col(address).isNotNull()).select(*key, address).distinct()
+    return distinct.groupBy(*key).agg(F.array_sort(F.collect_list(address)).alias("listed"))
+
+
 def dns_comparison(results: DataFrame, key: list[str]) -> DataFrame:
     """Fastest answering server and whether the servers' answers differ.
 

@@ -115,24 +115,31 @@ def previous_value(
     )
 
 
-def rolling_sum(
-    rows: DataFrame, key: Sequence[str], order: str, columns: Sequence[str], width: int, prefix: str = "last_",
-    size: int = 1 << 16,
+def rolling(
+    rows: DataFrame, key: Sequence[str], order: str, values: Mapping[str, Column], width: int, skip: int = 0, size: int = 1 << 16
 ) -> DataFrame:
-    """Add sums over the current and the ``width - 1`` rows before it.
+    """Add aggregates (``values``: name and aggregate) over the current and the ``width - 1`` rows before it, per key in ``order``.
 
-    Rows are numbered first; each block of numbers also receives the rows just before it, so a
-    block is windowed on its own and still sees every row it needs.
+    The first ``skip`` rows of a key are left out altogether. Rows are numbered first; each block of numbers also
+    receives the rows just before it, so a block is windowed on its own and still sees every row it needs.
     """
     size = max(width, size)
-    numbered = row_numbers(rows, key, order, "_rn").withColumn("_rn", F.col("_rn") - 1)
+    numbered = row_numbers(rows, key, order, "_rn").withColumn("_rn", F.col("_rn") - (1 + skip)).where(F.col("_rn") >= 0)
     own = F.floor(F.col("_rn") / size).cast("bigint")
     tail = F.col("_rn") % size >= size - width + 1
     copies = F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))
     halo = numbered.withColumn("_own", own).withColumn("_part", F.explode(copies))
     window = Window.partitionBy(*key, "_part").orderBy("_rn").rowsBetween(1 - width, Window.currentRow)
-    summed = halo.withColumns({prefix + name: F.sum(name).over(window) for name in columns})
-    return summed.where(F.col("_own") == F.col("_part")).select(*rows.columns, *[prefix + name for name in columns])
+    rolled = halo.withColumns({name: value.over(window) for name, value in values.items()})
+    return rolled.where(F.col("_own") == F.col("_part")).select(*rows.columns, *values)
+
+
+def rolling_sum(
+    rows: DataFrame, key: Sequence[str], order: str, columns: Sequence[str], width: int, prefix: str = "last_",
+    size: int = 1 << 16,
+) -> DataFrame:
+    """Add sums over the current and the ``width - 1`` rows before it."""
+    return rolling(rows, key, order, {prefix + name: F.sum(name) for name in columns}, width, size=size)
 
 
 def top_per_group(rows: DataFrame, key: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:

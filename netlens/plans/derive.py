@@ -26,11 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Deal the table by a key: the same plan at every size, whatever its files are."""
-    return frame.repartition(F.col(key))
-
-
 def _case(value: Column, mapping: dict, default: object) -> Column:
     result = None
     for key, item in mapping.items():
@@ -42,7 +37,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with ``k`` (0..99), ``v`` (value in hundredths) and the page they touch."""
     pages = table(spark, sf_dir, "pages")
     count = pages.count()  # answered from the file footers
-    events = spread(table(spark, sf_dir, "events"), "event_id").select(
+    events = table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 100).cast("bigint").alias("v"),
@@ -132,7 +127,7 @@ def cdp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status", "protocol", F.col("mime_type").alias("mimeType"), F.col("remote_ip").alias("remoteIPAddress"),
         F.col("from_cache").alias("fromDiskCache"),
         F.create_map(F.lit("server"), F.col("protocol")).alias("headers"),
-        F.struct(F.lit(0).alias("dnsStart"), F.col("timing.dns_ms").alias("dnsEnd")).alias("timing"),
+        F.struct(F.lit(0).alias("dnsStart"), ((F.round(F.col("timing.dns_ms") * 10).cast("int") * 2 + 1) * 5 / 1000.0).alias("dnsEnd")).alias("timing"),
         F.struct(F.col("tls_protocol").alias("protocol")).alias("securityDetails"),
     ).alias("response")
     redirect = F.when(
@@ -157,6 +152,31 @@ def cdp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event lines above with the browser's extra events between them: headers before and after a start, headers
+    after a response, and cache notes before and after it. Line n of them has place 2 n here; extras stand at odd places."""
+    rid = F.concat_ws("-", "session_id", F.expr(f"CAST(seq div {ID_SPAN} AS STRING)"))
+    k, seq = F.col("k"), F.col("seq")
+
+    def extra(place: Column, fires: Column, method: str, **headers: Column) -> Column:
+        kept = [F.create_map(*[x for name, value in headers.items() for x in (F.lit("x-" + name), value)]).alias("headers")] if headers else []
+        params = F.struct(rid.alias("requestId"), *kept)
+        text = F.to_json(F.struct(F.lit("cdp_event").alias("type"), F.lit(method).alias("method"), params.alias("params")))
+        return F.when(fires, F.struct(place.alias("seq"), text.alias("value")))
+
+    mark = lambda letter: F.concat(F.lit(letter), seq.cast("string"))
+    extras = F.array_compact(F.array(
+        extra(seq * 8 - 1, k % 5 == 0, "Network.requestWillBeSentExtraInfo", early=mark("e")),
+        extra(seq * 8 + 1, k % 6 != 1, "Network.requestWillBeSentExtraInfo", ask=mark("a")),
+        extra(seq * 8 + 1, k % 6 == 1, "Network.requestServedFromCache"),
+        extra(seq * 8 + 3, k % 4 != 0, "Network.responseReceivedExtraInfo", answer=mark("r")),
+        extra(seq * 8 + 5, k % 6 == 2, "Network.requestServedFromCache"),
+    ))
+    rows = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("seq"), "k")
+    added = rows.select("session_id", F.inline(extras))
+    return cdp_lines(spark, sf_dir).withColumn("seq", F.col("seq") * 2).unionByName(added)
+
+
 def proxy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proxy request lines: one per request; POSTs are TLS tunnels."""
     r = requests(spark, sf_dir)
@@ -229,7 +249,7 @@ def mixed_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events"), "event_id").select(
+    return table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", millis("ts").alias("ms"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         F.round(F.col("value") * 100).cast("bigint").alias("v"),
@@ -427,7 +447,7 @@ def packet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linestatus") == "O", F.concat(F.lit("IP "), source, F.lit(" > "), target, F.lit(": ICMP echo request, length "), size))
         .otherwise(F.concat(F.lit("ARP, Request who-has "), target, F.lit(" tell "), source, F.lit(", length "), size))
     )
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("cap-"), F.col("l_orderkey") % 8).alias("capture_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
         F.concat(F.lit("2024-01-01 12:00:00.123456 "), body).alias("value"),
@@ -446,7 +466,7 @@ def dns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     answered = F.concat(F.lit("IP "), server, F.lit(" > "), client, F.lit(": "), key % 65536, F.lit(" 1/0/0 A 9.9.9.9 (45)"))
     other = F.concat(F.lit("IP "), client, F.lit(" > 9.9.9.9.443: Flags [S], length 0"))
     line = F.when(key % 3 == 0, answered).when(key % 7 == 1, other).otherwise(asked)
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    return table(spark, sf_dir, "orders").select(
         F.concat(F.lit("dns-"), key % 4).alias("capture_id"), key.alias("seq"), F.concat(F.lit("2024-01-01 12:00:00.5 "), line).alias("value")
     )
 
@@ -454,10 +474,10 @@ def dns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- probe and snapshot documents ---------------------------------------------------------------
 
 
-def _documents(rows: DataFrame, host: Column, **fields: Column) -> DataFrame:
-    stamp = F.lit("2024-01-01T00:00:00.000Z").alias("timestamp")
+def _documents(rows: DataFrame, host: Column, stamp: Column | None = None, **fields: Column) -> DataFrame:
+    stamp = F.lit("2024-01-01T00:00:00.000Z") if stamp is None else stamp
     return rows.select(
-        host.cast("string").alias("host"), F.to_json(F.struct(stamp, *[value.alias(name) for name, value in fields.items()])).alias("value")
+        host.cast("string").alias("host"), F.to_json(F.struct(stamp.alias("timestamp"), *[value.alias(name) for name, value in fields.items()])).alias("value")
     )
 
 
@@ -528,6 +548,27 @@ def tls_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One host snapshot per customer, built so that every diagnosis rule fires for some host."""
     key = F.col("c_custkey")
+    return _documents(table(spark, sf_dir, "customer"), key, **_snapshot_fields(key))
+
+
+def fleet_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of each host in different states, with the routes to servers in the document."""
+    state, number = F.col("state"), F.col("number")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("number"))
+    rows = rows.withColumn("state", F.col("c_custkey") + 7 * number)
+    fields = _snapshot_fields(state)
+    nameless = F.array(F.struct(F.lit(1).alias("id"), F.array().cast("array<string>").alias("nameservers")))
+    fields["dns"] = F.when((state % 31 == 0) & (state % 23 != 0), nameless).otherwise(fields["dns"])
+    through = F.when(state % 5 == 0, "utun3").otherwise("en0")
+    reach = lambda server, interface: F.struct(server.alias("server"), interface.alias("interface"))
+    fields["dns_routes"] = F.array(reach(F.when(state % 6 == 0, "192.168.1.1").otherwise("9.9.9.9"), through), reach(F.lit("1.1.1.1"), F.lit("unknown")))
+    fields["ipv6_routes"] = F.array(F.struct(
+        F.when(state % 2 == 0, "default").otherwise("fe80::/64").alias("destination"), F.when(state % 16 == 0, "en0").otherwise("utun3").alias("interface"),
+    ))
+    return _documents(rows, F.col("c_custkey"), stamp=F.concat(F.lit("2024-01-0"), (number + 1).cast("string"), F.lit("T00:00:00Z")), **fields)
+
+
+def _snapshot_fields(key: Column) -> dict[str, Column]:
     end = lambda host, port: F.struct(F.lit(host).alias("host"), F.lit(port).alias("port"))
 
     def socket(process: str, local: Column, remote: Column | None, state: str) -> Column:
@@ -557,8 +598,7 @@ def snapshot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     vpn = key % 4 == 0
     second = F.when(vpn, F.array(route("default", F.when(key % 8 == 0, "utun3").otherwise("en1")))).otherwise(F.array(route("10.0.0.0/8", "en0")))
     servers = F.array(F.when(key % 6 == 0, "192.168.1.1").otherwise("9.9.9.9"), F.lit("1.1.1.1"))
-    return _documents(
-        spread(table(spark, sf_dir, "customer"), "c_custkey"), key,
+    return dict(
         connections=sockets,
         interfaces=F.array(interface("en0", key % 7 != 0, key % 7 != 0, "unknown"), interface("utun3", vpn, key % 3 == 0, "unknown")),
         routes=F.concat(F.array(route("default", "en0")), second),

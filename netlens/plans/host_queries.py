@@ -194,12 +194,17 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.drop("first_seq")
 
 
+#: The packet limit of the two limited queries.
+LIMIT = 200
+
 PACKET_QUERIES = {
     "packet_totals": lambda spark, sf_dir: packets.packet_totals(_packets(spark, sf_dir)),
     "packet_protocols": lambda spark, sf_dir: _counted(packets.packet_protocols(_packets(spark, sf_dir))),
     "packet_endpoints": lambda spark, sf_dir: _counted(packets.top_endpoints(_packets(spark, sf_dir))),
     "packet_ports": lambda spark, sf_dir: _counted(packets.top_ports(_packets(spark, sf_dir))),
     "packet_conversations": lambda spark, sf_dir: _counted(packets.top_conversations(_packets(spark, sf_dir))),
+    "limited_totals": lambda spark, sf_dir: packets.packet_totals(packets.limit_packets(_packets(spark, sf_dir), LIMIT), LIMIT),
+    "limited_samples": lambda spark, sf_dir: packets.packet_samples(packets.limit_packets(_packets(spark, sf_dir), LIMIT)).select("capture_id", "seq", "rank"),
     "packet_samples": lambda spark, sf_dir: packets.packet_samples(_dns(spark, sf_dir)).drop("rank"),
     "dns_totals": lambda spark, sf_dir: packets.dns_totals(_dns(spark, sf_dir)),
     "dns_domains": lambda spark, sf_dir: _counted(packets.top_domains(_dns(spark, sf_dir))),
@@ -223,7 +228,8 @@ def probe_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = derive.table(spark, sf_dir, "orders").select(
         "o_orderpriority", F.floor("o_totalprice").cast("bigint").alias("sample_ms"), F.col("o_custkey").alias("address")
     )
-    return probes.sample_stats(samples, ["o_orderpriority"])
+    found = probes.sample_stats(samples, ["o_orderpriority"])
+    return found.withColumns({name: F.col(name).cast("bigint") for name in ("min_ms", "max_ms")})  # samples are whole numbers here
 
 
 def fastest_server(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +326,58 @@ def diagnosis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.diagnosis_scores(*_diagnosis(spark, sf_dir))
 
 
+def _diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.diagnose(snapshots.parse_documents(derive.fleet_documents(spark, sf_dir), snapshots.SNAPSHOT))
+
+
+def fleet_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and summary of every snapshot of every host."""
+    s = F.col("summary")
+    return _diagnoses(spark, sf_dir).select(
+        "host", "snapshot_no", "score", F.size("findings").alias("findings"), s["connections"].alias("connections"),
+        s["remote_connections"].alias("remote_connections"), s["interfaces"].alias("interfaces"),
+        F.array_join(s["active_interfaces"], ",").alias("active_interfaces"), F.array_join(s["dns_servers"], ",").alias("dns_servers"),
+        s["vpn_active"].alias("vpn_active"), F.array_join(F.transform(s["default_routes"], lambda r: r["interface"]), ",").alias("default_routes"),
+    )
+
+
+def fleet_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in report order, per snapshot."""
+    return diagnosis.listed(_diagnoses(spark, sf_dir))
+
+
+def fleet_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route audit in report order, per snapshot."""
+    return diagnosis.listed(_diagnoses(spark, sf_dir), "leaks").drop("title", "recommendation")
+
+
+def rejected_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some are cut short: what is read and what is set aside, per reason."""
+    documents = derive.fleet_documents(spark, sf_dir)
+    cut = F.when(F.col("host").cast("int") % 9 == 0, F.substring("value", 1, 30)).otherwise(F.col("value"))
+    damaged = documents.withColumn("value", cut)
+    read = snapshots.parse_documents(damaged, snapshots.SNAPSHOT).select("host", F.lit("accepted").alias("outcome"))
+    bad = snapshots.rejected_documents(damaged).select("host", F.col("reason").alias("outcome"))
+    return read.unionByName(bad).groupBy("host", "outcome").agg(F.count("*").alias("documents"))
+
+
+def probe_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a probe with the sorted list of its addresses."""
+    samples = derive.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("probe"), F.floor("o_totalprice").cast("double").alias("sample_ms"), F.concat(F.lit("10.0.0."), (F.col("o_orderkey") % 7).cast("string")).alias("address")
+    )
+    found = probes.sample_stats(samples, ["probe"])
+    return found.join(probes.sample_addresses(samples, ["probe"]), "probe").withColumn("listed", F.array_join("listed", ","))
+
+
+def live_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total rates of a host with the last 60 totals as lists."""
+    rates = C.interface_rates(derive.counter_samples(spark, sf_dir))
+    milli = [F.floor(F.col(name) * 1000).cast("bigint").alias(name) for name in ("rx_rate", "tx_rate")]
+    found = C.live_history(rates.select("host", "name", "ts_ms", *milli))
+    return found.withColumns({name: F.array_join(name, ",") for name in ("history_rx", "history_tx")})
+
+
 def sanitize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def got(path: str) -> Column:
         return F.get_json_object("clean", path)
@@ -394,7 +452,8 @@ QUERIES = {
             connection_filter, connection_listing, connection_paths, recording_summary, recording_processes, interface_rates,
             rate_history, socket_log, route_log, default_routes, counter_log, neighbour_union, quality_scores, probe_stats,
             fastest_server, trace_stats, certificate_days, snapshot_tables, interface_counters, nameservers, vpn_status, leak_findings,
-            host_facts, diagnosis_findings, diagnosis_scores, sanitize_events, websocket_totals,
+            host_facts, diagnosis_findings, diagnosis_scores, fleet_diagnosis, fleet_findings, fleet_leaks, rejected_snapshots, probe_addresses,
+            live_history, sanitize_events, websocket_totals,
             performance_metrics, lifecycle_list, session_metadata, quarantine, dns_event_view, address_classes, captured_headers,
         )
     },

@@ -125,6 +125,26 @@ findings AS (
 """
 
 
+FLEET = SNAPSHOT.replace(
+    """  SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS host, c_custkey % 4 = 0 AS vpn,
+         c_custkey % 4 = 0 AND c_custkey % 8 = 0 AS full_tunnel, c_custkey % 4 = 0 AND c_custkey % 3 = 0 AS addressed FROM customer),""",
+    """  SELECT k, id AS host, k % 4 = 0 AS vpn, k % 8 = 0 AS full_tunnel, k % 12 = 0 AS addressed
+  FROM (SELECT c_custkey + 7 * n AS k, c_custkey || '|' || n AS id FROM customer, range(2) t(n))),""",
+).replace("FROM hosts WHERE k % 23 <> 0", "FROM hosts WHERE k % 23 <> 0 AND k % 31 <> 0")
+
+#: Report order of the findings, and their recommendations.
+CODES = (
+    "no-active-interface", "no-dns", "multiple-default-routes", "public-listeners", "many-closed-sockets", "dns-outside-vpn", "ipv6-outside-vpn",
+    "system-proxy", "baseline-clean", "quality-poor", "quality-degraded", "vpn-not-active", "no-obvious-leaks",
+)
+ADVICE = {
+    "multiple-default-routes": "This is normal with many VPNs; verify priority if traffic uses the wrong path.",
+    "public-listeners": "Confirm that each service is expected and protected by the firewall.",
+    "dns-outside-vpn": "Enable the VPN DNS option or block DNS on physical interfaces.",
+    "ipv6-outside-vpn": "Route IPv6 through the tunnel or disable IPv6 while using the VPN.",
+}
+
+
 def _common(ctes: str, value: str, alias: str, source: str, n: int) -> str:
     return _with(
         ctes,
@@ -447,6 +467,40 @@ def host_statements() -> dict[str, str]:
         """SELECT host, CAST(greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'warning' THEN 12 ELSE 0 END)) AS BIGINT) AS score,
                   count(*) AS findings FROM findings GROUP BY host""",
     )
+    taken = """split_part(host, '|', 1) AS host, 1704067200000 + 86400000 * CAST(split_part(host, '|', 2) AS BIGINT) AS snapshot_no"""
+    placed = f"row_number() OVER (PARTITION BY host ORDER BY list_position({list(CODES)}, code)) AS position"
+    advice = "CASE code " + " ".join(f"WHEN '{code}' THEN '{text}'" for code, text in ADVICE.items()) + " ELSE '' END AS recommendation"
+    q["fleet_findings"] = _with(FLEET, f"SELECT {taken}, {placed}, severity, code, title, detail, {advice} FROM findings")
+    q["fleet_leaks"] = _with(FLEET, f"SELECT {taken}, {placed}, severity, code, detail FROM all_leaks")
+    q["fleet_diagnosis"] = _with(
+        FLEET,
+        f"""SELECT {taken}, score, findings, CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END + CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS connections,
+                  CASE WHEN k % 19 = 0 THEN 51 ELSE 1 END AS remote_connections, 2 AS interfaces,
+                  concat_ws(',', CASE WHEN k % 7 <> 0 THEN 'en0' END, CASE WHEN addressed THEN 'utun3' END) AS active_interfaces,
+                  CASE WHEN k % 23 = 0 OR k % 31 = 0 THEN '' WHEN k % 6 = 0 THEN '1.1.1.1,192.168.1.1' ELSE '1.1.1.1,9.9.9.9' END AS dns_servers,
+                  vpn AS vpn_active, 'en0' || CASE WHEN NOT vpn THEN '' WHEN k % 8 = 0 THEN ',utun3' ELSE ',en1' END AS default_routes
+           FROM hosts JOIN (SELECT host, CAST(greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'warning' THEN 12 ELSE 0 END)) AS BIGINT) AS score,
+                                   count(*) AS findings FROM findings GROUP BY host) USING (host)""",
+    )
+    q["rejected_snapshots"] = """
+        SELECT CAST(c_custkey AS VARCHAR) AS host, CASE WHEN c_custkey % 9 = 0 THEN 'malformed JSON' ELSE 'accepted' END AS outcome, 2 AS documents FROM customer"""
+    q["probe_addresses"] = """
+        SELECT o_custkey AS probe, count(*) AS samples, min(floor(o_totalprice)) AS min_ms, round_even(avg(floor(o_totalprice)), 2) AS avg_ms,
+               max(floor(o_totalprice)) AS max_ms, count(DISTINCT o_orderkey % 7) AS addresses,
+               string_agg(DISTINCT '10.0.0.' || o_orderkey % 7, ',' ORDER BY '10.0.0.' || o_orderkey % 7) AS listed FROM orders GROUP BY 1"""
+    q["live_history"] = _with(
+        SAMPLES
+        + """, totals AS (SELECT host, ts_ms, CAST(sum(CAST(floor(rx_rate * 1000) AS BIGINT)) AS BIGINT) AS rx,
+                                 CAST(sum(CAST(floor(tx_rate * 1000) AS BIGINT)) AS BIGINT) AS tx FROM rates GROUP BY host, ts_ms),
+             later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts_ms) AS n FROM totals) WHERE n > 1)""",
+        """SELECT host, ts_ms, rx, tx, array_to_string(list(rx) OVER w, ',') AS history_rx, array_to_string(list(tx) OVER w, ',') AS history_tx FROM later
+           WINDOW w AS (PARTITION BY host ORDER BY ts_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
+    )
+    cut = PACKETS + ", cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq) AS n FROM packets) WHERE n <= 200)"
+    q["limited_totals"] = _with(
+        cut, "SELECT capture_id, count(*) AS packets, CAST(sum(length) AS BIGINT) AS payload_bytes, count(*) >= 200 AS limited FROM cut GROUP BY 1"
+    )
+    q["limited_samples"] = _with(cut, "SELECT capture_id, seq, n AS rank FROM cut WHERE n <= 50")
     q["sanitize_events"] = """
         SELECT doc_id, '[REDACTED ' || octet_length(encode(text)) || ' bytes]' AS body, '[REDACTED]' AS cookie, lang AS accept,
                'https://[REDACTED]@h.example/?token=%5BREDACTED%5D&q=' || lang AS url, '[REDACTED]' AS password, CAST(doc_id AS VARCHAR) AS n,

@@ -135,7 +135,7 @@ correlated AS (
          CASE WHEN closed THEN round_even((next_start - started) * 1000.0, 2) ELSE duration_ms END AS duration_ms,
          CASE WHEN failed THEN 0 ELSE transfer_bytes END AS transfer_bytes, body_bytes, failed,
          from_cache AND NOT closed AS from_cache, closed AS redirect,
-         CASE WHEN NOT closed THEN round_even(k / 10.0, 2) END AS dns_ms
+         CASE WHEN NOT closed THEN CAST(printf('%.2f', (2 * k + 1) * 5 / 1000.0) AS DOUBLE) END AS dns_ms
   FROM hops
 )
 """
@@ -373,6 +373,16 @@ def request_statements() -> dict[str, str]:
     q["compare_periods"] = _compare(metrics)
     q["compare_scores"] = _compare_scores()
     q["correlate_requests"] = _with(HOPS, "SELECT * FROM correlated")
+    q["correlated_headers"] = _with(
+        HOPS,
+        """SELECT session_id, seq * 8 AS seq, hop AS redirect_index, closed AS redirect,
+                  concat_ws(',', CASE WHEN k % 6 <> 1 THEN 'x-ask=a' || seq END,
+                    'x-early=e' || coalesce(CASE WHEN next_k % 5 = 0 THEN next_seq END, CASE WHEN hop = 0 AND k % 5 = 0 THEN seq END)) AS request_headers,
+                  CASE WHEN closed THEN '' ELSE concat_ws(',', 'server=' || protocol, CASE WHEN k % 4 <> 0 THEN 'x-answer=r' || seq END) END AS response_headers,
+                  NOT closed AND (from_cache OR k % 6 = 2) AS from_cache
+           FROM (SELECT *, lead(k) OVER w AS next_k, lead(seq) OVER w AS next_seq FROM hops
+                 WINDOW w AS (PARTITION BY session_id, seq // 400 ORDER BY seq))""",
+    )
     q["redirect_hops"] = _with(
         HOPS,
         """SELECT session_id, id, count(*) AS hops, count(*) FILTER (redirect) AS redirects,
@@ -391,8 +401,7 @@ def request_statements() -> dict[str, str]:
         """SELECT session_id, count(DISTINCT id) AS requests, count(*) FILTER (failed) AS network_failures,
                   count(*) FILTER (status >= 400) AS http_errors,
                   CAST(sum(CASE WHEN failed THEN 0 ELSE transfer_bytes END) AS BIGINT) AS encoded_bytes,
-                  ((max(ms) - min(ms)) // 10 + CASE WHEN (max(ms) - min(ms)) % 10 > 5
-                    OR ((max(ms) - min(ms)) % 10 = 5 AND (max(ms) - min(ms)) // 10 % 2 = 1) THEN 1 ELSE 0 END) / 100.0 AS observed_seconds,
+                  CAST(printf('%.2f', (max(ms) - min(ms)) / 1000.0) AS DOUBLE) AS observed_seconds,
                   count(*) FILTER (failed) + count(*) FILTER (status >= 400) AS failed
            FROM hops GROUP BY session_id""",
     )

@@ -16,4 +16,23 @@ def queries() -> dict[str, Query]:
 
 
 def statements() -> dict[str, str]:
-    return {**reference_sql.request_statements(), **host_sql.host_statements(), **stream_queries.STATEMENTS}
+    found = {**reference_sql.request_statements(), **host_sql.host_statements(), **stream_queries.STATEMENTS}
+    return {name: by_binary_value(sql) for name, sql in found.items()}
+
+
+def by_binary_value(sql: str) -> str:
+    """``round_even(x, 1 or 2)`` of a statement, by the exact binary value of x as the format function knows it; never -0.0."""
+    start, mark = 0, "round_even("
+    while (start := sql.find(mark, start)) >= 0:
+        depth, at, comma = 1, start + len(mark), 0
+        while depth:
+            char = sql[at]
+            depth += (char == "(") - (char == ")")
+            comma = at if char == "," and depth == 1 else comma
+            at += 1
+        value, digits = sql[start + len(mark) : comma], sql[comma + 1 : at - 1].strip()
+        if digits in ("1", "2"):
+            sql = f"{sql[:start]}(CAST(printf('%.{digits}f', CAST({value} AS DOUBLE)) AS DOUBLE) + 0.0){sql[at:]}"
+        else:
+            start = at
+    return sql

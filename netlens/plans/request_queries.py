@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.functions import redact as R
@@ -162,6 +162,17 @@ def correlate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def correlated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header maps and cache flags of every hop, from lines with the browser's extra events."""
+    requests = correlate(jsonl.events_of(jsonl.parse_event_lines(derive.header_lines(spark, sf_dir))))
+
+    def listed(name: str) -> Column:
+        pairs = F.array_sort(F.transform(F.map_entries(name), lambda item: F.concat(item["key"], F.lit("="), item["value"])))
+        return F.array_join(pairs, ",").alias(name)
+
+    return requests.select("session_id", "seq", "redirect_index", listed("request_headers"), listed("response_headers"), "from_cache", "redirect")
+
+
 def redirect_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate(browser_events(spark, sf_dir)).groupBy("session_id", "id").agg(
         F.count("*").alias("hops"), F.count_if("redirect").alias("redirects"), F.max("redirect_index").alias("last_index")
@@ -321,6 +332,7 @@ QUERIES = {
     "compare_periods": compare_periods,
     "compare_scores": compare_scores,
     "correlate_requests": correlate_requests,
+    "correlated_headers": correlated_headers,
     "redirect_hops": redirect_hops,
     "recorded_summary": recorded_summary,
     "recorder_summary": recorder_summary,

@@ -32,7 +32,8 @@ SNAPSHOT = (
     "interfaces array<struct<name:string,flags:array<string>,mtu:int,ipv4:array<string>,ipv6:array<string>,status:string>>, "
     f"routes array<{ROUTE}>, "
     "dns array<struct<id:int,nameservers:array<string>,search_domains:array<string>>>, "
-    f"proxy map<string,string>, interface_counters map<string,{COUNTER}>, quality struct<score:int>"
+    f"proxy map<string,string>, interface_counters map<string,{COUNTER}>, quality struct<score:int>, "
+    f"dns_routes array<struct<server:string,interface:string>>, ipv6_routes array<{ROUTE}>"
 )
 
 PROBE = "struct<target:string,ok:boolean,duration_ms:double,details:{0},error:string>"

@@ -11,6 +11,7 @@ from netlens.functions import address as A
 from netlens.functions import labels as L
 from netlens.functions import redact as R
 from netlens.functions import url as U
+from netlens.functions.numbers import half_even
 
 URLS = [
     "https://example.com/",
@@ -179,3 +180,20 @@ def test_connection_path(spark):
     frame = spark.createDataFrame(cases, "l string, r string, vpn boolean, want string")
     got = frame.select(A.connection_path(F.col("l"), F.col("r"), F.col("vpn")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got), got
+
+
+def test_rounding_by_the_binary_value(spark):
+    """All three-decimal ties below 40, their negatives and neighbours, and large, tiny and odd numbers round as Python rounds them."""
+    import math
+    import random
+
+    rng = random.Random(1)
+    values = [n / 1000 for n in range(5, 40_000, 10)] + [0.125, 0.375, 2.5, 1e13 + 0.005, 12345678.125, 5e-324, 1e-9, 0.0, 1e300]
+    values += [math.nextafter(v, 1e9) for v in values[:500]] + [math.nextafter(v, -1e9) for v in values[:500]]
+    values += [rng.uniform(0, 10 ** rng.randint(-3, 12)) for _ in range(2000)]
+    values += [-v for v in values]
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "v double")
+    found = frame.select("v", half_even(F.col("v"), 2).alias("two"), half_even(F.col("v"), 1).alias("one")).collect()
+    for row in found[: len(values)]:
+        assert (row.two, row.one) == (round(row.v, 2), round(row.v, 1)), row.v
+    assert found[-3].two is None and math.isnan(found[-2].two) and found[-1].two == float("inf")

@@ -203,7 +203,7 @@ def test_quality_score(spark, ping, dns, tls, http, score):
 
 def test_probe_statistics(spark):
     samples = spark.createDataFrame([("a", 1.0, "x"), ("a", 2.005, "y"), ("a", 4.0, "x")], "k string, sample_ms double, address string")
-    assert probes.sample_stats(samples, ["k"]).first()[1:] == (3, 1.0, 2.34, 4.0, 2)
+    assert probes.sample_stats(samples, ["k"]).first()[1:] == (3, 1.0, round((1.0 + 2.005 + 4.0) / 3, 2), 4.0, 2)
     hops = spark.createDataFrame([(1, ["a", "b", "a"], [1.0, 2.0], "x"), (2, [], [], "* * *")],
                                  "hop int, addresses array<string>, samples_ms array<double>, raw string")
     first, second = probes.trace_stats(hops).orderBy("hop").collect()
@@ -214,3 +214,54 @@ def test_probe_statistics(spark):
         "k string, pos int, server string, ok boolean, duration_ms double, answers array<string>")
     got = {r.k: (r.fastest, r.answers_differ) for r in probes.dns_comparison(results, ["k"]).collect()}
     assert got == {"d": ("s0", True), "e": (None, False)}
+
+
+def test_every_snapshot_has_its_own_diagnosis(spark):
+    """Two snapshots of a host, empty documents and null tables; order, score and summary of each."""
+    up = {"name": "en0", "flags": ["UP"], "ipv4": ["10.1.1.1"], "status": "unknown"}
+    tunnel = {"name": "utun4", "flags": ["UP"], "ipv4": ["10.9.0.2"], "status": "active"}
+    default = lambda interface: {"destination": "default", "gateway": "10.1.1.254", "interface": interface}
+    well = {"timestamp": "2025-06-03T08:00:00Z", "interfaces": [up], "routes": [default("en0")], "dns": [{"id": 1, "nameservers": ["9.9.9.9", "1.1.1.1", "9.9.9.9"]}]}
+    leaky = {
+        "timestamp": "2025-06-03T09:00:00Z", "interfaces": [up, tunnel], "routes": [default("utun4"), default("en0")],
+        "dns": [{"id": 1, "nameservers": ["9.9.9.9", "192.168.4.1"]}, {"id": 2, "nameservers": None}],
+        "dns_routes": [{"server": "192.168.4.1", "interface": "en0"}, {"server": "9.9.9.9", "interface": "en0"}, {"server": "8.8.8.8", "interface": "en0"}, {"server": "9.9.9.9", "interface": None}],
+        "ipv6_routes": [{"destination": "::/0", "interface": "en0"}, {"destination": "fe80::/64", "interface": "en0"}, {"destination": "default", "interface": ""}],
+        "connections": [{"process": "srv", "state": "LISTEN", "local": {"host": "::", "port": "22"}}], "proxy": {"HTTPEnable": "1"}, "quality": {"score": 60},
+    }
+    nameless = {"timestamp": "2025-06-03T08:00:00Z", "interfaces": [up], "dns": [{"id": 1, "nameservers": []}], "quality": {"score": 10}}
+    rows = [("h", json.dumps(well)), ("h", json.dumps(leaky)), ("bare", "{}"), ("named", json.dumps(nameless)), ("broken", "{")]
+    documents = snapshots.parse_documents(spark.createDataFrame(rows, "host string, value string"), snapshots.SNAPSHOT)
+    found = {(r.host, r.snapshot_no): r for r in diagnosis.diagnose(documents).collect()}
+    codes = {key: [f.code for f in r.findings] for key, r in found.items()}
+    nine = 1748941200000
+    assert codes[("h", nine - 3_600_000)] == ["baseline-clean"] and found[("h", nine - 3_600_000)].score == 100
+    assert codes[("h", nine)] == [
+        "multiple-default-routes", "public-listeners", "dns-outside-vpn", "dns-outside-vpn", "ipv6-outside-vpn", "system-proxy", "quality-degraded"]
+    assert [f.severity for f in found[("h", nine)].findings][2:5] == ["warning", "critical", "warning"]
+    assert found[("h", nine)].score == 100 - 12 - 12 - 30 - 12 - 12
+    assert codes[("bare", 0)] == ["no-active-interface", "no-dns"] and codes[("named", nine - 3_600_000)] == ["baseline-clean", "quality-poor"]
+    summary = found[("h", nine)].summary
+    assert (summary.active_interfaces, summary.dns_servers, summary.vpn_active) == (["en0", "utun4"], ["192.168.4.1", "9.9.9.9"], True)
+    assert [r.interface for r in summary.default_routes] == ["utun4", "en0"]
+    leaks = {(r.host, r.position, r.code) for r in diagnosis.listed(diagnosis.diagnose(documents), "leaks").collect() if r.host in ("bare", "h")}
+    assert ("bare", 1, "vpn-not-active") in leaks and ("h", 3, "ipv6-outside-vpn") in leaks
+    scores_ = diagnosis.diagnose(documents)
+    assert "Exchange" not in scores_._jdf.queryExecution().executedPlan().toString()
+
+
+def test_live_history_lists(spark):
+    """Lists of at most three totals, over a block border, without a host's first sample."""
+    rates = spark.createDataFrame([("h", name, 1000 * n, float(n), 1.0) for n in range(8) for name in ("a", "b")] + [("one", "a", 5, 1.0, 1.0)],
+                                  "host string, name string, ts_ms bigint, rx_rate double, tx_rate double")
+    found = C.live_history(rates, 3).orderBy("ts_ms").collect()
+    assert [(r.ts_ms, r.history_rx) for r in found] == [(1000 * n, [2.0 * m for m in range(max(1, n - 2), n + 1)]) for n in range(1, 8)]
+
+
+def test_limited_capture(spark):
+    rows = packet_source.parse_packets(capture(spark, PACKET_LINES))
+    kept = packets.limit_packets(rows, 3)
+    assert [r.seq for r in kept.orderBy("seq").collect()] == [0, 1, 2]
+    assert packets.packet_totals(kept, 3).first().asDict() == dict(capture_id="c", packets=3, payload_bytes=33, limited=True)
+    assert not packets.packet_totals(packets.limit_packets(rows, 50), 50).first().limited
+    assert probes.sample_addresses(spark.createDataFrame([("p", "b"), ("p", "a"), ("p", "b"), ("p", None)], "probe string, address string"), ["probe"]).first().listed == ["a", "b"]

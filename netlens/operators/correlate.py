@@ -76,8 +76,8 @@ def no_headers() -> Column:
     return F.create_map().cast(HEADERS)
 
 
-def request_events(events: DataFrame) -> DataFrame:
-    """The eight request events with their parameters read once into typed columns."""
+def request_events(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The eight request events with their parameters read once into typed columns, and the columns to ``keep`` as they are."""
     typed = F.explode(F.array(F.try_variant_get("body", "$.params", PARAMS))).alias("p")
     kind, p = F.col("method"), F.col("p")
     wanted = events.where((F.col("type") == "cdp_event") & kind.isin(*REQUEST_EVENTS))
@@ -90,9 +90,10 @@ def request_events(events: DataFrame) -> DataFrame:
     fault = F.struct(
         p["errorText"].alias("failure"), truthy(p["canceled"]).alias("canceled"), p["blockedReason"].alias("blocked_reason")
     )
-    return wanted.select(*KEY, "seq", "method", typed).select(
+    return wanted.select(*KEY, "seq", "method", *keep, typed).select(
         *KEY,
         "seq",
+        *keep,
         kind.alias("kind"),
         p["timestamp"].alias("ts"),
         F.when(kind == START, start).alias("start"),

@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.plans import derive
+from netlens.operators import connections
+from netlens.plans import derive, host_sql, reference_sql
 from netlens.session import ROCKSDB_PROVIDER, checkpoint_root
 from netlens.sources import jsonl
 from netlens.streaming import live, stateful
@@ -32,6 +33,47 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark, tempfile.gettempdir())}/netlens-stream-{uuid.uuid4().hex}"
 
 
+def _drained(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """What a stream with keyed state appends until all input is read."""
+    folder, before = _folder(spark), spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+    try:
+        query = (
+            rows.writeStream.format("parquet").outputMode("append").option("path", folder + "/result")
+            .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+    return spark.read.parquet(folder + "/result")
+
+
+def _spooled(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows written to the shared folder and read as a file stream."""
+    folder = _folder(spark)
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests correlated by a stream of the event lines: the last version of each."""
+    lines = _spooled(spark, derive.cdp_lines(spark, sf_dir))
+    versions = _drained(spark, stateful.correlation_stream(jsonl.events_of(jsonl.parse_event_lines(lines))))
+    latest = versions.groupBy("session_id", "id", "redirect_index").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*")
+    return latest.select(
+        "session_id", "seq", "id", "redirect_index", "url", "method", "resource_type", "status", "protocol", "duration_ms", "transfer_bytes", "body_bytes",
+        "failed", "from_cache", "redirect",
+    )
+
+
+def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sockets opened and closed, by a stream of whole snapshots."""
+    keyed, taken = connections.with_key(derive.connections(spark, sf_dir)), derive.snapshots(spark, sf_dir)
+    held = keyed.groupBy("host", "snapshot_no").agg(F.collect_set("conn_key").alias("keys"))  # a snapshot is one record of its host
+    packed = taken.join(held, ["host", "snapshot_no"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    return _drained(spark, stateful.lifecycle_stream(_spooled(spark, packed)))
+
+
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live counters of start and response lines built from the event stream."""
     k = F.col("k")
@@ -69,23 +111,19 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("host-"), F.col("user_id") % 10).alias("host"), F.concat(F.lit("en"), F.col("user_id") % 4).alias("name"),
         (event * 1000).alias("ts_ms"), (event * 37 % 100000).alias("rx_bytes"), (event * 5).alias("tx_bytes"),
     )
-    folder, before = _folder(spark), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
-    try:
-        query = (
-            stateful.rate_stream(samples).writeStream.format("parquet").outputMode("append").option("path", folder + "/result")
-            .option("checkpointLocation", folder + "/state").trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    rates = spark.read.parquet(folder + "/result")
+    rates = _drained(spark, stateful.rate_stream(samples))
     return rates.select("host", "name", "ts_ms", *[F.round(name, 6).alias(name) for name in ("rx_rate", "tx_rate")])
 
 
-QUERIES = {"stream_counters": stream_counters, "stream_rates": stream_rates}
+QUERIES = {f.__name__: f for f in (stream_counters, stream_rates, stream_requests, stream_lifecycle)}
 
 STATEMENTS = {
+    "stream_requests": reference_sql._with(
+        reference_sql.HOPS,
+        """SELECT session_id, seq, id, redirect_index, url, method, resource_type, status, protocol, duration_ms, transfer_bytes, body_bytes, failed,
+                  from_cache, redirect FROM correlated""",
+    ),
+    "stream_lifecycle": host_sql.host_statements()["lifecycle_changes"],
     "stream_counters": """
         WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_type,
                           CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events)

@@ -178,8 +178,8 @@ def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(seq=batch["split"].to_numpy("int64") << POSITION_BITS | rows)[["session_id", "seq", "value"]]
 
 
-def stream_recordings(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """EVENT rows as a file stream.
+def stream_recordings(spark: SparkSession, path: str, files_per_trigger: int | None = 64) -> DataFrame:
+    """EVENT rows as a file stream, at most so many files in a micro-batch (None: all that are there).
 
     Streams have no ``monotonically_increasing_id``, so lines are numbered in Arrow batches.
     """

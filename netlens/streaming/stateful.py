@@ -112,130 +112,155 @@ CORRELATED = (
     "from_cache boolean, failed boolean, failure string, redirect boolean, request_headers string, response_headers string"
 )
 _COLUMNS = [field.split()[0] for field in CORRELATED.split(", ")]
+_EXTRAS = {C.START_EXTRA: "ask", C.RESPONSE_EXTRA: "answer"}
+#: Kinds of which a hop needs the latest event only.
+_LATEST = [C.START, C.RESPONSE, C.FINISHED, C.FAILED, C.SERVED_FROM_CACHE]
+BEFORE = -1
+
+
+def hop_summaries(events: pd.DataFrame, first_hop: int, replies: int) -> dict[int, dict]:
+    """Summaries of the events of one request id by hop (BEFORE: before any start); ``first_hop`` is open, ``replies`` were seen.
+
+    A summary has the latest event of each kind, the latest end with a time, the latest value of each extra header, and
+    the received bytes, so summaries of consecutive stretches of a hop merge by taking the later part (``merged``).
+    """
+    events = events.sort_values("seq", kind="stable")
+    starts = events.loc[events["kind"] == C.START, "seq"].to_numpy()
+    events = events.assign(hop=first_hop + starts.searchsorted(events["seq"].to_numpy(), side="right"))
+    answered = (events["kind"] == C.RESPONSE) & (events["hop"] > BEFORE)
+    events["number"] = answered.cumsum() + replies
+    summaries = {int(hop): {"latest": {}, "end": None, "ask": {}, "answer": {}, "body": 0} for hop in events["hop"].unique()}
+    wanted = events[events["kind"].isin(_LATEST)].drop_duplicates(["hop", "kind"], keep="last")
+    for row in wanted.to_dict("records"):
+        kept = {name: None if pd.isna(row[name]) else row[name] for name in ("ts", "start", "reply", "encoded_length", "failure")}
+        summaries[row["hop"]]["latest"][row["kind"]] = dict(kept, seq=int(row["seq"]), number=int(row["number"]))
+    ends = events[events["kind"].isin([C.FINISHED, C.FAILED]) & events["ts"].notna()].drop_duplicates("hop", keep="last")
+    for hop, ts in zip(ends["hop"], ends["ts"]):
+        summaries[hop]["end"] = float(ts)
+    for hop, kind, seq, text in events.loc[events["kind"].isin(list(_EXTRAS)), ["hop", "kind", "seq", "extra_headers"]].itertuples(index=False):
+        found = {name: [int(seq), value] for name, value in json.loads(text).items()}
+        side = summaries[hop][_EXTRAS[kind]]
+        if hop == BEFORE:  # only the last map before the first start counts, as a whole
+            side.clear()
+        side.update(found)
+    for hop, body in events.groupby("hop")["data_length"].sum().items():
+        summaries[hop]["body"] = int(body)
+    return summaries
+
+
+def merged(early: dict, late: dict) -> dict:
+    """The summary of two stretches of one hop, the second after the first."""
+    return {
+        "latest": early["latest"] | late["latest"], "end": early["end"] if late["end"] is None else late["end"],
+        "ask": early["ask"] | late["ask"], "answer": early["answer"] | late["answer"], "body": early["body"] + late["body"],
+    }
+
+
+def hop_row(summary: dict, hop: int, follower: dict | None, pending: dict) -> dict:
+    """The request that a summary stands for; ``follower`` is the start after it, ``pending`` the headers before any start."""
+    begun, answer = summary["latest"][C.START], summary["latest"].get(C.RESPONSE)
+    start = json.loads(begun["start"])
+    asked = start.get("request") or {}
+    closing = follower if follower and follower["reply"] else None
+    source = closing or answer
+    reply = json.loads(source["reply"]) if source else {}
+    headers = dict(reply.get("headers") or {})
+    cached = bool(reply.get("fromDiskCache") or reply.get("fromPrefetchCache"))
+    if closing is None:
+        after = answer["seq"] if answer else BEFORE
+        if answer and answer["number"] == 1:
+            headers |= {name: value for name, (_, value) in pending["answer"].items()}
+        headers |= {name: value for name, (seq, value) in summary["answer"].items() if seq > after}
+        note = summary["latest"].get(C.SERVED_FROM_CACHE)
+        cached = cached or bool(note and note["seq"] > after)
+    first = {name: value for name, (_, value) in pending["ask"].items()} if hop == 0 else {}
+    stop = closing["ts"] if closing and closing["ts"] is not None else summary["end"]
+    span = None if stop is None or start.get("timestamp") is None else round(max(0.0, stop - start["timestamp"]) * 1000, 2)
+    done, fault = summary["latest"].get(C.FINISHED), summary["latest"].get(C.FAILED)
+    return {
+        "redirect_index": hop, "seq": begun["seq"], "ended": bool(closing or done or fault), "url": asked.get("url") or "",
+        "method": asked.get("method") or "?", "resource_type": start.get("type") or "Other", "status": int(float(reply.get("status") or 0)),
+        "protocol": reply.get("protocol") or "unknown", "duration_ms": span, "transfer_bytes": int(done["encoded_length"] or 0) if done else 0,
+        "body_bytes": summary["body"], "from_cache": cached, "failed": fault is not None, "failure": fault and fault["failure"],
+        "redirect": closing is not None,
+        "request_headers": json.dumps(dict(asked.get("headers") or {}) | first | {n: v for n, (_, v) in summary["ask"].items()}, sort_keys=True),
+        "response_headers": json.dumps(headers, sort_keys=True),
+    }
 
 
 class CorrelationProcessor(StatefulProcessor):
-    """Requests of one (session, request id), emitted whenever they end and again if they change later.
+    """Requests of one (session, request id), from a summary of the hop that is open.
 
-    ``idle_ms`` after its last event an unfinished request is emitted as it stands and forgotten.
+    After each micro-batch every hop that ended in it, or changed after its end, is emitted with a higher version. Once
+    the watermark is ``idle_ms`` past an id's last event, an unfinished request is emitted as it stands and the id forgotten.
     """
 
-    def __init__(self, idle_ms: int | None = None) -> None:
+    def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("open", "text string")
 
+    def _known(self) -> dict:
+        if self.state.exists():
+            return json.loads(self.state.get()[0])
+        return {"hop": BEFORE, "summary": None, "version": 0, "replies": 0, "pending": {"ask": {}, "answer": {}}, "last": 0}
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        memory = json.loads(self.state.get()[0]) if self.state.exists() else {"hop": None, "ask": None, "answer": None}
-        out = []
-        for event in pd.concat(list(rows)).sort_values("seq").to_dict("records"):
-            self._apply(memory, event, out)
-        self.state.update((json.dumps(memory),))
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._frame(key, out)
+        known = self._known()
+        events = pd.concat(list(rows))
+        parts = hop_summaries(events, known["hop"], known["replies"])
+        if known["hop"] == BEFORE and BEFORE in parts:
+            known["pending"] = {side: parts[BEFORE][side] or known["pending"][side] for side in ("ask", "answer")}
+        if known["summary"] and known["hop"] in parts:
+            parts[known["hop"]] = merged(known["summary"], parts[known["hop"]])
+        elif known["summary"] and parts:
+            parts[known["hop"]] = known["summary"]
+        found = []
+        hops = sorted(hop for hop in parts if hop > BEFORE)
+        for hop in hops:
+            follower = parts[hop + 1]["latest"][C.START] if hop + 1 in parts else None
+            version = known["version"] + 1 if hop == known["hop"] else 1
+            found.append(dict(hop_row(parts[hop], hop, follower, known["pending"]), version=version))
+        last = int(events["wall"].max().timestamp() * 1000)
+        if hops:
+            answered = ((events["kind"] == C.RESPONSE) & (events["seq"] > min(parts[h]["latest"][C.START]["seq"] for h in hops))).sum()
+            known.update(hop=hops[-1], summary=parts[hops[-1]], version=found[-1]["version"], replies=known["replies"] + int(answered))
+        known["last"] = max(last, known["last"])
+        self.state.update((json.dumps(known),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(known["last"] + self.idle_ms)
+        yield self._frame(key, [row for row in found if row["ended"]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        memory = json.loads(self.state.get()[0]) if self.state.exists() else {"hop": None}
+        known = self._known()
         self.state.clear()
-        hop = memory["hop"]
-        yield self._frame(key, [dict(hop, version=hop["version"] + 1)] if hop and not hop["ended"] else [])
+        row = hop_row(known["summary"], known["hop"], None, known["pending"]) if known["summary"] else None
+        yield self._frame(key, [dict(row, version=known["version"] + 1)] if row and not row["ended"] else [])
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _frame(key, hops: list[dict]) -> pd.DataFrame:
-        rows = [
-            dict(hop, session_id=key[0], id=key[1], request_headers=json.dumps(hop["ask"], sort_keys=True),
-                 response_headers=json.dumps(hop["answer"], sort_keys=True))
-            for hop in hops
-        ]
-        return pd.DataFrame(rows, columns=_COLUMNS)
+    def _frame(key, rows: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame([dict(row, session_id=key[0], id=key[1]) for row in rows], columns=_COLUMNS)
 
-    @staticmethod
-    def _reply(hop: dict, event: dict) -> None:
-        reply = json.loads(event["reply"])
-        hop.update(
-            status=int(float(reply.get("status") or 0)), protocol=reply.get("protocol") or "unknown",
-            from_cache=bool(reply.get("fromDiskCache") or reply.get("fromPrefetchCache")), answer=dict(reply.get("headers") or {}),
-        )
 
-    @staticmethod
-    def _span(hop: dict, event: dict) -> None:
-        if not pd.isna(event["ts"]) and hop["start"] is not None:
-            hop["duration_ms"] = round(max(0.0, event["ts"] - hop["start"]) * 1000, 2)
-
-    def _emit(self, hop: dict, out: list[dict]) -> None:
-        hop.update(version=hop["version"] + 1, ended=True)
-        out.append(dict(hop, ask=dict(hop["ask"]), answer=dict(hop["answer"])))
-
-    def _apply(self, memory: dict, event: dict, out: list[dict]) -> None:
-        kind, hop = event["kind"], memory["hop"]
-        headers = json.loads(event["extra_headers"]) if event["extra_headers"] else {}
-        if kind == C.START:
-            if hop is not None and event["reply"]:
-                self._reply(hop, event)
-                self._span(hop, event)
-                hop["redirect"] = True
-                self._emit(hop, out)
-            memory["hop"] = self._opened(memory, event, hop)
-            return
-        if hop is None:
-            slot = {C.START_EXTRA: "ask", C.RESPONSE_EXTRA: "answer"}.get(kind)
-            if slot:
-                memory[slot] = headers
-            return
-        if kind == C.START_EXTRA:
-            hop["ask"].update(headers)
-        elif kind == C.RESPONSE:
-            self._reply(hop, event)
-            hop["answer"].update(memory["answer"] or {})
-            memory["answer"] = None
-        elif kind == C.RESPONSE_EXTRA:
-            hop["answer"].update(headers)
-        elif kind == C.SERVED_FROM_CACHE:
-            hop["from_cache"] = True
-        elif kind == C.DATA:
-            hop["body_bytes"] += int(event["data_length"])
-        elif kind == C.FINISHED:
-            hop["transfer_bytes"] = int(event["encoded_length"])
-            self._span(hop, event)
-        elif kind == C.FAILED:
-            hop.update(failed=True, failure=event["failure"])
-            self._span(hop, event)
-        if kind in (C.FINISHED, C.FAILED) or hop["ended"]:
-            self._emit(hop, out)
+def correlation_stream(events: DataFrame, idle: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Requests of an EVENT stream; the highest ``version`` of a (session, id, hop) is its latest state.
 
-    @staticmethod
-    def _opened(memory: dict, event: dict, before: dict | None) -> dict:
-        start = json.loads(event["start"])
-        asked = start.get("request") or {}
-        ask = dict(asked.get("headers") or {})
-        ask.update(memory["ask"] or {})
-        memory["ask"] = None
-        return {
-            "redirect_index": 0 if before is None else before["redirect_index"] + 1, "seq": int(event["seq"]), "version": 0,
-            "ended": False, "url": asked.get("url") or "", "method": asked.get("method") or "?",
-            "resource_type": start.get("type") or "Other", "status": 0, "protocol": "unknown", "duration_ms": None,
-            "transfer_bytes": 0, "body_bytes": 0, "from_cache": False, "failed": False, "failure": None, "redirect": False,
-            "start": start.get("timestamp"), "ask": ask, "answer": {},
-        }
-
-
-def correlation_stream(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Requests of an EVENT stream; the highest ``version`` of a (session, id, hop) is its latest state."""
-    rows = C.request_events(events).select(
+    Time is that of the events. An id without an event for ``idle`` is forgotten once the watermark (``late`` behind the
+    newest event) is past it, so the state is bounded whatever the stream is; a replay gives what the live run gave.
+    Events without a readable time, and events older than the watermark, are left out.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = events.withColumn("wall", F.col("timestamp").try_cast("timestamp")).where(F.col("wall").isNotNull()).withWatermark("wall", late)
+    rows = C.request_events(timed, ("wall",)).select(
         "session_id", "request_id", "seq", "kind", "ts", F.to_json("start").alias("start"), F.to_json("reply").alias("reply"),
-        F.to_json("extra_headers").alias("extra_headers"), "data_length", "encoded_length", F.col("fault.failure").alias("failure"),
+        F.to_json("extra_headers").alias("extra_headers"), "data_length", "encoded_length", F.col("fault.failure").alias("failure"), "wall",
     )
     return rows.groupBy("session_id", "request_id").transformWithStateInPandas(
-        statefulProcessor=CorrelationProcessor(idle_ms),
-        outputStructType=CORRELATED,
-        outputMode="Append",
-        timeMode="None" if idle_ms is None else "ProcessingTime",
+        statefulProcessor=CorrelationProcessor(idle_ms), outputStructType=CORRELATED, outputMode="Append", timeMode="EventTime"
     )

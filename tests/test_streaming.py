@@ -1,7 +1,10 @@
 """Streams give what the batch operators give."""
 
 import json
+import os
+from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from netlens.operators import connections as C
@@ -74,6 +77,52 @@ def test_correlation_stream_equals_batch(spark, tmp_path):
     assert ended <= {(r.session_id, r.id, r.redirect_index) for r in rows}
 
 
+def cut_stream(spark, folder, sessions, pieces):
+    """Sessions whose lines arrive in ``pieces`` files, one file a micro-batch: every session is cut over all of them."""
+    folder.mkdir()
+    for number in range(pieces):
+        rows = []
+        for name, events in sessions.items():
+            size = -(-len(events) // pieces)
+            rows += [json.dumps({"session_id": name, "seq": i, "value": json.dumps(events[i])}) for i in range(number * size, min(len(events), (number + 1) * size))]
+        (folder / f"{number}.json").write_text("\n".join(reversed(rows)))
+        os.utime(folder / f"{number}.json", (1_700_000_000 + number, 1_700_000_000 + number))  # files are taken in this order
+    lines = spark.readStream.schema("session_id string, seq bigint, value string").option("maxFilesPerTrigger", 1).json(str(folder))
+    return jsonl.events_of(jsonl.parse_event_lines(lines))
+
+
+def stamped(events, step=1):
+    """The events with times that move on by ``step`` seconds."""
+    start = datetime(2025, 6, 3, 8, 0, tzinfo=timezone.utc)
+    return [dict(event, timestamp=(start + timedelta(seconds=step * i)).isoformat()) for i, event in enumerate(events)]
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 7])
+def test_correlation_over_micro_batches(spark, tmp_path, pieces):
+    """However the events of a request are cut over micro-batches, its last version is what the batch gives."""
+    sessions = {f"s{seed}": stamped(random_events(seed, 90)) for seed in range(3)}
+    versions = drain(stateful.correlation_stream(cut_stream(spark, tmp_path / "in", sessions, pieces)), f"cut{pieces}")
+    latest = versions.groupBy("session_id", "id", "redirect_index").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*").collect()
+    rows = [(name, i, json.dumps(event)) for name, events in sessions.items() for i, event in enumerate(events)]
+    events = jsonl.split_lines(spark.createDataFrame(rows, "session_id string, seq bigint, value string")).events
+    batch = {(r.session_id, r.id, r.redirect_index): r for r in correlate(events).collect()}
+    names = ("seq", "url", "status", "transfer_bytes", "body_bytes", "from_cache", "failed", "failure", "redirect", "duration_ms")
+    for row in latest:
+        want = batch[(row.session_id, row.id, row.redirect_index)]
+        assert {n: row[n] for n in names} == {n: want[n] for n in names}
+        assert (json.loads(row.request_headers), json.loads(row.response_headers)) == (want.request_headers, want.response_headers)
+    assert {key for key, r in batch.items() if r.redirect or r.failed or r.transfer_bytes} <= {(r.session_id, r.id, r.redirect_index) for r in latest}
+
+
+def test_unfinished_requests_leave_with_the_watermark(spark, tmp_path):
+    """A request without an end is emitted once, when event time has moved on; its state goes."""
+    ask = lambda rid, url: cdp("Network.requestWillBeSent", requestId=rid, timestamp=1.0, request={"url": url, "method": "GET"})
+    at = lambda event, minute: dict(event, timestamp=f"2025-06-03T{8 + minute // 60:02d}:{minute % 60:02d}:00Z")
+    events = [at(ask("1", "http://open.test/"), 0), at(ask("2", "http://x.test/"), 1), at(ask("3", "http://y.test/"), 40), at(ask("4", "http://z.test/"), 41)]
+    found = drain(stateful.correlation_stream(cut_stream(spark, tmp_path / "in", {"s": events}, 4), "5 minutes", "1 minute"), "idle").collect()
+    assert sorted((r.url, r.version, r.ended) for r in found) == [("http://open.test/", 2, False), ("http://x.test/", 2, False)]
+
+
 def test_live_counters_and_append(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()

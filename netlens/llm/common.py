@@ -53,6 +53,14 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     return Stage(frame, label).frame
 
 
+def free_name(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have yet, whatever the case."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(frame: DataFrame, rows: int | None = None) -> DataFrame:
     """``frame`` with a broadcast hint if a count shows that it is small; unchanged otherwise."""
     limit = BROADCAST_ROWS if rows is None else rows

@@ -6,11 +6,11 @@ its own m: it lengthens its prefix (and with it the number of shared prefix elem
 as that lowers its estimated cost, which is list entries scanned plus candidates left to verify. A pair needs the
 smaller of its two m. What is left is verified exactly.
 
-Exact copies (equal shingle sequences) become one class first. ``jaccard_links`` then verifies every pair of classes that
-shares enough prefix shingles, so no link is lost. Where only components are asked for, groups of near copies are not
-expanded into all pairs: in each prefix list, every class is compared with one central class; classes that link to the
-same centre are known to be in one component, so afterwards only pairs of different groups are joined. The components
-are exact either way.
+Exact copies (equal shingle sequences) become one class first. Groups of near copies are not expanded into rows of pairs:
+classes that often meet the same central class in their prefix lists form a family, and a family's members are compared
+with each other, all with all, in cells of bounded size: a cell holds two blocks of sets, counts all intersections by
+matrix products and returns only how many links each member has and what hangs together. Pairs of different families
+come from the prefix lists and are verified one by one. So every link is found and counted, whichever way.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
-from netlens.llm.common import bounded, stage
+from netlens.llm.common import Stage, bounded, free_name, stage
 from netlens.llm.graph import components
 from netlens.llm.verify import SIDES, asked_rows, jaccard_test, meet, parities, parity, parity_test, sides_for
 
@@ -40,8 +40,10 @@ KNOWN = 1 << 17
 NOTED = 4
 #: Entries of one prefix list that a task takes; lists of shingles known to be longer are dealt over several.
 LIST_SPAN = 20_000
-#: A class is compared with its centre ahead of the join if they share one in so many of its prefix shingles.
+#: A class belongs to the family of a centre with which it shares one in so many of its prefix shingles.
 CENTRAL = 4
+#: Shingles and members of one block of a family, on average, and shingles that a cell counts at once.
+BLOCK_SHINGLES, BLOCK_MEMBERS, COLUMNS = 1 << 18, 256, 1 << 12
 
 
 def shingle_facts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -79,7 +81,7 @@ NAMES = ["kind", "row", "doc_id", "key", "n"]
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _common_shingles(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +156,11 @@ def _alike(a: str, b: str, percent: int) -> object:
     return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
 
-def _centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each class with one centre, the weightiest of those it meets often (a, b).
+def _families(lists: DataFrame, percent: int) -> DataFrame:
+    """key, family: the centre, of all that a class meets often, with the most list neighbours; its centre's, if that has one.
 
     The centre of a list is its class with the most list neighbours over all its lists: the origin of a group of near
-    copies, which its copies resemble more than they resemble each other. Pairs that meet in too few lists to be copies
-    are left to the exact join.
+    copies, which its copies resemble more than they resemble each other. Families only decide how pairs are compared.
     """
     weight = lists.groupBy("key").agg(F.sum("size").alias("weight"))
     rated = lists.join(weight, "key")
@@ -170,8 +171,96 @@ def _centre_pairs(lists: DataFrame, percent: int) -> DataFrame:
     )
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("asked")
     likely = times.where((F.col("times") >= F.col("asked")) & (F.col("times") * CENTRAL >= prefix))
-    chosen = likely.groupBy("key").agg(F.max(F.struct("weight", "centre")).alias("m"))
-    return chosen.select(F.least("key", "m.centre").alias("a"), F.greatest("key", "m.centre").alias("b")).distinct()
+    chosen = stage(likely.groupBy("key").agg(F.max(F.struct("weight", "centre"))["centre"].alias("centre")), "join-centres")
+    above = chosen.select(F.col("key").alias("centre"), F.col("centre").alias("above"))
+    own = chosen.join(above, "centre", "left").select("key", F.coalesce("above", "centre").alias("family"))
+    return own.union(own.select(F.col("family").alias("key"), "family").distinct().join(own.select("key"), "key", "left_anti"))
+
+
+def _cells(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b, links, rows): per member (a) and cell the links and linked rows found there (b null), and pairs that hang together.
+
+    A family of any size is dealt over blocks of bounded size; each pair of blocks is a cell, so a member goes to as many
+    cells as its family has blocks, and no cell holds more than two blocks.
+    """
+    members = families.join(classes.select("key", "row", "size", "held"), "key")
+    totals = members.groupBy("family").agg(F.sum("size").alias("total"), F.count("*").alias("count")).where("count > 1")
+    blocks = F.greatest(F.floor(F.col("total") / BLOCK_SHINGLES), F.floor(F.col("count") / BLOCK_MEMBERS)).cast("int") + 1
+    placed = members.join(totals.select("family", blocks.alias("blocks")), "family").select(
+        "row", "key", "family", "held", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
+    )
+    rows = _rows(docs).join(placed, "row").select("text", "key", "family", "held", "blocks", "block")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in texts.blocks(batch.column(0)):
+                found = [f.tobytes() for f in texts.shingles(block, width)]
+                part = batch.slice(block.first, block.last - block.first)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *part.columns[1:]], names=["found", *part.schema.names[1:]])
+
+    held = rows.mapInArrow(sets, "found binary, key long, family long, held long, blocks int, block int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = held.select("family", "key", "held", "block", "found", other).select(
+        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "held", "block", "found"
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, members = None, {}
+        for batch in batches:
+            payload = batch.column(6)
+            for at, (family, i, j, *row) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(6)])):
+                if (family, i, j) != cell:
+                    if len(members) > 1:
+                        yield cell_links(members, percent)
+                    cell, members = (family, i, j), {}
+                if row[0] not in members:  # else a repeated row
+                    members[row[0]] = (row[1], row[2], np.frombuffer(payload[at].as_buffer(), np.uint64))
+        if len(members) > 1:
+            yield cell_links(members, percent)
+
+    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "key").mapInArrow(compare, "a long, b long, links long, rows long")
+
+
+def cell_links(members: dict[int, tuple[int, int, np.ndarray]], percent: int) -> pa.RecordBatch:
+    """Links between the members (key: rows of the class, block, sorted set) of a cell: of different blocks, if it has two."""
+    keys = np.array(list(members), np.int64)
+    weights, blocks = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
+    sets = [m[2] for m in members.values()]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    shared = times[which] > 1  # shingles of one member count for sizes only
+    column = (np.cumsum(times > 1) - 1)[which[shared]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[shared][order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        cut = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
+        matrix = np.zeros((len(sets), COLUMNS), np.float32)
+        matrix[owner[cut], column[cut] - begin] = 1
+        common += matrix @ matrix.T
+    common = common.astype(np.float64)
+    link = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+    np.fill_diagonal(link, False)
+    if blocks.min() != blocks.max():
+        link &= blocks[:, None] != blocks[None, :]
+    label = np.arange(len(sets))
+    while True:  # the smallest member that links reach
+        least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    linked, moved = link.any(axis=1), label != np.arange(len(sets))
+    none = pa.nulls(int(linked.sum()), pa.int64())
+    zero = np.zeros(int(moved.sum()), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([keys[linked], keys[moved]])), pa.concat_arrays([none, pa.array(keys[label[moved]])]),
+            pa.array(np.concatenate([link.sum(axis=1)[linked], zero])), pa.array(np.concatenate([(link @ weights)[linked], zero])),
+        ],
+        names=["a", "b", "links", "rows"],
+    )
 
 
 def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -201,12 +290,12 @@ def _asked_for(pairs: DataFrame) -> DataFrame:
     return counted.where("shared >= asked").select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by one row of each class.
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by one row of each class, as a table.
 
     Bitmaps of the sets, a fiftieth of their size, first rule out what cannot link; the whole texts of the rest meet.
     """
-    places = stage(facts.where("kind = 0 and key is not null").groupBy("key").agg(F.min("row").alias("row")), "join-places")
+    places = classes.select("key", "row")
 
     def sides(pairs: DataFrame, bitmaps: bool) -> DataFrame:
         asked = asked_rows(pairs, places, "join-asked")
@@ -226,8 +315,10 @@ def verified(docs: DataFrame, pairs: DataFrame, facts: DataFrame, width: int, pe
         for block in texts.blocks(column.cast(pa.large_binary())):
             yield from texts.shingles(block, width)
 
-    possible = stage(meet(sides(pairs, True), parities, parity_test(percent)), "join-possible")
-    return meet(sides(possible, False), sets, jaccard_test(percent))
+    possible = Stage(meet(sides(pairs, True), parities, parity_test(percent)), "join-possible")
+    found = stage(meet(sides(possible.frame, False), sets, jaccard_test(percent)), "join-links")
+    possible.drop()
+    return found
 
 
 def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -235,70 +326,93 @@ def jaccard_links(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -
 
     Every row of class a links with every row of class b, and rows of one class link with each other.
     """
-    return _every_link(docs, _facts(docs, width), width, percent)
+    facts = _facts(docs, width)
+    lists = _prefix_lists(docs, facts, width, percent)
+    pairs = Stage(_all_pairs(lists.frame, percent), "join-all-pairs")
+    lists.drop()
+    return verified(docs, pairs.frame, _classes(facts), width, percent)
 
 
 def _facts(docs: DataFrame, width: int) -> DataFrame:
     return stage(shingle_facts(docs, width), "join-facts")
 
 
-def _prefix_lists(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    return stage(_lists(prefixes(docs, _common_shingles(facts), width, percent)), "join-lists")
+def _classes(facts: DataFrame) -> DataFrame:
+    """key, row (one that has it), size (of its set), least (doc_id), held (rows): the distinct sets that are not empty."""
+    rows = facts.where("kind = 0 and key is not null")
+    return stage(
+        rows.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("size"), F.min("doc_id").alias("least"), F.count("*").alias("held")), "join-classes"
+    )
 
 
-def _every_link(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    pairs = stage(_all_pairs(_prefix_lists(docs, facts, width, percent), percent), "join-all-pairs")
-    return stage(verified(docs, pairs, facts, width, percent), "join-links")
+def _prefix_lists(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> Stage:
+    return Stage(_lists(prefixes(docs, _common_shingles(facts), width, percent)), "join-lists")
 
 
-def _spanning_links(docs: DataFrame, facts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links enough for the components; those inside a group that is known already are not looked for."""
+def _linked(docs: DataFrame, facts: DataFrame, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """key, root of every linked class; and key, links (other classes it links with), rows (in those)."""
     lists = _prefix_lists(docs, facts, width, percent)
-    centres = stage(_centre_pairs(lists, percent), "join-centres")
-    first = stage(verified(docs, centres, facts, width, percent), "join-first")
-    groups = components(first, "join-groups").select(F.col("node").alias("key"), F.col("root").alias("group"))
-    pairs = stage(_group_pairs(lists, groups, percent), "join-pairs")
-    return first.union(stage(verified(docs, pairs, facts, width, percent), "join-second"))
+    families = stage(_families(lists.frame, percent), "join-families")
+    pairs = Stage(_group_pairs(lists.frame, families.select("key", F.col("family").alias("group")), percent), "join-pairs")
+    lists.drop()
+    cells = stage(_cells(docs, families, classes, width, percent), "join-cells")
+    links = verified(docs, pairs.frame, classes, width, percent)
+    pairs.drop()
+    roots = components(cells.where("b is not null").select("a", "b").union(links), "join-components").select(F.col("node").alias("key"), "root")
+    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    outside = ends.join(classes.select(F.col("key").alias("other"), "held"), "other").select("key", F.lit(1).cast("long").alias("links"), F.col("held").alias("rows"))
+    inside = cells.where("b is null").select(F.col("a").alias("key"), "links", "rows")
+    return roots, inside.union(outside).groupBy("key").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
+
+
+def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, n, key (null: no shingles), held, root, links, rows of every row of ``docs``; root is null where nothing links."""
+    facts = _facts(docs, width)
+    classes = _classes(facts)
+    roots, degree = _linked(docs, facts, classes, width, percent)
+    # Only linked classes and classes of several rows need a look-up; per class before the join, so copies do not weigh.
+    named = classes.select("key", "held").join(roots, "key", "left").join(degree, "key", "left")
+    return facts.where("kind = 0").drop("kind").join(named, "key", "left")
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text; other columns are ignored).
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id that links reach), class_key
     (equal for equal shingle sets), links_found (other classes that its class links with) and row_links (other rows that
-    it links with, copies in its own class among them). Without ``count_links`` the last two are left out, and links
-    inside a known group are implied instead of verified. Words are runs
-    of bytes other than ASCII white space, A-Z folded. Null, empty and blank texts have no shingles and stay alone.
-    Repeated rows and repeated doc_ids give a row each; a row without doc_id takes part, and its component_id is null
-    if no member has one. Shingles are compared by 64-bit hashes.
+    it links with, copies in its own class among them). Words are runs of bytes other than ASCII white space, A-Z folded.
+    Null, empty and blank texts have no shingles and stay alone. Repeated rows and repeated doc_ids give a row each; a
+    row without doc_id takes part, and its component_id is null if no member has one. Shingles are compared by 64-bit
+    hashes.
     """
-    facts = _facts(docs, width)
-    rows = facts.where("kind = 0").drop("kind", "row")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
-    links = (_every_link if count_links else _spanning_links)(docs, facts, width, percent)
-    roots = components(links, "join-components").select(F.col("node").alias("key"), "root")
-    if count_links:
-        ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
-        other = classes.select(F.col("key").alias("other"), "held")
-        degree = ends.join(other, "other").groupBy("key").agg(F.count("*").alias("links_found"), F.sum("held").alias("linked_rows"))
-        roots = roots.join(degree, "key")
-    counts = {"links_found": F.coalesce("links_found", F.lit(0)), "row_links": F.coalesce("linked_rows", F.lit(0)) + F.col("held") - 1} if count_links else {}
-
-    # Only linked classes and classes of several rows need a look-up; per class before the join, so copies do not weigh.
-    named = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("key", "component_id", *[value.alias(name) for name, value in counts.items()])
-    return rows.join(named, "key", "left").select(
+    placed = stage(_placed(docs, width, percent), "join-placed")
+    group = F.coalesce("root", "key")
+    # Copies are reduced to their class before the least doc_id of a group is looked for and joined back.
+    least = placed.where("key is not null").groupBy("key", group.alias("group")).agg(F.min("doc_id").alias("least"))
+    named = least.join(least.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("key", "component_id")
+    number = lambda name: F.coalesce(name, F.lit(0)).cast("long")
+    return placed.join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("key").alias("class_key"), *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
+        F.col("key").alias("class_key"), number("links").alias("links_found"),
+        F.when(F.col("key").isNull(), 0).otherwise(number("rows") + F.col("held") - 1).cast("long").alias("row_links"),
     )
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that link, directly or through others, to one of smaller doc_id.
+    """``docs`` with one row of each component of near copies: that of smallest doc_id (rows without one last), then content.
 
-    Of rows with equal doc_id in one component the first by content stays. Columns are those of ``docs``.
+    Rows are told apart by doc_id and text, so an unlinked row stays whatever other rows have its doc_id; of rows that
+    agree in both, one stays. Null, empty and blank texts are no copies of each other and all stay. All columns are
+    kept as they are, under whatever names; an empty table gives none.
     """
-    found = jaccard_components(docs, count_links=False).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    gone = bounded(stage(found, "join-gone"))
-    return docs.join(gone, "doc_id", "left_anti")
+    name = free_name(docs, "row")
+    placed = stage(_placed(docs, WIDTH, PERCENT).where("key is not null").select("row", "doc_id", F.coalesce("root", "key").alias("group")), "join-placed")
+    rows = placed.groupBy("group", "row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("times"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.groupBy("group").agg(F.min(rank)["row"].alias("kept"))
+    gone = bounded(stage(rows.join(first, "group").where("row <> kept").select(F.col("row").alias(name)), "join-gone"))
+    repeated = bounded(stage(rows.where("times > 1").select(F.col("row").alias(name)), "join-repeated"))
+    left = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(gone, name, "left_anti")
+    once = left.join(repeated, name, "left_anti")
+    several = left.join(repeated, name, "left_semi").dropDuplicates([name])
+    return once.unionByName(several).drop(name)

@@ -100,7 +100,6 @@ def test_ngram_join_counts_every_link(spark, rows):
     links = ngram_join.jaccard_links(docs).collect()
     assert len(links) == len({(r.a, r.b) for r in links}) == len(pairs)
     assert {r.a for r in links} | {r.b for r in links} == {r.class_key for r in found if r.links_found}
-    assert "links_found" not in ngram_join.jaccard_components(docs, count_links=False).columns
 
 
 def test_empty_tables(spark, no_docs):

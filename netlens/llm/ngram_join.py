@@ -40,8 +40,6 @@ KNOWN = 1 << 17
 NOTED = 4
 #: Entries of one prefix list that a task takes; lists of shingles known to be longer are dealt over several.
 LIST_SPAN = 20_000
-#: A class belongs to the family of a centre with which it shares one in so many of its prefix shingles.
-CENTRAL = 4
 #: Shingles and members of one block of a family, on average, and shingles that a cell counts at once.
 BLOCK_SHINGLES, BLOCK_MEMBERS, COLUMNS = 1 << 18, 256, 1 << 12
 
@@ -157,24 +155,22 @@ def _alike(a: str, b: str, percent: int) -> object:
 
 
 def _families(lists: DataFrame, percent: int) -> DataFrame:
-    """key, family: the centre, of all that a class meets often, with the most list neighbours; its centre's, if that has one.
+    """key, family: classes that hang together by each one's centre, the one with the most list neighbours of those it may link with.
 
     The centre of a list is its class with the most list neighbours over all its lists: the origin of a group of near
-    copies, which its copies resemble more than they resemble each other. Families only decide how pairs are compared.
+    copies, which its copies resemble more than they resemble each other. A class may link with a centre if they share as
+    many prefix shingles as it asks for. Families only decide how pairs are compared, never whether.
     """
     weight = lists.groupBy("key").agg(F.sum("size").alias("weight"))
     rated = lists.join(weight, "key")
     centre = rated.groupBy("shingle", "span").agg(F.max(F.struct("weight", "key", "n")).alias("c"))
     met = rated.join(centre, ["shingle", "span"]).where((F.col("key") != F.col("c.key")) & _alike("n", "c.n", percent))
     times = met.groupBy("key", F.col("c.key").alias("centre"), F.col("c.weight").alias("weight")).agg(
-        F.count("*").alias("times"), F.first("n").alias("n"), F.first("asked").alias("asked")
+        F.count("*").alias("times"), F.first("asked").alias("asked")
     )
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("asked")
-    likely = times.where((F.col("times") >= F.col("asked")) & (F.col("times") * CENTRAL >= prefix))
-    chosen = stage(likely.groupBy("key").agg(F.max(F.struct("weight", "centre"))["centre"].alias("centre")), "join-centres")
-    above = chosen.select(F.col("key").alias("centre"), F.col("centre").alias("above"))
-    own = chosen.join(above, "centre", "left").select("key", F.coalesce("above", "centre").alias("family"))
-    return own.union(own.select(F.col("family").alias("key"), "family").distinct().join(own.select("key"), "key", "left_anti"))
+    chosen = times.where("times >= asked").groupBy("key").agg(F.max(F.struct("weight", "centre"))["centre"].alias("centre"))
+    found = components(chosen.select(F.col("key").alias("a"), F.col("centre").alias("b")), "join-centres")
+    return found.select(F.col("node").alias("key"), F.col("root").alias("family"))
 
 
 def _cells(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -211,18 +207,18 @@ def _cells(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int,
             for at, (family, i, j, *row) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(6)])):
                 if (family, i, j) != cell:
                     if len(members) > 1:
-                        yield cell_links(members, percent)
+                        yield cell_links(members, cell[1] == cell[2], percent)
                     cell, members = (family, i, j), {}
                 if row[0] not in members:  # else a repeated row
                     members[row[0]] = (row[1], row[2], np.frombuffer(payload[at].as_buffer(), np.uint64))
         if len(members) > 1:
-            yield cell_links(members, percent)
+            yield cell_links(members, cell[1] == cell[2], percent)
 
     return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "key").mapInArrow(compare, "a long, b long, links long, rows long")
 
 
-def cell_links(members: dict[int, tuple[int, int, np.ndarray]], percent: int) -> pa.RecordBatch:
-    """Links between the members (key: rows of the class, block, sorted set) of a cell: of different blocks, if it has two."""
+def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, percent: int) -> pa.RecordBatch:
+    """Links between the members (key: rows of the class, block, sorted set) of a cell: all of one block (``whole``), or those of different blocks."""
     keys = np.array(list(members), np.int64)
     weights, blocks = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
     sets = [m[2] for m in members.values()]
@@ -242,7 +238,7 @@ def cell_links(members: dict[int, tuple[int, int, np.ndarray]], percent: int) ->
     common = common.astype(np.float64)
     link = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
     np.fill_diagonal(link, False)
-    if blocks.min() != blocks.max():
+    if not whole:
         link &= blocks[:, None] != blocks[None, :]
     label = np.arange(len(sets))
     while True:  # the smallest member that links reach

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
-from netlens.llm.common import bounded, stage
+from netlens.llm.common import bounded, free_name, stage
 from netlens.llm.graph import components
 from netlens.llm.verify import SIDES, asked_rows, jaccard_test, meet, sides_for
 
@@ -34,7 +34,7 @@ _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS, dtype=np.u
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def cut_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -225,14 +225,17 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines end at LF; blank lines stay. Null texts stay null (no lines), empty ones empty. A row whose lines all go stays
     with an empty text. Rows that repeat both doc_id and text count as one, and come out equal; a null doc_id sorts
-    first. Columns of ``docs`` other than doc_id and text pass through.
+    first. Columns of ``docs`` other than doc_id and text pass through, under any name; a column ``n_removed`` or ``n_lines`` of its
+    own is kept and not added a second time. An empty table gives none.
     """
-    gone = stage(repeated_lines(docs), "lines-gone")
-    named = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bounded(gone.withColumnRenamed("row", "_row")), "_row", "left")
+    row, lines = free_name(docs, "row"), free_name(docs, "gone_lines")
+    gone = stage(repeated_lines(docs), "lines-gone").select(F.col("row").alias(row), F.col("lines").alias(lines))
+    named = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(bounded(gone), row, "left")
     parts = F.split("text", "\n", -1)
-    left = F.filter(parts, lambda line, at: ~F.array_contains("lines", at))
-    cut = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    left = F.filter(parts, lambda line, at: ~F.array_contains(F.col(lines), at))
+    cut = F.when(F.col(lines).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    added = {"n_removed": F.coalesce(F.array_size(F.col(lines)), F.lit(0)), "n_lines": F.coalesce(F.array_size(parts), F.lit(0))}
     return named.select(
-        *[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.coalesce(F.array_size("lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        *[cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[value.cast("long").alias(name) for name, value in added.items() if name not in docs.columns],
     )

@@ -30,8 +30,8 @@ HEAD, KNOWN = 2048, 1 << 18
 SIZE, NOISE, BATCH, STEP = 32, 128, 1024, 0.15
 #: Rounds of training and the share of the texts that ends with each.
 SHARES = (1, 3, 8, 16)
-#: Tokens that a task keeps at once while it trains or scores.
-WINDOW = 1 << 20
+#: Bytes of text that a task takes at once, or one text if that is longer.
+BLOCK = 1 << 19
 END, FIRST = 0, 1
 
 
@@ -82,7 +82,7 @@ class Parameters:
 
 def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per block of texts: the hashes of its lower-cased words, and where each text's words begin and end."""
-    for block in texts.blocks(column):
+    for block in texts.blocks(column, BLOCK):
         _, _, hashes, at = texts.words(block)
         yield hashes, at
 

@@ -138,11 +138,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = np.log((counts + SMOOTHING) / (totals + 2 * SMOOTHING)[:, None])
     ratio = odds[1] - odds[0]
 
+    # Rows are chosen, not ids: repeated ids cannot make the sample larger, and repeated rows count once.
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    labelled = rows.join(bounded(labels), "doc_id").select("doc_id", "row", "label").distinct()
     chosen = None
     for label in (0, 1):
-        some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        some = labelled.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "row").limit(SAMPLE)
         chosen = some if chosen is None else chosen.union(some)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "text", "label")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

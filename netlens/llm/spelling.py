@@ -29,6 +29,8 @@ LEAST, MOST, GRAMS = 2, 4, 1 << 16
 LENGTH, TIMES, RATIO = 6, 5, 5
 #: One in so many words of a document loses a code point.
 EVERY = 199
+#: Bytes of text that a task takes at once, or one text if that is longer.
+BLOCK = 1 << 19
 
 
 # ---- words of documents ----------------------------------------------------------------------------------------------
@@ -138,7 +140,7 @@ def words(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for block in texts.blocks(batch.column(1)):
+            for block in texts.blocks(batch.column(1), BLOCK):
                 found, counts = block_words(block, ids[block.first : block.last])
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
 

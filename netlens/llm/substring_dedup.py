@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm import texts
-from netlens.llm.common import bounded, stage
+from netlens.llm.common import bounded, free_name, stage
 
 REACH = 16
 LONGEST = 512
@@ -180,9 +180,13 @@ def _values(batch: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
 
 
 def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated spans cut out of the texts; rows and all other columns stay as they are."""
-    cut = repeated_spans(docs, min_words).groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(bounded(stage(cut, "chunks-spans")), "_row", "left")
+    """``docs`` with the repeated spans cut out of the texts; rows and all other columns stay as they are, under any name.
+
+    Null and empty texts stay as they are; rows that repeat both doc_id and text come out equal. An empty table gives none.
+    """
+    row, listed = free_name(docs, "row"), free_name(docs, "cut_spans")
+    cut = repeated_spans(docs, min_words).groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(listed))
+    joined = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(bounded(stage(cut, "chunks-spans")), row, "left")
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +204,4 @@ def drop_repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
             columns = [pa.array(found, pa.string()) if name == "text" else batch.column(k) for k, name in enumerate(batch.schema.names[: len(schema)])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.select(*docs.columns, "_spans").mapInArrow(rewrite, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], listed).mapInArrow(rewrite, schema)

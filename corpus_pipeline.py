@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm import line_dedup, ngram_join, packing, quality, substring_dedup
-from netlens.llm.common import stage, table
+from netlens.llm.common import free_name, stage, table
 
 #: Documents scored below this go.
 LEAST_QUALITY = 0.5
@@ -18,29 +18,33 @@ def _same_columns(changed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text the quality model, learned from the labels, gives LEAST_QUALITY or more."""
+    """Documents whose whole text the quality model, learned from the labels, gives LEAST_QUALITY or more.
+
+    Null and empty texts get the model's bias; rows that are alike are decided alike. An empty table gives none.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score(docs, quality.fit(docs, labels), "_quality")
-    return scored.where(F.col("_quality") >= LEAST_QUALITY).select(*docs.columns)
+    name = free_name(docs, "quality")
+    scored = quality.score(docs, quality.fit(docs, labels), name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier line of the corpus, exactly or nearly."""
+    """All documents, without the lines that repeat an earlier line of the corpus, exactly or nearly. Null texts stay null."""
     return _same_columns(line_dedup.drop_repeated_lines(docs), docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of smallest doc_id, of each component of near duplicates."""
+    """One row, that of smallest doc_id, of each component of near duplicates; texts without words all stay."""
     return ngram_join.keep_one_of_each(docs)
 
 
 def chunk_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat one of an earlier document."""
+    """All documents, without the passages that repeat one of an earlier document. Null texts stay null."""
     return _same_columns(substring_dedup.drop_repeated_spans(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The batch and slot of every document."""
+    """The batch and slot of every document; null and empty texts have no tokens. A token is a word between white space."""
     return packing.pack(docs)
 
 
@@ -52,7 +56,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Trained models, MinHash and content-defined chunks have no SQL form; the tests hold each stage against brute force.
+#: Trained models, MinHash and content-defined chunks have no SQL form; the tests hold the rows of ``run`` against a plain version of the stages.
 ORACLE_SQL = None
 
 

@@ -1,11 +1,11 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard test, union-find over the links.
 
 A line is the set of its distinct GRAM-character shingles (a shorter line is one shingle). Signatures of BANDS x ROWS
-minima are cut into bands; with 8 x 3 two lines of similarity 0.8 meet in a band with probability 0.997. In a band's
-bucket every line first meets the bucket's smallest line and its neighbour in key order; the pairs are verified on the
-whole sets. Then all lines of a bucket meet that no link has joined yet, so that every link which banding meets is
-found or implied; bitmaps rule out what cannot link, and the rest is verified likewise. Of each component of links the
-first line of the corpus stays: the one of smallest doc_id, then row, then line number.
+minima are cut into bands; with 24 x 6 two lines of similarity 0.8 meet in a band with probability 0.9993, two of 0.5
+with 0.31. Lines that hang together by shared buckets form a family: no two lines of different families share a
+bucket. Inside a family all lines are compared with each other on their whole sets, in cells of bounded size, so every
+link that banding meets is found. Of each component of links the first line of the corpus stays: the one of smallest
+doc_id, then row, then line number.
 """
 
 from __future__ import annotations
@@ -15,21 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netlens.llm import texts
+from netlens.llm import cells, texts
 from netlens.llm.common import bounded, free_name, stage
 from netlens.llm.graph import components
-from netlens.llm.verify import SIDES, asked_rows, jaccard_test, meet, sides_for
 
 GRAM = 8
 PERCENT = 80
-BANDS, ROWS = 8, 3
-#: Words of 64 bits in the bitmap of a line's shingles.
-WORDS = 4
-#: In a bucket of so many lines, the smallest line and the neighbours make all pairs.
-FULLY_MET = 3
+BANDS, ROWS = 24, 6
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -88,25 +83,20 @@ def band_keys(lines: pa.Array) -> np.ndarray:
 
 
 def _signatures(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per line a row of BANDS bucket keys, and a row of its number of shingles (repeats counted) and WORDS of bitmap."""
-    found = [(np.zeros((0, BANDS), np.uint64), np.zeros((0, WORDS + 1), np.uint64))]
+    """Per line a row of BANDS bucket keys, and its number of shingles (repeats counted)."""
+    found = [(np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int64))]
     for hashes, at in line_shingles(lines):
         high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32) | np.uint32(1)
         bands = np.zeros((len(at) - 1, BANDS), np.uint64)
         for k, seed in enumerate(_SEEDS):
             least = np.minimum.reduceat((high ^ seed) * low if k % 2 else high * seed + low, at[:-1])
-            bands[:, k // ROWS] = texts.mix(bands[:, k // ROWS] + least.astype(np.uint64) + texts._STEPS[k])
-        sketch = np.empty((len(at) - 1, WORDS + 1), np.uint64)
-        sketch[:, 0] = np.diff(at)
-        bit, word = np.uint64(1) << (hashes & np.uint64(63)), (hashes >> np.uint64(6)) % np.uint64(WORDS)
-        for w in range(WORDS):
-            sketch[:, w + 1] = np.bitwise_or.reduceat(np.where(word == w, bit, np.uint64(0)), at[:-1])
-        found.append((bands, sketch))
+            bands[:, k // ROWS] = texts.mix(bands[:, k // ROWS] + least.astype(np.uint64) + texts._STEPS[k % ROWS])
+        found.append((bands, np.diff(at)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def scan_lines(docs: DataFrame) -> DataFrame:
-    """One pass over whole texts: rows with row, doc_id, keys (of its lines); and rows with key, bands, sketch (of a line)."""
+    """One pass over whole texts: rows with row, doc_id, keys (of its lines); and rows with key, bands, size (of a line)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,94 +104,60 @@ def scan_lines(docs: DataFrame) -> DataFrame:
             keys = line_keys(lines)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(texts.signed(keys))),
-                 pa.nulls(batch.num_rows, pa.int64()), *[pa.nulls(batch.num_rows, pa.list_(pa.int64()))] * 2], names=NAMES,
+                 pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.list_(pa.int64())), pa.nulls(batch.num_rows, pa.int64())], names=NAMES,
             )
             distinct, first = np.unique(keys, return_index=True)
             first = first[distinct != 0]
             if len(first):
-                empty, signed = len(first), _signatures(lines.take(pa.array(first)))
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(texts.signed(x.reshape(-1)))) for x in signed
-                ]
+                empty, (bands, sizes) = len(first), _signatures(lines.take(pa.array(first)))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(texts.signed(bands.reshape(-1))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.list_(pa.int64())), pa.array(texts.signed(keys[first])),
-                     *lists], names=NAMES,
+                     listed, pa.array(sizes.astype(np.int64))], names=NAMES,
                 )
 
-    return _rows(docs).mapInArrow(scan, "row long, doc_id long, keys array<long>, key long, bands array<long>, sketch array<long>")
+    return _rows(docs).mapInArrow(scan, "row long, doc_id long, keys array<long>, key long, bands array<long>, size long")
 
 
-NAMES = ["row", "doc_id", "keys", "key", "bands", "sketch"]
+NAMES = ["row", "doc_id", "keys", "key", "bands", "size"]
 
 
-def shared_buckets(scanned: DataFrame) -> DataFrame:
-    """bucket, key, least, before, held: the lines of each bucket of two or more, with its smallest and the one before."""
+def bucket_links(scanned: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that share a bucket, enough to tell what hangs together: each line with its bucket's smallest."""
     entries = scanned.where("key is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
     entries = entries.select("key", F.xxhash64("band", "bucket").alias("bucket"))
-    ordered = Window.partitionBy("bucket").orderBy("key")
-    met = entries.select("bucket", "key", F.first("key").over(ordered).alias("least"), F.lag("key").over(ordered).alias("before"))
-    lines = met.where("before is null or before <> key")
-    return lines.withColumn("held", F.count("*").over(Window.partitionBy("bucket"))).where("held > 1")
-
-
-def first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a bucket: each with the bucket's smallest line and with the one before it."""
-    return buckets.where("before is not null").select(F.explode(F.array("least", "before")).alias("a"), F.col("key").alias("b")).where("a <> b").distinct()
-
-
-def _unmet_pairs(scanned: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs (a, b) of lines of different groups that share a bucket, but for those whose bitmaps rule out a link."""
-    placed = buckets.where(F.col("held") > FULLY_MET).select("bucket", "key").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
-    sizes = placed.groupBy("bucket", "group").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "group")).alias("m"), F.count("*").alias("groups")).where("groups > 1")
-    mixed = stage(placed.join(mixed.select("bucket", F.col("m.group").alias("main")), "bucket"), "lines-mixed")
-    words = [f"w{i}" for i in range(WORDS + 1)]
-    sketches = scanned.where("key is not null").select("key", *[F.get("sketch", F.lit(i)).alias(w) for i, w in enumerate(words)])
-    sketches = sketches.join(bounded(mixed.select("key").distinct()), "key", "left_semi").groupBy("key").agg(*[F.first(w).alias(w) for w in words])
-    known = stage(mixed.join(sketches, "key"), "lines-known")
-    few = known.where("group <> main").select("bucket", *[F.col(c).alias(c + "_a") for c in ("key", "group", *words)])
-    many = known.select("bucket", "main", *[F.col(c).alias(c + "_b") for c in ("key", "group", *words)])
-    # A bit that one line lacks is a shingle that it lacks, and repeats only raise the counts: no link is ruled out.
-    apart = " + ".join(f"bit_count({w}_a ^ {w}_b)" for w in words[1:])
-    pairs = few.join(many, "bucket").where("group_a <> group_b and (group_b = main or key_a < key_b)").where(
-        f"({apart}) * {100 + PERCENT} <= (w0_a + w0_b) * {100 - PERCENT}"
-    )
-    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    shared = entries.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    return entries.join(shared.select("bucket", "least"), "bucket").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Edges (a, b) between different lines whose components are those of all links that banding meets."""
-    buckets = stage(shared_buckets(scanned), "lines-buckets")
-    links = _verified(docs, scanned, stage(first_pairs(buckets), "lines-pairs"))
-    groups = stage(components(links, "lines-groups"), "lines-grouped")
-    unmet = stage(_unmet_pairs(scanned, buckets, groups.select(F.col("node").alias("key"), F.col("root").alias("group"))), "lines-unmet")
-    edges = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return edges if unmet.isEmpty() else edges.union(_verified(docs, scanned, unmet))
-
-
-def _verified(docs: DataFrame, scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link by the shingle sets of the whole lines, each line from one row that holds it."""
-    held = scanned.where("keys is not null").select("row", F.explode("keys").alias("key"))
+    """Edges (a, b) between different lines whose components are those of all links within families."""
+    families = stage(components(bucket_links(scanned), "lines-families").select(F.col("node").alias("key"), F.col("root").alias("family")), "lines-families")
+    sizes = scanned.where("key is not null").select("key", "size").join(families, "key").groupBy("key", "family").agg(F.max("size").alias("size"))
+    held = scanned.where("keys is not null").select("row", F.explode("keys").alias("key")).join(families.select("key"), "key", "left_semi")
     places = held.groupBy("key").agg(F.min("row").alias("row"))
-    asked = asked_rows(pairs, places, "lines-asked")
-    rows = _rows(docs).join(asked, "row").select("text", "pairs")
+    placed = cells.dealt(sizes).join(places, "key").select("row", F.struct("key", "family", "blocks", "block").alias("line"))
+    # One list per row of the documents: as long as that document has lines.
+    asked = stage(placed.groupBy("row").agg(F.collect_list("line").alias("asked")), "lines-asked")
+    rows = _rows(docs).join(asked, "row").select("text", "asked")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, at = cut_lines(batch.column(0))
-            keys = line_keys(lines)
-            asked_keys = batch.column(1).flatten().field("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            distinct, first = np.unique(keys, return_index=True)
-            take = np.sort(first[np.isin(distinct, asked_keys)])
-            chosen = zip(texts.signed(keys[take]).tolist(), lines.take(pa.array(take)))
-            yield sides_for(batch.column(1), {key: line.as_py().encode() for key, line in chosen})
-
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for hashes, begin in line_shingles(column.cast(pa.large_binary())):
-            for a, b in zip(begin[:-1], begin[1:]):
-                yield np.unique(hashes[a:b])
+            keys = texts.signed(line_keys(lines))
+            wanted = batch.column(1)
+            for i in range(batch.num_rows):
+                line = wanted[i].values
+                distinct, first = np.unique(keys[at[i] : at[i + 1]], return_index=True)
+                take = at[i] + first[np.searchsorted(distinct, line.field("key").to_numpy())]
+                found = [np.unique(hashes[a:b]).tobytes() for hashes, begin in line_shingles(lines.take(pa.array(take))) for a, b in zip(begin[:-1], begin[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.binary()), line.field("key"), line.field("family"), pa.array(np.ones(len(found), np.int64)), line.field("blocks"), line.field("block")],
+                    names=["found", "key", "family", "held", "blocks", "block"],
+                )
 
-    return stage(meet(rows.mapInArrow(scan, SIDES), sets, jaccard_test(PERCENT)), "lines-links")
+    found = cells.compared(rows.mapInArrow(sets, "found binary, key long, family long, held long, blocks int, block int"), PERCENT)
+    return stage(found.where("b is not null").select("a", "b"), "lines-links")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

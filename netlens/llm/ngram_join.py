@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm import texts
+from netlens.llm import cells, texts
 from netlens.llm.common import Stage, bounded, free_name, stage
 from netlens.llm.graph import components
 from netlens.llm.verify import SIDES, asked_rows, jaccard_test, meet, parities, parity, parity_test, sides_for
@@ -40,8 +40,6 @@ KNOWN = 1 << 17
 NOTED = 4
 #: Entries of one prefix list that a task takes; lists of shingles known to be longer are dealt over several.
 LIST_SPAN = 20_000
-#: Shingles and members of one block of a family, on average, and shingles that a cell counts at once.
-BLOCK_SHINGLES, BLOCK_MEMBERS, COLUMNS = 1 << 18, 256, 1 << 12
 
 
 def shingle_facts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -174,17 +172,9 @@ def _families(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _cells(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, links, rows): per member (a) and cell the links and linked rows found there (b null), and pairs that hang together.
-
-    A family of any size is dealt over blocks of bounded size; each pair of blocks is a cell, so a member goes to as many
-    cells as its family has blocks, and no cell holds more than two blocks.
-    """
+    """The links inside families, as ``cells.compared`` gives them."""
     members = families.join(classes.select("key", "row", "size", "held"), "key")
-    totals = members.groupBy("family").agg(F.sum("size").alias("total"), F.count("*").alias("count")).where("count > 1")
-    blocks = F.greatest(F.floor(F.col("total") / BLOCK_SHINGLES), F.floor(F.col("count") / BLOCK_MEMBERS)).cast("int") + 1
-    placed = members.join(totals.select("family", blocks.alias("blocks")), "family").select(
-        "row", "key", "family", "held", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")
-    )
+    placed = cells.dealt(members).select("row", "key", "family", "held", "blocks", "block")
     rows = _rows(docs).join(placed, "row").select("text", "key", "family", "held", "blocks", "block")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,68 +185,7 @@ def _cells(docs: DataFrame, families: DataFrame, classes: DataFrame, width: int,
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *part.columns[1:]], names=["found", *part.schema.names[1:]])
 
     held = rows.mapInArrow(sets, "found binary, key long, family long, held long, blocks int, block int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = held.select("family", "key", "held", "block", "found", other).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "held", "block", "found"
-    )
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, members = None, {}
-        for batch in batches:
-            payload = batch.column(6)
-            for at, (family, i, j, *row) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(6)])):
-                if (family, i, j) != cell:
-                    if len(members) > 1:
-                        yield cell_links(members, cell[1] == cell[2], percent)
-                    cell, members = (family, i, j), {}
-                if row[0] not in members:  # else a repeated row
-                    members[row[0]] = (row[1], row[2], np.frombuffer(payload[at].as_buffer(), np.uint64))
-        if len(members) > 1:
-            yield cell_links(members, cell[1] == cell[2], percent)
-
-    return dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "key").mapInArrow(compare, "a long, b long, links long, rows long")
-
-
-def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, percent: int) -> pa.RecordBatch:
-    """Links between the members (key: rows of the class, block, sorted set) of a cell: all of one block (``whole``), or those of different blocks."""
-    keys = np.array(list(members), np.int64)
-    weights, blocks = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
-    sets = [m[2] for m in members.values()]
-    sizes = np.array([len(x) for x in sets], np.float64)
-    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
-    shared = times[which] > 1  # shingles of one member count for sizes only
-    column = (np.cumsum(times > 1) - 1)[which[shared]]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[shared][order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        cut = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
-        matrix = np.zeros((len(sets), COLUMNS), np.float32)
-        matrix[owner[cut], column[cut] - begin] = 1
-        common += matrix @ matrix.T
-    common = common.astype(np.float64)
-    link = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
-    np.fill_diagonal(link, False)
-    if not whole:
-        link &= blocks[:, None] != blocks[None, :]
-    label = np.arange(len(sets))
-    while True:  # the smallest member that links reach
-        least = np.minimum(label, np.where(link, label[None, :], len(sets)).min(axis=1))
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    linked, moved = link.any(axis=1), label != np.arange(len(sets))
-    none = pa.nulls(int(linked.sum()), pa.int64())
-    zero = np.zeros(int(moved.sum()), np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([keys[linked], keys[moved]])), pa.concat_arrays([none, pa.array(keys[label[moved]])]),
-            pa.array(np.concatenate([link.sum(axis=1)[linked], zero])), pa.array(np.concatenate([(link @ weights)[linked], zero])),
-        ],
-        names=["a", "b", "links", "rows"],
-    )
+    return cells.compared(held, percent)
 
 
 def _group_pairs(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -351,14 +280,14 @@ def _linked(docs: DataFrame, facts: DataFrame, classes: DataFrame, width: int, p
     families = stage(_families(lists.frame, percent), "join-families")
     pairs = Stage(_group_pairs(lists.frame, families.select("key", F.col("family").alias("group")), percent), "join-pairs")
     lists.drop()
-    cells = stage(_cells(docs, families, classes, width, percent), "join-cells")
+    inside = stage(_cells(docs, families, classes, width, percent), "join-cells")
     links = verified(docs, pairs.frame, classes, width, percent)
     pairs.drop()
-    roots = components(cells.where("b is not null").select("a", "b").union(links), "join-components").select(F.col("node").alias("key"), "root")
+    roots = components(inside.where("b is not null").select("a", "b").union(links), "join-components").select(F.col("node").alias("key"), "root")
     ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
     outside = ends.join(classes.select(F.col("key").alias("other"), "held"), "other").select("key", F.lit(1).cast("long").alias("links"), F.col("held").alias("rows"))
-    inside = cells.where("b is null").select(F.col("a").alias("key"), "links", "rows")
-    return roots, inside.union(outside).groupBy("key").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
+    own = inside.where("b is null").select(F.col("a").alias("key"), "links", "rows")
+    return roots, own.union(outside).groupBy("key").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
 
 
 def _placed(docs: DataFrame, width: int, percent: int) -> DataFrame:

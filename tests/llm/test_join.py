@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from netlens.llm import ngram_join
+from netlens.llm import cells, ngram_join
 from tests.llm.test_llm import prose, shingle_set
 
 
@@ -17,8 +17,8 @@ def counted(texts):
 @pytest.mark.parametrize("members,shingles", [(256, 1 << 18), (4, 1 << 18), (256, 600)])
 def test_links_of_a_family_over_blocks(spark, monkeypatch, members, shingles):
     """Near copies around the threshold, exact copies among them, dealt over one block or many: every link is counted."""
-    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", members)
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(cells, "BLOCK_MEMBERS", members)
+    monkeypatch.setattr(cells, "BLOCK_ELEMENTS", shingles)
     rng = random.Random(12)
     words = prose(rng, 160).split()
     texts = []

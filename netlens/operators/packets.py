@@ -16,9 +16,12 @@ DOMAIN_ROWS = 25
 KEY = ["capture_id"]
 
 
-def limit_packets(packets: DataFrame, limit: int) -> DataFrame:
-    """The first packets of each capture in file order; 0 keeps all. Every task ends a capture after ``limit`` packets of its own."""
-    return top_per_group(packets, KEY, [F.asc("seq")], limit, "_n").drop("_n") if limit else packets
+def limit_packets(packets: DataFrame, limit: int, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The first packets of each capture in file order; 0 keeps all. Every task ends a capture after ``limit`` packets of its own.
+
+    ``order`` may name more columns, where packets share a ``seq``.
+    """
+    return top_per_group(packets, KEY, [F.asc(name) for name in order], limit, "_n").drop("_n") if limit else packets
 
 
 def packet_totals(packets: DataFrame, limit: int = 0) -> DataFrame:

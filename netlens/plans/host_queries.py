@@ -196,6 +196,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 #: The packet limit of the two limited queries.
 LIMIT = 200
+#: Some line items, and so some packets, share their place.
+FILE_ORDER = ("seq", "length", "protocol")
 
 PACKET_QUERIES = {
     "packet_totals": lambda spark, sf_dir: packets.packet_totals(_packets(spark, sf_dir)),
@@ -203,8 +205,8 @@ PACKET_QUERIES = {
     "packet_endpoints": lambda spark, sf_dir: _counted(packets.top_endpoints(_packets(spark, sf_dir))),
     "packet_ports": lambda spark, sf_dir: _counted(packets.top_ports(_packets(spark, sf_dir))),
     "packet_conversations": lambda spark, sf_dir: _counted(packets.top_conversations(_packets(spark, sf_dir))),
-    "limited_totals": lambda spark, sf_dir: packets.packet_totals(packets.limit_packets(_packets(spark, sf_dir), LIMIT), LIMIT),
-    "limited_samples": lambda spark, sf_dir: packets.packet_samples(packets.limit_packets(_packets(spark, sf_dir), LIMIT)).select("capture_id", "seq", "rank"),
+    "limited_totals": lambda spark, sf_dir: packets.packet_totals(packets.limit_packets(_packets(spark, sf_dir), LIMIT, FILE_ORDER), LIMIT),
+    "limited_samples": lambda spark, sf_dir: packets.packet_samples(packets.limit_packets(_packets(spark, sf_dir), LIMIT, FILE_ORDER)).select("capture_id", "seq", "rank"),
     "packet_samples": lambda spark, sf_dir: packets.packet_samples(_dns(spark, sf_dir)).drop("rank"),
     "dns_totals": lambda spark, sf_dir: packets.dns_totals(_dns(spark, sf_dir)),
     "dns_domains": lambda spark, sf_dir: _counted(packets.top_domains(_dns(spark, sf_dir))),

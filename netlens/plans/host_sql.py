@@ -496,7 +496,7 @@ def host_statements() -> dict[str, str]:
         """SELECT host, ts_ms, rx, tx, array_to_string(list(rx) OVER w, ',') AS history_rx, array_to_string(list(tx) OVER w, ',') AS history_tx FROM later
            WINDOW w AS (PARTITION BY host ORDER BY ts_ms ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""",
     )
-    cut = PACKETS + ", cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq) AS n FROM packets) WHERE n <= 200)"
+    cut = PACKETS + ", cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY seq, length, protocol) AS n FROM packets) WHERE n <= 200)"
     q["limited_totals"] = _with(
         cut, "SELECT capture_id, count(*) AS packets, CAST(sum(length) AS BIGINT) AS payload_bytes, count(*) >= 200 AS limited FROM cut GROUP BY 1"
     )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens.functions import url as U
 from netlens.functions.numbers import half_even, whole
 from netlens.operators.correlate import FAILED, FINISHED, RESPONSE, START
-from netlens.operators.skew import attach_by_key, previous_value, running_sum
+from netlens.operators.skew import BLOCK_BITS, block_totals, by_block
 from netlens.operators.summary import frequency_counts
 
 PAGE_LOADED = "Page.loadEventFired"
@@ -64,56 +64,87 @@ def activity(events: DataFrame) -> DataFrame:
     )
 
 
-def in_flight(rows: DataFrame) -> DataFrame:
-    """Add the number of open request ids after each row.
+def _turn() -> Column:
+    """1 where a request id opens, -1 where it ends, NULL elsewhere and without an id."""
+    kind = F.col("kind")
+    return F.when(F.col("request_id").isNull(), None).when(kind == START, 1).when(kind.isin(FINISHED, FAILED), -1)
+
+
+def _scanned(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows with ``in_flight``, the next move's time in ``_next`` and the session's load time in ``_load``.
 
-    The open ids form a set: a second start of an open id adds nothing, a second end removes
-    nothing. So a row counts only where the id's previous start or end was of the other kind.
+    The open ids form a set: a second start of an open id adds nothing, a second end removes nothing. Every block of
+    ``seq`` is scanned as if nothing were open before it. An id that was open on entry is off by one up to its first
+    turn in the block, so a block needs two things from outside: how many ids were open on entry, and at which rows one of
+    them has its first turn. Both come from one summary per (block, id), chained by id. Open counts, first moves and load
+    times of the blocks are folded once over the blocks of a session.
     """
-    kind = F.col("kind")
-    turn = F.when(kind == START, 1).when(kind.isin(FINISHED, FAILED), -1)
-    turns = previous_value(
-        rows.withColumn("_turn", turn).where(F.col("_turn").isNotNull()), ["session_id", "request_id"], "seq", ["_turn"], "before"
+    cut = ["session_id", "_block"]
+    blocked = by_block(rows.withColumn("_turn", _turn()), ["session_id"], "seq", bits)
+    moved = F.when(F.col("kind") != PAGE_LOADED, F.struct("ts"))
+    turned = F.when(F.col("_turn").isNotNull(), F.col("seq"))
+    ids = block_totals(
+        blocked, [*cut, "request_id"], F.min(turned).alias("_first"), F.max_by("_turn", turned).alias("_left"),
+        F.min(F.when(moved.isNotNull(), F.struct("seq", moved.alias("move")))).alias("_move"),
+        F.min(F.when(moved.isNull(), F.col("ts"))).alias("_load"),
+    ).drop("_touched")
+    before = Window.partitionBy("session_id", "request_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    chained = ids.withColumn("_was", F.last("_left", ignorenulls=True).over(before))
+    entered = F.col("_first").isNotNull() & F.coalesce(F.col("_was") == 1, F.lit(False))
+
+    per_block = chained.groupBy(*cut).agg(
+        (F.count_if(F.col("_left") == 1) - F.count_if(entered)).alias("_net"), F.min("_move").alias("_move"), F.min("_load").alias("_load")
+    )
+    by_session = Window.partitionBy("session_id").orderBy("_block")
+    backwards = Window.partitionBy("session_id").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    folded = per_block.select(
+        *cut, F.coalesce(F.sum("_net").over(by_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_entry"),
+        F.last("_move", ignorenulls=True).over(backwards)["move"].alias("_later"),
+        F.min("_load").over(Window.partitionBy("session_id")).alias("_load"),
     )
-    effect = F.when(
-        (F.col("_turn") == 1) & (F.coalesce("before_turn", F.lit(-1)) == -1), 1
-    ).when((F.col("_turn") == -1) & (F.col("before_turn") == 1), -1).otherwise(0)
-    counted = turns.withColumn("_effect", effect).select(*rows.columns, "_effect")
-    others = rows.where(turn.isNull()).withColumn("_effect", F.lit(0))
-    return running_sum(
-        counted.unionByName(others), ["session_id"], "seq", {"in_flight": F.col("_effect").cast("bigint")}
-    ).drop("_effect")
 
+    marks = chained.where(entered).select(*cut, F.col("_first").alias("seq"), F.lit(-1).alias("_effect")).repartition(*cut)
+    earlier = F.lag("_turn").over(Window.partitionBy(*cut, "request_id", F.col("_turn").isNull()).orderBy("seq"))
+    known = F.coalesce(earlier, F.lit(-1))
+    effect = F.when((F.col("_turn") == 1) & (known == -1), 1).when((F.col("_turn") == -1) & (known == 1), -1).otherwise(0)
+    local = blocked.select("*", effect.alias("_effect"), moved.alias("_moved"), F.lit(True).alias("_real")).unionByName(
+        marks, allowMissingColumns=True
+    )
+    # A mark stands just before the row whose turn it corrects.
+    inside = Window.partitionBy(*cut).orderBy("seq", F.col("_real").asc_nulls_first())
+    scanned = local.withColumns({
+        "_open": F.sum("_effect").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_ahead": F.lead("_moved").over(Window.partitionBy(*cut, F.col("_moved").isNull()).orderBy("seq")),
+    }).where("_real")
+    return scanned.join(folded, cut).select(
+        *rows.columns, (F.col("_open") + F.col("_entry")).alias("in_flight"),
+        F.coalesce("_ahead", "_later")["ts"].alias("_next"), "_load",
+    )
+
+
+def in_flight(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Add the number of open request ids after each row; rows without a request id change nothing."""
+    return _scanned(rows, bits).drop("_next", "_load")
 
-def in_flight_peak(rows: DataFrame) -> DataFrame:
+
+def in_flight_peak(rows: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """Most requests open at once and requests still open at the end, per session."""
-    return in_flight(rows).groupBy("session_id").agg(
+    return in_flight(rows, bits).groupBy("session_id").agg(
         F.max("in_flight").alias("peak"), F.max_by("in_flight", "seq").alias("open_at_end")
     )
 
 
-def network_idle(rows: DataFrame, idle_seconds: float) -> DataFrame:
+def network_idle(rows: DataFrame, idle_seconds: float, bits: int = BLOCK_BITS) -> DataFrame:
     """First moment per session at which the page is loaded, nothing is open and nothing has moved for a while.
 
     Activity means a request, response, end or failure; the load event itself is not. The session's
     last row is quiet for good, so it qualifies as well.
     """
-    loaded = F.col("kind") == PAGE_LOADED
-    load = rows.groupBy("session_id").agg(
-        F.min(F.when(loaded, F.col("ts"))).alias("load_ts"), F.count("*").alias("_rows")
-    )
-    moves = in_flight(rows).where(~loaded).withColumn("_back", -F.col("seq"))
-    # Read backwards, the row before is the next one; the last row of a session has none.
-    ahead = previous_value(moves, ["session_id"], "_back", ["ts"], "next_")
-    quiet = ahead.where(
-        (F.col("in_flight") == 0) & (F.col("next_ts").isNull() | (F.col("next_ts") - F.col("ts") >= idle_seconds))
-    ).select("session_id", F.col("ts").alias("quiet_from"), F.col("next_ts").alias("quiet_to"))
-    ready = F.greatest(F.col("quiet_from") + F.lit(idle_seconds), F.col("load_ts"))
+    ready = F.greatest(F.col("ts") + F.lit(idle_seconds), F.col("_load"))
     return (
-        attach_by_key(quiet, load, ["session_id"], "_rows", ["quiet_from"])
-        .where(F.col("load_ts").isNotNull())
-        .withColumn("_ready", ready)
-        .where(F.col("quiet_to").isNull() | (F.col("_ready") <= F.col("quiet_to")))
+        _scanned(rows, bits)
+        .where((F.col("kind") != PAGE_LOADED) & (F.col("in_flight") == 0) & F.col("_load").isNotNull())
+        .where(F.col("_next").isNull() | (F.col("_next") - F.col("ts") >= idle_seconds) & (ready <= F.col("_next")))
         .groupBy("session_id")
-        .agg(F.min("_ready").alias("idle_at"))
+        .agg(F.min(ready).alias("idle_at"))
     )

@@ -19,6 +19,7 @@ from netlens.operators import correlate as C
 from netlens.operators.connections import MIN_ELAPSED
 
 BUCKETS = 64
+MARKED = "array<struct<bucket: int, conn_key: string>>"
 
 # --- socket lifecycle ---------------------------------------------------------------------------
 
@@ -33,18 +34,20 @@ class LifecycleProcessor(StatefulProcessor):
         self.seen = handle.getValueState("seen", "last bigint, keys array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("snapshot_no")
         last, held = self.seen.get() if self.seen.exists() else (None, [])
         held = set(held)
+        arrived: dict[int, set] = {}
+        for part in rows:
+            part = part if last is None else part[part["snapshot_no"] > last]
+            for number, names in part.groupby("snapshot_no")["conn_key"]:
+                arrived.setdefault(int(number), set()).update(names.dropna())
         changes = []
-        for number, keys in zip(arrived["snapshot_no"], arrived["keys"]):
-            if last is not None and number <= last:
-                continue
-            now = set(keys)
+        for number in sorted(arrived):
+            now = arrived[number]
             if last is not None or self.count_initial:
                 changes += [(key[0], number, name, "open") for name in sorted(now - held)]
             changes += [(key[0], number, name, "close") for name in sorted(held - now)]
-            last, held = int(number), now
+            last, held = number, now
         if last is not None:
             self.seen.update((last, sorted(held)))
         yield pd.DataFrame(changes, columns=["host", "snapshot_no", "conn_key", "change"])
@@ -54,10 +57,17 @@ class LifecycleProcessor(StatefulProcessor):
 
 
 def lifecycle_stream(snapshots: DataFrame, count_initial: bool = True, buckets: int = BUCKETS) -> DataFrame:
-    """Changes of a stream of (host, snapshot_no, keys): one row per snapshot with its connection keys."""
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket")
-    own = F.filter("keys", lambda name: F.pmod(F.xxhash64(name), F.lit(buckets)) == F.col("bucket"))
-    cut = snapshots.select("host", "snapshot_no", "keys", numbers).withColumn("keys", own)
+    """Changes of a stream of (host, snapshot_no, keys): one row per snapshot with its connection keys.
+
+    A snapshot is cut once: each key becomes a row of its bucket, and each bucket gets one marker (a row without a key),
+    which says that the snapshot was taken even where the bucket has no key left. All rows of a snapshot come from one
+    input row, so they arrive in one micro-batch and the snapshot is complete. Snapshots older than the last one
+    compared are late and left out; a missing one only widens the comparison; a repeated one changes nothing.
+    """
+    row = lambda bucket, name: F.struct(bucket.cast("int").alias("bucket"), name.alias("conn_key"))
+    held = F.transform("keys", lambda name: row(F.pmod(F.xxhash64(name), F.lit(buckets)), name))
+    markers = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda bucket: row(bucket, F.lit(None).cast("string")))
+    cut = snapshots.select("host", "snapshot_no", F.inline(F.concat(markers, F.coalesce(held, F.array().cast(MARKED)))))
     return cut.groupBy("host", "bucket").transformWithStateInPandas(
         statefulProcessor=LifecycleProcessor(count_initial),
         outputStructType="host string, snapshot_no bigint, conn_key string, change string",

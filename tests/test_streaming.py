@@ -45,6 +45,28 @@ def test_lifecycle_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(key, got)) == sorted(map(key, want)) and got
 
 
+def test_lifecycle_stream_with_late_missing_repeated_and_empty_snapshots(spark, tmp_path):
+    """Late and repeated snapshots are left out; a missing one widens the comparison; an empty one closes all."""
+    batches = [
+        [("h", 1, ["a", "b"]), ("h", 4, ["b", "c", None]), ("g", 1, [])],
+        [("h", 3, ["z"]), ("h", 4, ["q"]), ("h", 6, []), ("g", 2, None)],
+        [("h", 7, ["a", "a"]), ("g", 5, ["x"]), ("h", 9, ["a", "d"])],
+    ]
+    for number, chunk in enumerate(batches):
+        lines = [json.dumps(dict(zip(("host", "snapshot_no", "keys"), row))) for row in chunk]
+        (tmp_path / f"{number}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / f"{number}.json", (1_000_000 + number, 1_000_000 + number))
+    stream = (
+        spark.readStream.schema("host string, snapshot_no bigint, keys array<string>").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    )
+    got = {tuple(row) for row in drain(stateful.lifecycle_stream(stream, buckets=5), "odd_lifecycle").collect()}
+    changes = {
+        1: {"open": "ab"}, 4: {"open": "c", "close": "a"}, 6: {"close": "bc"}, 7: {"open": "a"}, 9: {"open": "d"},
+    }
+    want = {("h", number, name, change) for number, found in changes.items() for change, names in found.items() for name in names}
+    assert got == want | {("g", 5, "x", "open")}
+
+
 def test_rate_stream_equals_batch(spark, sf_dir, tmp_path):
     samples = derive.counter_samples(spark, sf_dir).orderBy("ts_ms").collect()
     half = len(samples) // 2

@@ -310,7 +310,7 @@ def diagnosis_scores(hosts: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def diagnose(documents: DataFrame) -> DataFrame:
-    """(host, snapshot_no, score, summary, findings, leaks) of parsed snapshot documents.
+    """(host, snapshot_no, score, summary, findings, leaks, dns_routes, ipv6_default_routes) of parsed snapshot documents.
 
     A snapshot document holds all tables of its host at one time, so every rule reads the arrays of its own row: nothing
     is joined or shuffled, and two snapshots of a host give two scores. ``findings`` and ``leaks`` are in report order;
@@ -365,7 +365,8 @@ def diagnose(documents: DataFrame) -> DataFrame:
         F.col("_defaults").alias("default_routes"),
     )
     return complete.select(
-        "host", "snapshot_no", F.greatest(F.lit(0), F.lit(100) - lost).alias("score"), summary.alias("summary"), "findings", "leaks"
+        "host", "snapshot_no", F.greatest(F.lit(0), F.lit(100) - lost).alias("score"), summary.alias("summary"), "findings", "leaks", "dns_routes",
+        F.filter("ipv6_routes", lambda r: r["destination"].isin("default", "::/0")).alias("ipv6_default_routes"),
     )
 
 

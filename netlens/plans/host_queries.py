@@ -12,6 +12,8 @@ from netlens.operators import diagnosis, normalize, packets, probes, recorder, s
 from netlens.operators.sanitize import sanitize_json
 from netlens.operators.skew import top_per_group
 from netlens.plans import derive
+from netlens.plans.request_queries import written_folder
+from netlens.sinks import documents
 from netlens.sources import har, hostlogs, jsonl, snapshots
 from netlens.sources import packets as packet_source
 
@@ -353,6 +355,29 @@ def fleet_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnosis.listed(_diagnoses(spark, sf_dir), "leaks").drop("title", "recommendation")
 
 
+def _stored(spark: SparkSession, sf_dir: str, part: str, schema: str) -> DataFrame:
+    path = written_folder(spark)
+    documents.write_diagnoses(_diagnoses(spark, sf_dir), path)
+    return snapshots.parse_documents(snapshots.read_reports(spark, f"{path}/{part}"), schema)
+
+
+def stored_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, summary counts and number of findings of diagnoses written as reports and read back."""
+    stored = _stored(spark, sf_dir, "diagnosis", snapshots.DIAGNOSIS)
+    numbers = ("connections", "remote_connections", "interfaces", "vpn_active")
+    return stored.select("host", "snapshot_no", "score", F.size("findings").alias("findings"), *[F.col("summary." + name).alias(name) for name in numbers])
+
+
+def stored_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of stored diagnoses in report order."""
+    return snapshots.reported_findings(_stored(spark, sf_dir, "diagnosis", snapshots.DIAGNOSIS))
+
+
+def stored_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of stored leak reports in report order."""
+    return snapshots.reported_findings(_stored(spark, sf_dir, "leaks", snapshots.LEAK_REPORT)).drop("title", "recommendation")
+
+
 def rejected_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which some are cut short: what is read and what is set aside, per reason."""
     documents = derive.fleet_documents(spark, sf_dir)
@@ -454,7 +479,7 @@ QUERIES = {
             connection_filter, connection_listing, connection_paths, recording_summary, recording_processes, interface_rates,
             rate_history, socket_log, route_log, default_routes, counter_log, neighbour_union, quality_scores, probe_stats,
             fastest_server, trace_stats, certificate_days, snapshot_tables, interface_counters, nameservers, vpn_status, leak_findings,
-            host_facts, diagnosis_findings, diagnosis_scores, fleet_diagnosis, fleet_findings, fleet_leaks, rejected_snapshots, probe_addresses,
+            host_facts, diagnosis_findings, diagnosis_scores, fleet_diagnosis, fleet_findings, fleet_leaks, stored_diagnoses, stored_findings, stored_leaks, rejected_snapshots, probe_addresses,
             live_history, sanitize_events, websocket_totals,
             performance_metrics, lifecycle_list, session_metadata, quarantine, dns_event_view, address_classes, captured_headers,
         )

@@ -482,6 +482,9 @@ def host_statements() -> dict[str, str]:
            FROM hosts JOIN (SELECT host, CAST(greatest(0, 100 - sum(CASE severity WHEN 'critical' THEN 30 WHEN 'warning' THEN 12 ELSE 0 END)) AS BIGINT) AS score,
                                    count(*) AS findings FROM findings GROUP BY host) USING (host)""",
     )
+    q["stored_findings"], q["stored_leaks"] = q["fleet_findings"], q["fleet_leaks"]
+    numbers = "host, snapshot_no, score, findings, connections, remote_connections, interfaces, vpn_active"
+    q["stored_diagnoses"] = f"SELECT {numbers} FROM ({q['fleet_diagnosis']})"
     q["rejected_snapshots"] = """
         SELECT CAST(c_custkey AS VARCHAR) AS host, CASE WHEN c_custkey % 9 = 0 THEN 'malformed JSON' ELSE 'accepted' END AS outcome, 2 AS documents FROM customer"""
     q["probe_addresses"] = """

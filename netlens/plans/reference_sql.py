@@ -350,9 +350,19 @@ def request_statements() -> dict[str, str]:
     )
     q["request_details"] = _with(
         NORMALIZED,
-        """SELECT session_id, seq, remote_ip || ':443' AS remote,
+        """SELECT session_id, seq, url,
+                  coalesce(CASE WHEN seq % 11 <> 0 AND seq % 13 <> 0 THEN remote_ip END, '—') || ':'
+                    || CASE WHEN seq % 17 = 0 THEN '—' ELSE '443' END AS remote,
+                  CASE WHEN seq % 7 <> 0 THEN 'c' || seq % 40 END AS connection, seq % 2 = 1 AS reused,
+                  CASE WHEN resource_type = 'view' THEN 'VeryHigh' WHEN seq % 5 <> 0 THEN 'Low' END AS priority,
+                  CASE WHEN resource_type = 'view' THEN 'other' ELSE 'script' END AS initiator,
+                  '{"protocol":"' || tls_protocol || '"}' AS security, CASE WHEN failed THEN 'net::ERR_FAILED' END AS failure,
+                  array_to_string(list_sort(list_distinct(list_transform(
+                    list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> ''),
+                    lambda x: url_decode(replace(string_split(x, '=')[1], '+', ' '))))), ',') AS keys,
                   concat_ws(',', CASE WHEN from_cache THEN 'cache' END, CASE WHEN third_party THEN '3rd' END,
-                            CASE WHEN tracker THEN 'tracker' END, CASE WHEN failed THEN 'failed' END) AS flags,
+                            CASE WHEN tracker THEN 'tracker' END, CASE WHEN failed THEN 'failed' END) AS tags,
+                  k / 10.0 AS dns_ms, k / 5.0 AS connect_ms, CAST(NULL AS DOUBLE) AS ssl_ms, CAST(1.0 AS DOUBLE) AS send_ms, k / 4.0 AS ttfb_ms,
                   CASE WHEN is_error THEN 'status-bad' WHEN status BETWEEN 200 AND 399 THEN 'status-ok'
                        WHEN status <> 0 THEN 'status-warn' ELSE 'status-muted' END AS status_class
            FROM normalized""",

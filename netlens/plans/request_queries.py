@@ -111,9 +111,19 @@ def request_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.request_details(normalized(spark, sf_dir)).select(
-        "session_id", "seq", "remote", F.array_join("flags", ",").alias("flags"), "status_class"
-    )
+    """All detail columns, of requests some of which lack an address, a connection or a priority."""
+    seq, kind = F.col("seq"), F.col("resource_type")
+    detailed = normalized(spark, sf_dir).withColumns({
+        "remote_ip": F.when(seq % 11 == 0, None).when(seq % 13 == 0, "").otherwise(F.col("remote_ip")),
+        "remote_port": F.when(seq % 17 == 0, None).otherwise(F.col("remote_port")),
+        "connection_id": F.when(seq % 7 != 0, F.concat(F.lit("c"), (seq % 40).cast("string"))), "connection_reused": seq % 2 == 1,
+        "initial_priority": F.when(kind == "view", "VeryHigh").when(seq % 5 != 0, "Low"), "initiator_type": F.when(kind == "view", "other").otherwise("script"),
+        "security_details": F.to_json(F.struct(F.col("tls_protocol").alias("protocol"))),
+    })
+    return views.request_details(detailed).select(
+        "*", F.array_join("query_keys", ",").alias("keys"), F.array_join("flags", ",").alias("tags"),
+        *[F.col("timing." + name).alias(name) for name in ("dns_ms", "connect_ms", "ssl_ms", "send_ms", "ttfb_ms")],
+    ).drop("query_keys", "flags", "timing")
 
 
 def csv_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,23 +138,18 @@ def resource_type_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.resource_type_list(derive.requests(spark, sf_dir))
 
 
-def _periods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Session profiles of even days (before) and odd days (after) since the epoch."""
-    rows = derive.requests(spark, sf_dir)
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session profiles of even days (before) and odd days (after) since the epoch, in one pass."""
     odd = F.floor(F.col("started_monotonic") / 86400) % 2 == 1
-    before, after = (
-        summary.session_profile(normalize.normalize(rows.where(side), derive.PATTERNS)) for side in (~odd, odd)
-    )
-    return before, after
+    return summary.session_profile(normalize.normalize(compare.in_periods(derive.requests(spark, sf_dir), odd), derive.PATTERNS))
 
 
 def compare_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.compare_summaries(*_periods(spark, sf_dir), ["session_id"])
+    return compare.summary_differences(compare.split_periods(_periods(spark, sf_dir)), ["session_id"])
 
 
 def compare_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, after = (scores.session_scores(side) for side in _periods(spark, sf_dir))
-    return compare.compare_scores(before, after, ["session_id"])
+    return compare.score_differences(compare.split_periods(scores.session_scores(_periods(spark, sf_dir))), ["session_id"])
 
 
 # --- from event lines ---------------------------------------------------------------------------
@@ -226,20 +231,20 @@ def analyzed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- written and read back ----------------------------------------------------------------------
 
 
-def _written(spark: SparkSession) -> str:
+def written_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark, tempfile.gettempdir())}/netlens-written-{uuid.uuid4().hex}"
 
 
 def written_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV files of all sessions, read back as text."""
-    path = _written(spark)
+    path = written_folder(spark)
     documents.write_csv(normalized(spark, sf_dir), path)
     return spark.read.option("header", True).option("escape", '"').csv(path).withColumn("seq", F.col("seq").cast("bigint"))
 
 
 def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per session what its report holds: parts of the head, and request lines by the manifest."""
-    path = _written(spark)
+    path = written_folder(spark)
     documents.write_report(normalized(spark, sf_dir), path)
     heads = spark.read.text(f"{path}/heads").select(
         F.get_json_object("value", "$.session_id").alias("session_id"), F.get_json_object("value", "$.scores.overall").cast("bigint").alias("overall"),
@@ -258,7 +263,7 @@ def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_har(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The HAR entries of all sessions, read back."""
-    path = _written(spark)
+    path = written_folder(spark)
     documents.write_har(normalized(spark, sf_dir), path)
     kind = (
         "session_id string, seq bigint, entry struct<time:double,request:struct<method:string,url:string,queryString:array<struct<name:string,value:string>>>,"

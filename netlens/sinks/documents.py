@@ -311,6 +311,21 @@ def write_diagnosis(scores: DataFrame, findings: DataFrame, path: str) -> None:
     diagnosis_documents(scores, findings).select("value").write.mode("overwrite").text(path)
 
 
+def _reports(diagnoses: DataFrame, *fields: object) -> DataFrame:
+    taken = F.date_format(F.timestamp_millis("snapshot_no"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("timestamp")
+    return diagnoses.select(F.to_json(F.struct("host", "snapshot_no", taken, *fields)).alias("value"))
+
+
+def write_diagnoses(diagnoses: DataFrame, path: str) -> None:
+    """The diagnosis of every snapshot and its leak report, one JSON line each: ``diagnosis`` and ``leaks`` below ``path``.
+
+    ``sources.snapshots.read_reports`` reads both back. Nothing is shuffled: a line is made from one row.
+    """
+    _reports(diagnoses, "score", "summary", "findings").write.mode("overwrite").text(f"{path}/diagnosis")
+    audit = ("dns_routes", "ipv6_default_routes", F.col("leaks").alias("findings"))
+    _reports(diagnoses, *audit).write.mode("overwrite").text(f"{path}/leaks")
+
+
 def write_bundle(requests: DataFrame, path: str) -> None:
     """JSON report, CSV and HAR of one analysis. The requests are written first, as Parquet, and read for each of them."""
     clustered(requests).write.mode("overwrite").parquet(f"{path}/table")

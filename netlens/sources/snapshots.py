@@ -56,7 +56,11 @@ TRACE = (
     "timestamp string, target string, ok boolean, "
     "hops array<struct<hop:int,addresses:array<string>,samples_ms:array<double>,raw:string>>"
 )
-DIAGNOSIS = f"timestamp string, score int, findings array<{FINDING}>"
+SUMMARY = (
+    "struct<connections:int,remote_connections:int,interfaces:int,active_interfaces:array<string>,dns_servers:array<string>,"
+    f"vpn_active:boolean,default_routes:array<{ROUTE}>>"
+)
+DIAGNOSIS = f"timestamp string, score int, summary {SUMMARY}, findings array<{FINDING}>"
 LEAK_REPORT = (
     "timestamp string, dns_routes array<struct<server:string,interface:string>>, "
     f"ipv6_default_routes array<{ROUTE}>, findings array<{FINDING}>"
@@ -65,11 +69,27 @@ LEAK_REPORT = (
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(host, value) rows, one JSON document per file."""
-    return spark.read.text(path, wholetext=True).select(
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         session_of(spark, path).alias("host"), F.make_valid_utf8(F.col("value")).alias("value")
     )
 
 
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(host, snapshot_no, value) of stored reports: JSON lines that name their host, as ``sinks.documents`` writes them.
+
+    A line that cannot be read, or names no host, keeps a NULL host; ``rejected_documents`` tells those that are no JSON.
+    """
+    lines = spark.read.text(path, recursiveFileLookup=True).select(F.make_valid_utf8(F.col("value")).alias("value"))
+    named = F.from_json("value", "host string, snapshot_no bigint")
+    return lines.select(named["host"].alias("host"), named["snapshot_no"].alias("snapshot_no"), "value")
+
+
+def reported_findings(reports: DataFrame) -> DataFrame:
+    """The findings of stored diagnoses or leak reports in their order, from 1."""
+    rows = reports.select("host", "snapshot_no", F.posexplode("findings").alias("position", "_f"))
+    return rows.select("host", "snapshot_no", (F.col("position") + 1).alias("position"), "_f.*")
+
+
 def rejected_documents(documents: DataFrame) -> DataFrame:
     """The documents that ``parse_documents`` leaves out, each with its reason and whole text."""
     bad = documents.where(F.get_json_object("value", "$").isNull())

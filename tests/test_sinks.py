@@ -2,12 +2,13 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from netlens.operators import normalize, recorder, scores, summary
 from netlens.operators.correlate import correlate
 from netlens.operators import compare, diagnosis, views
 from netlens.sinks import documents as D
-from netlens.sources import har, jsonl
+from netlens.sources import har, jsonl, snapshots
 from netlens.operators.sanitize import sanitize_events, sanitized
 from tests.sessions import cdp, shop_events, lines
 
@@ -198,3 +199,47 @@ def test_diagnosis_documents(spark):
     assert {(r.host, r.score) for r in score.collect()} == {("h", 58), ("i", 100)}
     texts = {r.host: json.loads(r.value) for r in D.diagnosis_documents(score, found).collect()}
     assert [f["code"] for f in texts["h"]["findings"]] == ["no-dns", "w"] and texts["i"]["score"] == 100
+
+
+def test_comparison_of_sessions_that_one_side_lacks(spark):
+    names = "session_id string, requests bigint, failed bigint"
+    before = spark.createDataFrame([("a", 4, None), ("b", 0, 1)], names)
+    after = spark.createDataFrame([("a", 5, 2), ("c", 3, 0)], names)
+    got = {(r.session_id, r.metric): (r.before, r.after, r.delta, r.percent, r.worse) for r in compare.compare_summaries(before, after, ["session_id"]).collect()}
+    assert got == {
+        ("a", "requests"): (4.0, 5.0, 1.0, 25.0, True), ("a", "failed"): (0.0, 2.0, 2.0, None, True),
+        ("b", "requests"): (0.0, 0.0, 0.0, None, False), ("b", "failed"): (1.0, 0.0, -1.0, -100.0, False),
+        ("c", "requests"): (0.0, 3.0, 3.0, None, True), ("c", "failed"): (0.0, 0.0, 0.0, None, False),
+    }
+    marks = compare.compare_scores(before.select("session_id", F.col("requests").alias("overall")), after.select("session_id", F.col("failed").alias("privacy")), ["session_id"])
+    assert {(r.session_id, r.metric, r.before, r.after) for r in marks.collect()} >= {("a", "overall", 4.0, 0.0), ("c", "privacy", 0.0, 0.0)}
+    assert compare.compare_summaries(before.limit(0), after.limit(0), ["session_id"]).collect() == []
+
+
+def test_periods_in_one_pass_equal_two_profiles(spark, requests):
+    later = F.col("seq") % 2 == 0
+    unknown = F.when(F.col("seq") > requests.selectExpr("min(seq)").first()[0], later)  # the first request is of no period
+    both = compare.split_periods(summary.session_profile(compare.in_periods(requests, unknown)))
+    sides = [summary.session_profile(requests.where(unknown == side)) for side in (False, True)]
+    one = compare.summary_differences(both, ["session_id"]).collect()
+    two = compare.compare_summaries(*sides, ["session_id"]).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and one
+
+
+def test_stored_reports_come_back(spark, tmp_path):
+    text = {"timestamp": "2024-01-01T00:00:00Z", "interfaces": [{"name": "en0", "flags": ["UP"], "ipv4": ["10.0.0.2"], "status": "active"}],
+            "routes": [{"destination": "default", "gateway": "10.0.0.1", "interface": "en0"}], "ipv6_routes": [{"destination": "::/0", "interface": "en0"}, {"destination": "fe80::/64"}]}
+    texts = [("h \u00e9", json.dumps(text)), ("empty", "{}"), ("broken", "{"), ("h \u00e9", json.dumps(dict(text, timestamp="2024-01-02T00:00:00Z", interfaces=None)))]
+    found = diagnosis.diagnose(snapshots.parse_documents(spark.createDataFrame(texts, "host string, value string"), snapshots.SNAPSHOT))
+    D.write_diagnoses(found, str(tmp_path / "out"))
+    (tmp_path / "out" / "diagnosis" / "deep").mkdir()
+    (tmp_path / "out" / "diagnosis" / "deep" / "more.txt").write_text("{cut short\n")
+    lines = snapshots.read_reports(spark, str(tmp_path / "out" / "diagnosis"))
+    back = snapshots.parse_documents(lines, snapshots.DIAGNOSIS)
+    want = {(r.host, r.snapshot_no): (r.score, r.summary, r.findings) for r in found.collect()}
+    assert {(r.host, r.snapshot_no): (r.score, r.summary, r.findings) for r in back.collect()} == want and len(want) == 3
+    assert [(r.host, r.value) for r in snapshots.rejected_documents(lines).collect()] == [(None, "{cut short")]
+    assert sorted(map(str, snapshots.reported_findings(back).collect())) == sorted(map(str, diagnosis.listed(found).collect()))
+    leaks = snapshots.parse_documents(snapshots.read_reports(spark, str(tmp_path / "out" / "leaks")), snapshots.LEAK_REPORT)
+    assert sorted(map(str, snapshots.reported_findings(leaks).collect())) == sorted(map(str, diagnosis.listed(found, "leaks").collect()))
+    assert {len(r.ipv6_default_routes) for r in leaks.where("snapshot_no > 0").collect()} == {1}

@@ -7,6 +7,7 @@
   that could become longer across it, so two words one edit apart share at least (grams - affected) of either word's
   grams, those before the edit at the same distance from the start and those behind it at the same distance from the end.
 * List merging: only a word's rarest (affected + 1) grams are looked up, as the shared ones cannot all lie outside them;
+  rarity is a property of the gram alone, so that two words agree on which of their shared grams is the rarest;
   for the candidates all grams are then merged against the larger of the two bounds, and the edit distance decides.
 """
 
@@ -219,23 +220,25 @@ def near_words(indexed: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: every ordered pair of words exactly one edit apart.
 
     A shared gram has the same place from the start or from the end of both words, so (gram, side, place) is the list's key.
-    A gram's weight is the number of words in its lists; a word's prefix are its lightest affected + 1 positions.
+    A gram's weight is the number of words in its longest list, wherever it stands. A word's prefix are its affected + 1 lightest
+    positions in the order of (weight, gram), and all others with the gram of the last of them: the first gram in that order that
+    two near words share is then in the prefixes of both, at every place they have it.
     """
-    spots = indexed.select("word", "n", "length", "affected", F.size("grams").alias("size"), F.posexplode("grams").alias("p", "gram"))
+    spots = indexed.select("word", "n", "length", "affected", F.posexplode("grams").alias("p", "gram"))
     spots = spots.select("word", "n", "length", "affected", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"), "p", "gram").select(
         "word", "n", "length", "affected", "side", "p", "gram", F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("length") - F.col("p")).alias("place")
     )
-    weights = spots.groupBy("gram", "side", "place").agg(F.count(F.lit(1)).alias("weight"))
+    lists = spots.groupBy("gram", "side", "place").agg(F.count(F.lit(1)).alias("held"))
+    weights = lists.join(lists.groupBy("gram").agg(F.max("held").alias("weight")), "gram")
     weighted = spots.join(weights, ["gram", "side", "place"]).groupBy("word", "n", "length", "affected").agg(
-        F.array_sort(F.collect_list(F.struct("weight", "p", "gram", "side", "place"))).alias("spots")
+        F.collect_list(F.struct("weight", "gram", "p", "side", "place", "held")).alias("spots")
     )
-    # Positions, not spots, are counted: both spots of a position stay or go together, by the heavier one.
-    positions = F.expr(
-        "slice(array_sort(transform(sequence(0, length - %d), p -> struct(aggregate(filter(spots, s -> s.p = p), 0L, (m, s) -> greatest(m, s.weight)) AS w, p AS p))), 1, affected + 1)" % LEAST
-    )
-    kept = weighted.withColumn("kept", F.transform(positions, lambda x: x["p"]))
+    # Positions, not spots, are counted: each has a spot of either side.
+    positions = F.expr("array_sort(transform(filter(spots, s -> s.side = 0), s -> struct(s.weight AS weight, s.gram AS gram)))")
+    kept = weighted.withColumn("last", F.element_at(positions, F.col("affected") + 1))
+    chosen = F.filter("spots", lambda s: (F.struct(s["weight"].alias("weight"), s["gram"].alias("gram")) <= F.col("last")) & (s["held"] > 1))
     prefix = stage(
-        kept.select("word", "n", "length", F.explode(F.filter("spots", lambda s: F.array_contains("kept", s["p"]) & (s["weight"] > 1))).alias("s")).select(
+        kept.select("word", "n", "length", F.explode(chosen).alias("s")).select(
             "word", "n", "length", F.col("s.gram").alias("gram"), F.col("s.side").alias("side"), F.col("s.place").alias("place")
         ),
         "spelling-prefixes",

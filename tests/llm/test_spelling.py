@@ -80,6 +80,21 @@ def test_dense_variants(spark):
     assert found_groups(spelling.group_variants(docs)) == want
 
 
+@pytest.mark.parametrize("size", [0, spelling.GRAMS])
+def test_near_words_share_a_prefix_gram(spark, size):
+    """Every pair one edit apart is found, also where a shared gram is rare in one word's lists and frequent in the other's."""
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh", k=rng.randint(6, 12))) for _ in range(150)]
+    words = set(base)
+    for word in base * 4:
+        at, letter = rng.randrange(len(word) + 1), rng.choice("abcdefgh")
+        words.add(rng.choice([word[:at] + letter + word[at:], word[:at] + word[at + 1 :], word[:at] + letter + word[at + 1 :]]))
+    words = sorted(w for w in words if len(w) >= spelling.LENGTH)
+    found = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    pairs = spelling.near_words(spelling.index(found, spelling.dictionary(found, size) if size else [])).select("a", "b").collect()
+    assert sorted(tuple(r) for r in pairs) == sorted((a, b) for a in words for b in words if one_edit(a, b))
+
+
 def test_odd_rows(spark):
     many = "Étienne Àÿ×÷Àé Āletters lettersĀ UPPER upperCASE UPPERCASE x" + "y" * 5000 + " \U0001f600smiling cafés-bars "
     rows = [(None, many * 7), (1, None), (2, ""), (3, many), (3, many), (4, "short " * 9), (5, "é" * 300_000 + " " + "longest " * 50)]

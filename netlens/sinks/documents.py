@@ -319,8 +319,11 @@ def _reports(diagnoses: DataFrame, *fields: object) -> DataFrame:
 def write_diagnoses(diagnoses: DataFrame, path: str) -> None:
     """The diagnosis of every snapshot and its leak report, one JSON line each: ``diagnosis`` and ``leaks`` below ``path``.
 
-    ``sources.snapshots.read_reports`` reads both back. Nothing is shuffled: a line is made from one row.
+    ``sources.snapshots.read_reports`` reads both back. Nothing is shuffled: a line is made from one row. The diagnoses
+    are written first, as Parquet (``table``), and read for each of the two.
     """
+    diagnoses.write.mode("overwrite").parquet(f"{path}/table")
+    diagnoses = diagnoses.sparkSession.read.schema(diagnoses.schema).parquet(f"{path}/table")
     _reports(diagnoses, "score", "summary", "findings").write.mode("overwrite").text(f"{path}/diagnosis")
     audit = ("dns_routes", "ipv6_default_routes", F.col("leaks").alias("findings"))
     _reports(diagnoses, *audit).write.mode("overwrite").text(f"{path}/leaks")

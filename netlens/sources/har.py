@@ -27,6 +27,8 @@ CUT = "}"
 MALFORMED, NO_ARRAY, NO_OBJECTS = "malformed JSON", "log.entries must be an array", "log.entries must hold objects"
 #: Characters of entries that a task hands on at once.
 OUTPUT = 4 << 20
+#: Characters of pieces that are read at once.
+INPUT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,7 @@ class ArchiveReader:
 
     _TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\]]', re.DOTALL)
     _CLOSE = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)
+    _DECODER = json.JSONDecoder()
 
     def __init__(self) -> None:
         self.stack: list[str] = []
@@ -129,6 +132,15 @@ class ArchiveReader:
                 if token == "{" and self.held is None and len(self.stack) == 3 and self.stack[2] == "[":
                     self._gap(piece[begin : found.start()])
                     self.held, begin = [], found.start()
+                    try:  # most objects lie in the piece as a whole
+                        entry, at = self._DECODER.raw_decode(piece, begin)
+                    except (ValueError, RecursionError):
+                        pass
+                    else:
+                        self.held, self.gap_from, begin = None, len(self.frame), at
+                        yield self.array, self.place, entry
+                        self.place += 1
+                        continue
                 self.stack.append(token)
                 if token == "[" and len(self.stack) == 3:
                     self._add(piece[begin:at])
@@ -211,17 +223,25 @@ def _pull(batches: Iterator[pa.RecordBatch], entries: bool) -> Iterator[pa.Recor
 
     for batch in batches:
         columns = [batch.column(batch.schema.names.index(name)).to_pylist() for name in ("session_id", "bytes", "size", "value")]
-        for name, length, total, value in zip(*columns):
-            if reader is None or name != session:
+        names, lengths, totals, values = columns
+        at = 0
+        while at < len(names):
+            if reader is None or names[at] != session:
                 if reader is not None:
                     rows += ended()
-                session, reader, taken, pieces, last = name, ArchiveReader(), 0, 0, None
-            if last is not None:
-                found = [(session, *entry) for entry in reader.feed(last + CUT)]
+                session, reader, taken, pieces, last = names[at], ArchiveReader(), 0, 0, None
+            to, long = at, 0
+            while to < len(names) and names[to] == session and long < INPUT:
+                long += len(values[to])
+                to += 1
+            if last is not None or to - at > 1:  # all but the last piece, which may be the end of its document
+                held_back = [] if last is None else [last]
+                found = [(session, *entry) for entry in reader.feed(CUT.join([*held_back, *values[at : to - 1], ""]))]
                 if entries:
                     rows += found
                     held += len(found) * 512
-            taken, pieces, last, size = taken + length, pieces + 1, value, total
+            taken, pieces, last, size = taken + sum(lengths[at:to]), pieces + to - at, values[to - 1], totals[to - 1]
+            at = to
             if len(rows) >= 4096 or held >= OUTPUT:
                 yield batch_of(rows)
                 rows, held = [], 0

@@ -8,6 +8,7 @@ rows of one micro-batch are ordered in memory, so bound a backlog with ``maxFile
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,6 +127,11 @@ _EXTRAS = {C.START_EXTRA: "ask", C.RESPONSE_EXTRA: "answer"}
 #: Kinds of which a hop needs the latest event only.
 _LATEST = [C.START, C.RESPONSE, C.FINISHED, C.FAILED, C.SERVED_FROM_CACHE]
 BEFORE = -1
+_READ = ["seq", "kind", "ts", "start", "reply", "extra_headers", "data_length", "encoded_length", "failure"]
+
+
+def _missing(value: object) -> bool:
+    return value is None or value is pd.NA or value != value
 
 
 def hop_summaries(events: pd.DataFrame, first_hop: int, replies: int) -> dict[int, dict]:
@@ -134,27 +140,27 @@ def hop_summaries(events: pd.DataFrame, first_hop: int, replies: int) -> dict[in
     A summary has the latest event of each kind, the latest end with a time, the latest value of each extra header, and
     the received bytes, so summaries of consecutive stretches of a hop merge by taking the later part (``merged``).
     """
-    events = events.sort_values("seq", kind="stable")
-    starts = events.loc[events["kind"] == C.START, "seq"].to_numpy()
-    events = events.assign(hop=first_hop + starts.searchsorted(events["seq"].to_numpy(), side="right"))
-    answered = (events["kind"] == C.RESPONSE) & (events["hop"] > BEFORE)
-    events["number"] = answered.cumsum() + replies
-    summaries = {int(hop): {"latest": {}, "end": None, "ask": {}, "answer": {}, "body": 0} for hop in events["hop"].unique()}
-    wanted = events[events["kind"].isin(_LATEST)].drop_duplicates(["hop", "kind"], keep="last")
-    for row in wanted.to_dict("records"):
-        kept = {name: None if pd.isna(row[name]) else row[name] for name in ("ts", "start", "reply", "encoded_length", "failure")}
-        summaries[row["hop"]]["latest"][row["kind"]] = dict(kept, seq=int(row["seq"]), number=int(row["number"]))
-    ends = events[events["kind"].isin([C.FINISHED, C.FAILED]) & events["ts"].notna()].drop_duplicates("hop", keep="last")
-    for hop, ts in zip(ends["hop"], ends["ts"]):
-        summaries[hop]["end"] = float(ts)
-    for hop, kind, seq, text in events.loc[events["kind"].isin(list(_EXTRAS)), ["hop", "kind", "seq", "extra_headers"]].itertuples(index=False):
-        found = {name: [int(seq), value] for name, value in json.loads(text).items()}
-        side = summaries[hop][_EXTRAS[kind]]
-        if hop == BEFORE:  # only the last map before the first start counts, as a whole
-            side.clear()
-        side.update(found)
-    for hop, body in events.groupby("hop")["data_length"].sum().items():
-        summaries[hop]["body"] = int(body)
+    # Plain rows: a key has few events in a micro-batch, and every pandas call would cost more than all of them.
+    rows = sorted(zip(*[events[name].tolist() for name in _READ]), key=lambda row: row[0])
+    starts = [row[0] for row in rows if row[1] == C.START]
+    summaries: dict[int, dict] = {}
+    number = replies
+    for seq, kind, ts, start, reply, extra, length, encoded, failure in rows:
+        hop = first_hop + bisect_right(starts, seq)
+        summary = summaries.setdefault(hop, {"latest": {}, "end": None, "ask": {}, "answer": {}, "body": 0})
+        number += kind == C.RESPONSE and hop > BEFORE
+        if kind in _LATEST:
+            kept = {"ts": ts, "start": start, "reply": reply, "encoded_length": encoded, "failure": failure}
+            summary["latest"][kind] = {name: None if _missing(value) else value for name, value in kept.items()} | {"seq": int(seq), "number": number}
+        if kind in (C.FINISHED, C.FAILED) and not _missing(ts):
+            summary["end"] = float(ts)
+        if kind in _EXTRAS:
+            side = summary[_EXTRAS[kind]]
+            if hop == BEFORE:  # only the last map before the first start counts, as a whole
+                side.clear()
+            side.update({name: [int(seq), value] for name, value in json.loads(extra).items()})
+        if not _missing(length):
+            summary["body"] += int(length)
     return summaries
 
 
@@ -213,13 +219,15 @@ class CorrelationProcessor(StatefulProcessor):
         self.state = handle.getValueState("open", "text string")
 
     def _known(self) -> dict:
-        if self.state.exists():
-            return json.loads(self.state.get()[0])
+        held = self.state.get()  # each call of the state is a round trip to the JVM
+        if held is not None:
+            return json.loads(held[0])
         return {"hop": BEFORE, "summary": None, "version": 0, "replies": 0, "pending": {"ask": {}, "answer": {}}, "last": 0}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self._known()
-        events = pd.concat(list(rows))
+        parts = list(rows)
+        events = parts[0] if len(parts) == 1 else pd.concat(parts)
         parts = hop_summaries(events, known["hop"], known["replies"])
         if known["hop"] == BEFORE and BEFORE in parts:
             known["pending"] = {side: parts[BEFORE][side] or known["pending"][side] for side in ("ask", "answer")}
@@ -235,13 +243,17 @@ class CorrelationProcessor(StatefulProcessor):
             found.append(dict(hop_row(parts[hop], hop, follower, known["pending"]), version=version))
         last = int(events["wall"].max().timestamp() * 1000)
         if hops:
-            answered = ((events["kind"] == C.RESPONSE) & (events["seq"] > min(parts[h]["latest"][C.START]["seq"] for h in hops))).sum()
-            known.update(hop=hops[-1], summary=parts[hops[-1]], version=found[-1]["version"], replies=known["replies"] + int(answered))
+            begun = min(parts[h]["latest"][C.START]["seq"] for h in hops)
+            answered = sum(kind == C.RESPONSE and seq > begun for kind, seq in zip(events["kind"].tolist(), events["seq"].tolist()))
+            known.update(hop=hops[-1], summary=parts[hops[-1]], version=found[-1]["version"], replies=known["replies"] + answered)
         known["last"] = max(last, known["last"])
+        before, timer = known.get("timer"), known["last"] + self.idle_ms
+        known["timer"] = timer
         self.state.update((json.dumps(known),))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(known["last"] + self.idle_ms)
+        if before != timer:  # an id has one timer, by its last event
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(timer)
         yield self._frame(key, [row for row in found if row["ended"]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -151,10 +151,19 @@ def report_tables(requests: DataFrame) -> DataFrame:
 def write_report(
     requests: DataFrame, path: str, source_types: DataFrame | None = None, browser: DataFrame | None = None
 ) -> None:
-    """``heads`` (a JSON line per session), ``tables`` (a line per session, dimension and value), ``requests`` (a line each)."""
-    report_heads(requests, source_types, browser).select("value").write.mode("overwrite").text(f"{path}/heads")
-    report_tables(requests).write.mode("overwrite").json(f"{path}/tables")
-    write_lines(requests.select("session_id", "seq", request_payload(requests).alias("request")), f"{path}/requests")
+    """``heads`` (a JSON line per session), ``tables`` (a line per session, dimension and value), ``requests`` (a line each).
+
+    The parts read the requests some ten times, so they are written first, as Parquet (``table``), and read for each of them.
+    """
+    requests.write.mode("overwrite").parquet(f"{path}/table")
+    _write_report(requests.sparkSession.read.schema(requests.schema).parquet(f"{path}/table"), path, source_types, browser)
+
+
+def _write_report(kept: DataFrame, path: str, source_types: DataFrame | None = None, browser: DataFrame | None = None) -> None:
+    """``write_report`` over requests that are a table already."""
+    report_heads(kept, source_types, browser).select("value").write.mode("overwrite").text(f"{path}/heads")
+    report_tables(kept).write.mode("overwrite").json(f"{path}/tables")
+    write_lines(kept.select("session_id", "seq", request_payload(kept).alias("request")), f"{path}/requests")
 
 
 ITEM = "part int, a bigint, b bigint, c string, value string"
@@ -333,7 +342,7 @@ def write_bundle(requests: DataFrame, path: str) -> None:
     """JSON report, CSV and HAR of one analysis. The requests are written first, as Parquet, and read for each of them."""
     clustered(requests).write.mode("overwrite").parquet(f"{path}/table")
     kept = requests.sparkSession.read.schema(requests.schema).parquet(f"{path}/table")
-    write_report(kept, f"{path}/report")
+    _write_report(kept, f"{path}/report")
     write_csv(kept, f"{path}/csv")
     write_har(kept, f"{path}/har")
 

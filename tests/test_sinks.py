@@ -75,6 +75,19 @@ def test_report_documents(spark, many, tmp_path, session):
     assert set(head["aggregates"]) == set(D.DIMENSIONS)
 
 
+def test_report_computes_its_requests_once(spark, many, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(url):
+        computed.add(1)
+        return url
+
+    rows = many.withColumn("url", seen("url"))
+    D.write_report(rows, str(tmp_path / "report"))
+    assert computed.value == many.count()
+
+
 def test_unknown_session(spark, many, tmp_path):
     D.write_report(many, str(tmp_path / "report"))
     assert D.report_lines(spark, str(tmp_path / "report"), "nobody").count() == 0

@@ -7,7 +7,7 @@ products and returns only how many links each member has there and what hangs to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Elements and members of one block of a family, on average, and elements that a cell counts at once.
 BLOCK_ELEMENTS, BLOCK_MEMBERS, COLUMNS = 1 << 18, 256, 1 << 12
+#: Members that small cells of one block gather before they are compared by one call.
+GATHERED = 32
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -26,8 +28,13 @@ def dealt(members: DataFrame) -> DataFrame:
     return placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
-def compared(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, links, rows) from rows (found: a sorted set as bytes, key, family, held, blocks, block).
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    for payload in column:
+        yield np.frombuffer(payload.as_buffer(), np.uint64)
+
+
+def compared(sets: DataFrame, percent: int, prepare: Callable[[pa.Array], Iterable[np.ndarray]] = _sets) -> DataFrame:
+    """(a, b, links, rows) from rows (found: a sorted set as bytes, or what ``prepare`` makes sets of, key, family, held, blocks, block).
 
     With b null: the links of member a found in a cell, and the rows (``held``) they stand for. Else a and b hang together.
     """
@@ -38,23 +45,43 @@ def compared(sets: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, members = None, {}
+        small: list[dict] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1 and cell[1] == cell[2] and len(members) <= GATHERED:
+                small.append(members)
+                if sum(map(len, small)) >= GATHERED:
+                    yield family_links(small, percent)
+                    small.clear()
+            elif len(members) > 1:
+                yield cell_links(members, cell[1] == cell[2], percent)
+
         for batch in batches:
-            payload = batch.column(6)
-            for at, (family, i, j, *row) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(6)])):
+            rows = zip(*[batch.column(k).to_pylist() for k in range(6)])
+            for (family, i, j, *row), found in zip(rows, prepare(batch.column(6))):
                 if (family, i, j) != cell:
-                    if len(members) > 1:
-                        yield cell_links(members, cell[1] == cell[2], percent)
+                    yield from closed()
                     cell, members = (family, i, j), {}
                 if row[0] not in members:  # else a repeated row
-                    members[row[0]] = (row[1], row[2], np.frombuffer(payload[at].as_buffer(), np.uint64))
-        if len(members) > 1:
-            yield cell_links(members, cell[1] == cell[2], percent)
+                    members[row[0]] = (row[1], row[2], found)
+        yield from closed()
+        if small:
+            yield family_links(small, percent)
 
     return cells.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "key").mapInArrow(compare, "a long, b long, links long, rows long")
 
 
-def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, percent: int) -> pa.RecordBatch:
-    """Links between the members (key: rows of the class, block, sorted set) of a cell: all of one block (``whole``), or those of different blocks."""
+def family_links(cells: list[dict[int, tuple[int, int, np.ndarray]]], percent: int) -> pa.RecordBatch:
+    """The links of several whole cells by one call: members of different cells have nothing to do with each other."""
+    members = {key: m for cell in cells for key, m in cell.items()}
+    return cell_links(members, True, percent, np.repeat(np.arange(len(cells)), [len(cell) for cell in cells]))
+
+
+def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, percent: int, cells: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links between the members (key: rows of the class, block, sorted set) of a cell: all of one block (``whole``), or those of different blocks.
+
+    ``cells`` tells members of several cells apart; only those of one cell link.
+    """
     keys = np.array(list(members), np.int64)
     weights, blocks = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
     sets = [m[2] for m in members.values()]
@@ -74,6 +101,8 @@ def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, per
     common = common.astype(np.float64)
     link = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
     np.fill_diagonal(link, False)
+    if cells is not None:
+        link &= cells[:, None] == cells[None, :]
     if not whole:
         link &= blocks[:, None] != blocks[None, :]
     label = np.arange(len(sets))

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens.llm import cells, texts
@@ -25,6 +25,10 @@ from netlens.llm.graph import components
 GRAM = 8
 PERCENT = 80
 BANDS, ROWS = 20, 6
+#: Bucket entries of one part on average, and lines of a batch whose entries are sent at a time.
+ENTRIES, SENT = 1 << 18, 1 << 14
+#: Ids of rows (8 bytes each) that are broadcast to leave out texts without near lines; if there are more, all texts are shuffled.
+ASKED_ROWS = 4_000_000
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -79,69 +83,107 @@ def line_shingles(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def band_keys(lines: pa.Array) -> np.ndarray:
     """One row of BANDS bucket keys per line."""
-    return _signatures(lines)[0]
+    return _signatures(lines)
 
 
-def _signatures(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per line a row of BANDS bucket keys, and its number of shingles (repeats counted)."""
-    found = [(np.zeros((0, BANDS), np.uint64), np.zeros(0, np.int64))]
+def _signatures(lines: pa.Array) -> np.ndarray:
+    """Per line a row of BANDS bucket keys."""
+    found = [np.zeros((0, BANDS), np.uint64)]
     for hashes, at in line_shingles(lines):
         high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32) | np.uint32(1)
-        bands = np.zeros((len(at) - 1, BANDS), np.uint64)
+        bands, turned = np.zeros((len(at) - 1, BANDS), np.uint64), np.empty(len(high), np.uint32)
         for k, seed in enumerate(_SEEDS):
-            least = np.minimum.reduceat((high ^ seed) * low if k % 2 else high * seed + low, at[:-1])
+            if k % 2:
+                np.multiply(np.bitwise_xor(high, seed, out=turned), low, out=turned)
+            else:
+                np.add(np.multiply(high, seed, out=turned), low, out=turned)
+            least = np.minimum.reduceat(turned, at[:-1])
             bands[:, k // ROWS] = texts.mix(bands[:, k // ROWS] + least.astype(np.uint64) + texts._STEPS[k % ROWS])
-        found.append((bands, np.diff(at)))
-    return tuple(np.concatenate(x) for x in zip(*found))
+        found.append(bands)
+    return np.concatenate(found)
 
 
 def scan_lines(docs: DataFrame) -> DataFrame:
-    """One pass over whole texts: rows with row, doc_id, keys (of its lines); and rows with key, bands, size (of a line)."""
+    """row, doc_id, and of its lines keys and sizes (shingles, repeats counted)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, at = cut_lines(batch.column(2))
-            keys = line_keys(lines)
+            at = pa.array(at.astype(np.int32))
+            sizes = np.maximum(1, pc.utf8_length(lines).to_numpy(zero_copy_only=False).astype(np.int32) - (GRAM - 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(texts.signed(keys))),
-                 pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.list_(pa.int64())), pa.nulls(batch.num_rows, pa.int64())], names=NAMES,
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(texts.signed(line_keys(lines)))), pa.ListArray.from_arrays(at, pa.array(sizes, pa.int32()))],
+                names=["row", "doc_id", "keys", "sizes"],
             )
-            distinct, first = np.unique(keys, return_index=True)
-            first = first[distinct != 0]
-            if len(first):
-                empty, (bands, sizes) = len(first), _signatures(lines.take(pa.array(first)))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(texts.signed(bands.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.int64()), pa.nulls(empty, pa.list_(pa.int64())), pa.array(texts.signed(keys[first])),
-                     listed, pa.array(sizes.astype(np.int64))], names=NAMES,
-                )
 
-    return _rows(docs).mapInArrow(scan, "row long, doc_id long, keys array<long>, key long, bands array<long>, size long")
+    return _rows(docs).mapInArrow(scan, "row long, doc_id long, keys array<long>, sizes array<int>")
 
 
-NAMES = ["row", "doc_id", "keys", "key", "bands", "size"]
+def bucket_links(docs: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of lines that share a bucket, enough to tell what hangs together: each line with its bucket's smallest.
+
+    Buckets are dealt over ``parts`` by their hash. A batch of documents sends each part one row of its buckets and lines,
+    so a part, which meets in one task, holds ENTRIES of them on average however many documents there are.
+    """
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, _ = cut_lines(batch.column(2))
+            distinct, first = np.unique(line_keys(lines), return_index=True)
+            distinct, first = distinct[distinct != 0], first[distinct != 0]
+            for i in range(0, len(first), SENT):
+                # The band is part of the bucket's hash.
+                bands = _signatures(lines.take(pa.array(first[i : i + SENT])))
+                buckets = texts.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * texts._STEPS[ROWS]).reshape(-1)
+                keys, part = np.repeat(distinct[i : i + SENT], BANDS), (buckets % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                found, begin = np.unique(part[order], return_index=True)
+                at = pa.array(np.append(begin, len(order)).astype(np.int32))
+                listed = [pa.ListArray.from_arrays(at, pa.array(texts.signed(x[order]))) for x in (buckets, keys)]
+                yield pa.RecordBatch.from_arrays([pa.array(found), *listed], names=["part", "buckets", "keys"])
+
+    def link(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        buckets, keys = (np.concatenate([x[k].values.to_numpy() for x in held]) for k in (0, 1))
+        order = np.argsort(buckets)
+        buckets, keys = buckets[order], keys[order]
+        begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+        least = np.repeat(np.minimum.reduceat(keys, begin), np.diff(np.append(begin, len(keys))))
+        apart = keys != least
+        pairs = np.unique(np.stack([least[apart], keys[apart]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+        for batch in batches:
+            for i, number in enumerate(batch.column(0).to_pylist()):
+                if number != part:
+                    if held:
+                        yield link(held)
+                    part, held = number, []
+                held.append((batch.column(1)[i], batch.column(2)[i]))
+        if held:
+            yield link(held)
 
-def bucket_links(scanned: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that share a bucket, enough to tell what hangs together: each line with its bucket's smallest."""
-    entries = scanned.where("key is not null").select("key", F.posexplode("bands").alias("band", "bucket"))
-    entries = entries.select("key", F.xxhash64("band", "bucket").alias("bucket"))
-    least = F.min("key").over(Window.partitionBy("bucket"))  # one shuffle of the entries; a bucket's rows spill, none are listed
-    return entries.withColumn("least", least).where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    entries = _rows(docs).mapInArrow(scan, "part int, buckets array<long>, keys array<long>")
+    return entries.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "a long, b long").distinct()
 
 
 def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Edges (a, b) between different lines whose components are those of all links within families."""
-    families = stage(components(bucket_links(scanned), "lines-families").select(F.col("node").alias("key"), F.col("root").alias("family")), "lines-families")
-    sizes = scanned.where("key is not null").select("key", "size").join(families, "key").groupBy("key", "family").agg(F.max("size").alias("size"))
-    held = scanned.where("keys is not null").select("row", F.explode("keys").alias("key")).join(families.select("key"), "key", "left_semi")
-    places = held.groupBy("key").agg(F.min("row").alias("row"))
-    placed = cells.dealt(sizes).join(places, "key").select("row", F.struct("key", "family", "blocks", "block").alias("line"))
+    lines = scanned.agg(F.sum(F.array_size("keys"))).first()[0] or 0
+    links = bucket_links(docs, lines * BANDS // ENTRIES + 1)
+    families = stage(components(links, "lines-families").select(F.col("node").alias("key"), F.col("root").alias("family")), "lines-families")
+    each = scanned.select("row", F.explode(F.arrays_zip("keys", "sizes")).alias("e")).select("row", F.col("e.keys").alias("key"), F.col("e.sizes").alias("size"))
+    members = each.join(families, "key").groupBy("key", "family").agg(F.min("row").alias("row"), F.max("size").alias("size"))
+    placed = cells.dealt(stage(members, "lines-members")).select("row", F.struct("key", "family", "blocks", "block").alias("line"))
     # One list per row of the documents: as long as that document has lines.
     asked = stage(placed.groupBy("row").agg(F.collect_list("line").alias("asked")), "lines-asked")
-    rows = _rows(docs).join(asked, "row").select("text", "asked")
+    rows = _rows(docs)
+    if asked.count() <= ASKED_ROWS:  # so that texts without such lines are not shuffled
+        rows = rows.join(F.broadcast(asked.select("row")), "row", "left_semi")
+    rows = rows.join(asked, "row").select("text", "asked")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, at = cut_lines(batch.column(0))
             keys = texts.signed(line_keys(lines))
@@ -150,13 +192,18 @@ def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
                 line = wanted[i].values
                 distinct, first = np.unique(keys[at[i] : at[i + 1]], return_index=True)
                 take = at[i] + first[np.searchsorted(distinct, line.field("key").to_numpy())]
-                found = [np.unique(hashes[a:b]).tobytes() for hashes, begin in line_shingles(lines.take(pa.array(take))) for a, b in zip(begin[:-1], begin[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.binary()), line.field("key"), line.field("family"), pa.array(np.ones(len(found), np.int64)), line.field("blocks"), line.field("block")],
+                    [lines.take(pa.array(take)).cast(pa.string()), line.field("key"), line.field("family"), pa.array(np.ones(len(take), np.int64)), line.field("blocks"), line.field("block")],
                     names=["found", "key", "family", "held", "blocks", "block"],
                 )
 
-    found = cells.compared(rows.mapInArrow(sets, "found binary, key long, family long, held long, blocks int, block int"), PERCENT)
+    def sets(column: pa.Array) -> Iterator[np.ndarray]:
+        for hashes, begin in line_shingles(column.cast(pa.large_string())):
+            for a, b in zip(begin[:-1], begin[1:]):
+                yield np.unique(hashes[a:b])
+
+    # Lines go to their cells as text, an eighth of their shingles and less.
+    found = cells.compared(rows.mapInArrow(chosen, "found string, key long, family long, held long, blocks int, block int"), PERCENT, sets)
     return stage(found.where("b is not null").select("a", "b"), "lines-links")
 
 
@@ -165,7 +212,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     scanned = stage(scan_lines(docs), "lines-scan")
     links = line_links(docs, scanned)
     roots = components(links, "lines-components").select(F.col("node").alias("key"), "root")
-    held = scanned.where("keys is not null").select("row", "doc_id", F.posexplode("keys").alias("line", "key")).where("key <> 0")
+    held = scanned.select("row", "doc_id", F.posexplode("keys").alias("line", "key")).where("key <> 0")
     place = F.struct("doc_id", "row", "line")
     # Per line first, so that the look-up of its component has one row per line however often the line occurs.
     first = held.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("times")).join(roots, "key", "left")

@@ -1,7 +1,7 @@
 """Whole texts as flat byte arrays: words, hashes and n-grams of many documents at once with numpy.
 
 An Arrow string column holds all its texts in one buffer. The functions here work on such a buffer in blocks of
-a few megabytes, so that memory is bounded by the block (or by the longest single text), not by the batch.
+half a megabyte, so that memory is bounded by the block (or by the longest single text), not by the batch.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _PRIME = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_PRIME, -1, 1 << 64)
 

@@ -23,8 +23,8 @@ from netlens.llm.common import stage
 
 #: Pieces whose ids a Python worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 600_000
-#: A point or comma that ends a word; the tokenizer splits before it in any case.
-_MARK = r"([a-z])([.,])([ \n])"
+#: Bytes of text that are cut into pieces at once: the more, the fewer times a frequent piece is looked up.
+BLOCK = 1 << 21
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20), "compression": "zstd",
@@ -50,20 +50,48 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
-def _folded(column: pa.Array) -> pa.Array:
-    """A large string column without nulls, A-Z lower-cased byte by byte."""
+#: Kinds of bytes: 1 blank, 2 a-z and 0-9, 3 other printable ASCII but the apostrophe, 0 all others.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[0x20, 0x0A]] = 1
+_KIND[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = 2
+_KIND[0x27] = 0
+
+
+def cut_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts of a large string column without nulls, and where each text's pieces begin.
+
+    Pieces end at blanks, line feeds and where an ASCII letter or digit meets an ASCII mark other than an apostrophe (which may begin a token).
+    A-Z is lower-cased, but not in texts that may hold a special token: those are matched before case is folded, and such texts are cut at blanks only.
+    """
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
-    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(texts.LOWER[data])])
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    letters = texts.LOWER[data]
+    kind = _KIND[letters]
+    for i in np.flatnonzero(pc.match_substring(column, "<|").to_numpy(zero_copy_only=False)).tolist():
+        held = slice(bounds[i], bounds[i + 1])
+        letters[held] = data[held]
+        kind[held] = kind[held] == 1
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[:-1] == 1) | ((kind[1:] ^ kind[:-1]) == 1) & (np.minimum(kind[1:], kind[:-1]) == 2)
+    begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+    blank = kind == 1
+    begins &= ~blank
+    at = np.flatnonzero(begins)
+    kept = letters[~blank]
+    ends = np.append(at - np.searchsorted(np.flatnonzero(blank), at), len(kept))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(kept)])
+    return pieces, np.searchsorted(at, bounds)
 
 
 class PieceEncoder:
-    """Ids of whole texts, put together from the ids of their pieces between blanks and line feeds.
+    """Ids of whole texts, put together from the ids of their pieces (``cut_pieces``).
 
-    For tokenizers that fold case, drop white space and never join across it: there a piece has the same ids in every
-    text, so a task encodes each distinct piece once, whatever its case or the mark behind it. New pieces go to the
-    tokenizer by lines, and the token of the mark between them tells their ids apart.
+    For tokenizers that fold case, drop white space, never join across it and part ASCII letters and digits from marks: there
+    a piece has the same ids in every text, so a task encodes each distinct piece once, whatever its case or the mark
+    behind it. New pieces go to the tokenizer by lines, and the token of the mark between them tells their ids apart.
     """
 
     def __init__(self, path: str):
@@ -73,20 +101,18 @@ class PieceEncoder:
             raise ValueError(f"the vocabulary must have {_BETWEEN} as one token")
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    @staticmethod
-    def _pieces(column: pa.Array) -> pa.Array:
-        """The pieces of every text, as lists."""
-        marked = pc.replace_substring_regex(_folded(column), pattern=_MARK, replacement=r"\1 \2\3")
-        # Special tokens are matched before case is folded.
-        column = pc.if_else(pc.match_substring(column, "<|"), column, marked)
-        return pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
-
     def encode(self, values: pa.Array | list[str]) -> Iterator[np.ndarray]:
         """Ids of every text of some (null: none)."""
+        ids, bounds = self.encode_flat(values)
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield ids[first:last]
+
+    def encode_flat(self, values: pa.Array | list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after the other, each closed by ``end_id`` if given, and where each text's begin."""
         column = values.cast(pa.large_string()) if isinstance(values, pa.Array) else pa.array(values, pa.large_string())
-        lists = self._pieces(column.fill_null(""))
-        pieces = lists.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        pieces, begin = cut_pieces(column.fill_null(""))
+        pieces = pieces.dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         fresh = [piece for piece in distinct if piece not in self.codes]
         if len(self.codes) + len(fresh) > REMEMBERED:
             fresh = distinct
@@ -98,9 +124,10 @@ class PieceEncoder:
         sizes = self.begin[codes + 1] - self.begin[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.arange(ends[-1]) + np.repeat(self.begin[codes] - ends[:-1], sizes)]
-        bounds = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
-        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            yield ids[first:last]
+        bounds = ends[begin]
+        if end_id is None:
+            return ids, bounds
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
     def _learn(self, fresh: list[str], together: int) -> None:
         """Remember the ids of new pieces, given to the tokenizer so many at a time."""
@@ -134,16 +161,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, place = piece_encoder(vocabulary), 0
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             column = batch.column(2)
-            for block in texts.blocks(column):
-                found = [np.concatenate([ids, end]) for ids in encoder.encode(column[block.first : block.last])]
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int32)))
-                part, doc_id = (batch.column(i).slice(block.first, len(found)) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([part, pa.array(np.arange(place, place + len(found))), doc_id, ids], names=["part", "place", "doc_id", "ids"])
-                place += len(found)
+            for block in texts.blocks(column, BLOCK):
+                flat, bounds = encoder.encode_flat(column[block.first : block.last], end_id)
+                ids, count = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int32))), block.last - block.first
+                part, doc_id = (batch.column(i).slice(block.first, count) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([part, pa.array(np.arange(place, place + count)), doc_id, ids], names=["part", "place", "doc_id", "ids"])
+                place += count
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -162,12 +187,10 @@ def token_digests(tokens: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(3)
-            sizes, sums = [], []
-            for i in range(batch.num_rows):
-                ids = column[i].values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-                sizes.append(len(ids))
-                sums.append(zlib.crc32(ids.tobytes()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=["part", "place", "doc_id", "n_tokens", "ids_crc32"])
+            ids = memoryview(column.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False))
+            bounds = column.offsets.to_numpy()
+            sums = [zlib.crc32(ids[first:last]) for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(bounds), pa.int64()), pa.array(sums, pa.int64())], names=["part", "place", "doc_id", "n_tokens", "ids_crc32"])
 
     # One small row per document, read twice below; the files themselves are read once.
     rows = stage(tokens.select("part", "place", "doc_id", "ids").mapInArrow(digest, "part int, place long, doc_id long, n_tokens long, ids_crc32 long"), "tokens-digests")

@@ -316,6 +316,18 @@ def test_chunked_bpe_on_odd_texts():
     assert [i.tolist() for i in pieced.encode(values)] == [e.ids for e in pieced.tokenizer.encode_batch(values, add_special_tokens=False)]
 
 
+def test_pieces_part_letters_from_marks():
+    encoder = token_files.PieceEncoder(queries.vocabulary(queries.WORD_BPE))
+    values = ["One,two (one) TWO! it's", "two7one \"one's\" <|endoftext|>One,", "", "Éone.\u0301two e\u0301, a_b", "\u00bb.one one"]
+    assert [i.tolist() for i in encoder.encode(values)] == [e.ids for e in encoder.tokenizer.encode_batch(values, add_special_tokens=False)]
+    fresh = token_files.PieceEncoder(queries.vocabulary(queries.WORD_BPE))
+    flat, bounds = fresh.encode_flat(["One,two (one) TWO!", None, "one"], 1)
+    # What has the same ids everywhere is looked up once, whatever marks touch it.
+    assert sorted(fresh.codes) == ["!", "(", ")", ",", "one", "two"]
+    expect = [[*fresh.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in ("One,two (one) TWO!", "", "one")]
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == expect
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     names = docs.columns

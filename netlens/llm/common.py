@@ -10,12 +10,27 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has been counted and has no more rows than this; otherwise the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of one Arrow batch between Spark and a Python worker; both sides hold a few of them at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by BATCH_BYTES, unless the session bounds them lower; ten thousand whole texts are six times as much and more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def _bytes(value: str) -> int:
+    """A size as Spark's settings have it."""
+    number = value.lower().rstrip("bkmgt")
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[value.lower()[len(number) :][:1]]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Only a local session may lack it; it then gets one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
+
 import corpus_pipeline
 from netlens.llm import line_dedup, packing, quality, substring_dedup
-from netlens.llm.common import stage
+from netlens.llm.common import BATCH_BYTES, small_batches, stage
 from tests.llm.test_llm import prose, shingle_set, union
 
 CLASHING = "doc_id long, text string, lines string, _row int, n_lines int, n_removed int, _quality double, quality double, _spans string, row string, gone_lines int, cut_spans int"
@@ -90,3 +92,26 @@ def test_pipeline_rows_equal_a_plain_version(spark, tmp_path):
     want = stage(spark.createDataFrame([(i, cut[i], "en", "s", len(cut[i])) for i, _ in kept], docs.schema), "test-packed")
     assert [r.asDict() for r in found] == [r.asDict() for r in sorted(packing.pack(want).collect(), key=lambda r: r["doc_id"])]
     assert len(found) < len(rows) - len(bad) and {r["doc_id"] for r in found} == {i for i, _ in kept}
+
+
+def test_stages_send_batches_of_few_bytes(spark):
+    """However long the texts are, a batch between Spark and a Python worker is a few MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    try:
+        small = spark.createDataFrame([(1, "one text", 8)], "doc_id long, text string, n_chars long")
+        for step in (corpus_pipeline.chunk_dedup, corpus_pipeline.fuzzy_line_dedup, corpus_pipeline.ngram_jaccard_join):
+            spark.conf.set(name, "64m")
+            step(spark, small, "")
+            found = spark.range(3000, numPartitions=1).selectExpr("repeat('abcdefgh', 1250) as text").mapInArrow(sizes, "size long").collect()
+            assert len(found) > 6 and max(r["size"] for r in found) <= 2 * BATCH_BYTES
+        spark.conf.set(name, "1m")
+        small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)

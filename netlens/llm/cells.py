@@ -86,19 +86,27 @@ def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, per
     weights, blocks = (np.array([m[k] for m in members.values()], np.int64) for k in (0, 1))
     sets = [m[2] for m in members.values()]
     sizes = np.array([len(x) for x in sets], np.float64)
-    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, which = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
-    shared = times[which] > 1  # shingles of one member count for sizes only
-    column = (np.cumsum(times > 1) - 1)[which[shared]]
+    one = np.ones(len(sets), bool) if whole else blocks == blocks[0]
+    other = one if whole else ~one
+    # Shingles of one member, or of one block if the other is to be compared with it, count for sizes only.
+    times = [np.bincount(which[side[owner]], minlength=int(which.max(initial=-1)) + 1) for side in ((one,) if whole else (one, other))]
+    met = times[0] > 1 if whole else (times[0] > 0) & (times[1] > 0)
+    shared = met[which]
+    column = (np.cumsum(met) - 1)[which[shared]]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[shared][order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    counted = np.zeros((int(one.sum()), int(other.sum())), np.float32)
     for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         cut = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
-        matrix = np.zeros((len(sets), COLUMNS), np.float32)
+        matrix = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - begin)), np.float32)
         matrix[owner[cut], column[cut] - begin] = 1
-        common += matrix @ matrix.T
-    common = common.astype(np.float64)
+        counted += matrix @ matrix.T if whole else matrix[one] @ matrix[other].T
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    common[np.ix_(one, other)] = counted
+    if not whole:
+        common[np.ix_(other, one)] = counted.T
     link = (common > 0) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
     np.fill_diagonal(link, False)
     if cells is not None:

@@ -46,7 +46,7 @@ def cut_lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def line_keys(lines: pa.Array) -> np.ndarray:
     """A 64-bit key per line; 0 for a blank line, which is never a duplicate."""
     found = []
-    for block in texts.blocks(lines):
+    for block in texts.blocks(lines, texts.BLOCK_BYTES // 16):
         data, bounds = block.data, block.bounds
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * texts.powers(texts._PRIME, len(data)), out=total[1:])
@@ -136,7 +136,7 @@ def bucket_links(docs: DataFrame, parts: int) -> DataFrame:
                 bands = _signatures(lines.take(pa.array(first[i : i + SENT])))
                 buckets = texts.mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * texts._STEPS[ROWS]).reshape(-1)
                 keys, part = np.repeat(distinct[i : i + SENT], BANDS), (buckets % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")  # by digits where 16 bits hold a part
                 found, begin = np.unique(part[order], return_index=True)
                 at = pa.array(np.append(begin, len(order)).astype(np.int32))
                 listed = [pa.ListArray.from_arrays(at, pa.array(texts.signed(x[order]))) for x in (buckets, keys)]
@@ -149,8 +149,12 @@ def bucket_links(docs: DataFrame, parts: int) -> DataFrame:
         begin = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
         least = np.repeat(np.minimum.reduceat(keys, begin), np.diff(np.append(begin, len(keys))))
         apart = keys != least
-        pairs = np.unique(np.stack([least[apart], keys[apart]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        least, keys = least[apart], keys[apart]
+        order = np.lexsort((keys, least))
+        least, keys = least[order], keys[order]
+        once = np.ones(len(keys), bool)
+        once[1:] = (least[1:] != least[:-1]) | (keys[1:] != keys[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(least[once]), pa.array(keys[once])], names=["a", "b"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held = None, []
@@ -187,15 +191,15 @@ def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         for batch in batches:
             lines, at = cut_lines(batch.column(0))
             keys = texts.signed(line_keys(lines))
-            wanted = batch.column(1)
+            line, begin = batch.column(1).flatten(), np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            wanted, take = line.field("key").to_numpy(), np.zeros(len(line), np.int64)
             for i in range(batch.num_rows):
-                line = wanted[i].values
                 distinct, first = np.unique(keys[at[i] : at[i + 1]], return_index=True)
-                take = at[i] + first[np.searchsorted(distinct, line.field("key").to_numpy())]
-                yield pa.RecordBatch.from_arrays(
-                    [lines.take(pa.array(take)).cast(pa.string()), line.field("key"), line.field("family"), pa.array(np.ones(len(take), np.int64)), line.field("blocks"), line.field("block")],
-                    names=["found", "key", "family", "held", "blocks", "block"],
-                )
+                take[begin[i] : begin[i + 1]] = at[i] + first[np.searchsorted(distinct, wanted[begin[i] : begin[i + 1]])]
+            yield pa.RecordBatch.from_arrays(
+                [lines.take(pa.array(take)).cast(pa.string()), line.field("key"), line.field("family"), pa.array(np.ones(len(take), np.int64)), line.field("blocks"), line.field("block")],
+                names=["found", "key", "family", "held", "blocks", "block"],
+            )
 
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for hashes, begin in line_shingles(column.cast(pa.large_string())):

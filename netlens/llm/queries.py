@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens.llm import bpe, forest, langid, line_dedup, lm, ngram_join, packing, quality, spelling, substring_dedup, token_files, topk, whitening
-from netlens.llm.common import fold_remainder, new_folder, table
+from netlens.llm.common import fold_remainder, new_folder, small_batches, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -55,6 +55,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the text that is left of it."""
+    small_batches(spark)
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 

@@ -47,3 +47,31 @@ def test_texts_are_held_in_small_blocks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 << 20
+
+
+def test_line_keys_are_taken_in_small_blocks():
+    lines = pa.array([f"line {i} " + "abcdefgh" * 20 for i in range(20_000)])
+    line_dedup.line_keys(lines.slice(0, 3))  # makes the tables of powers
+    tracemalloc.start()
+    keys = line_dedup.line_keys(lines)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(keys.tolist())) == 20_000
+    assert most < 4 << 20
+
+
+def test_cells_of_two_blocks_compare_across_them_only():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    members = {}
+    for key in range(30):
+        other = base.copy()
+        other[: key % 9] = rng.integers(0, 1 << 60, key % 9).astype(np.uint64)
+        members[key] = (key + 1, key % 2, np.unique(other))
+    found = cells.cell_links(members, False, 80).to_pylist()
+    expect = {}
+    for a, (_, block, one) in members.items():
+        near = [b for b, (_, k, two) in members.items() if k != block and 100 * len(np.intersect1d(one, two)) >= 80 * len(np.union1d(one, two))]
+        if near:
+            expect[a] = (len(near), sum(members[b][0] for b in near))
+    assert {r["a"]: (r["links"], r["rows"]) for r in found if r["b"] is None} == expect

@@ -95,12 +95,15 @@ def cell_links(members: dict[int, tuple[int, int, np.ndarray]], whole: bool, per
     met = times[0] > 1 if whole else (times[0] > 0) & (times[1] > 0)
     shared = met[which]
     column = (np.cumsum(met) - 1)[which[shared]]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[shared][order]
+    owner, most = owner[shared], int(column.max(initial=-1)) + 1
+    turn = (column // COLUMNS).astype(np.min_scalar_type(most // COLUMNS))
+    if most > COLUMNS:
+        order = np.argsort(turn, kind="stable")  # by digits, as turns are few
+        column, owner, turn = column[order], owner[order], turn[order]
     counted = np.zeros((int(one.sum()), int(other.sum())), np.float32)
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        cut = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
-        matrix = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - begin)), np.float32)
+    for begin in range(0, most, COLUMNS):
+        cut = slice(np.searchsorted(turn, begin // COLUMNS), np.searchsorted(turn, begin // COLUMNS, side="right"))
+        matrix = np.zeros((len(sets), min(COLUMNS, most - begin)), np.float32)
         matrix[owner[cut], column[cut] - begin] = 1
         counted += matrix @ matrix.T if whole else matrix[one] @ matrix[other].T
     common = np.zeros((len(sets), len(sets)), np.float64)

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard test, union-find over the links.
 
 A line is the set of its distinct GRAM-character shingles (a shorter line is one shingle). Signatures of BANDS x ROWS
-minima are cut into bands; with 20 x 6 two lines of similarity 0.8 meet in a band with probability 0.9977, two of 0.5
+minima (fast similarity sketches, see ``minima``) are cut into bands; with 20 x 6 two lines of similarity 0.8 meet in a band with probability 0.9977, two of 0.5
 with 0.27. Lines that hang together by shared buckets form a family: no two lines of different families share a
 bucket. Inside a family all lines are compared with each other on their whole sets, in cells of bounded size, so every
 link that banding meets is found. Of each component of links the first line of the corpus stays: the one of smallest
@@ -22,14 +22,19 @@ from netlens.llm import cells, texts
 from netlens.llm.common import bounded, free_name, stage
 from netlens.llm.graph import components
 
+#: A power of two.
 GRAM = 8
 PERCENT = 80
 BANDS, ROWS = 20, 6
 #: Bucket entries of one part on average, and lines of a batch whose entries are sent at a time.
 ENTRIES, SENT = 1 << 18, 1 << 14
+#: Bytes of lines that are cut into shingles at a time.
+SHINGLED = 1 << 16
+#: Rounds that deal the hashes of lines to their minima, lines whose minima are taken at a time, and hashes that are gone over again at a time.
+ROUNDS, HELD, SPREAD = 4, 4096, 1 << 18
 #: Ids of rows (8 bytes each) that are broadcast to leave out texts without near lines; if there are more, all texts are shuffled.
 ASKED_ROWS = 4_000_000
-_SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SEEDS = np.random.default_rng(20).integers(1, 1 << 32, BANDS * ROWS + ROUNDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -49,36 +54,50 @@ def line_keys(lines: pa.Array) -> np.ndarray:
     for block in texts.blocks(lines, texts.BLOCK_BYTES // 16):
         data, bounds = block.data, block.bounds
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * texts.powers(texts._PRIME, len(data)), out=total[1:])
+        np.multiply(data, texts.powers(texts._PRIME, len(data)), out=total[1:], dtype=np.uint64)
+        np.cumsum(total, out=total)
         hashes = (total[bounds[1:]] - total[bounds[:-1]]) * texts.powers(texts._INVERSE, len(data) + 1)[bounds[:-1]]
-        ink = np.concatenate([[0], np.cumsum(~texts.SPACE[data])])
-        blank = ink[bounds[1:]] == ink[bounds[:-1]]
         hashes = texts.mix(hashes + np.diff(bounds).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        found.append(np.where(blank, np.uint64(0), np.where(hashes == 0, np.uint64(1), hashes)))
+        hashes[hashes == 0] = 1
+        full = np.flatnonzero(np.diff(bounds))
+        blank = np.ones(len(hashes), bool)
+        blank[full] = texts.SPACE[data[bounds[full]]]
+        if blank[full].any():  # else every line begins with ink
+            blank[full] = np.logical_and.reduceat(texts.SPACE[data], bounds[full])
+        hashes[blank] = 0
+        found.append(hashes)
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def line_shingles(lines: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per block of lines the shingle hashes of all of them and where each line's begin; every line has one at least."""
-    for block in texts.blocks(lines, texts.BLOCK_BYTES // 4):
-        points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        begin = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])[block.bounds]
-        size = np.diff(begin)
-        rolled = np.zeros(max(0, len(points) - GRAM + 1), np.uint64)
-        for k in range(GRAM):
-            rolled += points[k : k + len(rolled)] * texts._STEPS[k]
+    for block in texts.blocks(lines, SHINGLED):
+        begin, points = block.bounds, block.data
+        if len(points) and points.max() > 127:
+            points = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+            begin = begin - np.searchsorted(np.flatnonzero((block.data & 0xC0) == 0x80), begin)
+        size, rolled = np.diff(begin), points.astype(np.uint64)
+        for width in (1, 2, 4):  # of the halves that make a shingle of twice their width
+            joined = rolled[: max(0, len(rolled) - width)] * texts._STEPS[width - 1]
+            joined += rolled[width:]
+            rolled = joined
         rolled = texts.mix(rolled)
-        if len(size) and size.min() >= GRAM:
-            position = np.ones(len(points), bool)
-            for k in range(1, GRAM):
-                position[begin[1:] - k] = False
-            yield rolled[position[: len(rolled)]], np.concatenate([[0], np.cumsum(size - GRAM + 1)])
+        position, short = np.ones(len(points), bool), np.flatnonzero(size < GRAM)
+        for k in range(1, GRAM):
+            position[np.maximum(begin[1:] - k, 0)[size > 0]] = False
+        counts = np.maximum(1, size - GRAM + 1)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        if not len(short):
+            yield rolled[position[: len(rolled)]], at
             continue
-        pieces = [
-            rolled[a : b - GRAM + 1] if b - a >= GRAM else np.array([texts.sequence_hash(points[a:b] + np.uint64(1))], np.uint64)
-            for a, b in zip(begin[:-1], begin[1:])
-        ]
-        yield np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        hashes, long = np.zeros(at[-1], np.uint64), np.ones(at[-1], bool)
+        long[at[short]] = False
+        hashes[long] = rolled[position[: len(rolled)]]
+        for k in range(GRAM - 1):
+            reach = short[size[short] > k]
+            hashes[at[reach]] += (points[begin[reach] + k].astype(np.uint64) + np.uint64(1)) * texts._STEPS[k]
+        hashes[at[short]] = texts.mix(hashes[at[short]] + size[short].astype(np.uint64) * texts._STEPS[63])
+        yield hashes, at
 
 
 def band_keys(lines: pa.Array) -> np.ndarray:
@@ -90,19 +109,61 @@ def _signatures(lines: pa.Array) -> np.ndarray:
     """Per line a row of BANDS bucket keys."""
     found = [np.zeros((0, BANDS), np.uint64)]
     for hashes, at in line_shingles(lines):
-        high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32) | np.uint32(1)
-        bands, turned = np.zeros((len(at) - 1, BANDS), np.uint64), np.empty(len(high), np.uint32)
-        for k, seed in enumerate(_SEEDS):
-            if k % 2:
-                np.multiply(np.bitwise_xor(high, seed, out=turned), low, out=turned)
-            else:
-                np.add(np.multiply(high, seed, out=turned), low, out=turned)
-            least = np.minimum.reduceat(turned, at[:-1])
-            bands[:, k // ROWS] = texts.mix(bands[:, k // ROWS] + least.astype(np.uint64) + texts._STEPS[k % ROWS])
-        found.append(bands)
+        for i in range(0, len(at) - 1, HELD):
+            cut = at[i : i + HELD + 1]
+            least = minima(hashes[cut[0] : cut[-1]], cut - cut[0]).reshape(-1, BANDS, ROWS)
+            bands = np.zeros((len(least), BANDS), np.uint64)
+            for k in range(ROWS):
+                bands += least[:, :, k] * texts._STEPS[k]
+            found.append(texts.mix(bands))
     return np.concatenate(found)
 
 
+def minima(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Per set (its hashes begin at ``at``) a row of BANDS * ROWS minima, each equal in two sets with their similarity as probability.
+
+    Fast similarity sketches (Dahlgaard, Knudsen, Thorup, 2017): a round deals each hash to one minimum, and the first
+    round that reaches a minimum settles it. One that no round reaches is taken over all hashes. So every minimum goes
+    by one random order of all hashes, and a large set needs few rounds.
+    """
+    width, sizes, none = BANDS * ROWS, np.diff(at), np.uint32(0xFFFFFFFF)
+    found, owner = np.full(len(sizes) * width, none), np.repeat(np.arange(len(sizes)) * width, sizes)
+    high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32)
+    first, second = high, low
+    for k in range(ROUNDS):
+        turned = (first ^ _SEEDS[width + k]) * (second | np.uint32(1)) if k else first
+        place = owner + (((turned >> np.uint32(16)) * np.uint32(width)) >> np.uint32(16))
+        if k:
+            free = np.flatnonzero((found == none)[place])
+            np.minimum.at(found, place[free], (second[free] ^ _SEEDS[width + k]) * (first[free] | np.uint32(1)))
+        else:
+            np.minimum.at(found, place, second)
+        open_ = (found.reshape(-1, width) == none).any(axis=1)
+        if not open_.any():
+            break
+        if k + 1 < ROUNDS and 2 * np.count_nonzero(open_) < len(open_):
+            kept = np.repeat(open_, sizes) if len(owner) == len(hashes) else open_[owner // width]
+            first, second, owner = first[kept], second[kept], owner[kept]
+    found = found.reshape(-1, width)
+    many = np.count_nonzero(found == none, axis=1) > width // 10
+    if many.any():  # short sets mostly: all of their hashes for each minimum
+        kept, begin, least = np.repeat(many, sizes), np.cumsum(sizes[many]) - sizes[many], np.empty((width, np.count_nonzero(many)), np.uint32)
+        first, second = high[kept], low[kept] | np.uint32(1)
+        turned = np.empty_like(first)
+        for k, seed in enumerate(_SEEDS[:width]):
+            np.multiply(np.bitwise_xor(first, seed, out=turned), second, out=turned)
+            np.minimum.reduceat(turned, begin, out=least[k])
+        found[many] = np.where(found[many] == none, least.T, found[many])
+    rows, columns = np.nonzero((found == none) & ~many[:, None])
+    for cut in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(np.cumsum(sizes[rows]) // SPREAD)) + 1):
+        row, column, count = rows[cut], columns[cut], sizes[rows[cut]]
+        if len(cut):
+            begin = np.cumsum(count) - count
+            each = np.repeat(at[row] - begin, count) + np.arange(count.sum())
+            found[row, column] = np.minimum.reduceat((high[each] ^ np.repeat(_SEEDS[column], count)) * (low[each] | np.uint32(1)), begin)
+    return found
+
+
 def scan_lines(docs: DataFrame) -> DataFrame:
     """row, doc_id, and of its lines keys and sizes (shingles, repeats counted)."""
 
@@ -204,7 +265,8 @@ def line_links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     def sets(column: pa.Array) -> Iterator[np.ndarray]:
         for hashes, begin in line_shingles(column.cast(pa.large_string())):
             for a, b in zip(begin[:-1], begin[1:]):
-                yield np.unique(hashes[a:b])
+                found = np.sort(hashes[a:b])
+                yield found[np.concatenate([[True], found[1:] != found[:-1]])]
 
     # Lines go to their cells as text, an eighth of their shingles and less.
     found = cells.compared(rows.mapInArrow(chosen, "found string, key long, family long, held long, blocks int, block int"), PERCENT, sets)

@@ -52,11 +52,15 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
 
 def mix(values: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: every input bit reaches every output bit."""
-    values = values ^ (values >> np.uint64(30))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    values = values ^ (values >> np.uint64(27))
-    values = values * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    turned = values >> np.uint64(30)
+    turned ^= values
+    turned *= np.uint64(0xBF58476D1CE4E5B9)
+    other = turned >> np.uint64(27)
+    turned ^= other
+    turned *= np.uint64(0x94D049BB133111EB)
+    np.right_shift(turned, np.uint64(31), out=other)
+    turned ^= other
+    return turned
 
 
 _POWERS: dict[int, np.ndarray] = {}

@@ -1,6 +1,8 @@
 """Line dedup and the blocks of texts: what is sent, and how much is held."""
 
+import itertools
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -75,3 +77,87 @@ def test_cells_of_two_blocks_compare_across_them_only():
         if near:
             expect[a] = (len(near), sum(members[b][0] for b in near))
     assert {r["a"]: (r["links"], r["rows"]) for r in found if r["b"] is None} == expect
+
+
+def test_cells_count_the_same_whatever_they_count_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 90).astype(np.uint64)
+    members = {key: (key + 1, key % 2, np.unique(np.concatenate([base[key % 11 :], base[: key % 3]]))) for key in range(40)}
+    for whole in (True, False):
+        rows = []
+        for columns in (1, 7, 16, 90, 1 << 12):
+            monkeypatch.setattr(cells, "COLUMNS", columns)
+            rows.append(cells.cell_links(members, whole, 80).to_pylist())
+        assert rows[0] and all(found == rows[0] for found in rows)
+
+
+def test_minima_match_as_often_as_sets_are_alike_and_stand_for_themselves():
+    rng = np.random.default_rng(8)
+    for shared, apart in ((4, 1), (8, 2), (40, 10), (240, 60), (5, 5), (150, 150)):
+        sets = []
+        for _ in range(300):
+            hashes = texts.mix(rng.integers(1, 1 << 62, shared + apart).astype(np.uint64))
+            sets += [hashes[: shared + apart // 2], np.concatenate([hashes[:shared], hashes[shared + apart // 2 :]])]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        found = line_dedup.minima(np.concatenate(sets), at)
+        assert abs((found[::2] == found[1::2]).mean() - shared / (shared + apart)) < 0.02
+        if shared == 4 * apart:
+            met = (found[::2] == found[1::2]).reshape(300, line_dedup.BANDS, line_dedup.ROWS).all(axis=2).any(axis=1)
+            assert met.mean() > 0.98
+    sizes = [1, 2000, 7, 300, 1, 60, 100, 100, 3]
+    sets = [texts.mix(rng.integers(1, 1 << 62, n).astype(np.uint64)) for n in sizes]
+    sets[6] = np.resize(sets[2], 5_000)  # few different hashes, often repeated
+    sets[7] = np.resize(sets[3][:250], 700_000)
+    found = line_dedup.minima(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for i, hashes in enumerate(sets):  # whatever else is in the batch, in any order, repeated or not
+        hashes = rng.permutation(np.unique(hashes))
+        assert (line_dedup.minima(hashes, np.array([0, len(hashes)]))[0] == found[i]).all()
+
+
+def test_shingles_of_short_long_and_foreign_lines():
+    rng = random.Random(4)
+    lines = ["a", "ab", "abcdefg", "abcdefgh", "äb", "ß" * 9, "日本語の長い行です。まだ続く", "x" * 300, "abc\u0000", "\U0001f600" * 8, "tail"]
+    lines += ["".join(rng.choices("ab é", k=rng.randrange(1, 40))) for _ in range(300)] + ["".join(x) for x in itertools.product("abc", repeat=8)]
+    known, seen = {}, {}
+    for order in (lines, lines[::-1], [""] + lines, *[[x] for x in lines[:30]]):  # alone, ASCII and other lines are in blocks of their own
+        found = []
+        for hashes, at in line_dedup.line_shingles(pa.array(order)):
+            found += [hashes[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert len(found) == len(order)
+        for line, hashes in zip(order, found):
+            grams = [line[i : i + 8] for i in range(max(1, len(line) - 7))]
+            assert len(hashes) == len(grams)
+            for gram, value in zip(grams, hashes):
+                assert known.setdefault(gram, value) == value and seen.setdefault(value, gram) == gram
+    assert len(known) > 6_561
+
+
+def test_blank_lines_have_no_key():
+    blank, ink = ["", " ", "\t \r", "\x0b\x0c "], ["  a", "a  ", "\u00a0", "a\u0000", "a", "\u0000a", " \t."]
+    for order in (blank + ink, ink + blank, [x for pair in zip(blank, ink) for x in pair], ink, blank, blank[:1], []):
+        keys = line_dedup.line_keys(pa.array(order, pa.string()))
+        assert [bool(k) for k in keys.tolist()] == [x in ink for x in order]
+        assert len({k for k in keys.tolist() if k}) == len(set(order) & set(ink))
+
+
+def test_long_lines_do_not_hash_every_shingle_for_every_minimum():
+    rng = np.random.default_rng(9)
+    hashes, at = texts.mix(rng.integers(1, 1 << 62, 60 * 2_000).astype(np.uint64)), np.arange(61) * 2_000
+    seeds = rng.integers(1, 1 << 32, line_dedup.BANDS * line_dedup.ROWS, dtype=np.uint64).astype(np.uint32)
+
+    def each():
+        high, low = (hashes >> np.uint64(32)).astype(np.uint32), hashes.astype(np.uint32) | np.uint32(1)
+        turned = np.empty_like(high)
+        for seed in seeds:
+            np.minimum.reduceat(np.add(np.multiply(high, seed, out=turned), low, out=turned), at[:-1])
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    lines = pa.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 2_007)) for _ in range(60)])
+    assert least(lambda: line_dedup.band_keys(lines)) < 1.2 * least(each)  # shingles included; before: more than 2

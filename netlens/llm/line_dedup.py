@@ -1,11 +1,11 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard test, union-find over the links.
 
 A line is the set of its distinct GRAM-character shingles (a shorter line is one shingle). Signatures of BANDS x ROWS
-minima (fast similarity sketches, see ``minima``) are cut into bands; with 20 x 6 two lines of similarity 0.8 meet in a band with probability 0.9977, two of 0.5
-with 0.27. Lines that hang together by shared buckets form a family: no two lines of different families share a
-bucket. Inside a family all lines are compared with each other on their whole sets, in cells of bounded size, so every
-link that banding meets is found. Of each component of links the first line of the corpus stays: the one of smallest
-doc_id, then row, then line number.
+minima (fast similarity sketches, see ``minima``) are cut into bands; with 20 x 6 two lines of similarity 0.8 meet in a
+band with probability 0.9977, two of 0.5 with 0.27. Lines that hang together by shared buckets form a family: no two
+lines of different families share a bucket. Inside a family all lines are compared with each other on their whole sets,
+in cells of bounded size, so every link that banding meets is found. Of each component of links the first line of the
+corpus stays: the one of smallest doc_id, then row, then line number.
 """
 
 from __future__ import annotations

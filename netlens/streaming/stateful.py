@@ -1,18 +1,19 @@
 """Keyed state across micro-batches: socket lifecycle, interface rates, request correlation.
 
-Each processor keeps one small value per key. A hot host is split: its snapshots are cut into
-buckets of connection keys, and every bucket, also an empty one, hears of every snapshot. A key's
-rows of one micro-batch are ordered in memory, so bound a backlog with ``maxFilesPerTrigger``.
+Each processor keeps one value per key, a small one but for buckets of request ids, which hold a line per open id.
+A hot host is split: its snapshots are cut into buckets of connection keys, and every bucket, also an empty one, hears of
+every snapshot. A key's rows of one micro-batch are ordered in memory, so bound a backlog with ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -124,44 +125,59 @@ CORRELATED = (
 )
 _COLUMNS = [field.split()[0] for field in CORRELATED.split(", ")]
 _EXTRAS = {C.START_EXTRA: "ask", C.RESPONSE_EXTRA: "answer"}
-#: Kinds of which a hop needs the latest event only.
-_LATEST = [C.START, C.RESPONSE, C.FINISHED, C.FAILED, C.SERVED_FROM_CACHE]
+#: Kinds of which a hop needs the latest event only, and what is kept of it where the event has it.
+_LATEST = {C.START, C.RESPONSE, C.FINISHED, C.FAILED, C.SERVED_FROM_CACHE}
+_KEPT = ("start", "reply", "encoded_length", "failure")
 BEFORE = -1
-_READ = ["seq", "kind", "ts", "start", "reply", "extra_headers", "data_length", "encoded_length", "failure"]
+#: Request ids are dealt over so many buckets; more of them where a micro-batch or the open requests are many.
+ID_BUCKETS = 1024
+_sorted = json.JSONEncoder(sort_keys=True).encode
 
 
 def _missing(value: object) -> bool:
     return value is None or value is pd.NA or value != value
 
 
-def hop_summaries(events: pd.DataFrame, first_hop: int, replies: int) -> dict[int, dict]:
-    """Summaries of the events of one request id by hop (BEFORE: before any start); ``first_hop`` is open, ``replies`` were seen.
+def _number(value: object) -> float | None:
+    """A number of an event's text, where NaN and the infinities are words; None for NaN."""
+    number = None if value is None else float(value)
+    return None if _missing(number) else number
 
-    A summary has the latest event of each kind, the latest end with a time, the latest value of each extra header, and
-    the received bytes, so summaries of consecutive stretches of a hop merge by taking the later part (``merged``).
+
+def hop_summaries(events: Iterable[tuple[int, str]], first_hop: int, replies: int) -> tuple[dict[int, dict], list[int], int]:
+    """Summaries of the events (seq, text) of one request id by hop (BEFORE: before any start), where its responses stand, and its newest time.
+
+    ``first_hop`` is open, ``replies`` were seen. A summary has the latest event of each kind, the latest end with a time,
+    the latest value of each extra header, and the received bytes, so summaries of consecutive stretches of a hop merge by
+    taking the later part (``merged``).
     """
-    # Plain rows: a key has few events in a micro-batch, and every pandas call would cost more than all of them.
-    rows = sorted(zip(*[events[name].tolist() for name in _READ]), key=lambda row: row[0])
-    starts = [row[0] for row in rows if row[1] == C.START]
     summaries: dict[int, dict] = {}
-    number = replies
-    for seq, kind, ts, start, reply, extra, length, encoded, failure in rows:
-        hop = first_hop + bisect_right(starts, seq)
-        summary = summaries.setdefault(hop, {"latest": {}, "end": None, "ask": {}, "answer": {}, "body": 0})
-        number += kind == C.RESPONSE and hop > BEFORE
-        if kind in _LATEST:
-            kept = {"ts": ts, "start": start, "reply": reply, "encoded_length": encoded, "failure": failure}
-            summary["latest"][kind] = {name: None if _missing(value) else value for name, value in kept.items()} | {"seq": int(seq), "number": number}
-        if kind in (C.FINISHED, C.FAILED) and not _missing(ts):
-            summary["end"] = float(ts)
-        if kind in _EXTRAS:
-            side = summary[_EXTRAS[kind]]
-            if hop == BEFORE:  # only the last map before the first start counts, as a whole
-                side.clear()
-            side.update({name: [int(seq), value] for name, value in json.loads(extra).items()})
-        if not _missing(length):
-            summary["body"] += int(length)
-    return summaries
+    hop, number, replied, last = first_hop, replies, [], 0
+    for seq, group in groupby(sorted(events, key=itemgetter(0)), key=itemgetter(0)):
+        same = [json.loads(text) for _, text in group]
+        hop += sum(event["kind"] == C.START for event in same)
+        for event in same:
+            kind = event["kind"]
+            summary = summaries.get(hop)
+            if summary is None:
+                summary = summaries[hop] = {"latest": {}, "end": None, "ask": {}, "answer": {}, "body": 0}
+            if kind == C.RESPONSE:
+                replied.append(seq)
+                number += hop > BEFORE
+            ts = _number(event.get("ts"))
+            if kind in _LATEST:
+                kept = {name: event[name] for name in _KEPT if name in event}
+                summary["latest"][kind] = kept | {"seq": seq, "number": number} | ({} if ts is None else {"ts": ts})
+            if kind in (C.FINISHED, C.FAILED) and ts is not None:
+                summary["end"] = ts
+            if kind in _EXTRAS:
+                side = summary[_EXTRAS[kind]]
+                if hop == BEFORE:  # only the last map before the first start counts, as a whole
+                    side.clear()
+                side.update({name: [seq, value] for name, value in event["extra_headers"].items()})
+            summary["body"] += event.get("data_length", 0)
+            last = max(last, event["at"])
+    return summaries, replied, last
 
 
 def merged(early: dict, late: dict) -> dict:
@@ -175,11 +191,11 @@ def merged(early: dict, late: dict) -> dict:
 def hop_row(summary: dict, hop: int, follower: dict | None, pending: dict) -> dict:
     """The request that a summary stands for; ``follower`` is the start after it, ``pending`` the headers before any start."""
     begun, answer = summary["latest"][C.START], summary["latest"].get(C.RESPONSE)
-    start = json.loads(begun["start"])
+    start = begun["start"]
     asked = start.get("request") or {}
-    closing = follower if follower and follower["reply"] else None
+    closing = follower if follower and "reply" in follower else None
     source = closing or answer
-    reply = json.loads(source["reply"]) if source else {}
+    reply = source["reply"] if source else {}
     headers = dict(reply.get("headers") or {})
     cached = bool(reply.get("fromDiskCache") or reply.get("fromPrefetchCache"))
     if closing is None:
@@ -190,25 +206,29 @@ def hop_row(summary: dict, hop: int, follower: dict | None, pending: dict) -> di
         note = summary["latest"].get(C.SERVED_FROM_CACHE)
         cached = cached or bool(note and note["seq"] > after)
     first = {name: value for name, (_, value) in pending["ask"].items()} if hop == 0 else {}
-    stop = closing["ts"] if closing and closing["ts"] is not None else summary["end"]
-    span = None if stop is None or start.get("timestamp") is None else round(max(0.0, stop - start["timestamp"]) * 1000, 2)
+    stop, since = closing["ts"] if closing and "ts" in closing else summary["end"], _number(start.get("timestamp"))
+    span = None if stop is None or since is None else round(max(0.0, stop - since) * 1000, 2)
     done, fault = summary["latest"].get(C.FINISHED), summary["latest"].get(C.FAILED)
     return {
         "redirect_index": hop, "seq": begun["seq"], "ended": bool(closing or done or fault), "url": asked.get("url") or "",
         "method": asked.get("method") or "?", "resource_type": start.get("type") or "Other", "status": int(float(reply.get("status") or 0)),
-        "protocol": reply.get("protocol") or "unknown", "duration_ms": span, "transfer_bytes": int(done["encoded_length"] or 0) if done else 0,
-        "body_bytes": summary["body"], "from_cache": cached, "failed": fault is not None, "failure": fault and fault["failure"],
+        "protocol": reply.get("protocol") or "unknown", "duration_ms": span, "transfer_bytes": done.get("encoded_length", 0) if done else 0,
+        "body_bytes": summary["body"], "from_cache": cached, "failed": fault is not None, "failure": fault and fault.get("failure"),
         "redirect": closing is not None,
-        "request_headers": json.dumps(dict(asked.get("headers") or {}) | first | {n: v for n, (_, v) in summary["ask"].items()}, sort_keys=True),
-        "response_headers": json.dumps(headers, sort_keys=True),
+        "request_headers": _sorted(dict(asked.get("headers") or {}) | first | {n: v for n, (_, v) in summary["ask"].items()}),
+        "response_headers": _sorted(headers),
     }
 
 
 class CorrelationProcessor(StatefulProcessor):
-    """Requests of one (session, request id), from a summary of the hop that is open.
+    """Requests of one bucket of (session, request id), from a summary of the open hop of each.
 
     After each micro-batch every hop that ended in it, or changed after its end, is emitted with a higher version. Once
     the watermark is ``idle_ms`` past an id's last event, an unfinished request is emitted as it stands and the id forgotten.
+
+    A call, its state and its timer cost Spark and Python some milliseconds whatever they are for, an id only some tens of
+    microseconds: so the ids of a bucket share them. The state has a line for each id, when it is forgotten, its name and
+    what is known of it, and only the lines of ids with events are read. The one timer is that of the first id to go.
     """
 
     def __init__(self, idle_ms: int) -> None:
@@ -218,22 +238,28 @@ class CorrelationProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("open", "text string")
 
-    def _known(self) -> dict:
-        held = self.state.get()  # each call of the state is a round trip to the JVM
-        if held is not None:
-            return json.loads(held[0])
-        return {"hop": BEFORE, "summary": None, "version": 0, "replies": 0, "pending": {"ask": {}, "answer": {}}, "last": 0}
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self._known()
-        parts = list(rows)
-        events = parts[0] if len(parts) == 1 else pd.concat(parts)
-        parts = hop_summaries(events, known["hop"], known["replies"])
+    def _held(self) -> dict[str, tuple[int, str]]:
+        """When each id of the bucket is forgotten, and what is known of it as text."""
+        value = self.state.get()  # each call of the state is a round trip to the JVM
+        lines = [line.split("\t", 2) for line in value[0].split("\n")] if value is not None else []
+        return {name: (int(due), text) for due, name, text in lines}
+
+    def _keep(self, held: dict[str, tuple[int, str]]) -> int | None:
+        """The state from now on; when its first id is forgotten."""
+        if held:
+            self.state.update(("\n".join([f"{due}\t{name}\t{text}" for name, (due, text) in held.items()]),))
+        else:
+            self.state.clear()
+        return _first(held)
+
+    def _advance(self, known: dict, events: Iterable[tuple[int, str]]) -> list[dict]:
+        """Bring what is known of an id forward by its events; its hops as they now stand."""
+        parts, replied, last = hop_summaries(events, known["hop"], known["replies"])
         if known["hop"] == BEFORE and BEFORE in parts:
             known["pending"] = {side: parts[BEFORE][side] or known["pending"][side] for side in ("ask", "answer")}
         if known["summary"] and known["hop"] in parts:
             parts[known["hop"]] = merged(known["summary"], parts[known["hop"]])
-        elif known["summary"] and parts:
+        elif known["summary"]:
             parts[known["hop"]] = known["summary"]
         found = []
         hops = sorted(hop for hop in parts if hop > BEFORE)
@@ -241,48 +267,83 @@ class CorrelationProcessor(StatefulProcessor):
             follower = parts[hop + 1]["latest"][C.START] if hop + 1 in parts else None
             version = known["version"] + 1 if hop == known["hop"] else 1
             found.append(dict(hop_row(parts[hop], hop, follower, known["pending"]), version=version))
-        last = int(events["wall"].max().timestamp() * 1000)
         if hops:
             begun = min(parts[h]["latest"][C.START]["seq"] for h in hops)
-            answered = sum(kind == C.RESPONSE and seq > begun for kind, seq in zip(events["kind"].tolist(), events["seq"].tolist()))
+            answered = sum(seq > begun for seq in replied)
             known.update(hop=hops[-1], summary=parts[hops[-1]], version=found[-1]["version"], replies=known["replies"] + answered)
         known["last"] = max(last, known["last"])
-        before, timer = known.get("timer"), known["last"] + self.idle_ms
-        known["timer"] = timer
-        self.state.update((json.dumps(known),))
-        if before != timer:  # an id has one timer, by its last event
+        return found
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived: dict[tuple, list] = {}
+        for part in rows:
+            for session, request, seq, text in zip(*[part[name].tolist() for name in ("session_id", "request_id", "seq", "event")]):
+                arrived.setdefault((None if _missing(session) else session, None if _missing(request) else request), []).append((seq, text))
+        held = self._held()
+        before, found = _first(held), []
+        for (session, request), events in arrived.items():
+            name = json.dumps([session, request])
+            known = json.loads(held[name][1]) if name in held else {
+                "hop": BEFORE, "summary": None, "version": 0, "replies": 0, "pending": {"ask": {}, "answer": {}}, "last": 0,
+            }
+            found += [dict(row, session_id=session, id=request) for row in self._advance(known, events) if row["ended"]]
+            held[name] = known["last"] + self.idle_ms, json.dumps(known)
+        due = self._keep(held)
+        if before != due:
             if before is not None:
                 self.handle.deleteTimer(before)
-            self.handle.registerTimer(timer)
-        yield self._frame(key, [row for row in found if row["ended"]])
+            self.handle.registerTimer(due)
+        if found:
+            yield pd.DataFrame(found, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self._known()
-        self.state.clear()
-        row = hop_row(known["summary"], known["hop"], None, known["pending"]) if known["summary"] else None
-        yield self._frame(key, [dict(row, version=known["version"] + 1)] if row and not row["ended"] else [])
+        held, now, found = self._held(), timerValues.getCurrentWatermarkInMs(), []
+        for name in [name for name, (due, _) in held.items() if due <= now]:
+            (session, request), known = json.loads(name), json.loads(held.pop(name)[1])
+            row = hop_row(known["summary"], known["hop"], None, known["pending"]) if known["summary"] else None
+            if row and not row["ended"]:
+                found.append(dict(row, session_id=session, id=request, version=known["version"] + 1))
+        due = self._keep(held)
+        if due is not None:  # Spark deletes the timer that called
+            self.handle.registerTimer(due)
+        if found:
+            yield pd.DataFrame(found, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
-    @staticmethod
-    def _frame(key, rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame([dict(row, session_id=key[0], id=key[1]) for row in rows], columns=_COLUMNS)
+
+def _first(held: dict[str, tuple[int, str]]) -> int | None:
+    return min((due for due, _ in held.values()), default=None)
 
 
-def correlation_stream(events: DataFrame, idle: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+def correlation_stream(events: DataFrame, idle: str = "10 minutes", late: str = "1 hour", buckets: int = ID_BUCKETS) -> DataFrame:
     """Requests of an EVENT stream; the highest ``version`` of a (session, id, hop) is its latest state.
 
     Time is that of the events. An id without an event for ``idle`` is forgotten once the watermark (``late`` behind the
     newest event) is past it, so the state is bounded whatever the stream is; a replay gives what the live run gave.
     Events without a readable time, and events older than the watermark, are left out.
+
+    Ids are dealt over ``buckets``. The state of a bucket with events is read and written as a whole and its rows of one
+    micro-batch are held in memory: take about one bucket for 1,000 events of a micro-batch or 1,000 open ids, whichever is more.
+    A checkpoint holds for the number of buckets it was begun with.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     timed = events.withColumn("wall", F.col("timestamp").try_cast("timestamp")).where(F.col("wall").isNotNull()).withWatermark("wall", late)
+    start, asked, reply = F.col("start"), F.col("start.request"), F.col("reply")
+
+    def only(whole: Column, *fields: str) -> Column:
+        return F.when(whole.isNotNull(), F.struct(*[whole[name].alias(name) for name in fields]))
+
+    event = F.struct(
+        "kind", "ts",
+        F.when(start.isNotNull(), F.struct(only(asked, "url", "method", "headers").alias("request"), start["type"].alias("type"), start["timestamp"].alias("timestamp"))).alias("start"),
+        only(reply, "status", "protocol", "headers", "fromDiskCache", "fromPrefetchCache").alias("reply"),
+        "extra_headers", "data_length", "encoded_length", F.col("fault.failure").alias("failure"), F.unix_millis("wall").alias("at"),
+    )
     rows = C.request_events(timed, ("wall",)).select(
-        "session_id", "request_id", "seq", "kind", "ts", F.to_json("start").alias("start"), F.to_json("reply").alias("reply"),
-        F.to_json("extra_headers").alias("extra_headers"), "data_length", "encoded_length", F.col("fault.failure").alias("failure"), "wall",
+        F.pmod(F.xxhash64(*C.KEY), F.lit(buckets)).cast("int").alias("bucket"), *C.KEY, "seq", F.to_json(event).alias("event"), "wall"
     )
-    return rows.groupBy("session_id", "request_id").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=CorrelationProcessor(idle_ms), outputStructType=CORRELATED, outputMode="Append", timeMode="EventTime"
     )

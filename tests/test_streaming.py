@@ -145,6 +145,58 @@ def test_unfinished_requests_leave_with_the_watermark(spark, tmp_path):
     assert sorted((r.url, r.version, r.ended) for r in found) == [("http://open.test/", 2, False), ("http://x.test/", 2, False)]
 
 
+def latest_and_batch(spark, versions, sessions):
+    """The last versions of a stream and what the batch gives for the same sessions, by request."""
+    latest = versions.groupBy("session_id", "id", "redirect_index").agg(F.max_by(F.struct("*"), "version").alias("r")).select("r.*").collect()
+    rows = [(name, i, json.dumps(event)) for name, events in sessions.items() for i, event in enumerate(events)]
+    events = jsonl.split_lines(spark.createDataFrame(rows, "session_id string, seq bigint, value string")).events
+    key = lambda r: (r.session_id, r.id, r.redirect_index)
+    return {key(r): r for r in latest}, {key(r): r for r in correlate(events).collect()}
+
+
+def test_ids_of_a_bucket_share_one_state(spark, tmp_path):
+    """However many ids a stream has, a micro-batch reads and writes a state and a timer per bucket, not per id."""
+    one = lambda rid, url: [
+        cdp("Network.requestWillBeSent", requestId=rid, timestamp=1.0, type="Document", request={"url": url, "method": "GET", "headers": {"b": "2", "a": None}}),
+        cdp("Network.responseReceived", requestId=rid, response={"status": 200, "protocol": "h2", "headers": {"x": "tab\tline\nü"}}),
+        cdp("Network.dataReceived", requestId=rid, dataLength=9_007_199_254_740_993),
+        cdp("Network.loadingFinished", requestId=rid, timestamp=1.5, encodedDataLength=7),
+    ]
+    whole = [one(f"{n}\t\n{n}", f"http://{n}.test/") for n in range(200)]
+    # The starts of all requests come first, so every one of them is open between two micro-batches.
+    sessions = {f"s{s}": stamped([request[step] for step in range(4) for request in whole], 0.01) for s in range(2)}
+    stream = stateful.correlation_stream(cut_stream(spark, tmp_path / "in", sessions, 4), buckets=5)
+    query = stream.writeStream.format("memory").queryName("shared").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert query.exception() is None
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 20
+    got, batch = latest_and_batch(spark, spark.table("shared"), sessions)
+    assert len(got) == 400 and got.keys() == batch.keys()
+    names = ("seq", "url", "method", "resource_type", "status", "protocol", "transfer_bytes", "body_bytes", "from_cache", "failed", "redirect", "duration_ms")
+    for key, row in got.items():
+        assert {n: row[n] for n in names} == {n: batch[key][n] for n in names}
+        assert (json.loads(row.request_headers), json.loads(row.response_headers)) == (batch[key].request_headers, batch[key].response_headers)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_ids_of_a_bucket_end_each_at_its_time(spark, tmp_path, buckets):
+    """Of the ids of one bucket, only those leave that the watermark has passed; one with a later event stays."""
+    ask = lambda rid: cdp("Network.requestWillBeSent", requestId=rid, timestamp=1.0, request={"url": f"http://{rid}.test/", "method": "GET"})
+    done = lambda rid: cdp("Network.loadingFinished", requestId=rid, timestamp=2.0, encodedDataLength=3)
+    at = lambda event, minute: dict(event, timestamp=f"2025-06-03T{8 + minute // 60:02d}:{minute % 60:02d}:00Z")
+    batches = [
+        [at(ask("a"), 0), at(ask("b"), 1), at(ask("c"), 2)],
+        [at(ask("d"), 6), at(cdp("Network.dataReceived", requestId="b", dataLength=4), 6), at(done("c"), 6)],
+        [at(ask("e"), 9), at(ask("f"), 12), at(cdp("Network.dataReceived", requestId="f", dataLength=1), 12)],
+        [at(done("e"), 13), at(ask("g"), 13), at(ask("h"), 13)],
+    ]
+    stream = stateful.correlation_stream(cut_stream(spark, tmp_path / "in", {"s": sum(batches, [])}, 4), "5 minutes", "1 minute", buckets)
+    found = drain(stream, f"leave{buckets}").collect()
+    shown = sorted((r.id, r.version, r.ended, r.body_bytes) for r in found)
+    # At the end the watermark stands at 12 minutes: a, b and d (last seen at 0, 6 and 6) are past it by 5 minutes, c and e had ended.
+    assert shown == [("a", 2, False, 0), ("b", 3, False, 4), ("c", 2, True, 0), ("d", 2, False, 0), ("e", 2, True, 0)]
+
+
 def test_live_counters_and_append(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     source.mkdir()
